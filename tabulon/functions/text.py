@@ -46,3 +46,8 @@ def lowercase_count(c: Column) -> Column:
 def punctuation_count(c: Column) -> Column:
     """Characters that are neither word characters nor white space."""
     return F.length(F.regexp_replace(c, "[" + WORD_CHARS + SPACE_CHARS + "]+", ""))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with a fixed count of decimals; exact ties go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))

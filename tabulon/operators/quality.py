@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import CATEGORICAL, NUMERICAL, fold_nan
+from tabulon.functions.text import fixed
 from tabulon.operators.stats import TableStats, collect_stats
 
 # Name parts that mark a column as a quantity that must not be negative.
@@ -105,11 +106,11 @@ def _rules() -> list[Column]:
         _issue((rows == 0) & (F.col("position") == 0), 0, "empty_dataset", F.lit("high"), F.lit("Dataset is empty"), F.lit(None), True),
         _issue(
             not_empty & (F.col("position") == 0) & (F.col("duplicate_count") > 0), 1, "duplicate_rows", _band(duplicates, 20, 5),
-            F.format_string("Dataset has %d duplicate rows (%.2f%%).", F.col("duplicate_count"), duplicates), duplicates, True,
+            F.format_string("Dataset has %d duplicate rows (%s%%).", F.col("duplicate_count"), fixed(duplicates, 2)), duplicates, True,
         ),
         _issue(
             not_empty & (F.col("null_count") > 0), 2, "missing_values", _band(missing, 20, 5),
-            F.format_string("Column has %d missing values (%.2f%%).", F.col("null_count"), missing), missing,
+            F.format_string("Column has %d missing values (%s%%).", F.col("null_count"), fixed(missing, 2)), missing,
         ),
         _issue(
             has_values & (distinct == 1), 3, "constant_column", F.lit("high"),
@@ -121,7 +122,7 @@ def _rules() -> list[Column]:
         ),
         _issue(
             has_values & (F.col("iqr") > 0) & (F.col("outlier_count") > 0), 5, "numeric_outliers", _band(outliers, 10, 5),
-            F.format_string("Column has %d IQR outliers (%.2f%%).", F.col("outlier_count"), outliers), outliers,
+            F.format_string("Column has %d IQR outliers (%s%%).", F.col("outlier_count"), fixed(outliers, 2)), outliers,
         ),
         _issue(
             has_values & (F.col("data_type") == NUMERICAL) & quantity_name & (F.col("negative_count") > 0), 6,

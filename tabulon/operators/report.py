@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.text import fixed
+
 
 def dataset_report(
     datasets: DataFrame,
@@ -78,12 +80,12 @@ def dataset_findings(report: DataFrame, key: str = "dataset_id") -> DataFrame:
             ),
             _finding(
                 _has(report, "quality") & (c("quality_missing_percentage") > 0), 2, "data_issues", "Missing Values",
-                F.format_string("%.1f%%", c("quality_missing_percentage")),
-                F.format_string("Missing values detected in %d cells (%.1f%% of data).", c("quality_missing_count"), c("quality_missing_percentage")),
+                F.format_string("%s%%", fixed(c("quality_missing_percentage"), 1)),
+                F.format_string("Missing values detected in %d cells (%s%% of data).", c("quality_missing_count"), fixed(c("quality_missing_percentage"), 1)),
             ),
             _finding(
                 _has(report, "quality") & (c("quality_duplicate_rows") > 0), 3, "data_issues", "Duplicate Rows", c("quality_duplicate_rows"),
-                F.format_string("Found %d duplicate rows (%.1f%% of data).", c("quality_duplicate_rows"), c("quality_duplicate_percentage")),
+                F.format_string("Found %d duplicate rows (%s%% of data).", c("quality_duplicate_rows"), fixed(c("quality_duplicate_percentage"), 1)),
             ),
         ]
     if "has_cleaning" in report.columns:
@@ -115,12 +117,12 @@ def dataset_recommendations(report: DataFrame, key: str = "dataset_id") -> DataF
             ),
             _recommendation(
                 c("quality_missing_percentage") > 30, 1, "high", "data_quality", "High Missing Value Rate",
-                F.format_string("%.1f%% of values are missing.", c("quality_missing_percentage")),
+                F.format_string("%s%% of values are missing.", fixed(c("quality_missing_percentage"), 1)),
                 "Consider advanced imputation techniques, removing highly sparse columns, or feature engineering to handle missing values.",
             ),
             _recommendation(
                 c("quality_duplicate_percentage") > 5, 2, "medium", "data_quality", "Duplicate Rows Detected",
-                F.format_string("%.1f%% of rows are duplicates.", c("quality_duplicate_percentage")),
+                F.format_string("%s%% of rows are duplicates.", fixed(c("quality_duplicate_percentage"), 1)),
                 "Review and remove or consolidate duplicate records based on business logic.",
             ),
         ]
@@ -128,7 +130,7 @@ def dataset_recommendations(report: DataFrame, key: str = "dataset_id") -> DataF
         rate = F.try_divide((c("cleaning_rows_before") - c("cleaning_rows_after")) * F.lit(100.0), c("cleaning_rows_before"))
         rules.append(_recommendation(
             rate > 20, 3, "medium", "preprocessing", "High Data Removal Rate",
-            F.format_string("Cleaning removed %.1f%% of rows. This may result in insufficient data for modeling.", rate),
+            F.format_string("Cleaning removed %s%% of rows. This may result in insufficient data for modeling.", fixed(rate, 1)),
             "Review cleaning operations. Consider more conservative imputation strategies or selective filtering.",
         ))
     if "has_features" in report.columns:
@@ -175,7 +177,7 @@ def experiment_findings(report: DataFrame, key: str = "experiment_id") -> DataFr
         ),
         _finding(
             c("best_model_name").isNotNull(), 2, "model", "Best Performing Model", c("best_model_name"),
-            F.format_string("Best model: %s (%s) with %s=%.4f", c("best_model_name"), c("best_model_name"), c("best_metric"), c("best_score")),
+            F.format_string("Best model: %s (%s) with %s=%s", c("best_model_name"), c("best_model_name"), c("best_metric"), fixed(c("best_score"), 4)),
         ),
         _finding(
             c("best_model_name").isNotNull(), 3, "features", "Feature Count", c("best_feature_count"),
@@ -189,12 +191,12 @@ def experiment_recommendations(report: DataFrame, key: str = "experiment_id") ->
     return _fired(report, key, [
         _recommendation(
             (c("best_metric") == "f1") & (c("best_score") < 0.7), 0, "high", "model", "Poor Model Performance",
-            F.format_string("Best model F1 score is %.4f. Performance may be insufficient for production.", c("best_score")),
+            F.format_string("Best model F1 score is %s. Performance may be insufficient for production.", fixed(c("best_score"), 4)),
             "Consider more feature engineering, different algorithms, hyperparameter tuning, or collecting more data.",
         ),
         _recommendation(
             (c("best_metric") == "r2") & (c("best_score") < 0.6), 1, "high", "model", "Poor Model Performance (R²)",
-            F.format_string("Best model R² score is %.4f. Model explains less than 60%% of variance.", c("best_score")),
+            F.format_string("Best model R² score is %s. Model explains less than 60%% of variance.", fixed(c("best_score"), 4)),
             "Improve feature engineering, try different algorithms, or investigate data quality issues.",
         ),
         _recommendation(

@@ -17,11 +17,15 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import NUMERICAL, as_text, col, column_class
 from tabulon.operators.evaluate import evaluate, rank_models
 from tabulon.operators.split import SPLIT
+from tabulon.session import ensure_checkpoint_dir
 
 SEED = 42
+# the deepest tree the library allows
 MAX_DEPTH = 30
-# deep trees are grown on data that fits few passes; larger tables get shallower trees by default
+# Above these row counts trees are shallower unless ``max_depth`` is given: every level
+# is a pass over the data, and a hundred trees grown to purity hold millions of nodes.
 DEEP_TREE_ROWS = 1_000_000
+DEEP_FOREST_ROWS = 10_000
 LARGE_DATA_DEPTH = 12
 FEW_VALUES = 20
 MAX_CLASSES = 10_000
@@ -54,19 +58,22 @@ def infer_problem_type(train: DataFrame, target: str) -> str:
     return "classification" if few else "regression"
 
 
-def tree_depth(train_rows: int, max_depth: int | None) -> int:
+def tree_depth(train_rows: int, max_depth: int | None, deep_rows: int) -> int:
     if max_depth is not None:
         return max_depth
-    return MAX_DEPTH if train_rows <= DEEP_TREE_ROWS else LARGE_DATA_DEPTH
+    return MAX_DEPTH if train_rows <= deep_rows else LARGE_DATA_DEPTH
 
 
 def estimators(problem_type: str, train_rows: int, max_depth: int | None = None, trees: int = 100, seed: int = SEED) -> dict:
     """The three models per problem type, in the order of their priority."""
     columns = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
-    tree = {**columns, "maxDepth": tree_depth(train_rows, max_depth), "maxBins": 256, "maxMemoryInMB": 1024, "seed": seed}
+    # cached node ids spare sending all grown trees to every task at every level
+    common = {**columns, "maxBins": 256, "maxMemoryInMB": 1024, "cacheNodeIds": True, "seed": seed}
+    tree = {**common, "maxDepth": tree_depth(train_rows, max_depth, DEEP_TREE_ROWS)}
+    forest = {**common, "maxDepth": tree_depth(train_rows, max_depth, DEEP_FOREST_ROWS), "numTrees": trees}
     if problem_type == "classification":
         return {
-            "RandomForestClassifier": RandomForestClassifier(**tree, numTrees=trees, featureSubsetStrategy="sqrt", impurity="gini"),
+            "RandomForestClassifier": RandomForestClassifier(**forest, featureSubsetStrategy="sqrt", impurity="gini"),
             # one over the rows: an L2 penalty of weight 1 on the summed loss
             "LogisticRegression": LogisticRegression(
                 **columns, regParam=1.0 / max(train_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6
@@ -75,7 +82,7 @@ def estimators(problem_type: str, train_rows: int, max_depth: int | None = None,
         }
     if problem_type == "regression":
         return {
-            "RandomForestRegressor": RandomForestRegressor(**tree, numTrees=trees, featureSubsetStrategy="all"),
+            "RandomForestRegressor": RandomForestRegressor(**forest, featureSubsetStrategy="all"),
             "LinearRegression": LinearRegression(**columns, regParam=0.0, elasticNetParam=0.0, maxIter=1000),
             "DecisionTreeRegressor": DecisionTreeRegressor(**tree),
         }
@@ -126,13 +133,20 @@ def _label_column(train: DataFrame, target: str, labels: list[str]):
     return (F.array_position(F.array(*[F.lit(v) for v in labels]), as_text(train, target)) - 1).cast("double")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the many passes of a fit when the table has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit_model(train: DataFrame, target: str, features: list[str], name: str, problem_type: str, train_rows: int,
               labels: list[str] | None = None, **options) -> FittedModel:
     """Fit one named model on training rows."""
     labels = labels if labels is not None else (class_labels(train, target) if problem_type == "classification" else [])
     labelled = train.withColumn("_label", _label_column(train, target, labels))
     estimator = estimators(problem_type, train_rows, **options)[name]
-    model = estimator.fit(assemble(labelled, features, ["_label"]))
+    ensure_checkpoint_dir(train.sparkSession)
+    model = estimator.fit(spread(assemble(labelled, features, ["_label"])))
     return FittedModel(name, problem_type, features, model, train.schema[target].dataType.simpleString(), labels)
 
 
