@@ -1,13 +1,15 @@
 """Value counts over many columns in one shuffle, and what follows from them.
 
-All columns are unpivoted into ``(column, k_long, k_double, k_text)`` and
-counted with one ``groupBy``; map-side partial aggregation reduces a hot value
-to one row per task, so a value that holds a third of the table does no harm.
+Columns are unpivoted by kind of key (long, double, text) and counted with one
+``groupBy`` each; map-side partial aggregation reduces a hot value to one row per
+task, so a value that holds a third of the table does no harm.
 Distinct counts, top values, modes and encodings are read off the counted table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,36 +19,43 @@ from tabulon.functions.columns import as_text, col, row_hashes
 DIGEST_ABOVE = 64
 
 
-def _typed_key(df: DataFrame, name: str, digest: bool) -> list[Column]:
-    """The value as exactly one of (long, double, text): no numbers are formatted to be counted."""
+def _key_of(df: DataFrame, name: str, digest: bool) -> tuple[str, Column]:
+    """The kind of key a column is counted by and the key: numbers are not formatted to be counted."""
     dtype = df.schema[name].dataType
-    none_long, none_double, none_text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dtype, T.IntegralType):
-        key = [col(name).cast("bigint"), none_double, none_text]
-    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "k_long", col(name).cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         # + 0.0 folds -0.0 into 0.0
-        key = [none_long, col(name).cast("double") + F.lit(0.0), none_text]
-    else:
-        text = as_text(df, name)
-        if digest:
-            # Only identity matters: long texts are shuffled as a digest, not whole.
-            text = F.when(F.length(text) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
-        key = [none_long, none_double, text]
-    return [key[0].alias("k_long"), key[1].alias("k_double"), key[2].alias("k_text")]
+        return "k_double", col(name).cast("double") + F.lit(0.0)
+    text = as_text(df, name)
+    if digest:
+        # Only identity matters: long texts are shuffled as a digest, not whole.
+        text = F.when(F.length(text) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    return "k_text", text
+
+
+KEY_TYPES = {"k_long": "bigint", "k_double": "double", "k_text": "string"}
 
 
 def value_counts(df: DataFrame, cols: list[str], digest: bool = False) -> DataFrame:
     """``(column, k_long, k_double, k_text, n)``: one row per column and distinct non-null value.
 
     ``digest=True`` is for counting only; the text of long values is then replaced.
+    Each kind of key is counted by itself over its own columns, so every column is read once.
     """
-    entries = [F.struct(F.lit(c).alias("column"), *_typed_key(df, c, digest)) for c in cols]
-    long_form = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return (
-        long_form.filter("k_long is not null or k_double is not null or k_text is not null")
-        .groupBy("column", "k_long", "k_double", "k_text")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    families: dict[str, list[tuple[str, Column]]] = {}
+    for c in cols:
+        kind, key = _key_of(df, c, digest)
+        families.setdefault(kind, []).append((c, key))
+    parts = []
+    for kind, members in families.items():
+        places = [str(i) for i in range(len(members))]
+        long_form = df.select(*[key.alias(p) for p, (_, key) in zip(places, members)]).unpivot([], places, "place", "key")
+        names = F.array(*[F.lit(c) for c, _ in members])
+        counted = long_form.filter("key is not null").groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"))
+        keys = [(F.col("key") if k == kind else F.lit(None).cast(t)).alias(k) for k, t in KEY_TYPES.items()]
+        parts.append(counted.select(names[F.col("place").cast("int")].alias("column"), *keys, "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def value_text() -> Column:

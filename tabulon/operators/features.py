@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tabulon.operators.counts import cardinalities, value_counts, value_text
 from tabulon.operators.lookup import BROADCAST_VALUES, lookup
 from tabulon.operators.ranking import SINGLE_TASK_VALUES, number_in_order
 from tabulon.operators.stats import aggregate_in_chunks
+from tabulon.session import ensure_checkpoint_dir
 
 DATE_RATE = 0.8
 CATEGORY_RATIO = 0.5
@@ -167,6 +169,12 @@ def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = INTERACT
     return correlation_table(df, sorted(cols)).filter(F.abs("corr") >= threshold)
 
 
+def interaction_columns(a: str, b: str) -> dict[str, Column]:
+    x = F.coalesce(col(a).cast("double"), F.lit(0.0))
+    y = F.coalesce(col(b).cast("double"), F.lit(0.0))
+    return {f"{a}_x_{b}": x * y, f"{a}_div_{b}": F.coalesce(F.try_divide(x, y), F.lit(0.0))}
+
+
 def interaction_features(
     df: DataFrame, cols: list[str], threshold: float = INTERACTION_CORR
 ) -> tuple[DataFrame, dict[tuple[str, str, float], list[str]]]:
@@ -177,52 +185,80 @@ def interaction_features(
     pairs = [(r["column_a"], r["column_b"], r["corr"]) for r in correlated_pairs(df, cols, threshold).collect()]
     new, made = {}, {}
     for a, b, r in sorted(pairs):
-        x = F.coalesce(col(a).cast("double"), F.lit(0.0))
-        y = F.coalesce(col(b).cast("double"), F.lit(0.0))
-        new[f"{a}_x_{b}"] = x * y
-        new[f"{a}_div_{b}"] = F.coalesce(F.try_divide(x, y), F.lit(0.0))
-        made[a, b, r] = [f"{a}_x_{b}", f"{a}_div_{b}"]
+        features = interaction_columns(a, b)
+        new.update(features)
+        made[a, b, r] = list(features)
     return df.withColumns(new) if new else df, made
 
 
 # -- categories -------------------------------------------------------------
 
 
-def category_table(
-    df: DataFrame, name: str, order_by: str | None = None, single_task: int = SINGLE_TASK_VALUES
-) -> tuple[DataFrame, int, int]:
-    """``(value, n, freq, label)`` of a column, the number of values and of non-null rows.
+@dataclass
+class CategoryTable:
+    """``values`` has ``(value, n, freq, label)``; its size and the number of counted rows are known."""
+
+    values: DataFrame
+    value_count: int
+    total: int
+
+
+def _count_categories(df: DataFrame, cols: list[str], order_by: str | None) -> DataFrame:
+    """``(column, value, n[, first_seen])`` of all columns."""
+    if order_by is None:
+        return value_counts(df, cols).select("column", value_text().alias("value"), "n")
+    parts = [
+        df.filter(col(c).isNotNull())
+        .groupBy(as_text(df, c).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(col(order_by)).alias("first_seen"))
+        .select(F.lit(c).alias("column"), "value", "n", "first_seen")
+        for c in cols
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def category_tables(
+    df: DataFrame, cols: list[str], order_by: str | None = None, single_task: int = SINGLE_TASK_VALUES
+) -> dict[str, CategoryTable]:
+    """Values, frequencies and labels of all columns, counted in one pass and kept.
 
     Labels count from 0 in value order, or by the smallest ``order_by`` per value.
+    The counts are checkpointed: every later job would otherwise count again.
     """
-    if order_by is None:
-        counted = value_counts(df.select(col(name)), [name]).select(value_text().alias("value"), "n")
-        order = ["value"]
-    else:
-        counted = (
-            df.filter(col(name).isNotNull())
-            .groupBy(as_text(df, name).alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(col(order_by)).alias("first_seen"))
-        )
-        order = ["first_seen", "value"]
-    size = counted.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    labelled = number_in_order(counted, order, "label", size["values"], single_task)
-    freq = F.col("n") / F.lit(float(max(size["total"], 1)))
-    return labelled.select("value", "n", freq.alias("freq"), "label"), size["values"], size["total"]
+    if not cols:
+        return {}
+    ensure_checkpoint_dir(df.sparkSession)
+    counted = _count_categories(df, cols, order_by).checkpoint()
+    sizes = {
+        r["column"]: r
+        for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).collect()
+    }
+    order = ["value"] if order_by is None else ["first_seen", "value"]
+    out = {}
+    for c in cols:
+        size, total = (sizes[c]["size"], sizes[c]["total"]) if c in sizes else (0, 0)
+        mine = counted.filter(F.col("column") == F.lit(c)).drop("column")
+        labelled = number_in_order(mine, order, "label", size, single_task)
+        freq = F.col("n") / F.lit(float(max(total, 1)))
+        out[c] = CategoryTable(labelled.select("value", "n", freq.alias("freq"), "label"), size, total)
+    return out
 
 
 def categorical_features(
     df: DataFrame,
     cols: list[str],
     order_by: str | None = None,
+    source: DataFrame | None = None,
     broadcast_values: int = BROADCAST_VALUES,
     single_task: int = SINGLE_TASK_VALUES,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Frequency among non-null rows (null gives 0) and label encoding (null gives -1)."""
+    """Frequency among non-null rows (null gives 0) and label encoding (null gives -1).
+
+    ``source`` may name a narrower frame with the same rows to count on.
+    """
     made, out = {}, df
-    for c in cols:
-        table, values, total = category_table(df, c, order_by, single_task)
-        out = lookup(out, as_text(df, c), table, ["freq", "label"], values, total, broadcast_values)
+    for c, table in category_tables(source if source is not None else df, cols, order_by, single_task).items():
+        out = lookup(out, as_text(df, c), table.values, ["freq", "label"], table.value_count, table.total, broadcast_values)
         out = out.withColumns({
             f"{c}_freq": F.coalesce("freq", F.lit(0.0)),
             f"{c}_label": F.coalesce("label", F.lit(-1).cast("bigint")),
@@ -293,11 +329,10 @@ def engineer(
     # correlations need the original columns only, so the narrow input is scanned
     _, pairs = interaction_features(df, classes.numeric, corr_threshold)
     for (a, b, r), names in pairs.items():
-        x, y = F.coalesce(col(a).cast("double"), F.lit(0.0)), F.coalesce(col(b).cast("double"), F.lit(0.0))
-        out = out.withColumns({names[0]: x * y, names[1]: F.coalesce(F.try_divide(x, y), F.lit(0.0))})
+        out = out.withColumns(interaction_columns(a, b))
         note("interaction_features", f"{a}, {b}", names, "product_ratio",
              f"Created product and ratio features for correlated columns '{a}' and '{b}' (corr={r:.3f}).")
-    out, made = categorical_features(out, classes.categorical, order_by)
+    out, made = categorical_features(out, classes.categorical, order_by, source=df)
     for c, names in made.items():
         note("categorical_encoding", c, names, "frequency_label_encoding",
              f"Created frequency and label encoding features for '{c}'.")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col
+from tabulon.functions.columns import col, row_hashes
 
 BROADCAST_VALUES = 100_000
 HOT_SHARE = 0.001
@@ -40,20 +40,16 @@ def lookup(
     hot = table.filter(F.col("n") > threshold).select(
         F.col("value").alias("_hot_value"), *[F.col(p).alias(f"_hot_{p}") for p in payload]
     )
+    # the slot is a hash, not a constant: an equality with a constant would leave the join keys
     cold = table.filter(F.col("n") <= threshold).select(
-        F.col("value").alias("_value"), F.lit(0).cast("bigint").alias("_slot"), *payload
+        F.col("value").alias("_value"), F.pmod(F.xxhash64("value"), F.lit(SPREAD)).alias("_slot"), *payload
     )
     # at most 1 / HOT_SHARE rows
     marked = keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot_value"), "left")
     settled = F.col("_hot_value").isNotNull() | F.col("_key").isNull()
     others = [col(c) for c in df.columns]
-    spread = F.pmod(F.xxhash64(*others), F.lit(SPREAD)) + 1
-    marked = marked.withColumn("_salt", F.when(settled, spread).otherwise(F.lit(0).cast("bigint")))
-    # equal rows share a salt, so a hot value's equal rows are also spread by their place in the task
-    marked = marked.withColumn(
-        "_salt", F.when(settled, F.pmod(F.col("_salt") * 31 + F.monotonically_increasing_id(), F.lit(SPREAD)) + 1).otherwise(F.col("_salt"))
-    )
-    joined = marked.join(cold, (F.col("_key") == F.col("_value")) & (F.col("_salt") == F.col("_slot")), "left")
-    return joined.select(
-        *others, *[F.coalesce(F.col(f"_hot_{p}"), F.col(p)).alias(p) for p in payload]
-    )
+    # Settled rows get slots no value has.  The salt is a hash of the row, so a repeated
+    # task sends its rows to the same places; copies of one row are left to AQE.
+    salt = F.when(settled, F.pmod(row_hashes(df)[0], F.lit(SPREAD)) + SPREAD).otherwise(F.pmod(F.xxhash64("_key"), F.lit(SPREAD)))
+    joined = marked.withColumn("_salt", salt).join(cold, (F.col("_key") == F.col("_value")) & (F.col("_salt") == F.col("_slot")), "left")
+    return joined.select(*others, *[F.coalesce(F.col(f"_hot_{p}"), F.col(p)).alias(p) for p in payload])

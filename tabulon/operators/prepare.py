@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import CATEGORICAL, as_double, as_text, col, column_class, fold_nan
 from tabulon.operators.counts import cardinalities, modes, value_counts, value_text
-from tabulon.operators.features import category_table
+from tabulon.operators.features import category_tables
 from tabulon.operators.lookup import lookup
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.split import SPLIT, SplitResult, train_test_split
@@ -133,15 +133,15 @@ def fit_categorical(train: DataFrame, cols: list[str], max_one_hot: int = MAX_ON
     if narrow:
         for r in value_counts(train, narrow).select("column", value_text().alias("value"), "n").collect():
             values[r["column"]].append((r["value"], r["n"]))
-    wide_modes = modes(train, wide)
+    wide_modes, wide_tables = modes(train, wide), category_tables(train, wide)
     out = []
     for c in cols:
         if c in values:
             mode = min(values[c], key=lambda v: (-v[1], v[0]))[0]
             out.append(CategoricalParameter(c, mode, sorted(v for v, _ in values[c])))
         elif c in wide:
-            table, width, total = category_table(train, c)
-            out.append(CategoricalParameter(c, wide_modes[c], [], table.select("value", "n", "label"), width, total))
+            t = wide_tables[c]
+            out.append(CategoricalParameter(c, wide_modes[c], [], t.values.select("value", "n", "label"), t.value_count, t.total))
     return out
 
 

@@ -55,9 +55,9 @@ def _count_buckets(long_form: DataFrame, *keys: str) -> list[dict]:
 
 
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
-    entries = [F.struct(F.lit(i).alias("c"), as_double(df, c).alias("x")) for i, c in enumerate(cols)]
-    out = df.select(F.explode(F.array(*entries)).alias("e")).select("e.c", "e.x")
-    return out.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    places = [str(i) for i in range(len(cols))]
+    values = df.select(*[as_double(df, c).alias(p) for p, c in zip(places, cols)])
+    return values.unpivot([], places, "c", "x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
 def _inside(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
@@ -106,7 +106,7 @@ def exact_quantiles(
     per_column: dict[str, list[dict]] = {c: [] for c in cols}
     log_form = _long_form(df, cols).select("c", _log_bucket(F.col("x")).alias("bucket"), "x")
     for row in _count_buckets(log_form, "c", "bucket"):
-        per_column[cols[row["c"]]].append(row)
+        per_column[cols[int(row["c"])]].append(row)
 
     sizes = {c: sum(b["rows"] for b in per_column[c]) for c in cols}
     wanted = {c: {r for p in probs[c] for r in _rank_of(p, sizes[c])[:2]} if sizes[c] else set() for c in cols}

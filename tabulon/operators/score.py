@@ -53,7 +53,11 @@ def score_batch(df: DataFrame, parameters: Parameters, model: FittedModel, keep:
     keep = keep or []
     check_columns(df, parameters, keep)
     check_types(df, parameters)
-    return model.predict(transform(df, parameters, keep), keep)
+    # a carried column may also be an input, so it travels under a name of its own
+    carried = {c: f"_carried_{i}" for i, c in enumerate(keep)}
+    ready = transform(df.withColumns({n: col(c) for c, n in carried.items()}), parameters, list(carried.values()))
+    scored = model.predict(ready, list(carried.values()))
+    return scored.select(*[col(n).alias(c) for c, n in carried.items()], "prediction")
 
 
 LOG_SCHEMA = T.StructType([

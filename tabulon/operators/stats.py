@@ -7,6 +7,8 @@ decisions) is independent of the number of rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,8 @@ from tabulon.functions.text import is_blank
 from tabulon.operators.counts import approximate_cardinalities, cardinalities, distinct_row_count, top_values
 from tabulon.operators.quantiles import approximate_quantiles, exact_quantiles
 
-# Wide aggregates are cut into chunks that stay within code generation limits.
-EXPRESSIONS_PER_PASS = 200
+# Wider aggregates exceed what the JVM compiles to machine code and get several times slower.
+EXPRESSIONS_PER_PASS = 48
 
 
 @dataclass
@@ -80,10 +82,20 @@ def _finite(value: float | None) -> float | None:
 
 
 def aggregate_in_chunks(df: DataFrame, expressions: dict[str, Column]) -> dict[str, object]:
-    """Evaluate many global aggregates, ``EXPRESSIONS_PER_PASS`` per scan."""
-    names, out = list(expressions), {}
-    for start in range(0, len(names), EXPRESSIONS_PER_PASS):
-        chunk = names[start : start + EXPRESSIONS_PER_PASS]
+    """Evaluate many global aggregates named ``stat:column``, about ``EXPRESSIONS_PER_PASS`` per job.
+
+    A column's expressions stay together, so the jobs read disjoint columns and
+    the table is read once in total.
+    """
+    chunks: list[list[str]] = []
+    for _, names in itertools.groupby(expressions, key=lambda n: n.rpartition(":")[2]):
+        mine = list(names)
+        if chunks and len(chunks[-1]) + len(mine) <= EXPRESSIONS_PER_PASS:
+            chunks[-1].extend(mine)
+        else:
+            chunks.append(mine)
+    out: dict[str, object] = {}
+    for chunk in chunks:
         out.update(df.agg(*[expressions[n].alias(n) for n in chunk]).first().asDict())
     return out
 
@@ -102,7 +114,6 @@ def _scalar_expressions(df: DataFrame, groups: set[str]) -> dict[str, Column]:
                 expressions[f"max_value:{i}"] = F.max(x)
                 expressions[f"mean:{i}"] = F.avg(x)
                 expressions[f"variance:{i}"] = F.var_samp(x)
-                expressions[f"stddev:{i}"] = F.stddev_samp(x)
             if "negatives" in groups:
                 expressions[f"negative_count:{i}"] = F.count_if(c < 0)
         elif kind == DATETIME and "dates" in groups:
@@ -152,6 +163,8 @@ def collect_stats(
             setattr(target, stat, value)
         else:
             setattr(target, stat, _finite(value))
+            if stat == "variance" and target.variance is not None:
+                target.stddev = math.sqrt(target.variance)
     table = TableStats(row_count, columns)
     if row_count == 0:
         table.distinct_rows = 0
