@@ -245,6 +245,26 @@ def cleaning_sql() -> dict[str, str]:
 # -- features ---------------------------------------------------------------
 
 
+def greedy_walk(columns: list[str]) -> str:
+    """Selection by correlation as a recursion over the pairs in column order."""
+    pairs, k = [], 0
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            pairs.append(
+                f"SELECT {k} AS k, '{a}' AS a, '{b}' AS b, {'true' if b == columns[i + 1] else 'false'} AS opens, "
+                f"abs(corr({a}, {b})) > 0.95 AS near, CASE WHEN var_samp({a}) >= var_samp({b}) THEN '{b}' ELSE '{a}' END AS loser FROM v_part_squares"
+            )
+            k += 1
+    kept = union([f"SELECT '{c}' AS column_name, count({c}) AS value_count FROM v_part_squares" for c in [*columns, "p_brand"]])
+    return f"""WITH RECURSIVE pairs AS ({union(pairs)}),
+        walk AS (SELECT -1 AS k, CAST([] AS VARCHAR[]) AS gone, true AS active
+                 UNION ALL
+                 SELECT k, CASE WHEN active AND near AND NOT list_contains(gone, b) THEN list_append(gone, loser) ELSE gone END, active
+                 FROM (SELECT p.k, p.b, p.near, p.loser, w.gone, CASE WHEN p.opens THEN NOT list_contains(w.gone, p.a) ELSE w.active END AS active
+                       FROM walk AS w JOIN pairs AS p ON p.k = w.k + 1))
+        SELECT column_name, value_count FROM ({kept}), (SELECT gone FROM walk ORDER BY k DESC LIMIT 1) WHERE NOT list_contains(gone, column_name)"""
+
+
 def features_sql() -> dict[str, str]:
     rate = "count(CASE WHEN regexp_matches({c}, '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({c} AS TIMESTAMP) END) * 1.0 / count({c})"
     share = "count(DISTINCT {c}) * 1.0 / count({c})"
@@ -259,7 +279,6 @@ def features_sql() -> dict[str, str]:
         "round(ln(1 + greatest(coalesce({c}, 0), 0)), 6) AS x_log, round(sqrt(greatest(coalesce({c}, 0), 0)), 6) AS x_sqrt FROM {t}"
     )
     kept_squares = ["p_partkey", "p_size", "p_retailprice", "p_size_sq", "p_retail_twice", "flat", "sparse", "p_brand"]
-    # keep the columns of the greedy walk: the twin and the square have the larger variances
     interaction = ", ".join(
         f"round({a} * {b}, 6) AS {a}_x_{b}, round(coalesce({a} / nullif({b}, 0), 0), 6) AS {a}_div_{b}" for a, b in [("CAST(p_partkey AS DOUBLE)", "p_retailprice")]
     ).replace("AS CAST(p_partkey AS DOUBLE)", "AS p_partkey")
@@ -298,14 +317,7 @@ def features_sql() -> dict[str, str]:
         "fe_select_missing": with_views("SELECT * FROM (" + per_column("SELECT '{c}' AS column_name, count({c}) AS value_count FROM {source} HAVING (count(*) - count({c})) * 1.0 / count(*) <= 0.5", ORDERS_DIRTY, "v_orders_dirty") + ")", "orders_dirty"),
         "fe_select_variance": with_views(
             "SELECT * FROM (" + union(f"SELECT '{c}' AS column_name, count({c}) AS value_count FROM v_part_squares" + (f" HAVING NOT coalesce(var_samp({c}) < 0.01, false)" if c != "p_brand" else "") for c in kept_squares) + ")", "part_squares"),
-        "fe_select_correlation": with_views(
-            "SELECT column_name, value_count FROM (" + union([
-                "SELECT 'p_partkey' AS column_name, count(p_partkey) AS value_count, false AS gone FROM v_part_squares",
-                "SELECT 'p_size', count(p_size), abs(corr(p_size, p_size_sq)) > 0.95 AND var_samp(p_size) < var_samp(p_size_sq) FROM v_part_squares",
-                "SELECT 'p_retailprice', count(p_retailprice), abs(corr(p_retailprice, p_retail_twice)) > 0.95 AND var_samp(p_retailprice) < var_samp(p_retail_twice) FROM v_part_squares",
-                "SELECT 'p_size_sq', count(p_size_sq), false FROM v_part_squares",
-                "SELECT 'p_retail_twice', count(p_retail_twice), false FROM v_part_squares",
-                "SELECT 'p_brand', count(p_brand), false FROM v_part_squares"]) + ") WHERE NOT gone", "part_squares"),
+        "fe_select_correlation": with_views(greedy_walk(["p_partkey", "p_size", "p_retailprice", "p_size_sq", "p_retail_twice"]), "part_squares"),
     }
 
 

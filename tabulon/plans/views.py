@@ -135,4 +135,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """The same inputs as common table expressions in front of a checking query."""
     ctes = ",\n".join(f"v_{n} AS ({VIEWS[n]})" for n in names)
-    return f"WITH {ctes}\n{sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes},\n{sql.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{ctes},\n{sql.lstrip()[len(start):]}"
+    return f"WITH {ctes}\n{sql}"
