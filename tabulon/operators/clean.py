@@ -13,6 +13,7 @@ from tabulon.functions.text import blank_to_null, is_blank
 from tabulon.operators.counts import distinct_row_count, modes
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.stats import aggregate_in_chunks
+from tabulon.session import run_together
 
 OPERATION_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()),
@@ -61,9 +62,10 @@ def imputation_values(df: DataFrame, missing: dict[str, int], row_count: int) ->
     todo = [c for c in df.columns if 0 < missing[c] < row_count]
     numeric = [c for c in todo if column_class(df.schema[c].dataType) == NUMERICAL]
     other = [c for c in todo if c not in numeric]
-    values: dict[str, object] = {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in numeric}).items()}
-    values.update(modes(df, other))
-    return values
+    medians, most_frequent = run_together(
+        lambda: exact_quantiles(df, {c: [0.5] for c in numeric}), lambda: modes(df, other)
+    )
+    return {c: v[0] for c, v in medians.items()} | most_frequent
 
 
 def impute(df: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -16,7 +16,7 @@ from tabulon.operators.counts import cardinalities, value_counts, value_text
 from tabulon.operators.lookup import BROADCAST_VALUES, lookup
 from tabulon.operators.ranking import SINGLE_TASK_VALUES, number_in_order
 from tabulon.operators.stats import aggregate_in_chunks
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import ensure_checkpoint_dir, run_together
 
 DATE_RATE = 0.8
 CATEGORY_RATIO = 0.5
@@ -72,9 +72,11 @@ def is_categorical(distinct: int, filled: int, ratio: float = CATEGORY_RATIO) ->
 
 def classify(df: DataFrame, formats: list[str] | None = None) -> ColumnClasses:
     """Dates (native or parseable), numbers, then strings by distinct ratio; booleans belong to none."""
-    rates = date_rates(df, formats)
-    undecided = [c for c, rate in rates.items() if rate < DATE_RATE]
-    counts = {r["column"]: r for r in cardinalities(df, undecided).collect()} if undecided else {}
+    strings = columns_of(df, CATEGORICAL)
+    rates, counted = run_together(
+        lambda: date_rates(df, formats), lambda: cardinalities(df, strings).collect() if strings else []
+    )
+    counts = {r["column"]: r for r in counted}
     out = ColumnClasses()
     for f in df.schema.fields:
         kind = column_class(f.dataType)
@@ -248,16 +250,13 @@ def categorical_features(
     df: DataFrame,
     cols: list[str],
     order_by: str | None = None,
-    source: DataFrame | None = None,
     broadcast_values: int = BROADCAST_VALUES,
     single_task: int = SINGLE_TASK_VALUES,
+    tables: dict[str, CategoryTable] | None = None,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Frequency among non-null rows (null gives 0) and label encoding (null gives -1).
-
-    ``source`` may name a narrower frame with the same rows to count on.
-    """
+    """Frequency among non-null rows (null gives 0) and label encoding (null gives -1)."""
     made, out = {}, df
-    for c, table in category_tables(source if source is not None else df, cols, order_by, single_task).items():
+    for c, table in (tables if tables is not None else category_tables(df, cols, order_by, single_task)).items():
         out = lookup(out, as_text(df, c), table.values, ["freq", "label"], table.value_count, table.total, broadcast_values)
         out = out.withColumns({
             f"{c}_freq": F.coalesce("freq", F.lit(0.0)),
@@ -317,7 +316,12 @@ def engineer(
         added.extend(names)
         log.append((len(log), operation, column, names, strategy, rows, detail))
 
-    out, made = datetime_features(df, classes.datetime, formats)
+    # all three look at the original columns only
+    (out, made), (_, pairs), tables = run_together(
+        lambda: datetime_features(df, classes.datetime, formats),
+        lambda: interaction_features(df, classes.numeric, corr_threshold),
+        lambda: category_tables(df, classes.categorical, order_by),
+    )
     for c, names in made.items():
         note("date_extraction", c, names, "component_extraction", f"Extracted {len(names)} datetime features from '{c}'.")
     out, made = text_features(out, classes.text)
@@ -326,13 +330,11 @@ def engineer(
     out, made = numeric_features(out, classes.numeric)
     for c, names in made.items():
         note("numeric_transformation", c, names, "polynomial_log_sqrt", f"Created {len(names)} numeric features from '{c}'.")
-    # correlations need the original columns only, so the narrow input is scanned
-    _, pairs = interaction_features(df, classes.numeric, corr_threshold)
     for (a, b, r), names in pairs.items():
         out = out.withColumns(interaction_columns(a, b))
         note("interaction_features", f"{a}, {b}", names, "product_ratio",
              f"Created product and ratio features for correlated columns '{a}' and '{b}' (corr={r:.3f}).")
-    out, made = categorical_features(out, classes.categorical, order_by, source=df)
+    out, made = categorical_features(out, classes.categorical, tables=tables)
     for c, names in made.items():
         note("categorical_encoding", c, names, "frequency_label_encoding",
              f"Created frequency and label encoding features for '{c}'.")

@@ -15,6 +15,7 @@ from tabulon.operators.lookup import lookup
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.split import SPLIT, SplitResult, train_test_split
 from tabulon.operators.stats import aggregate_in_chunks
+from tabulon.session import run_together
 
 MAX_ONE_HOT = 1000
 MIN_ROWS = 4
@@ -149,7 +150,9 @@ def fit(train: DataFrame, target: str, max_one_hot: int = MAX_ONE_HOT) -> Parame
     """Learn all parameters from training rows; columns without a training value are dropped."""
     features = train.drop(SPLIT)
     numeric, categorical = feature_classes(features, target)
-    num, cat = fit_numeric(train, numeric), fit_categorical(train, categorical, max_one_hot)
+    num, cat = run_together(
+        lambda: fit_numeric(train, numeric), lambda: fit_categorical(train, categorical, max_one_hot)
+    )
     learned = {p.column for p in num} | {p.column for p in cat}
     return Parameters(target, num, cat, [c for c in numeric + categorical if c not in learned], numeric, categorical)
 

@@ -6,6 +6,8 @@ the statistics of any number of tables can be unioned and judged in one run.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import CATEGORICAL, NUMERICAL, fold_nan
 from tabulon.functions.text import fixed
 from tabulon.operators.stats import TableStats, collect_stats
+from tabulon.session import run_together
 
 # Name parts that mark a column as a quantity that must not be negative.
 QUANTITY_WORDS = ["qty", "quantity", "amount", "count", "price", "balance"]
@@ -55,6 +58,12 @@ def quality_stats(df: DataFrame, table_name: str = "table", groups=QUALITY_GROUP
     return stats_frame(df, table, table_name)
 
 
+def quality_stats_of(tables: dict[str, DataFrame], groups=QUALITY_GROUPS, **options) -> DataFrame:
+    """The statistics of several tables in one frame; their jobs run side by side."""
+    parts = run_together(*[partial(quality_stats, df, name, groups, **options) for name, df in tables.items()])
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stats_frame(df: DataFrame, table: TableStats, table_name: str = "table") -> DataFrame:
     rows = [
         (

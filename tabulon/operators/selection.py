@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import NUMERICAL, col, columns_of
 from tabulon.operators.correlation import column_moments, correlation_table
 from tabulon.operators.stats import aggregate_in_chunks
+from tabulon.session import run_together
 
 MAX_MISSING = 0.5
 MIN_VARIANCE = 0.01
@@ -54,7 +55,8 @@ def correlated_to_remove(cols: list[str], pairs: dict[tuple[str, str], float], v
 def select_features(df: DataFrame, protect: list[str] | None = None) -> Selection:
     """Drop sparse, then nearly constant, then mutually correlated columns."""
     keep = set(protect or [])
-    n, missing = missing_shares(df)
+    numeric = columns_of(df, NUMERICAL)
+    (n, missing), moments = run_together(lambda: missing_shares(df), lambda: column_moments(df, numeric))
     result = Selection(df, n)
     if n == 0:
         return result
@@ -72,7 +74,6 @@ def select_features(df: DataFrame, protect: list[str] | None = None) -> Selectio
     numeric = columns_of(result.data, NUMERICAL)
     if n == 1 or not numeric:
         return result
-    moments = column_moments(result.data, numeric)
     variances = {c: moments[c]["variance"] for c in numeric}
     drop([c for c in numeric if variances[c] is not None and variances[c] < MIN_VARIANCE], "variance_threshold",
          "remove_low_variance", "Removed {} columns with variance < 0.01.")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tabulon.functions.columns import CATEGORICAL, DATETIME, NUMERICAL, as_doubl
 from tabulon.functions.text import is_blank
 from tabulon.operators.counts import approximate_cardinalities, cardinalities, distinct_row_count, top_values
 from tabulon.operators.quantiles import approximate_quantiles, exact_quantiles
+from tabulon.session import run_together
 
 # Wider aggregates exceed what the JVM compiles to machine code and get several times slower.
 EXPRESSIONS_PER_PASS = 48
@@ -94,10 +96,12 @@ def aggregate_in_chunks(df: DataFrame, expressions: dict[str, Column]) -> dict[s
             chunks[-1].extend(mine)
         else:
             chunks.append(mine)
-    out: dict[str, object] = {}
-    for chunk in chunks:
-        out.update(df.agg(*[expressions[n].alias(n) for n in chunk]).first().asDict())
-    return out
+    rows = run_together(*[partial(_one_row, df, {n: expressions[n] for n in chunk}) for chunk in chunks])
+    return {name: value for row in rows for name, value in row.items()}
+
+
+def _one_row(df: DataFrame, expressions: dict[str, Column]) -> dict[str, object]:
+    return df.agg(*[e.alias(n) for n, e in expressions.items()]).first().asDict()
 
 
 def _scalar_expressions(df: DataFrame, groups: set[str]) -> dict[str, Column]:
@@ -147,7 +151,28 @@ def collect_stats(
         ColumnStats(f.name, i, column_class(f.dataType), f.dataType.simpleString()) for i, f in enumerate(fields)
     ]
 
-    scalars = aggregate_in_chunks(df, _scalar_expressions(df, groups))
+    names = [c.name for c in columns]
+    categorical = [c.name for c in columns if c.data_type == CATEGORICAL and c.name not in sketched]
+    roughly = names if approximate else [n for n in names if n in sketched]
+    exactly = [n for n in names if n not in roughly]
+    probs = {c.name: [0.25, 0.5, 0.75] for c in columns if c.data_type == NUMERICAL}
+    quantiles = approximate_quantiles if approximate else exact_quantiles
+
+    # None of these needs another's result.
+    wanted = {"scalars": lambda: aggregate_in_chunks(df, _scalar_expressions(df, groups))}
+    if "distinct" in groups and exactly:
+        wanted["distinct"] = lambda: cardinalities(df, exactly).collect()
+    if "distinct" in groups and roughly:
+        wanted["roughly"] = lambda: approximate_cardinalities(df, roughly)
+    if "duplicates" in groups:
+        wanted["duplicates"] = lambda: int(distinct_row_count(df).first()["distinct_count"])
+    if "top" in groups and categorical:
+        wanted["top"] = lambda: top_values(df, categorical, top_k).collect()
+    if groups & {"quantiles", "outliers"} and probs:
+        wanted["quantiles"] = lambda: quantiles(df, probs)
+    found = dict(zip(wanted, run_together(*wanted.values())))
+
+    scalars = found["scalars"]
     row_count = int(scalars.pop("rows"))
     for c in columns:
         c.row_count = row_count
@@ -165,42 +190,23 @@ def collect_stats(
             setattr(target, stat, _finite(value))
             if stat == "variance" and target.variance is not None:
                 target.stddev = math.sqrt(target.variance)
-    table = TableStats(row_count, columns)
-    if row_count == 0:
-        table.distinct_rows = 0
-        for c in columns:
-            c.distinct_count = 0
-        return table
 
-    # A column without values is settled by its null count alone.
-    filled = [c for c in columns if c.non_null_count > 0]
+    table = TableStats(row_count, columns, found.get("duplicates"))
+    by_name = {c.name: c for c in columns}
     if "distinct" in groups:
         for c in columns:
             c.distinct_count = 0
-        counted_roughly = [c.name for c in filled if approximate or c.name in sketched]
-        if counted_roughly:
-            for name, n in approximate_cardinalities(df, counted_roughly).items():
-                table.column(name).distinct_count = n
-        exact = [c.name for c in filled if c.name not in counted_roughly]
-        if exact:
-            for r in cardinalities(df, exact).collect():
-                target = table.column(r["column"])
-                target.distinct_count, target.top_count = r["distinct_count"], r["top_count"]
-    if "duplicates" in groups:
-        table.distinct_rows = int(distinct_row_count(df).first()["distinct_count"])
-    if "top" in groups:
-        categorical = [c.name for c in filled if c.data_type == CATEGORICAL and c.name not in sketched]
-        if categorical:
-            for r in top_values(df, categorical, top_k).orderBy("column", "rank").collect():
-                table.column(r["column"]).top.append((r["value"], r["n"]))
-    if groups & {"quantiles", "outliers"}:
-        probs = {c.name: [0.25, 0.5, 0.75] for c in filled if c.data_type == NUMERICAL}
-        method = approximate_quantiles if approximate else exact_quantiles
-        for name, (q1, median, q3) in method(df, probs).items():
-            target = table.column(name)
-            target.q1, target.median, target.q3 = _finite(q1), _finite(median), _finite(q3)
-            if target.q1 is None or target.q3 is None:
-                target.q1 = target.q3 = None
+        for name, n in found.get("roughly", {}).items():
+            by_name[name].distinct_count = n
+        for r in found.get("distinct", []):
+            by_name[r["column"]].distinct_count, by_name[r["column"]].top_count = r["distinct_count"], r["top_count"]
+    for r in sorted(found.get("top", []), key=lambda r: (r["column"], r["rank"])):
+        by_name[r["column"]].top.append((r["value"], r["n"]))
+    for name, quarters in found.get("quantiles", {}).items():
+        target = by_name[name]
+        target.q1, target.median, target.q3 = map(_finite, quarters)
+        if target.q1 is None or target.q3 is None:
+            target.q1 = target.q3 = None
     if "outliers" in groups:
         _count_outliers(df, table)
     return table

@@ -24,7 +24,7 @@ SEED = 42
 MAX_DEPTH = 30
 # Above these row counts trees are shallower unless ``max_depth`` is given: every level
 # is a pass over the data, and a hundred trees grown to purity hold millions of nodes.
-DEEP_TREE_ROWS = 1_000_000
+DEEP_TREE_ROWS = 100_000
 DEEP_FOREST_ROWS = 10_000
 LARGE_DATA_DEPTH = 12
 FEW_VALUES = 20

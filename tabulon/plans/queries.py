@@ -221,7 +221,7 @@ QUALITY_SOURCES = ("orders_dirty", "customer_balance", "document_quality", "orde
 
 
 def _quality_stats(spark, sf, groups=quality.QUALITY_GROUPS) -> DataFrame:
-    return report.union_all([quality.quality_stats(view(spark, sf, s), s, groups) for s in QUALITY_SOURCES])
+    return quality.quality_stats_of({s: view(spark, sf, s) for s in QUALITY_SOURCES}, groups)
 
 
 def _issues(spark, sf, groups, *kinds) -> DataFrame:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+# Enough to keep a cluster busy through the tails of independent jobs.
+JOBS_AT_ONCE = 8
+
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -55,3 +61,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def stage_dir(spark: SparkSession, name: str) -> str:
     """A folder for written stage tables below the shared checkpoint folder."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def run_together(*actions: Callable[[], object]) -> list:
+    """Submit independent Spark actions at the same time and return their results in order."""
+    if len(actions) < 2:
+        return [a() for a in actions]
+    with ThreadPoolExecutor(max_workers=min(JOBS_AT_ONCE, len(actions))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
