@@ -57,6 +57,14 @@ def as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
+COMPACT_ABOVE = 64
+
+
+def compact_text(text: Column) -> Column:
+    """Long texts as a digest: enough to tell values apart, and of bounded size."""
+    return F.when(F.length(text) > COMPACT_ABOVE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+
+
 def as_double(df: DataFrame, name: str) -> Column:
     """Numbers and booleans as doubles, dates and timestamps as epoch seconds."""
     dtype = df.schema[name].dataType

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import NUMERICAL, as_double, columns_of
 from tabulon.operators.stats import aggregate_in_chunks
 
+# how many partial rows all tasks together may send
+PARTIAL_ROWS = 1_000_000_000
 PARTIAL_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
@@ -64,8 +66,11 @@ def correlation_table(df: DataFrame, cols: list[str] | None = None, moments: dic
     centred = df.select(
         *[(as_double(df, c) - F.lit(float(moments[c]["mean"]))).alias(str(i)) for i, c in enumerate(varying)]
     )
+    # every task sends one row per pair: wide tables are read by fewer, longer tasks
+    tasks = max(spark.sparkContext.defaultParallelism, 2 * PARTIAL_ROWS // len(varying) ** 2)
     sums = (
-        centred.mapInPandas(_partial_sums, PARTIAL_SCHEMA)
+        centred.coalesce(tasks)
+        .mapInPandas(_partial_sums, PARTIAL_SCHEMA)
         .groupBy("i", "j")
         .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     )

@@ -14,10 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import as_text, col, row_hashes
-
-DIGEST_ABOVE = 64
-
+from tabulon.functions.columns import as_text, col, compact_text, row_hashes
 
 def _key_of(df: DataFrame, name: str, digest: bool) -> tuple[str, Column]:
     """The kind of key a column is counted by and the key: numbers are not formatted to be counted."""
@@ -30,7 +27,7 @@ def _key_of(df: DataFrame, name: str, digest: bool) -> tuple[str, Column]:
     text = as_text(df, name)
     if digest:
         # Only identity matters: long texts are shuffled as a digest, not whole.
-        text = F.when(F.length(text) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+        text = compact_text(text)
     return "k_text", text
 
 

@@ -1,9 +1,9 @@
 """Left lookup of a per-value table that survives hot values and many values.
 
 Few values (checked): one broadcast join.  Many values: values that hold more
-than a thousandth of the rows - there can be at most a thousand - are looked up
-by broadcast, and their rows are spread by a salt in the shuffle join that serves
-all others, so no task receives a hot value's rows.
+than a hundred-thousandth of the rows - there can be at most a hundred thousand -
+are looked up by broadcast, and their rows are spread by a salt in the shuffle
+join that serves all others, so no task receives a hot value's rows.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col, row_hashes
+from tabulon.functions.columns import col, compact_text, row_hashes
 
 BROADCAST_VALUES = 100_000
-HOT_SHARE = 0.001
+HOT_SHARE = 0.00001
 SPREAD = 1024
 
 
@@ -31,7 +31,9 @@ def lookup(
 
     ``value_count`` is the number of rows of ``table``, ``total`` the sum of its ``n``.
     """
-    keyed = df.withColumn("_key", key)
+    # compact keys bound the size of what is broadcast by the number of values
+    keyed = df.withColumn("_key", compact_text(key))
+    table = table.withColumn("value", compact_text(F.col("value")))
     slim = table.select(F.col("value").alias("_value"), *payload)
     if value_count <= broadcast_values:
         return keyed.join(F.broadcast(slim), F.col("_key") == F.col("_value"), "left").drop("_key", "_value")

@@ -15,6 +15,11 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write rows so that they replace the partitions they belong to, for instance the evaluations of an experiment."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def latest_artifact(log: DataFrame, keys: list[str], created: str, tie_break: list[str]) -> DataFrame:
     """The newest run per key."""
     return latest_per_key(log, keys, created, tie_break)

@@ -440,11 +440,12 @@ def report_sql() -> dict[str, str]:
     exp_findings = union([
         exp("true", "0 AS finding_order, 'dataset' AS category, 'Dataset Size' AS title, format('{:,} rows', total_rows) AS value, format('Experiment trained on {:,} rows with {} original columns.', total_rows, total_columns) AS description"),
         exp("true", "1, 'model', 'Models Trained', CAST(models_trained AS VARCHAR), printf('Total of %d models trained during this experiment.', models_trained)"),
+        exp("best_model_name IS NOT NULL", "2, 'model', 'Best Performing Model', best_model_name, printf('Best model: %s (%s) with f1=%.4f', best_model_name, best_model_name, best_score)"),
         exp("best_model_name IS NOT NULL", "3, 'features', 'Feature Count', CAST(best_feature_count AS VARCHAR), printf('Best model trained with %d features.', best_feature_count)"),
     ])
     exp_recs = union([
-        exp("best_score < 0.7", "'high' AS priority, 'model' AS category, 'Poor Model Performance' AS title, 'Consider more feature engineering, different algorithms, hyperparameter tuning, or collecting more data.' AS action"),
-        exp("models_trained >= 2 AND one_algorithm", "'low', 'model', 'Limited Algorithm Diversity', 'Consider training with different algorithms to find the best approach for your problem.'"),
+        exp("best_score < 0.7", "0 AS recommendation_order, 'high' AS priority, 'model' AS category, 'Poor Model Performance' AS title, printf('Best model F1 score is %.4f. Performance may be insufficient for production.', best_score) AS description, 'Consider more feature engineering, different algorithms, hyperparameter tuning, or collecting more data.' AS action"),
+        exp("models_trained >= 2 AND one_algorithm", "2, 'low', 'model', 'Limited Algorithm Diversity', printf('All %d models use the same algorithm.', models_trained), 'Consider training with different algorithms to find the best approach for your problem.'"),
     ])
     return {
         "report_dataset": with_views(

@@ -827,12 +827,12 @@ def report_experiment(spark, sf):
 
 @register
 def report_experiment_findings(spark, sf):
-    return report.experiment_findings(_experiment_report(spark, sf)).filter("title <> 'Best Performing Model'")
+    return report.experiment_findings(_experiment_report(spark, sf))
 
 
 @register
 def report_experiment_recommendations(spark, sf):
-    return report.experiment_recommendations(_experiment_report(spark, sf)).select("experiment_id", "priority", "category", "title", "action")
+    return report.experiment_recommendations(_experiment_report(spark, sf))
 
 
 @register

@@ -87,8 +87,8 @@ VIEWS = {
                CASE WHEN l_linenumber <> 6 THEN l_tax * CAST(7 AS DOUBLE) END AS recall
         FROM (SELECT l_orderkey, l_linenumber, l_suppkey, max(l_discount) AS l_discount, max(l_tax) AS l_tax,
                      max(l_shipdate) AS l_shipdate
-              FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber, l_suppkey) AS lines""",
-    # one "dataset" per customer: its orders are the rows
+              FROM lineitem GROUP BY l_orderkey, l_linenumber, l_suppkey HAVING max(l_quantity) > 30) AS lines""",
+    # one "dataset" per customer: its orders are the rows; not every dataset went through every stage
     "dataset_sizes": """
         SELECT o_custkey AS dataset_id, CAST(count(*) * 1000 AS BIGINT) AS total_rows, CAST(11 AS BIGINT) AS total_columns
         FROM orders GROUP BY o_custkey""",
@@ -100,16 +100,16 @@ VIEWS = {
                    * CAST(100 AS DOUBLE) / CAST(count(*) * 2 AS DOUBLE) AS missing_percentage,
                CAST(count(*) - count(DISTINCT o_orderpriority) AS BIGINT) AS duplicate_rows,
                CAST(count(*) - count(DISTINCT o_orderpriority) AS DOUBLE) * CAST(100 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS duplicate_percentage
-        FROM orders WHERE o_custkey % 10 <> 3 GROUP BY o_custkey""",
+        FROM orders GROUP BY o_custkey HAVING min(o_totalprice) < 100000""",
     "dataset_cleaning": """
         SELECT o_custkey AS dataset_id, CAST(count(*) AS BIGINT) AS rows_before,
                CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS rows_after,
                CAST(sum(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing_values_handled
-        FROM orders WHERE o_custkey % 10 <> 4 GROUP BY o_custkey""",
+        FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 300000""",
     "dataset_features": """
         SELECT o_custkey AS dataset_id, CAST(count(*) * 9 AS BIGINT) AS columns_after,
                CAST(count(*) * 4 AS BIGINT) AS features_added, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS features_removed
-        FROM orders WHERE o_custkey % 10 <> 5 GROUP BY o_custkey""",
+        FROM orders GROUP BY o_custkey HAVING count(*) > 6""",
 }
 
 TABLES = [

@@ -154,6 +154,14 @@ def test_encodings_with_many_values_equal_those_with_few(spark):
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()}
 
 
+def test_long_values_are_encoded_by_digest(spark):
+    long_a, long_b = "x" * 300 + "a", "x" * 300 + "b"
+    df = spark.createDataFrame([(1, long_b), (2, long_a), (3, long_b), (4, "short")], "id int, c string")
+    for limit in (100, 1):
+        out, _ = features.categorical_features(df, ["c"], broadcast_values=limit)
+        assert values(out, "c_label", "id") == [2, 1, 2, 0] and values(out, "c_freq", "id") == [0.5, 0.25, 0.5, 0.25]
+
+
 def test_classification(spark):
     rows = [(i, f"2024-01-{i + 1:02d}", str(2000 + i), "ab"[i % 2], f"free text {i}", i % 2 == 0, None) for i in range(10)]
     df = spark.createDataFrame(rows, "n int, day string, year string, cat string, text string, flag boolean, empty string")

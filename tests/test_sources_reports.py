@@ -198,3 +198,10 @@ def test_run_log(spark, tmp_path):
     for limit in (1_000_000, 1):
         placed = {r["run_id"]: (r["position"], r["total"]) for r in runlog.history(log, ["dataset_id"], "created_at", ["run_id"], single_task=limit).collect()}
         assert placed == {3: (0, 3), 2: (1, 3), 1: (2, 3), 4: (0, 1), 5: (0, 1)}
+
+
+def test_replaced_partitions(spark, tmp_path):
+    path = f"{tmp_path}/evaluations"
+    runlog.replace_partitions(spark.createDataFrame([("e1", 0.5), ("e2", 0.6)], "experiment string, f1 double"), path, ["experiment"])
+    runlog.replace_partitions(spark.createDataFrame([("e1", 0.9)], "experiment string, f1 double"), path, ["experiment"])
+    assert {(r["experiment"], r["f1"]) for r in spark.read.parquet(path).collect()} == {("e1", 0.9), ("e2", 0.6)}
