@@ -18,6 +18,8 @@ from tabulon.operators.stats import aggregate_in_chunks
 from tabulon.session import run_together
 
 MAX_ONE_HOT = 1000
+# a category becomes part of a column name
+MAX_NAME_LENGTH = 256
 MIN_ROWS = 4
 
 
@@ -38,7 +40,7 @@ class CategoricalParameter:
     column: str
     mode: str
     categories: list[str]
-    # set for columns with more than MAX_ONE_HOT categories: ``(value, n, label)``
+    # set for columns with too many or too long categories: ``(value, n, label)``
     table: DataFrame | None = None
     width: int = 0
     total: int = 0
@@ -124,11 +126,16 @@ def fit_numeric(train: DataFrame, cols: list[str]) -> list[NumericParameter]:
 
 
 def fit_categorical(train: DataFrame, cols: list[str], max_one_hot: int = MAX_ONE_HOT) -> list[CategoricalParameter]:
-    """Training mode and sorted categories; category lists are collected only below the width cap."""
+    """Training mode and sorted categories; lists are collected only below caps on their count and length."""
     if not cols:
         return []
-    sizes = {r["column"]: r for r in cardinalities(train, cols).collect()}
-    narrow = [c for c in cols if c in sizes and sizes[c]["distinct_count"] <= max_one_hot]
+    longest = {f"length:{i}": F.max(F.length(as_text(train, c))) for i, c in enumerate(cols)}
+    counted, lengths = run_together(
+        lambda: cardinalities(train, cols).collect(), lambda: aggregate_in_chunks(train, longest)
+    )
+    sizes = {r["column"]: r for r in counted}
+    short = {c for i, c in enumerate(cols) if (lengths[f"length:{i}"] or 0) <= MAX_NAME_LENGTH}
+    narrow = [c for c in cols if c in sizes and c in short and sizes[c]["distinct_count"] <= max_one_hot]
     wide = [c for c in cols if c in sizes and c not in narrow]
     values: dict[str, list[tuple[str, int]]] = {c: [] for c in narrow}
     if narrow:

@@ -150,6 +150,14 @@ def test_wide_category_becomes_a_sparse_vector(spark):
     assert got == want and sum(got[1]) == 0
 
 
+def test_long_categories_become_a_sparse_vector(spark):
+    rows = [(("x" * 300) + str(i % 3), i % 2) for i in range(30)]
+    p = prepare.prepare(spark.createDataFrame(rows, "cat string, target long"), "target")
+    assert p.parameters.feature_names == ["cat_onehot"] and p.parameters.categorical[0].width == 3
+    hot = p.data.select(vector_to_array("cat_onehot").alias("v")).select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).collect()
+    assert [r[0] for r in hot] == [1.0] * 30
+
+
 def test_constant_column_scales_by_one(spark):
     df = spark.createDataFrame([(5.0, i % 2) for i in range(10)], "x double, target long")
     assert prepare.prepare(df, "target").parameters.numeric[0].scale == 1.0
