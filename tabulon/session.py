@@ -67,9 +67,9 @@ def run_together(*actions: Callable[[], object]) -> list:
     """Submit independent Spark actions at the same time and return their results in order."""
     if len(actions) < 2:
         return [a() for a in actions]
-    session = SparkSession.getActiveSession()
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     # job groups and tags of the caller apply to its threads too
-    inherit = inheritable_thread_target(session) if session is not None else inheritable_thread_target
+    inherit = inheritable_thread_target(session)
     if inherit is session:  # threads are not pinned, there is nothing to inherit
         inherit = lambda action: action
     with ThreadPoolExecutor(max_workers=min(JOBS_AT_ONCE, len(actions))) as pool:
