@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,7 +24,7 @@ SESSION_CONF = {
 
 
 def local_session(cores: int | str = "*", app: str = "tabulon", memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own."""
+    """A local session for tests and the benchmark, with a checkpoint folder of its own if none is set; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,14 +36,35 @@ def local_session(cores: int | str = "*", app: str = "tabulon", memory: str = "8
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-ckpt-"))
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context.
+
+    The driver sends its own copy, so nothing needs to be installed on the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tabulon_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tabulon-pkg-"), "tabulon.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._tabulon_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, which a cluster names in ``spark.checkpoint.dir``.
+    """Return the checkpoint folder, which the session names in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only by local sessions that set none; on a
-    cluster a folder of one machine would be lost with it, so that is an error.
+    There is no fallback: a folder of one machine would be lost with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,8 +73,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return sc.getCheckpointDir()
