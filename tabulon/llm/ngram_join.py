@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, pack_strings, slices, texts, written
+from tabulon.llm.common import in_pieces, in_python, pack_strings, slices, sum_pieces, texts, written
 from tabulon.llm.components import connected_components
 from tabulon.llm.texthash import distinct_per_text, lower_ascii, mix, prefix_hash, shingles, span_hash, words
 
 SLICE = 2_000_000
 SKETCH_BITS = 22  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
-PIECES = 64
 SUFFIX_PARTS = 64
 FILTER_BITS = 23  # size of the filter of documents whose sets are wanted; a fuller filter only sends more sets
 
@@ -31,30 +30,6 @@ def _sets(part: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_text(hashes, owner)
 
 
-def _sum_pieces(df: DataFrame, size: int) -> np.ndarray:
-    """Add up arrays that tasks sent in pieces (``piece, counts`` as unsigned 16-bit): streaming sums, one row per piece at the end."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, counts in zip(batch.piece, batch.counts):
-                part = np.frombuffer(counts, "<u2").astype(np.int64)
-                total[piece] = total[piece] + part if piece in total else part
-        yield pd.DataFrame({"piece": list(total), "counts": [v.tobytes() for v in total.values()]}).astype({"piece": "int32"})
-
-    out = np.zeros(size, dtype=np.int64)
-    step = size // PIECES
-    for r in in_python(df.repartition(PIECES, "piece"), add, "piece int, counts binary").collect():
-        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
-    return out
-
-
-def _in_pieces(counts: np.ndarray) -> pd.DataFrame:
-    parts = np.minimum(counts.astype(np.int64), 65535).astype("<u2").reshape(PIECES, -1)
-    used = np.flatnonzero(parts.any(axis=1))
-    return pd.DataFrame({"piece": used.astype(np.int32), "counts": [parts[i].tobytes() for i in used]})
-
-
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sums modulo 2**64 of consecutive runs."""
     with np.errstate(over="ignore"):
@@ -80,11 +55,11 @@ def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             ranges = np.bincount(owner * SUFFIX_PARTS + (h & np.uint64(SUFFIX_PARTS - 1)).astype(np.int64), minlength=len(part) * SUFFIX_PARTS)
             ranges = np.minimum(ranges, 255).astype(np.uint8).reshape(len(part), SUFFIX_PARTS)
             yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n": n, "hi": hi, "lo": lo, "parts": [r.tobytes() for r in ranges], "piece": -1, "counts": None})
-        out = _in_pieces(sketch)
+        out = in_pieces(sketch)
         yield out.assign(doc_id=None, n=0, hi=0, lo=0, parts=None)[["doc_id", "n", "hi", "lo", "parts", "piece", "counts"]]
 
     made = written(in_python(docs, run, "doc_id long, n long, hi long, lo long, parts binary, piece int, counts binary"), "ngram_sets")
-    counts = _sum_pieces(made.filter("piece >= 0").select("piece", "counts"), 1 << SKETCH_BITS)
+    counts = sum_pieces(made.filter("piece >= 0").select("piece", "counts"), 1 << SKETCH_BITS)
     classes = np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint8)
     return made.filter("piece < 0").select("doc_id", "n", "hi", "lo", "parts"), classes
 
@@ -157,9 +132,9 @@ def _verify(docs: DataFrame, about: DataFrame, pairs: DataFrame, width: int, per
         marks = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
         for batch in batches:
             marks[batch.slot.to_numpy()] = 1
-        yield _in_pieces(marks)
+        yield in_pieces(marks)
 
-    wanted_marks = _sum_pieces(in_python(wanted.select("slot"), mark, "piece int, counts binary"), 1 << FILTER_BITS) > 0
+    wanted_marks = sum_pieces(in_python(wanted.select("slot"), mark, "piece int, counts binary"), 1 << FILTER_BITS) > 0
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted_marks))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

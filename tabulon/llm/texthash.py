@@ -62,12 +62,20 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word; ``ends`` are the n + 1 offsets of the texts in ``data``."""
+# alternatively: ASCII letters and digits and everything beyond ASCII
+_MARK = np.ones(256, dtype=bool)
+_MARK[48:58] = _MARK[65:91] = _MARK[97:123] = _MARK[128:] = False
+
+
+def words(data: np.ndarray, ends: np.ndarray, marks_divide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word; ``ends`` are the n + 1 offsets of the texts in ``data``.
+
+    Words are divided by ASCII white space, with ``marks_divide`` also by ASCII punctuation.
+    """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    letter = ~_SPACE[data]
+    letter = ~(_MARK if marks_divide else _SPACE)[data]
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = False, letter[:-1]
     after = np.empty(len(data), dtype=bool)
