@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tabulon.llm import licenses
+
 OP1 = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html,
@@ -74,4 +76,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-SQL = {"op1_url_filter": OP1, "op4_exact_top_k": OP4, "op7_ngram_jaccard": OP7, "op10_chat_format": OP10}
+OP6 = r"""
+WITH templates AS (SELECT * FROM (VALUES {templates}) t(template, license, notice)),
+files AS (
+  SELECT doc_id, text,
+         concat_ws('/', source, lang, 'part' || (doc_id % 40),
+                   CASE WHEN regexp_matches(split_part(text, chr(10), 1), '{signal}') THEN 'LICENSE.' ELSE 'text.' END || doc_id) AS path
+  FROM documents),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM files),
+tt AS (SELECT template, license, unnest(list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM templates),
+tf AS (SELECT template, license, term, count(*) AS tf FROM tt GROUP BY ALL),
+voc AS (SELECT DISTINCT term FROM tf),
+docterms AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM files),
+df AS (SELECT term, count(*) AS df FROM docterms SEMI JOIN voc USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (term), total),
+tw AS (SELECT template, license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1),
+sent AS (
+  SELECT path, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s,
+         generate_subscripts(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), 1) AS place
+  FROM files WHERE regexp_matches(text, '{signal}')),
+terms AS (SELECT path, place, unnest(list_filter(string_split_regex(lower(s), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM sent WHERE regexp_matches(s, '{signal}')),
+sw AS (SELECT path, place, term, count(*) * coalesce(any_value(idf), (SELECT ln(1 + n) + 1 FROM total)) AS w FROM terms LEFT JOIN idf USING (term) GROUP BY 1, 2, 3),
+sn AS (SELECT path, place, sqrt(sum(w * w)) AS norm FROM sw GROUP BY 1, 2),
+sim AS (
+  SELECT path, license, round(sum(sw.w * tw.w) / (any_value(sn.norm) * any_value(tn.norm)), 6) AS cosine
+  FROM sw JOIN tw USING (term) JOIN sn USING (path, place) JOIN tn USING (template) GROUP BY path, place, template, license),
+own AS (
+  SELECT path, license, cosine FROM sim WHERE cosine >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+dirs AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, cosine FROM own WHERE regexp_matches(path, '/LICENSE[^/]*$')
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY cosine DESC, license) = 1)
+SELECT f.doc_id, f.path, coalesce(own.license, dirs.license) AS license, coalesce(own.cosine, dirs.cosine) AS cosine,
+       CASE WHEN own.license IS NOT NULL THEN 'notice' WHEN dirs.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own.license IS NULL THEN dirs.dir END AS license_dir
+FROM files f LEFT JOIN own ON f.path = own.path LEFT JOIN dirs ON regexp_replace(f.path, '/[^/]*$', '') = dirs.dir
+""".replace("{templates}", ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))).replace("{signal}", licenses.SIGNAL)
+
+SQL = {"op1_url_filter": OP1, "op4_exact_top_k": OP4, "op6_license_scan": OP6, "op7_ngram_jaccard": OP7, "op10_chat_format": OP10}

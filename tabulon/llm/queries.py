@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, html_text, ngram_join, packing, quality_ftrl, repeats, topk, url_filter
+from tabulon.llm import chat, decontaminate, html_text, licenses, ngram_join, packing, quality_ftrl, repeats, topk, url_filter
 from tabulon.llm.common import read
 
 RULES = [
@@ -44,6 +44,27 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", k=10, scale=1024)
 
 
+def benchmark_indexes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> list[decontaminate.Index]:
+    return decontaminate.build_indexes(docs, read(spark, sf_dir, "benchmark"), decontaminate.Settings())
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return decontaminate.contaminated(docs, benchmark_indexes(spark, docs, sf_dir), decontaminate.Settings())
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files ``source/lang/folder/name``; one whose first line is a notice is named as a licence file."""
+    first = F.substring_index("text", "\n", 1)
+    name = F.when(first.rlike(licenses.SIGNAL), "LICENSE.").otherwise("text.")
+    folder = F.concat(F.lit("part"), F.pmod("doc_id", F.lit(40)).cast("string"))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, F.concat(name, F.col("doc_id").cast("string"))).alias("path"), "text")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(document_files(read(spark, sf_dir, "documents")))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -71,6 +92,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
