@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import NUMERICAL, as_double, columns_of
 from tabulon.operators.stats import aggregate_in_chunks
+from tabulon.session import ship_package
 
 # how many partial rows all tasks together may send
 PARTIAL_ROWS = 1_000_000_000
@@ -68,6 +69,7 @@ def correlation_table(df: DataFrame, cols: list[str] | None = None, moments: dic
     )
     # every task sends one row per pair: wide tables are read by fewer, longer tasks
     tasks = max(spark.sparkContext.defaultParallelism, 2 * PARTIAL_ROWS // len(varying) ** 2)
+    ship_package(spark)
     sums = (
         centred.coalesce(tasks)
         .mapInPandas(_partial_sums, PARTIAL_SCHEMA)

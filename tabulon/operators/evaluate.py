@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
@@ -141,22 +141,21 @@ def rank_models(
 
 
 def best_models(models: DataFrame, problem_type: str, primary: str | None = None, by: list[str] | None = None, name: str = "model_name") -> DataFrame:
-    """The rank 1 model per group by one aggregate: no sort, and a hot group is reduced before the shuffle."""
+    """The rank 1 model per group; tasks keep one model per group before the shuffle."""
     first, second = resolve_primary_metric(problem_type, primary), secondary_metric(problem_type)
 
-    def score(metric: str) -> Column:
-        signed = col(metric).cast("double") * (1.0 if HIGHER_IS_BETTER[metric] else -1.0)
-        return F.coalesce(signed, F.lit(float("-inf")))
+    def better(metric: str) -> Column:
+        return col(metric).desc_nulls_last() if HIGHER_IS_BETTER[metric] else col(metric).asc_nulls_last()
 
-    goodness = F.struct(score(first), score(second), -model_priority(col(name)))
-    keys = [col(b) for b in by or []]
-    return models.groupBy(*keys).agg(F.max_by(F.struct(*models.columns), goodness).alias("m")).select("m.*")
+    order = [better(first), better(second), model_priority(col(name)).asc()]
+    window = Window.partitionBy(*[col(b) for b in by or []], *([] if by else [F.lit(1)])).orderBy(*order)
+    return models.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], created: str, tie_break: list[str]) -> DataFrame:
-    """The newest row per key; an aggregate, so each task sends one row per key."""
-    newest = F.struct(col(created), *[col(c) for c in tie_break])
-    return df.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(c) for c in df.columns]), newest).alias("m")).select("m.*")
+    """The newest row per key.  Spark keeps one row per key and task before the shuffle, so hot keys are no burden."""
+    newest = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c).desc_nulls_last() for c in [created, *tie_break]])
+    return df.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
 def compare_models(

@@ -31,11 +31,11 @@ def feature_importance(spark: SparkSession, fitted: FittedModel) -> DataFrame |
     """Tree importances, or absolute coefficients (averaged over classes); None if the model has neither."""
     model = fitted.model
     if hasattr(model, "featureImportances"):
-        return importance_table(spark, list(model.featureImportances.toArray()), fitted.features, "tree")
+        return importance_table(spark, list(model.featureImportances.toArray()), fitted.slots or fitted.features, "tree")
     # a multinomial model refuses its coefficient vector, every logistic model has the matrix
     if hasattr(model, "coefficientMatrix"):
         weights = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
-        return importance_table(spark, list(weights), fitted.features, "linear")
+        return importance_table(spark, list(weights), fitted.slots or fitted.features, "linear")
     if hasattr(model, "coefficients"):
-        return importance_table(spark, list(np.abs(model.coefficients.toArray())), fitted.features, "linear")
+        return importance_table(spark, list(np.abs(model.coefficients.toArray())), fitted.slots or fitted.features, "linear")
     return None

@@ -16,10 +16,9 @@ from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.split import SPLIT, SplitResult, train_test_split
 from tabulon.operators.stats import aggregate_in_chunks
 from tabulon.session import run_together
+from tabulon.sources.infer import number_of_text
 
-MAX_ONE_HOT = 1000
-# a category becomes part of a column name
-MAX_NAME_LENGTH = 256
+COLUMNS, VECTOR = "columns", "vector"
 MIN_ROWS = 4
 
 
@@ -40,7 +39,7 @@ class CategoricalParameter:
     column: str
     mode: str
     categories: list[str]
-    # set for columns with too many or too long categories: ``(value, n, label)``
+    # set for columns that become one vector column: ``(value, n, label)``
     table: DataFrame | None = None
     width: int = 0
     total: int = 0
@@ -95,16 +94,16 @@ def feature_classes(df: DataFrame, target: str | None = None) -> tuple[list[str]
 def validate(df: DataFrame, target: str, test_size: float) -> tuple[int, int]:
     """Check the request; return all rows and rows with a target."""
     if not 0.1 <= test_size <= 0.5:
-        raise PreparationError(f"test_size must lie between 0.1 and 0.5 (got {test_size}).")
+        raise PreparationError(f"a test share of {test_size}: possible are 0.1 to 0.5")
     if target not in df.columns:
-        raise PreparationError(f"Target column '{target}' does not exist in the dataset.")
+        raise PreparationError(f"no target column '{target}'")
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.count(col(target)).alias("filled")).first()
     if row["filled"] == 0:
-        raise PreparationError(f"Target column '{target}' is completely empty.")
+        raise PreparationError(f"'{target}' has no value at all")
     if row["rows"] < MIN_ROWS:
-        raise PreparationError(f"Dataset must contain at least {MIN_ROWS} rows for a train/test split (current: {row['rows']}).")
+        raise PreparationError(f"{row['rows']} rows, a split needs {MIN_ROWS}")
     if row["filled"] < MIN_ROWS:
-        raise PreparationError(f"Insufficient rows ({row['filled']}) after removing missing target rows.")
+        raise PreparationError(f"{row['filled']} rows with a target, a split needs {MIN_ROWS}")
     return row["rows"], row["filled"]
 
 
@@ -125,18 +124,18 @@ def fit_numeric(train: DataFrame, cols: list[str]) -> list[NumericParameter]:
     return [NumericParameter(c, medians[c], row[f"mean:{i}"], row[f"scale:{i}"] or 1.0) for i, c in enumerate(known)]
 
 
-def fit_categorical(train: DataFrame, cols: list[str], max_one_hot: int = MAX_ONE_HOT) -> list[CategoricalParameter]:
-    """Training mode and sorted categories; lists are collected only below caps on their count and length."""
+def fit_categorical(train: DataFrame, cols: list[str], one_hot: str | dict[str, str] = COLUMNS) -> list[CategoricalParameter]:
+    """Training mode and sorted categories.
+
+    ``one_hot`` says how a column is laid out, for all columns or by name: "columns" (a column per value, whose names
+    come to the driver) or "vector" (one sparse vector column, whose values stay in a table).
+    """
     if not cols:
         return []
-    longest = {f"length:{i}": F.max(F.length(as_text(train, c))) for i, c in enumerate(cols)}
-    counted, lengths = run_together(
-        lambda: cardinalities(train, cols).collect(), lambda: aggregate_in_chunks(train, longest)
-    )
-    sizes = {r["column"]: r for r in counted}
-    short = {c for i, c in enumerate(cols) if (lengths[f"length:{i}"] or 0) <= MAX_NAME_LENGTH}
-    narrow = [c for c in cols if c in sizes and c in short and sizes[c]["distinct_count"] <= max_one_hot]
-    wide = [c for c in cols if c in sizes and c not in narrow]
+    layout = {c: one_hot if isinstance(one_hot, str) else one_hot.get(c, COLUMNS) for c in cols}
+    if unknown := set(layout.values()) - {COLUMNS, VECTOR}:
+        raise PreparationError(f"one-hot layout {unknown.pop()}: known are {COLUMNS} and {VECTOR}")
+    narrow, wide = ([c for c in cols if layout[c] == kind] for kind in (COLUMNS, VECTOR))
     values: dict[str, list[tuple[str, int]]] = {c: [] for c in narrow}
     if narrow:
         for r in value_counts(train, narrow).select("column", value_text().alias("value"), "n").collect():
@@ -144,21 +143,21 @@ def fit_categorical(train: DataFrame, cols: list[str], max_one_hot: int = MAX_ON
     wide_modes, wide_tables = modes(train, wide), category_tables(train, wide)
     out = []
     for c in cols:
-        if c in values:
+        if values.get(c):
             mode = min(values[c], key=lambda v: (-v[1], v[0]))[0]
             out.append(CategoricalParameter(c, mode, sorted(v for v, _ in values[c])))
-        elif c in wide:
+        elif c in wide_modes:
             t = wide_tables[c]
             out.append(CategoricalParameter(c, wide_modes[c], [], t.values.select("value", "n", "label"), t.value_count, t.total))
     return out
 
 
-def fit(train: DataFrame, target: str, max_one_hot: int = MAX_ONE_HOT) -> Parameters:
+def fit(train: DataFrame, target: str, one_hot: str | dict[str, str] = COLUMNS) -> Parameters:
     """Learn all parameters from training rows; columns without a training value are dropped."""
     features = train.drop(SPLIT)
     numeric, categorical = feature_classes(features, target)
     num, cat = run_together(
-        lambda: fit_numeric(train, numeric), lambda: fit_categorical(train, categorical, max_one_hot)
+        lambda: fit_numeric(train, numeric), lambda: fit_categorical(train, categorical, one_hot)
     )
     learned = {p.column for p in num} | {p.column for p in cat}
     return Parameters(target, num, cat, [c for c in numeric + categorical if c not in learned], numeric, categorical)
@@ -166,7 +165,8 @@ def fit(train: DataFrame, target: str, max_one_hot: int = MAX_ONE_HOT) -> Parame
 
 def scaled(df: DataFrame, p: NumericParameter) -> Column:
     text = isinstance(df.schema[p.column].dataType, T.StringType)
-    x = col(p.column).try_cast("double") if text else as_double(df, p.column)
+    x = number_of_text(col(p.column)) if text else as_double(df, p.column)
+    x = F.when(~F.isnan(x), x)  # not a number is a missing value, here and in training
     return (F.coalesce(x, F.lit(float(p.median))) - F.lit(float(p.mean))) / F.lit(float(p.scale))
 
 
@@ -203,7 +203,12 @@ def _sparse_one_hot(frame: DataFrame, p: CategoricalParameter) -> DataFrame:
     frame = frame.withColumn(slot, F.coalesce(F.col("label"), F.lit(p.width)).cast("double")).drop("label", source)
     encoder = OneHotEncoder(inputCols=[slot], outputCols=[f"{p.column}_onehot"], handleInvalid="keep", dropLast=True)
     sizing = frame.sparkSession.createDataFrame([(float(p.width - 1),)], [slot])
-    return encoder.fit(sizing).transform(frame).drop(slot)
+    encoded = encoder.fit(sizing).transform(frame).drop(slot)
+    # a model on this column has a weight per value, so their names are no larger than the model
+    values = p.table.select("label", "value").orderBy("label").collect()
+    names = [{"idx": int(r["label"]), "name": f"{p.column}_{r['value']}"} for r in values]
+    about = {"ml_attr": {"num_attrs": p.width, "attrs": {"binary": names}}}
+    return encoded.withMetadata(f"{p.column}_onehot", about)
 
 
 OPERATION_SCHEMA = T.StructType([
@@ -233,14 +238,14 @@ def prepare(
     test_size: float = 0.20,
     seed: int = 42,
     key: list[str] | None = None,
-    max_one_hot: int = MAX_ONE_HOT,
+    one_hot: str | dict[str, str] = COLUMNS,
 ) -> PreparedData:
     """Split, fit on train, transform train and test: ``__split__``, features, target last."""
     df = fold_nan(df)
     rows_before, rows = validate(df, target, test_size)
     supervised = drop_null_target(df, target)
     split = train_test_split(supervised, test_size, seed, key, target, rows)
-    parameters = fit(split.data.filter(F.col(SPLIT) == "train"), target, max_one_hot)
+    parameters = fit(split.data.filter(F.col(SPLIT) == "train"), target, one_hot)
     ready = transform(split.data, parameters, keep=[SPLIT, target])
     ready = ready.select(SPLIT, *[col(f) for f in parameters.feature_names], col(target))
 

@@ -146,9 +146,11 @@ def experiment_report(experiments: DataFrame, ranked: DataFrame, datasets: DataF
     """One row per experiment: number of models and algorithms, and the best model with its score.
 
     ``ranked`` is the output of a model ranking with ``rank``, ``model_name``,
-    ``feature_count``, ``primary_metric`` and ``primary_metric_value``.
+    ``feature_count``, ``primary_metric`` and ``primary_metric_value``.  It should hold
+    all models of an experiment, failed ones (without metrics, hence last) too: they count.
     """
-    best = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    usable = (F.col("rank") == 1) & F.col("primary_metric_value").isNotNull()
+    best = lambda c: F.max(F.when(usable, F.col(c)))
     models = ranked.groupBy(key).agg(
         F.count(F.lit(1)).alias("models_trained"),
         (F.min("model_name") == F.max("model_name")).alias("one_algorithm"),

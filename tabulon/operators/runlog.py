@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
 from tabulon.operators.evaluate import latest_per_key
+from tabulon.operators.lookup import join_null_safe
 from tabulon.operators.ranking import number_within
 
 
@@ -28,15 +29,13 @@ def latest_artifact(log: DataFrame, keys: list[str], created: str, tie_break: li
 def stage_source(log: DataFrame, dataset: str, stage: str, created: str, run: str, fallback: list[str]) -> DataFrame:
     """``(dataset, source_stage, source_run)``: the newest run of the first stage in ``fallback`` a dataset has.
 
-    One aggregate finds the newest run of every stage; no join per stage is needed.
+    One row per dataset and task survives until the shuffle; a dataset without any of the stages has nulls.
     """
-    newest = {
-        s: F.max(F.when(col(stage) == s, F.struct(col(created), col(run)))).alias(f"_s{i}") for i, s in enumerate(fallback)
-    }
-    per_dataset = log.groupBy(col(dataset)).agg(*newest.values())
-    source_stage = F.coalesce(*[F.when(F.col(f"_s{i}").isNotNull(), F.lit(s)) for i, s in enumerate(fallback)])
-    source_run = F.coalesce(*[F.col(f"_s{i}")[run] for i in range(len(fallback))])
-    return per_dataset.select(col(dataset), source_stage.alias("source_stage"), source_run.alias("source_run"))
+    place = F.coalesce(*[F.when(col(stage) == s, F.lit(i)) for i, s in enumerate(fallback)], F.lit(len(fallback)))
+    first = Window.partitionBy(col(dataset)).orderBy(place, col(created).desc_nulls_last(), col(run).desc_nulls_last())
+    best = log.select(col(dataset), col(stage), col(run), place.alias("_place"), F.row_number().over(first).alias("_nth")).filter("_nth = 1")
+    known = F.col("_place") < len(fallback)
+    return best.select(col(dataset), F.when(known, col(stage)).alias("source_stage"), F.when(known, col(run)).alias("source_run"))
 
 
 def history(log: DataFrame, keys: list[str], created: str, tie_break: list[str], single_task: int = 1_000_000) -> DataFrame:
@@ -45,4 +44,4 @@ def history(log: DataFrame, keys: list[str], created: str, tie_break: list[str],
     order = [col(created).desc(), *[col(c).desc() for c in tie_break]]
     largest = totals.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
     placed = number_within(log, keys, order, "position", largest, single_task)
-    return placed.join(totals, keys)
+    return join_null_safe(placed, totals, keys)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import CATEGORICAL, as_text, col, column_class
+from tabulon.operators.lookup import join_null_safe
 from tabulon.operators.prepare import Parameters, transform
 from tabulon.operators.stats import aggregate_in_chunks
 from tabulon.operators.train import FittedModel
+from tabulon.sources.infer import fold_na, number_of_text
 
 
 class PredictionError(ValueError):
@@ -22,20 +24,23 @@ def check_columns(df: DataFrame, parameters: Parameters, extra: list[str] | None
     """The input must have exactly the feature columns (plus ``extra`` ones carried along)."""
     present, required = df.columns, parameters.input_columns
     if parameters.target in present:
-        raise PredictionError(f"'{parameters.target}' is the target column and must not be supplied as a feature")
+        raise PredictionError(f"'{parameters.target}' is what the model predicts and cannot be an input")
     missing = [c for c in required if c not in present]
     if missing:
-        raise PredictionError(f"Missing required feature(s): {', '.join(missing)}")
+        raise PredictionError(f"inputs not given: {', '.join(missing)}")
     unexpected = sorted(set(present) - set(required) - set(extra or []))
     if unexpected:
-        raise PredictionError(f"Unexpected feature(s) not used during training: {', '.join(unexpected)}")
+        raise PredictionError(f"columns the model does not know: {', '.join(unexpected)}")
 
 
 def type_violations(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """``(column_name, bad_rows)`` per numeric input given as text: values that are no number, in one scan."""
+    """``(column_name, bad_rows)`` per numeric input given as text: values that are no number, in one scan.
+
+    Spellings of a missing value are allowed, they are imputed.
+    """
     textual = [c for c in numeric if c in df.columns and column_class(df.schema[c].dataType) == CATEGORICAL]
     expressions = {
-        str(i): F.count_if(col(c).isNotNull() & as_text(df, c).try_cast("double").isNull()) for i, c in enumerate(textual)
+        str(i): F.count_if(fold_na(as_text(df, c)).isNotNull() & number_of_text(as_text(df, c)).isNull()) for i, c in enumerate(textual)
     }
     row = aggregate_in_chunks(df, expressions) if expressions else {}
     rows = [(c, int(row[str(i)])) for i, c in enumerate(textual)]
@@ -45,7 +50,7 @@ def type_violations(df: DataFrame, numeric: list[str]) -> DataFrame:
 def check_types(df: DataFrame, parameters: Parameters) -> None:
     bad = [r["column_name"] for r in type_violations(df, parameters.numeric_inputs).filter("bad_rows > 0").collect()]
     if bad:
-        raise PredictionError(f"Feature(s) must be numeric: {', '.join(bad)}")
+        raise PredictionError(f"texts where numbers belong: {', '.join(bad)}")
 
 
 def score_batch(df: DataFrame, parameters: Parameters, model: FittedModel, keep: list[str] | None = None) -> DataFrame:
@@ -75,7 +80,7 @@ def log_records(
     df: DataFrame, parameters: Parameters, model: FittedModel, experiment_id: str, batch_id: str | None = None
 ) -> DataFrame:
     """Score ``df`` and turn each row into a log record with its inputs as JSON."""
-    inputs = F.to_json(F.struct(*[col(c) for c in parameters.input_columns])).alias("input_data")
+    inputs = F.to_json(F.struct(*[col(c) for c in parameters.input_columns]), {"ignoreNullFields": "false"}).alias("input_data")
     carried = df.select(*[col(c) for c in parameters.input_columns]).withColumn("_input_data", inputs)
     scored = score_batch(carried, parameters, model, keep=["_input_data"])
     return scored.select(
@@ -102,4 +107,4 @@ def history(log: DataFrame, by: list[str], created: str = "created_at", tie_brea
     """
     totals = log.groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("total"))
     order = [col(created).desc()] + [col(c).desc() for c in tie_break or []]
-    return log.join(totals, by).orderBy(*order)
+    return join_null_safe(log, totals, by).orderBy(*order)

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_text, col, column_class, row_hashes, BOOLEAN, NUMERICAL
-from tabulon.operators.ranking import number_rows
+from tabulon.operators.ranking import number_in_order, number_rows, number_within
 
 SPLIT = "__split__"
-MAX_CLASSES = 100_000
+DRIVER_CLASSES = 100_000  # quotas of more classes stay in a table
 PREFIX_GROUPS = 1_000_000
 CASE_CLASSES = 64
 TIE_ROWS = 1_000_000
@@ -139,6 +139,22 @@ class SplitResult:
     note: str | None = None
 
 
+def _split_many_classes(df: DataFrame, row_hash: Column, label: Column, counts: DataFrame, classes: int, n: int, test_rows: int) -> SplitResult:
+    """The same stratified split with the quotas in a table: rows are numbered within their class by hash."""
+    exact = F.col("n").cast("decimal(38,0)") * F.lit(test_rows)
+    shares = counts.select("class", "n", F.floor(exact / F.lit(n)).cast("long").alias("quota"))
+    shares = shares.withColumn("left", (exact - F.col("quota").cast("decimal(38,0)") * F.lit(n)).cast("decimal(38,0)")).withColumn("order", -F.col("left"))
+    facts = shares.agg(F.sum("quota").alias("given"), F.max("n").alias("largest")).first()
+    placed = number_in_order(shares, ["order", "class"], "place", classes)
+    quotas = placed.select(F.col("class").alias("_quota_class"), (F.col("quota") + (F.col("place") < test_rows - facts["given"]).cast("long")).alias("_quota"))
+    a, b = row_hashes(df)
+    hashed = df.withColumns({"_h": row_hash, "_class": label, "_ra": a, "_rb": b})
+    numbered = number_within(hashed, ["_class"], [F.col("_h"), F.col("_ra"), F.col("_rb")], "_rank", facts["largest"])
+    tagged = numbered.join(quotas, F.col("_class") == F.col("_quota_class"))
+    side = F.when(F.col("_rank") < F.col("_quota"), "test").otherwise("train").alias(SPLIT)
+    return SplitResult(tagged.select(side, *[col(c) for c in df.columns]), True, test_rows, n - test_rows)
+
+
 def train_test_split(
     df: DataFrame,
     test_size: float = 0.20,
@@ -146,6 +162,7 @@ def train_test_split(
     key: list[str] | None = None,
     target: str | None = None,
     row_count: int | None = None,
+    driver_classes: int = DRIVER_CLASSES,
 ) -> SplitResult:
     """Tag every row ``train`` or ``test`` in ``__split__``; exactly ``ceil(test_size * n)`` are test.
 
@@ -162,8 +179,8 @@ def train_test_split(
         if facts["classes"] > 1 and facts["smallest"] >= 2:
             if facts["classes"] > min(test_rows, n - test_rows):
                 note = "fewer test or train rows than classes: split without stratification"
-            elif facts["classes"] > MAX_CLASSES:
-                note = f"more than {MAX_CLASSES} classes: split without stratification"
+            elif facts["classes"] > driver_classes:
+                return _split_many_classes(df, split_hash(df, key, seed), as_text(df, target), counts, int(facts["classes"]), n, test_rows)
             else:
                 sizes = {r["class"]: r["n"] for r in counts.collect()}
                 stratified = True
@@ -175,7 +192,7 @@ def train_test_split(
         bound = _class_matches(F.col("_class"), list(cuts), {c: F.lit(k.bound) for c, k in cuts.items()})
         tagged = hashed.withColumn("_bound", bound)
     else:
-        # at most MAX_CLASSES rows
+        # at most DRIVER_CLASSES rows
         frame = df.sparkSession.createDataFrame([(c, k.bound) for c, k in cuts.items()], "_class string, _bound string")
         tagged = hashed.join(F.broadcast(frame), "_class", "left")
     split = F.when(F.col("_h") < F.col("_bound"), "test").otherwise("train").alias(SPLIT)

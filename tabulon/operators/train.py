@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,11 @@ from tabulon.operators.split import SPLIT
 from tabulon.session import ensure_checkpoint_dir
 
 SEED = 42
-# the deepest tree the library allows
-MAX_DEPTH = 30
-# Above these row counts trees are shallower unless ``max_depth`` is given: every level
-# is a pass over the data, and a hundred trees grown to purity hold millions of nodes.
-DEEP_TREE_ROWS = 100_000
-DEEP_FOREST_ROWS = 10_000
-LARGE_DATA_DEPTH = 12
+# Default depths, the same for every table: each level is a pass over the data, and the nodes of all
+# trees of a forest have to fit into one model.  ``max_depth`` sets another (30 at most).
+TREE_DEPTH = 20
+FOREST_DEPTH = 12
 FEW_VALUES = 20
-MAX_CLASSES = 10_000
 
 
 class ExperimentError(ValueError):
@@ -38,9 +35,9 @@ class ExperimentError(ValueError):
 def split_scan(ready: DataFrame, target: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """``(train, test, feature names)``; on a table partitioned by ``__split__`` each side reads its part only."""
     if SPLIT not in ready.columns:
-        raise ExperimentError("ML-ready dataset is missing the __split__ indicator column")
+        raise ExperimentError(f"no column {SPLIT} tells train from test rows")
     if target not in ready.columns:
-        raise ExperimentError(f"Target column '{target}' not found in ML-ready dataset")
+        raise ExperimentError(f"the table has no target column '{target}'")
     features = [c for c in ready.columns if c not in (SPLIT, target)]
     wanted = [col(c) for c in features] + [col(target)]
     return (
@@ -58,19 +55,13 @@ def infer_problem_type(train: DataFrame, target: str) -> str:
     return "classification" if few else "regression"
 
 
-def tree_depth(train_rows: int, max_depth: int | None, deep_rows: int) -> int:
-    if max_depth is not None:
-        return max_depth
-    return MAX_DEPTH if train_rows <= deep_rows else LARGE_DATA_DEPTH
-
-
 def estimators(problem_type: str, train_rows: int, max_depth: int | None = None, trees: int = 100, seed: int = SEED) -> dict:
     """The three models per problem type, in the order of their priority."""
     columns = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
     # cached node ids spare sending all grown trees to every task at every level
     common = {**columns, "maxBins": 256, "maxMemoryInMB": 1024, "cacheNodeIds": True, "seed": seed}
-    tree = {**common, "maxDepth": tree_depth(train_rows, max_depth, DEEP_TREE_ROWS)}
-    forest = {**common, "maxDepth": tree_depth(train_rows, max_depth, DEEP_FOREST_ROWS), "numTrees": trees}
+    tree = {**common, "maxDepth": TREE_DEPTH if max_depth is None else max_depth}
+    forest = {**common, "maxDepth": FOREST_DEPTH if max_depth is None else max_depth, "numTrees": trees}
     if problem_type == "classification":
         return {
             "RandomForestClassifier": RandomForestClassifier(**forest, featureSubsetStrategy="sqrt", impurity="gini"),
@@ -86,7 +77,7 @@ def estimators(problem_type: str, train_rows: int, max_depth: int | None = None,
             "LinearRegression": LinearRegression(**columns, regParam=0.0, elasticNetParam=0.0, maxIter=1000),
             "DecisionTreeRegressor": DecisionTreeRegressor(**tree),
         }
-    raise ExperimentError(f"Unsupported problem type: {problem_type}")
+    raise ExperimentError(f"no models for problem type {problem_type}")
 
 
 def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -96,12 +87,27 @@ def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return vectors.select("_features", *[F.col(f"`_keep_{c}`").alias(c) for c in keep])
 
 
+def slot_names(df: DataFrame, features: list[str]) -> list[str]:
+    """One name per entry of the assembled vector; the entries of a vector column are named by its attributes or numbered."""
+    names = []
+    for c in features:
+        if not isinstance(df.schema[c].dataType, VectorUDT):
+            names.append(c)
+            continue
+        about = df.schema[c].metadata.get("ml_attr", {})
+        known = {a["idx"]: a["name"] for kind in about.get("attrs", {}).values() for a in kind if "name" in a}
+        size = about.get("num_attrs")
+        if size is None:
+            row = df.select(col(c).alias("v")).filter("v is not null").first()
+            size = row["v"].size if row else 0
+        names += [known.get(i, f"{c}_{i}") for i in range(size)]
+    return names
+
+
 def class_labels(train: DataFrame, target: str) -> list[str]:
-    """Sorted target classes as text; refuses more than a model can hold a class per."""
+    """Sorted target classes as text.  A fitted classifier holds at least a number per class, so their list is no larger."""
     found = train.filter(col(target).isNotNull()).select(as_text(train, target).alias("c")).distinct()
-    labels = [r["c"] for r in found.limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ExperimentError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
+    labels = [r["c"] for r in found.collect()]
     numeric = column_class(train.schema[target].dataType) == NUMERICAL
     return sorted(labels, key=float) if numeric else sorted(labels)
 
@@ -116,21 +122,29 @@ class FittedModel:
     model: Model
     target_type: str
     labels: list[str] = field(default_factory=list)
+    slots: list[str] = field(default_factory=list)
 
     def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """``keep`` columns plus ``prediction`` in the type of the target."""
         scored = self.model.transform(assemble(df, self.features, keep or []))
         prediction = F.col("_prediction")
         if self.problem_type == "classification":
-            names = F.array(*[F.lit(v) for v in self.labels])
-            prediction = names[prediction.cast("int")].cast(self.target_type)
+            scored = scored.join(_label_table(df, self.labels), F.col("_prediction") == F.col("_number"), "left")
+            prediction = F.col("_class").cast(self.target_type)
         return scored.select(*[col(c) for c in keep or []], prediction.alias("prediction"))
 
 
-def _label_column(train: DataFrame, target: str, labels: list[str]):
+def _label_table(df: DataFrame, labels: list[str]) -> DataFrame:
+    """``_number, _class`` of all classes; Spark broadcasts it while it is small."""
+    return df.sparkSession.createDataFrame([(float(i), v) for i, v in enumerate(labels)], "_number double, _class string")
+
+
+def with_label(train: DataFrame, target: str, labels: list[str]) -> DataFrame:
+    """Add ``_label``: the number of the class, or the target itself without classes."""
     if not labels:
-        return col(target).cast("double")
-    return (F.array_position(F.array(*[F.lit(v) for v in labels]), as_text(train, target)) - 1).cast("double")
+        return train.withColumn("_label", col(target).cast("double"))
+    numbered = train.withColumn("_text", as_text(train, target)).join(_label_table(train, labels), F.col("_text") == F.col("_class"), "left")
+    return numbered.withColumnRenamed("_number", "_label").drop("_text", "_class")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -143,11 +157,12 @@ def fit_model(train: DataFrame, target: str, features: list[str], name: str, pro
               labels: list[str] | None = None, **options) -> FittedModel:
     """Fit one named model on training rows."""
     labels = labels if labels is not None else (class_labels(train, target) if problem_type == "classification" else [])
-    labelled = train.withColumn("_label", _label_column(train, target, labels))
+    labelled = with_label(train, target, labels)
     estimator = estimators(problem_type, train_rows, **options)[name]
     ensure_checkpoint_dir(train.sparkSession)
     model = estimator.fit(spread(assemble(labelled, features, ["_label"])))
-    return FittedModel(name, problem_type, features, model, train.schema[target].dataType.simpleString(), labels)
+    return FittedModel(name, problem_type, features, model, train.schema[target].dataType.simpleString(), labels,
+                       slot_names(train, features))
 
 
 RESULT_SCHEMA = T.StructType([
@@ -194,18 +209,18 @@ def run_experiment(
     sizes = {r[SPLIT]: r["n"] for r in ready.groupBy(SPLIT).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get("train", 0), sizes.get("test", 0)
     if n_train < 2:
-        raise ExperimentError(f"Insufficient training rows ({n_train}) for model training")
+        raise ExperimentError(f"{n_train} training rows are too few to fit a model")
     if n_test < 1:
-        raise ExperimentError(f"Insufficient test rows ({n_test}) for model evaluation")
+        raise ExperimentError(f"{n_test} test rows are too few to measure a model")
     problem_type = problem_type or infer_problem_type(train, target)
     if problem_type not in ("classification", "regression"):
-        raise ExperimentError(f"Invalid problem_type '{problem_type}'. Must be 'classification' or 'regression'.")
+        raise ExperimentError(f"problem type {problem_type}: known are classification and regression")
     labels: list[str] = []
     if problem_type == "classification":
         labels = class_labels(train, target)
         if len(labels) < 2:
             raise ExperimentError(
-                f"Target column '{target}' has only {len(labels)} class(es); at least 2 classes are required for classification."
+                f"'{target}' has {len(labels)} class(es), a classifier needs two"
             )
     experiment_id = experiment_id or uuid.uuid4().hex
     rows, fitted = [], {}

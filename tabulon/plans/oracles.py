@@ -373,14 +373,25 @@ per_label AS (SELECT name, coalesce((SELECT sum(n) FROM matrix WHERE actual = na
 PRIORITY = "CASE model_name WHEN 'RandomForestClassifier' THEN 0 WHEN 'LogisticRegression' THEN 1 WHEN 'DecisionTreeClassifier' THEN 2 ELSE 999 END"
 RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY f1 DESC NULLS LAST, accuracy DESC NULLS LAST, {PRIORITY}, model_id) AS rank FROM v_trained_models WHERE status = 'trained')"""
 EXPERIMENTS = RANKED + """,
-per_experiment AS (SELECT experiment_id, count(*) AS models_trained, count(DISTINCT model_name) = 1 AS one_algorithm, max(model_name) FILTER (WHERE rank = 1) AS best_model_name,
-                          max(feature_count) FILTER (WHERE rank = 1) AS best_feature_count, max(f1) FILTER (WHERE rank = 1) AS best_score FROM ranked GROUP BY experiment_id),
-report AS (SELECT o_orderkey AS experiment_id, o_custkey AS dataset_id, coalesce(models_trained, 0) AS models_trained, one_algorithm, best_model_name, best_feature_count, best_score, total_rows, total_columns
-           FROM orders LEFT JOIN per_experiment ON experiment_id = o_orderkey LEFT JOIN v_dataset_sizes ON dataset_id = o_custkey)"""
+best AS (SELECT * FROM ranked WHERE rank = 1),
+per_experiment AS (SELECT experiment_id, count(*) AS models_trained, count(DISTINCT model_name) = 1 AS one_algorithm FROM v_trained_models GROUP BY experiment_id),
+report AS (SELECT o_orderkey AS experiment_id, o_custkey AS dataset_id, coalesce(models_trained, 0) AS models_trained, one_algorithm, model_name AS best_model_name,
+                  feature_count AS best_feature_count, f1 AS best_score, total_rows, total_columns
+           FROM orders LEFT JOIN per_experiment ON per_experiment.experiment_id = o_orderkey LEFT JOIN best ON best.experiment_id = o_orderkey LEFT JOIN v_dataset_sizes ON v_dataset_sizes.dataset_id = o_custkey)"""
 REPORT_VIEWS = ("dataset_sizes", "dataset_quality", "dataset_cleaning", "dataset_features")
 REPORT = "v_dataset_sizes AS s LEFT JOIN v_dataset_quality AS q USING (dataset_id) LEFT JOIN v_dataset_cleaning AS c USING (dataset_id) LEFT JOIN v_dataset_features AS f USING (dataset_id)"
 
 
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+# the best split of price by quantity into two parts, by exhaustive search over the distinct quantities
+STUMP = """
+WITH v AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_quantity),
+c AS (SELECT x, lead(x) OVER (ORDER BY x) AS next, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v),
+best AS (SELECT *, row_number() OVER (ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) DESC, x) AS nth FROM c WHERE next IS NOT NULL)
+SELECT round((x + next) / 2, 6) AS threshold, round(ls / ln, 3) AS left_mean, round((s - ls) / (n - ln), 3) AS right_mean, CAST(n AS BIGINT) AS rows FROM best WHERE nth = 1"""
+
+
 def evaluation_sql() -> dict[str, str]:
     def weighted(metric):
         return with_views(f"WITH {LABELS} SELECT CAST(sum(support) AS BIGINT) AS rows, round(sum(support * coalesce({metric[1]}, 0)) / sum(support), 6) AS \"{metric[0]}\" FROM per_label", "predictions")
@@ -391,6 +402,10 @@ def evaluation_sql() -> dict[str, str]:
         "train_problem_type": union(
             [f"SELECT '{c}' AS target, count(DISTINCT {c}) AS distinct_count, CASE WHEN count(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END AS problem_type FROM part" for c in ("p_partkey", "p_size", "p_retailprice")]
             + ["SELECT 'p_brand', count(DISTINCT p_brand), 'classification' FROM part"]),
+        "score_linear": "SELECT p_partkey, round(regr_slope(p_retailprice, p_size) OVER () * p_size + regr_intercept(p_retailprice, p_size) OVER (), 3) AS prediction FROM part",
+        "replay_linear": "SELECT 'LinearRegression' AS model_name, 'completed' AS evaluation_status, round(regr_r2(p_retailprice, p_size), 6) AS r2, count(*) AS rows FROM part",
+        "explain_slopes": "SELECT 'p_size' AS feature_name, round(abs(regr_slope(p_retailprice, p_size)), 6) AS importance_value, CAST(1 AS DOUBLE) AS normalized_importance, 'linear' AS importance_type FROM part",
+        "train_stump": STUMP,
         "train_linear": "SELECT count(*) AS training_rows, round(regr_slope(p_retailprice, p_partkey), 4) AS slope, round(regr_intercept(p_retailprice, p_partkey), 4) AS intercept FROM part",
         "eval_accuracy": with_views("SELECT count(*) AS rows, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v_predictions", "predictions"),
         "eval_precision": weighted(("precision", "tp / nullif(predicted, 0)")),
@@ -470,6 +485,7 @@ def report_sql() -> dict[str, str]:
 
 def source_sql() -> dict[str, str]:
     return {
+        "parquet_scan_all": "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else f"CAST({c} AS VARCHAR) AS {c}" if c.endswith("date") else c for c in LINE_COLUMNS) + " FROM lineitem",
         "parquet_scan": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice, CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem WHERE l_quantity > 45",
         "shape": "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem",
         "csv_scan": with_views("SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, near_const, all_null FROM v_orders_dirty", "orders_dirty"),

@@ -45,8 +45,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @register
 def parquet_scan(spark, sf):
-    lines = readers.read_parquet(spark, f"{sf}/lineitem.parquet")
-    return rounded(lines.filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
+    """What a filter leaves of a table: the filter reaches the scan."""
+    lines = readers.read_parquet(spark, f"{sf}/lineitem.parquet", where=[("l_quantity", ">", 45.0)])
+    return rounded(lines.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
+
+
+@register
+def parquet_scan_all(spark, sf):
+    return rounded(readers.read_parquet(spark, f"{sf}/lineitem.parquet"))
 
 
 @register
@@ -648,6 +654,49 @@ def train_linear(spark, sf):
     return rounded(spark.createDataFrame([(rows, float(model.coefficients[0]), float(model.intercept))], "training_rows long, slope double, intercept double"), 4)
 
 
+def _size_model(spark, sf) -> tuple[DataFrame, train.FittedModel]:
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    fitted = train.fit_model(df.drop("p_partkey"), "p_retailprice", ["p_size"], "LinearRegression", "regression", df.count())
+    return df, fitted
+
+
+@register
+def score_linear(spark, sf):
+    """Predictions of the least-squares line of price on size, which SQL can compute."""
+    df, fitted = _size_model(spark, sf)
+    return rounded(fitted.predict(df, keep=["p_partkey"]), 3)
+
+
+@register
+def replay_linear(spark, sf):
+    """The stored line measured on all parts after reloading it."""
+    df, fitted = _size_model(spark, sf)
+    path = f"{stage_dir(spark, 'models')}/{uuid.uuid4().hex}"
+    sinks.save_model(spark, fitted, path)
+    predicted = sinks.load_model(spark, path).predict(df, keep=["p_retailprice"])
+    scores = evaluate.regression_metrics(predicted, "p_retailprice", "prediction")
+    return rounded(scores.select(F.lit(fitted.name).alias("model_name"), F.lit("completed").alias("evaluation_status"), "r2", "rows"))
+
+
+@register
+def explain_slopes(spark, sf):
+    _, fitted = _size_model(spark, sf)
+    return rounded(explain.feature_importance(spark, fitted).drop("rank"))
+
+
+@register
+def train_stump(spark, sf):
+    """A regression tree of one level: the best split of price by quantity."""
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    rows = df.count()
+    fitted = train.fit_model(df, "l_extendedprice", ["l_quantity"], "DecisionTreeRegressor", "regression", rows, max_depth=1)
+    low, high = df.filter("l_quantity <= 1").limit(1), df.orderBy(F.desc("l_quantity")).limit(1)
+    means = [fitted.predict(side, keep=["l_quantity"]).first()["prediction"] for side in (low, high)]
+    root = fitted.model._java_obj.rootNode()
+    row = (float(root.split().threshold()), float(means[0]), float(means[1]), rows)
+    return spark.createDataFrame([row], "threshold double, left_mean double, right_mean double, rows long").transform(lambda d: rounded(d, 3))
+
+
 @register
 def train_tree_reg(spark, sf):
     return _one_model(spark, _prepared_parts(spark, sf), "p_retailprice", "DecisionTreeRegressor")
@@ -812,7 +861,9 @@ def report_recommendations(spark, sf):
 
 
 def _experiment_report(spark, sf) -> DataFrame:
-    models = view(spark, sf, "trained_models").filter("status = 'trained'")
+    # failed models count, but have no metrics
+    known = F.col("status") == "trained"
+    models = view(spark, sf, "trained_models").withColumns({c: F.when(known, F.col(c)) for c in ("f1", "accuracy")})
     ranked = evaluate.rank_models(models, "classification", by=["experiment_id"], tie_break=["model_id"])
     ranked = ranked.select("*", F.lit("f1").alias("primary_metric"), F.col("f1").alias("primary_metric_value"))
     experiments = table(spark, sf, "orders").select(F.col("o_orderkey").alias("experiment_id"), F.col("o_custkey").alias("dataset_id"))

@@ -38,6 +38,11 @@ def _as_float(c: Column) -> Column:
     return F.when(c.rlike(FLOAT), F.trim(c).try_cast("double"))
 
 
+def number_of_text(c: Column) -> Column:
+    """The number a text spells, null for anything else (a cast alone would take "12d" or "1f")."""
+    return F.when(c.rlike(INTEGER) | c.rlike(FLOAT), F.trim(c).try_cast("double"))
+
+
 def infer_types(df: DataFrame) -> dict[str, str]:
     """``bigint``, ``double``, ``boolean`` or ``string`` per text column, from one aggregate over all rows.
 

@@ -4,27 +4,48 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import fold_nan
-from tabulon.sources.infer import infer
+from tabulon.functions.columns import col, fold_nan
+from tabulon.sources.infer import fold_na_columns, infer
 
 
 class IngestionError(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+_MALFORMED = "_malformed_record"
+
+
+def _refuse_surplus(df: DataFrame, width: int) -> DataFrame:
+    """Fail on a record with more fields than the header; one with fewer is filled with nulls."""
+    record = F.regexp_replace(_MALFORMED, r'"([^"]|"")*"', "")
+    fields = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit(""))) + 1
+    # naming the first field also keeps a count from reading the malformed records alone, which Spark refuses
+    first = F.coalesce(col(df.columns[0]), F.lit(""))
+    refused = F.raise_error(F.concat(F.lit(f"a record has more than {width} fields, at "), first, F.lit(": "), F.col(_MALFORMED)))
+    return df.filter(F.when(fields > width, refused).otherwise(F.lit(True))).drop(_MALFORMED)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Header row, comma, doubled quotes.  Without a schema all rows decide the types.
 
-    ``multi_line`` allows line breaks inside quotes, but makes a file unsplittable.
+    A record with too many fields is an error.  Line breaks inside quotes belong to the value; a caller who knows that
+    there are none sets ``multi_line`` to False, which lets Spark split large files.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("inferSchema", False)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _MALFORMED).option("columnPruning", False)
+    )
+    names = schema.fieldNames() if schema is not None else reader.csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MALFORMED]])
+    rows = _refuse_surplus(reader.schema(text).csv(path), len(names))
     # an empty nullValue would also swallow blanks; tokens are folded afterwards
-    return infer(reader.option("inferSchema", False).csv(path))
+    if schema is None:
+        return infer(rows)
+    return fold_na_columns(rows).select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -32,8 +53,23 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return fold_nan(reader.json(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return fold_nan(spark.read.parquet(path))
+COMPARISONS = {
+    "=": Column.__eq__, "<>": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__,
+}
+
+
+def read_parquet(spark: SparkSession, path: str, where: list[tuple[str, str, object]] | None = None) -> DataFrame:
+    """A Parquet table with NaN as null.
+
+    ``where`` holds comparisons ``(column, operator, value)`` that all have to hold.  They are applied to the stored
+    columns, so they reach the scan; a filter on the result would sit on the folded ones and not.
+    """
+    rows = spark.read.parquet(path)
+    for name, operator, value in where or []:
+        rows = rows.filter(COMPARISONS[operator](col(name), F.lit(value)))
+        if isinstance(rows.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            rows = rows.filter(~F.isnan(col(name)))  # NaN would count as the largest number
+    return fold_nan(rows)
 
 
 def read_xlsx(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -50,13 +86,13 @@ def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     reader = READERS.get(extension)
     if reader is None:
-        raise IngestionError(f"Unsupported file format: {extension}")
+        raise IngestionError(f"no reader for files ending in {extension}")
     try:
         return reader(spark, path, **options)
     except IngestionError:
         raise
     except Exception as e:
-        raise IngestionError(f"Failed to read file: {e}") from e
+        raise IngestionError(f"cannot read {path}: {e}") from e
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -66,5 +102,5 @@ def shape(df: DataFrame) -> tuple[int, int]:
 def require_data(df: DataFrame) -> DataFrame:
     """Refuse a table without rows or columns; looks at one row only."""
     if not df.columns or df.isEmpty():
-        raise IngestionError("Dataset is empty or has no columns")
+        raise IngestionError("the table has no rows or no columns")
     return df

@@ -15,6 +15,10 @@ from tabulon.operators.split import SPLIT
 from tabulon.operators.train import FittedModel
 
 
+class ModelError(ValueError):
+    """A stored model that is missing or cannot be read."""
+
+
 def write_stage(df: DataFrame, folder: str, stage: str, fmt: str = "parquet", run_id: str | None = None) -> str:
     """Write a stage table below ``folder`` under a new name and return its path.
 
@@ -91,12 +95,15 @@ def save_model(spark: SparkSession, fitted: FittedModel, path: str) -> None:
     fitted.model.write().save(f"{path}/model")
     facts = json.dumps({
         "name": fitted.name, "problem_type": fitted.problem_type, "features": fitted.features,
-        "target_type": fitted.target_type, "labels": fitted.labels,
+        "target_type": fitted.target_type, "labels": fitted.labels, "slots": fitted.slots,
     })
     spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/facts")
 
 
 def load_model(spark: SparkSession, path: str) -> FittedModel:
-    facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
-    model: Model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
-    return FittedModel(facts["name"], facts["problem_type"], facts["features"], model, facts["target_type"], facts["labels"])
+    try:
+        facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+        model: Model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+        return FittedModel(facts["name"], facts["problem_type"], facts["features"], model, facts["target_type"], facts["labels"], facts["slots"])
+    except Exception as e:  # whatever is missing or broken, the model cannot be used
+        raise ModelError(f"no usable model at {path}: {e}") from e

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.session import ship_package
 from tabulon.sources.infer import infer
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -36,6 +38,36 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     raise ValueError("workbook has no first sheet")
 
 
+# Fixed values of the file format: built-in number formats that show dates or times
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell styles that show a number as a date: by a built-in format, or one of the book's with day, month or year signs."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = set()
+    for f in root.iter(f"{MAIN}numFmt"):
+        code = re.sub(r'"[^"]*"|\\[.]|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        if re.search(r"[ymdhs]", code):
+            own.add(int(f.get("numFmtId")))
+    formats = root.find(f"{MAIN}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in formats] if formats is not None else []
+    return {i for i, n in enumerate(ids) if n in DATE_FORMATS or n in own}
+
+
+def _date_text(serial: str, epoch: datetime) -> str:
+    """ISO date of a day number, with the time if there is one."""
+    try:
+        moment = epoch + timedelta(days=float(serial))
+    except (ValueError, OverflowError):
+        return serial
+    moment = (moment + timedelta(microseconds=500)).replace(microsecond=0)
+    return moment.date().isoformat() if moment.time() == datetime.min.time() else moment.isoformat(" ")
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     """The cells of the first sheet as text, row by row."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -43,6 +75,9 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
+        dates = _date_styles(book)
+        about = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+        epoch = EPOCH_1904 if about is not None and about.get("date1904") in ("1", "true") else EPOCH
         with book.open(_first_sheet(book)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != f"{MAIN}row":
@@ -58,23 +93,45 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                         value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
                     elif kind == "b" and value is not None:
                         value = "True" if value == "1" else "False"
+                    elif kind in (None, "n") and value is not None and int(cell.get("s", 0)) in dates:
+                        value = _date_text(value, epoch)
                     cells.append(value)
                 yield cells
                 row.clear()
 
 
+def _named(header: list[str | None]) -> list[str]:
+    return [h or f"column_{i}" for i, h in enumerate(header)]
+
+
+def _all_headers(files: DataFrame) -> list[str]:
+    """Column names of all workbooks; tasks read the headers, the driver gets each name once per task."""
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: dict[str, tuple[str, int]] = {}
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                for i, name in enumerate(_named(next(sheet_rows(content), []))):
+                    first[name] = min(first.get(name, (path, i)), (path, i))
+        yield pd.DataFrame([(n, p, i) for n, (p, i) in first.items()], columns=["name", "path", "place"])
+
+    found = files.select("path", "content").mapInPandas(headers, "name string, path string, place int")
+    best = found.groupBy("name").agg(F.min(F.struct("path", "place")).alias("at"))
+    return [r["name"] for r in best.orderBy("at.path", "at.place").collect()]
+
+
 def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All workbooks below ``path`` in one table; the first file's header names the columns.
+    """All workbooks below ``path`` in one table with the columns of all headers, in the order of the first file that has them.
 
     Each file is parsed by one task, in parallel over files.  Without ``schema``
     the types are inferred over all rows.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path)
     if schema is not None:
         names = schema.fieldNames()
     else:
-        first = files.orderBy("path").select("content").first()
-        names = [h or f"column_{i}" for i, h in enumerate(next(sheet_rows(bytes(first["content"])), []))]
+        names = _all_headers(files)
     if not names:
         return spark.createDataFrame([], T.StructType([]))
 
@@ -82,7 +139,7 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | None =
         for batch in batches:
             for content in batch["content"]:
                 rows = sheet_rows(content)
-                header = next(rows, [])
+                header = _named(next(rows, []))
                 order = [header.index(n) if n in header else None for n in names]
                 chunk: list[list[str | None]] = []
                 for row in rows:

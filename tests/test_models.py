@@ -75,15 +75,15 @@ def test_guards(spark):
     df = spark.createDataFrame([("train", 1.0, 0)] * 4 + [("test", 1.0, 0)], f"{SPLIT} string, x double, y long")
     with pytest.raises(train.ExperimentError, match="1 class"):
         train.run_experiment(df, "y")
-    with pytest.raises(train.ExperimentError, match="Insufficient test"):
+    with pytest.raises(train.ExperimentError, match="test rows"):
         train.run_experiment(df.filter(f"{SPLIT} = 'train'"), "y")
-    with pytest.raises(train.ExperimentError, match="Insufficient training"):
+    with pytest.raises(train.ExperimentError, match="training rows"):
         train.run_experiment(df.filter(f"{SPLIT} = 'test'"), "y")
     with pytest.raises(train.ExperimentError, match="__split__"):
         train.run_experiment(df.drop(SPLIT), "y")
-    with pytest.raises(train.ExperimentError, match="not found"):
+    with pytest.raises(train.ExperimentError, match="no target column"):
         train.run_experiment(df, "z")
-    with pytest.raises(train.ExperimentError, match="Invalid problem_type"):
+    with pytest.raises(train.ExperimentError, match="problem type"):
         train.run_experiment(df, "y", "clustering")
 
 
@@ -116,8 +116,12 @@ def test_replay_equals_training(regressed):
     assert replayed == pytest.approx(trained)
 
 
-def test_tree_depth_falls_with_rows():
-    assert train.tree_depth(100, None, 1000) == 30 and train.tree_depth(10_000, None, 1000) == 12 and train.tree_depth(10_000, 5, 1000) == 5
+def test_depth_is_the_same_for_every_table():
+    for rows in (10, 10**9):
+        made = train.estimators("classification", rows)
+        assert made["DecisionTreeClassifier"].getMaxDepth() == train.TREE_DEPTH
+        assert made["RandomForestClassifier"].getMaxDepth() == train.FOREST_DEPTH
+        assert train.estimators("regression", rows, max_depth=5)["DecisionTreeRegressor"].getMaxDepth() == 5
 
 
 # -- importance -------------------------------------------------------------
@@ -132,6 +136,24 @@ def test_importances(spark, classified, regressed):
     assert linear.first()["importance_type"] == "linear"
 
 
+def test_importance_names_next_to_a_vector_column(spark):
+    rows = [(float(i % 7), f"w{i % 6}", "AB"[(i // 6) % 2], (i // 6) % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "num double, awide string, bcat string, target long")
+    prepared = prepare.prepare(df, "target", one_hot={"awide": "vector"})
+    tr, _, names = train.split_scan(prepared.data, "target")
+    fitted = train.fit_model(tr, "target", names, "DecisionTreeClassifier", "classification", 190)
+    table = explain.feature_importance(spark, fitted).orderBy("rank").collect()
+    assert table[0]["feature_name"] in ("bcat_A", "bcat_B") and table[0]["normalized_importance"] == pytest.approx(1.0)
+    assert {r["feature_name"] for r in table} == {"num", "bcat_A", "bcat_B", *[f"awide_w{i}" for i in range(6)]}
+
+
+def test_null_inputs_are_in_the_log(spark, classified):
+    prepared, e = classified
+    rows = spark.createDataFrame([(None, "B"), (float("nan"), "A")], "num double, cat string")
+    records = score.log_records(rows, prepared.parameters, e.models["LogisticRegression"], "exp1").collect()
+    assert '{"num":null,"cat":"B"}' in {r["input_data"] for r in records}
+
+
 def test_importance_names_and_zero_total(spark):
     rows = explain.importance_table(spark, [0.0, 0.0], ["a"], "tree").orderBy("rank").collect()
     assert [(r["feature_name"], r["normalized_importance"]) for r in rows] == [("a", 0.0), ("Feature_1", 0.0)]
@@ -165,8 +187,8 @@ def test_scoring_accepts_numbers_as_text(spark, classified):
 
 @pytest.mark.parametrize("rows, schema, message", [
     ([("x", "A")], "num string, cat string", "num"),
-    ([(1.0,)], "num double", "Missing required.*cat"),
-    ([(1.0, "A", 1)], "num double, cat string, target long", "target column"),
+    ([(1.0,)], "num double", "not given.*cat"),
+    ([(1.0, "A", 1)], "num double, cat string, target long", "predicts"),
     ([(1.0, "A", 1)], "num double, cat string, extra long", "extra"),
 ])
 def test_refused_inputs(spark, classified, rows, schema, message):

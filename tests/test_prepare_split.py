@@ -142,7 +142,7 @@ def test_unknown_category_is_all_zeros(spark, twenty):
 def test_wide_category_becomes_a_sparse_vector(spark):
     rows = [(float(i), f"v{i % 12}", i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "num double, cat string, target long")
-    dense, wide = prepare.prepare(df, "target"), prepare.prepare(df, "target", max_one_hot=5)
+    dense, wide = prepare.prepare(df, "target"), prepare.prepare(df, "target", one_hot={"cat": "vector"})
     assert wide.parameters.feature_names == ["num", "cat_onehot"]
     new = spark.createDataFrame([(1.0, "v3"), (2.0, "unseen")], "num double, cat string")
     got = [r[0] for r in prepare.transform(new, wide.parameters).select(vector_to_array("cat_onehot")).collect()]
@@ -150,9 +150,17 @@ def test_wide_category_becomes_a_sparse_vector(spark):
     assert got == want and sum(got[1]) == 0
 
 
-def test_long_categories_become_a_sparse_vector(spark):
+def test_layout_follows_the_argument_alone(spark):
+    df = spark.createDataFrame([(f"v{i}", i % 2) for i in range(1500)], "cat string, target long")
+    p = prepare.fit(df, "target")
+    assert len(p.feature_names) == 1500 and p.feature_names[0] == "cat_v0"
+    with pytest.raises(prepare.PreparationError, match="layout"):
+        prepare.fit(df, "target", one_hot="dense")
+
+
+def test_long_categories_as_a_sparse_vector(spark):
     rows = [(("x" * 300) + str(i % 3), i % 2) for i in range(30)]
-    p = prepare.prepare(spark.createDataFrame(rows, "cat string, target long"), "target")
+    p = prepare.prepare(spark.createDataFrame(rows, "cat string, target long"), "target", one_hot="vector")
     assert p.parameters.feature_names == ["cat_onehot"] and p.parameters.categorical[0].width == 3
     hot = p.data.select(vector_to_array("cat_onehot").alias("v")).select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).collect()
     assert [r[0] for r in hot] == [1.0] * 30
@@ -177,11 +185,11 @@ def test_booleans_and_dates_are_numbers(spark):
 
 
 @pytest.mark.parametrize("rows, target, size, message", [
-    ([(1.0, 1)] * 6, "nope", 0.2, "does not exist"),
-    ([(1.0, None)] * 6, "target", 0.2, "completely empty"),
-    ([(1.0, 1)] * 3, "target", 0.2, "at least 4 rows"),
-    ([(1.0, 1)] * 3 + [(2.0, None)] * 4, "target", 0.2, "Insufficient rows"),
-    ([(1.0, 1)] * 9, "target", 0.9, "test_size"),
+    ([(1.0, 1)] * 6, "nope", 0.2, "no target column"),
+    ([(1.0, None)] * 6, "target", 0.2, "no value at all"),
+    ([(1.0, 1)] * 3, "target", 0.2, "3 rows, a split needs 4"),
+    ([(1.0, 1)] * 3 + [(2.0, None)] * 4, "target", 0.2, "3 rows with a target"),
+    ([(1.0, 1)] * 9, "target", 0.9, "test share"),
 ])
 def test_refused_requests(spark, rows, target, size, message):
     with pytest.raises(prepare.PreparationError, match=message):
@@ -192,3 +200,21 @@ def test_null_targets_are_dropped(spark):
     df = spark.createDataFrame([(float(i), None if i < 2 else "yn"[i % 2]) for i in range(12)], "x double, target string")
     s = prepare.prepare(df, "target").stats.first()
     assert (s["rows_before"], s["rows_after"]) == (12, 10)
+
+
+def test_many_classes_are_stratified_in_a_table(spark):
+    rows = [(i, f"c{i % 37}" if i % 5 else "hot") for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    small = split.train_test_split(df, key=["k"], target="y")
+    large = split.train_test_split(df, key=["k"], target="y", driver_classes=3)
+    side = lambda r: {(x["k"], x[SPLIT]) for x in r.data.collect()}
+    assert small.stratified and large.stratified and large.note is None
+    assert side(small) == side(large) and sum(s == "test" for _, s in side(large)) == large.test_rows
+
+
+def test_not_a_number_and_odd_spellings(spark):
+    df = spark.createDataFrame([(float("nan") if i == 3 else float(i), i % 2) for i in range(12)], "x double, target long")
+    p = prepare.prepare(df, "target").parameters
+    new = spark.createDataFrame([("nan",), ("12d",), ("1f",), (" 7 ",), (None,)], "x string")
+    got = [r["x"] for r in prepare.transform(new, p).collect()]
+    assert got[0] == got[1] == got[2] == got[4] != got[3] and all(v == v for v in got)
