@@ -26,7 +26,7 @@ from tabulon.llm.common import buckets_for, in_python, pack_strings, slices, tex
 from tabulon.llm.texthash import mix, prefix_hash, span_hash
 from tabulon.session import ship_package
 
-GRAM = 12
+GRAM = 20  # longer ones mean more anchors, shorter ones more chance agreement that has to be looked into
 NO_ID = np.iinfo(np.int64).max  # a document without id comes after all others
 
 
@@ -230,13 +230,21 @@ def _flags(answers: pd.DataFrame, n: int) -> np.ndarray:
 
 @dataclass
 class Contexts:
-    """Pieces of text whose windows are to be compared, in order of key: bytes, lengths and documents."""
+    """What is to be compared, in order of key: pieces of text, or single windows (``length`` 0) of which two hashes are enough."""
 
     key: np.ndarray
+    check: np.ndarray
     start: np.ndarray
     length: np.ndarray
     doc: np.ndarray
 
+    def windows(self, size: int) -> np.ndarray:
+        return _windows(self.length, size)
+
+
+def _windows(length: np.ndarray, size: int) -> np.ndarray:
+    return np.where(length > 0, length - size + 1, 1)
+
 
 def open_contexts(chunk: Chunk, a: Anchors, e: Entries, flags: np.ndarray, size: int) -> tuple[Contexts, np.ndarray, np.ndarray]:
     """What a chunk still has to compare after the first answer, and how its windows relate to that.
@@ -255,18 +263,20 @@ def open_contexts(chunk: Chunk, a: Anchors, e: Entries, flags: np.ndarray, size:
     w_start = np.repeat(a.first[picked], spans) + _within(spans)
     w_doc = np.repeat(a.doc[picked], spans)
     w_key = span_hash(prefix_hash(chunk.data), w_start, w_start + size)
-    order = np.lexsort((w_doc, w_key))
+    w_check = span_hash(prefix_hash(chunk.data[::-1]), len(chunk.data) - w_start - size, len(chunk.data) - w_start).astype(np.uint32)
+    order = np.lexsort((w_doc, w_check, w_key))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = w_key[order][1:] != w_key[order][:-1]
+    new[1:] = (w_key[order][1:] != w_key[order][:-1]) | (w_check[order][1:] != w_check[order][:-1])
     lead = order[new]
     keys = np.concatenate([key, w_key[lead]])
     starts = np.concatenate([start, w_start[lead]])
-    lengths = np.concatenate([length, np.full(len(lead), size)])
+    checks = np.concatenate([np.zeros(len(key), np.uint32), w_check[lead]])
+    lengths = np.concatenate([length, np.zeros(len(lead), np.int64)])
     docs = np.concatenate([doc, w_doc[lead]])
-    sent = np.lexsort((docs, keys))
-    contexts = Contexts(keys[sent], starts[sent], lengths[sent], docs[sent])
+    sent = np.lexsort((docs, checks, keys))
+    contexts = Contexts(keys[sent], checks[sent], starts[sent], lengths[sent], docs[sent])
     base = np.empty(len(sent), dtype=np.int64)  # number of the first window of each context, as sent
-    base[sent] = np.concatenate([[0], np.cumsum(contexts.length - size + 1)[:-1]])
+    base[sent] = np.concatenate([[0], np.cumsum(contexts.windows(size))[:-1]])
     # windows of undecided occurrences in the entry's smallest document
     number = np.full(len(e.gram), -1)
     number[whole] = np.arange(len(whole))
@@ -381,8 +391,9 @@ def _send_contexts(left: pd.DataFrame, right: pd.DataFrame, size: int, buckets:
         for b in np.flatnonzero(np.diff(cut)):
             s = slice(cut[b], cut[b + 1])
             data = chunk.data[np.repeat(c.start[s], c.length[s]) + _within(c.length[s])]
-            out.append((int(b), row.chunk, _squeeze(c.key[s]), _squeeze(c.length[s].astype(np.uint32)), _squeeze(c.doc[s]), zstandard.compress(data.tobytes(), 1)))
-    return pd.DataFrame(out, columns=["bucket", "chunk", "key", "length", "doc", "data"])
+            out.append((int(b), row.chunk, _squeeze(c.key[s]), _squeeze(c.check[s]), _squeeze(c.length[s].astype(np.uint32)), _squeeze(c.doc[s]),
+                        zstandard.compress(data.tobytes(), 1)))
+    return pd.DataFrame(out, columns=["bucket", "chunk", "key", "check", "length", "doc", "data"])
 
 
 def _answer_contexts(group: pd.DataFrame, size: int) -> pd.DataFrame:
@@ -393,10 +404,21 @@ def _answer_contexts(group: pd.DataFrame, size: int) -> pd.DataFrame:
     doc = np.concatenate([_expand(d, np.int64) for d in group.doc])
     data = np.frombuffer(b"".join(zstandard.decompress(d) for d in group.data), np.uint8)
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
-    _, number, several = np.unique(key, return_inverse=True, return_counts=True)
-    base = np.concatenate([[0], np.cumsum(length - size + 1)])
+    check = np.concatenate([_expand(c, np.uint32) for c in group.check])
+    base = np.concatenate([[0], np.cumsum(_windows(length, size))])
     steps = np.zeros(base[-1] + 1, dtype=np.int64)  # +1 where a covered run of windows begins, -1 after it
-    multi = np.flatnonzero(several[number] > 1)
+    single = np.flatnonzero(length == 0)
+    order = single[np.lexsort((doc[single], check[single], key[single]))]
+    if len(order):
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+        late = order[doc[order] > doc[order][new][np.cumsum(new) - 1]]
+        steps[base[late]] += 1
+        steps[base[late] + 1] -= 1
+    number = np.full(len(key), -1)
+    whole = np.flatnonzero(length > 0)
+    _, number[whole], several = np.unique(key[whole], return_inverse=True, return_counts=True)
+    multi = whole[several[number[whole]] > 1]
     for n, context, offset in repeats(number[multi], data, start[multi], length[multi], size):
         context = multi[context]
         late = doc[context] > doc[context].min()
@@ -419,7 +441,7 @@ def _finish(left: pd.DataFrame, right: pd.DataFrame, size: int, sizes: Sizes) ->
         e = entries(a, sizes)
         first = _flags(right[right.step == 1], len(e.gram))
         contexts, w_start, w_answer = open_contexts(chunk, a, e, first, size)
-        second = _flags(right[right.step == 2], int((contexts.length - size + 1).sum()))
+        second = _flags(right[right.step == 2], int(contexts.windows(size).sum()))
         whole = (first[e.of] & COVERED > 0) | ((a.doc > e.doc[e.of]) & ~e.many[e.of])
         gone = w_answer < 0
         gone[~gone] = second[w_answer[~gone]] > 0
@@ -470,7 +492,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
     text = chunks.groupBy("chunk")
     contexts = text.cogroup(first.groupBy("chunk")).applyInPandas(
         lambda left, right: _send_contexts(left, right, size, buckets, sizes),
-        "bucket int, chunk long, key binary, length binary, doc binary, data binary")
+        "bucket int, chunk long, key binary, check binary, length binary, doc binary, data binary")
     second = written(contexts.groupBy("bucket").applyInPandas(lambda g: _answer_contexts(g, size), answer), "repeat_windows")
     both = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
     done = text.cogroup(both.groupBy("chunk")).applyInPandas(
