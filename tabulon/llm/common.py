@@ -51,7 +51,10 @@ def in_pieces(counts: np.ndarray) -> pd.DataFrame:
 
 
 def sum_pieces(df: DataFrame, size: int) -> np.ndarray:
-    """Add up the arrays that tasks sent in pieces: running sums in the tasks, one row per piece to the driver."""
+    """Add up the arrays that tasks sent in pieces: running sums in the tasks, one row per piece to the driver.
+
+    The driver gets 32-bit floats, which is enough for frequencies.
+    """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -60,12 +63,12 @@ def sum_pieces(df: DataFrame, size: int) -> np.ndarray:
                 flat = np.frombuffer(zstandard.decompress(counts), np.uint8).reshape(4, -1)
                 part = np.ascontiguousarray(flat.T).view("<u4").reshape(-1).astype(np.int64)
                 total[piece] = total[piece] + part if piece in total else part
-        yield pd.DataFrame({"piece": list(total), "counts": [v.tobytes() for v in total.values()]}).astype({"piece": "int32"})
+        yield pd.DataFrame({"piece": list(total), "counts": [v.astype(np.float32).tobytes() for v in total.values()]}).astype({"piece": "int32"})
 
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.float32)
     step = size // PIECES
     for r in in_python(df.repartition(PIECES, "piece"), add, "piece int, counts binary").collect():
-        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
+        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["counts"], np.float32)
     return out
 
 

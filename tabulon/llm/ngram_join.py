@@ -14,9 +14,9 @@ from tabulon.llm.components import connected_components
 from tabulon.llm.texthash import distinct_per_text, lower_ascii, mix, prefix_hash, shingles, span_hash, words
 
 SLICE = 2_000_000
-SKETCH_BITS = 22  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
+SKETCH_BITS = 20  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
 SUFFIX_PARTS = 64
-FILTER_BITS = 23  # size of the filter of documents whose sets are wanted; a fuller filter only sends more sets
+FILTER_BITS = 21  # size of the filter of documents whose sets are wanted; a fuller filter only sends more sets
 
 
 def _sets(part: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
