@@ -205,12 +205,30 @@ def best_configuration(sizes: list[int], left: list[int], capacity: int) -> list
     return chosen
 
 
-def plan_packing(counts: dict[int, int], capacity: int, large_share: float = 1 / 8, groups: int = 48) -> Plan:
+# shares above which an item is large, and numbers of groups, that are tried; the plan with the fewest sequences is taken
+TRIALS = [(1 / 8, 48), (1 / 4, 48), (1 / 4, 192), (1 / 2, 192)]
+
+
+def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
+    """The best of the plans of ``TRIALS``; all work on the counts of lengths, so trying costs little."""
+    best = None
+    enough = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for share, groups in TRIALS:
+        plan = plan_with_groups(counts, capacity, share, groups)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= enough:
+            break
+    return best
+
+
+def plan_with_groups(counts: dict[int, int], capacity: int, large_share: float, groups: int) -> Plan:
     """Assign all items, given how many there are of each length (at most ``capacity`` numbers).
 
     1. Items longer than ``large_share`` of a sequence are put in order and cut into ``groups`` groups of equal
        cardinality; every length of a group is rounded up to its longest.
-    2. Over these few sizes the fullest configuration is sought and used as often as its sizes last, again and again.
+    2. Over these few sizes the fullest configuration that holds the longest size left is sought and used as often as its
+       sizes last, again and again (starting from the longest leaves the ones that fit anywhere for later).
     3. Actual items take the places of their group, longest first, so what rounding cost is free again.
     4. Small items follow in descending order, each where it leaves the least space.
     """
@@ -227,7 +245,9 @@ def plan_packing(counts: dict[int, int], capacity: int, large_share: float = 1 /
     queues = [list(reversed(g)) for g in grouped]
     while sum(left):
         alive = [i for i, n in enumerate(left) if n]
-        chosen = best_configuration([sizes[i] for i in alive], [left[i] for i in alive], capacity)
+        room = [left[i] - (i == alive[0]) for i in alive]
+        chosen = best_configuration([sizes[i] for i in alive], room, capacity - sizes[alive[0]])
+        chosen[0] += 1
         times = min(left[i] // c for i, c in zip(alive, chosen) if c)
         runs = [(capacity, plan.new(times))]
         for i, copies in zip(alive, chosen):
