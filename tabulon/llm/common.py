@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.session import ensure_checkpoint_dir, ship_package
+from tabulon.session import ensure_checkpoint_dir, materialise as written, ship_package
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +22,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new folder below the checkpoint folder and read it back.
-
-    Unlike a checkpoint this runs the plan once, and later reads take only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_python(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInPandas`` on workers that have this package."""
     ship_package(df.sparkSession)
