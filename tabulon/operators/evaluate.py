@@ -124,8 +124,12 @@ def rank_models(
     name: str = "model_name",
     tie_break: list[str] | None = None,
     single_task: int = 1_000_000,
+    largest_group: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` from 1, best first, per group: primary metric, second metric, model priority."""
+    """Add ``rank`` from 1, best first, per group: primary metric, second metric, model priority.
+
+    ``largest_group`` spares counting the groups of ``models`` where their size is known.
+    """
     first, second = resolve_primary_metric(problem_type, primary), secondary_metric(problem_type)
 
     def better(metric: str) -> Column:
@@ -134,7 +138,7 @@ def rank_models(
 
     order = [better(first), better(second), model_priority(col(name)).asc(), *[col(c).asc() for c in tie_break or [name]]]
     if by:
-        numbered = number_within(models, by, order, "_position", single_task=single_task)
+        numbered = number_within(models, by, order, "_position", largest_group, single_task)
     else:
         numbered = number_within(models.withColumn("_all", F.lit(1)), ["_all"], order, "_position", single_task=single_task).drop("_all")
     return numbered.withColumn("rank", (F.col("_position") + 1).cast("int")).drop("_position")
@@ -185,5 +189,9 @@ def compare_models(
         F.when(F.col("evaluation_id").isNull(), F.lit("not_evaluated")).otherwise(F.col("evaluation_status")).alias("evaluation_status"),
         *[F.when(has_metrics, F.col(f"_eval_{m}")).otherwise(col(m)).alias(m) for m in metrics],
     )
-    ranked = rank_models(merged, problem_type, main, by, tie_break=["model_id"], single_task=single_task)
+    largest = None
+    if by:  # every model has one row, so the groups can be counted before the join
+        sizes = models.groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    ranked = rank_models(merged, problem_type, main, by, tie_break=["model_id"], single_task=single_task, largest_group=largest)
     return ranked.select("*", F.lit(main).alias("primary_metric"), col(main).alias("primary_metric_value"), (F.col("rank") == 1).alias("is_best"))

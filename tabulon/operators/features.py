@@ -16,7 +16,7 @@ from tabulon.operators.counts import cardinalities, value_counts, value_text
 from tabulon.operators.lookup import BROADCAST_VALUES, lookup
 from tabulon.operators.ranking import SINGLE_TASK_VALUES, number_in_order
 from tabulon.operators.stats import aggregate_in_chunks
-from tabulon.session import ensure_checkpoint_dir, run_together
+from tabulon.session import ensure_checkpoint_dir, materialise, run_together
 
 DATE_RATE = 0.8
 CATEGORY_RATIO = 0.5
@@ -339,7 +339,8 @@ def engineer(
         note("categorical_encoding", c, names, "frequency_label_encoding",
              f"Created frequency and label encoding features for '{c}'.")
 
-    selection = select_features(out, protect)
+    # selection looks at every column several times: derive them once
+    selection = select_features(materialise(out, "features"), protect)
     for operation, strategy, detail in selection.log:
         note(operation, None, [], strategy, detail, selection.row_count)
     kept = set(selection.data.columns)

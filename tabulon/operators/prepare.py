@@ -15,7 +15,7 @@ from tabulon.operators.lookup import lookup
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.split import SPLIT, SplitResult, train_test_split
 from tabulon.operators.stats import aggregate_in_chunks
-from tabulon.session import run_together
+from tabulon.session import materialise, run_together
 from tabulon.sources.infer import number_of_text
 
 COLUMNS, VECTOR = "columns", "vector"
@@ -245,6 +245,8 @@ def prepare(
     rows_before, rows = validate(df, target, test_size)
     supervised = drop_null_target(df, target)
     split = train_test_split(supervised, test_size, seed, key, target, rows)
+    # fitting reads the training rows several times: split them once
+    split.data = materialise(split.data, "split")
     parameters = fit(split.data.filter(F.col(SPLIT) == "train"), target, one_hot)
     ready = transform(split.data, parameters, keep=[SPLIT, target])
     ready = ready.select(SPLIT, *[col(f) for f in parameters.feature_names], col(target))

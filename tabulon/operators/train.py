@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import NUMERICAL, as_text, col, column_class
 from tabulon.operators.evaluate import evaluate, rank_models
 from tabulon.operators.split import SPLIT
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import ensure_checkpoint_dir, materialise
 
 SEED = 42
 # Default depths, the same for every table: each level is a pass over the data, and the nodes of all
@@ -154,17 +154,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fit_model(train: DataFrame, target: str, features: list[str], name: str, problem_type: str, train_rows: int,
-              labels: list[str] | None = None, **options) -> FittedModel:
-    """Fit one named model on training rows."""
+              labels: list[str] | None = None, vectors: DataFrame | None = None, **options) -> FittedModel:
+    """Fit one named model on training rows; ``vectors`` are the rows as ``training_vectors`` gives them."""
     labels = labels if labels is not None else (class_labels(train, target) if problem_type == "classification" else [])
-    labelled = with_label(train, target, labels)
+    vectors = vectors if vectors is not None else training_vectors(train, target, features, labels)
     estimator = estimators(problem_type, train_rows, **options)[name]
     ensure_checkpoint_dir(train.sparkSession)
-    model = estimator.fit(spread(assemble(labelled, features, ["_label"])))
+    model = estimator.fit(vectors)
     return FittedModel(name, problem_type, features, model, train.schema[target].dataType.simpleString(), labels,
                        slot_names(train, features))
 
 
+def training_vectors(train: DataFrame, target: str, features: list[str], labels: list[str]) -> DataFrame:
+    """``_features, _label`` of all training rows, in enough partitions for the many passes of a fit."""
+    return spread(assemble(with_label(train, target, labels), features, ["_label"]))
+
+
 RESULT_SCHEMA = T.StructType([
     T.StructField("experiment_id", T.StringType()),
     T.StructField("model_id", T.IntegerType()),
@@ -223,14 +228,16 @@ def run_experiment(
                 f"'{target}' has {len(labels)} class(es), a classifier needs two"
             )
     experiment_id = experiment_id or uuid.uuid4().hex
-    rows, fitted = [], {}
+    rows, fitted, vectors = [], {}, None
     for i, (name, estimator) in enumerate(estimators(problem_type, n_train, **options).items()):
         if model_names and name not in model_names:
             continue
         started, error, scores = time.time(), None, {}
         settings = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
         try:
-            model = fit_model(train, target, features, name, problem_type, n_train, labels, **options)
+            if vectors is None:  # assembled once for all models
+                vectors = materialise(training_vectors(train, target, features, labels), "vectors")
+            model = fit_model(train, target, features, name, problem_type, n_train, labels, vectors, **options)
             predicted = model.predict(test, keep=[target])
             scores = evaluate(predicted, problem_type, target, "prediction").first().asDict()
             fitted[name] = model

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Enough to keep a cluster busy through the tails of independent jobs.
 JOBS_AT_ONCE = 8
@@ -83,6 +84,17 @@ def stage_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new folder below the checkpoint folder and read it back.
+
+    For tables that several jobs read: the plan runs once, and later reads take only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_together(*actions: Callable[[], object]) -> list:
     """Submit independent Spark actions at the same time and return their results in order."""
     if len(actions) < 2:
