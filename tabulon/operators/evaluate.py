@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
+from tabulon.operators.lookup import join_null_safe
 from tabulon.operators.ranking import number_within
 
 MAX_MATRIX_LABELS = 20
@@ -169,11 +170,14 @@ def compare_models(
     primary: str | None = None,
     by: list[str] | None = None,
     single_task: int = 1_000_000,
+    stored_best: DataFrame | None = None,
 ) -> DataFrame:
     """Models with their latest evaluation, falling back to the metrics from training, ranked.
 
     ``models``: model_id, model_name, status, metric columns, and the ``by`` columns.
     ``evaluations``: evaluation_id, model_id, created_at, evaluation_status, metric columns.
+    ``stored_best``: the ``by`` columns and best_model_id, where a best model has been stored; it keeps its
+    flag whatever the ranks are.  Without one, the first rank is the best.
     """
     metrics = CLASSIFICATION_METRICS if problem_type == "classification" else REGRESSION_METRICS
     main = resolve_primary_metric(problem_type, primary)
@@ -194,4 +198,9 @@ def compare_models(
         sizes = models.groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     ranked = rank_models(merged, problem_type, main, by, tie_break=["model_id"], single_task=single_task, largest_group=largest)
-    return ranked.select("*", F.lit(main).alias("primary_metric"), col(main).alias("primary_metric_value"), (F.col("rank") == 1).alias("is_best"))
+    best = F.col("rank") == 1
+    if stored_best is not None:
+        ranked = join_null_safe(ranked, stored_best.select(*by, "best_model_id"), by, "left")
+        best = F.coalesce(F.col("best_model_id") == F.col("model_id"), best)
+    ranked = ranked.withColumn("is_best", best).drop("best_model_id")
+    return ranked.select("*", F.lit(main).alias("primary_metric"), col(main).alias("primary_metric_value"))

@@ -57,8 +57,8 @@ def lookup(
     return joined.select(*others, *[F.coalesce(F.col(f"_hot_{p}"), F.col(p)).alias(p) for p in payload])
 
 
-def join_null_safe(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+def join_null_safe(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Add the other columns of ``per_key`` by equal keys, where null equals null."""
     renamed = per_key.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[col(c) for c in per_key.columns if c not in keys])
     same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    return df.join(renamed, same, how).drop(*[f"_k{i}" for i in range(len(keys))])

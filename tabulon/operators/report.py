@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import fixed
+from tabulon.operators.evaluate import latest_per_key
 
 
 def dataset_report(
@@ -18,16 +19,20 @@ def dataset_report(
     preparation: DataFrame | None = None,
     experiments: DataFrame | None = None,
     key: str = "dataset_id",
+    created: str = "created_at",
 ) -> DataFrame:
     """One row per dataset: its size left-joined with whatever stage summaries exist.
 
-    Each summary has one row per dataset, prefixed column names avoid clashes.
+    Of a summary with a ``created`` column the newest row per dataset counts (the largest of the other columns at
+    a tie), others have one row per dataset.  Prefixed column names avoid clashes.
     """
     parts = {"quality": quality, "cleaning": cleaning, "features": features, "preparation": preparation, "experiment": experiments}
     out = datasets
     for prefix, part in parts.items():
         if part is None:
             continue
+        if created in part.columns:
+            part = latest_per_key(part, [key], created, [c for c in part.columns if c not in (key, created)])
         renamed = part.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in part.columns if c != key], F.lit(True).alias(f"has_{prefix}"))
         out = out.join(renamed, key, "left").withColumn(f"has_{prefix}", F.coalesce(f"has_{prefix}", F.lit(False)))
     return out
@@ -165,6 +170,25 @@ def experiment_report(experiments: DataFrame, ranked: DataFrame, datasets: DataF
     return out.withColumn("models_trained", F.coalesce("models_trained", F.lit(0)))
 
 
+def experiment_models(ranked: DataFrame, key: str = "experiment_id") -> DataFrame:
+    """The ranked models of each experiment; models without a metric (failed ones) come last and are never the best."""
+    best = (F.col("rank") == 1) & F.col("primary_metric_value").isNotNull()
+    return ranked.select(key, "rank", "model_id", "model_name", "status", "primary_metric", "primary_metric_value", best.alias("is_best"))
+
+
+def experiment_importances(models: DataFrame, importances: DataFrame, top: int = 10, key: str = "experiment_id") -> DataFrame:
+    """The ``top`` most important features of each experiment's best model (ties by name).
+
+    ``importances``: model_id, feature_name, importance_value.
+    """
+    best = models.filter("is_best").select(key, "model_id", "model_name")
+    order = Window.partitionBy(key).orderBy(F.col("importance_value").desc_nulls_last(), "feature_name")
+    return (
+        best.join(importances, "model_id").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
+        .select(key, "model_name", "position", "feature_name", "importance_value")
+    )
+
+
 def experiment_findings(report: DataFrame, key: str = "experiment_id") -> DataFrame:
     c = F.col
     rows = F.format_number("total_rows", 0)

@@ -378,6 +378,8 @@ per_experiment AS (SELECT experiment_id, count(*) AS models_trained, count(DISTI
 report AS (SELECT o_orderkey AS experiment_id, o_custkey AS dataset_id, coalesce(models_trained, 0) AS models_trained, one_algorithm, model_name AS best_model_name,
                   feature_count AS best_feature_count, f1 AS best_score, total_rows, total_columns
            FROM orders LEFT JOIN per_experiment ON per_experiment.experiment_id = o_orderkey LEFT JOIN best ON best.experiment_id = o_orderkey LEFT JOIN v_dataset_sizes ON v_dataset_sizes.dataset_id = o_custkey)"""
+ALL_RANKED = f"""shown AS (SELECT *, CASE WHEN status = 'trained' THEN f1 END AS shown, CASE WHEN status = 'trained' THEN accuracy END AS second FROM v_trained_models),
+all_ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY shown DESC NULLS LAST, second DESC NULLS LAST, {PRIORITY}, model_id) AS rank FROM shown)"""
 REPORT_VIEWS = ("dataset_sizes", "dataset_quality", "dataset_cleaning", "dataset_features")
 REPORT = "v_dataset_sizes AS s LEFT JOIN v_dataset_quality AS q USING (dataset_id) LEFT JOIN v_dataset_cleaning AS c USING (dataset_id) LEFT JOIN v_dataset_features AS f USING (dataset_id)"
 
@@ -421,8 +423,8 @@ def evaluation_sql() -> dict[str, str]:
         "eval_compare": with_views(
             f"WITH merged AS (SELECT m.experiment_id, m.model_id, m.model_name, CASE WHEN {ev_metrics} THEN e.evaluation_status ELSE m.status END AS status, coalesce(e.evaluation_status, 'not_evaluated') AS evaluation_status, "
             f"CASE WHEN {ev_metrics} THEN e.f1 ELSE m.f1 END AS f1, CASE WHEN {ev_metrics} THEN e.accuracy ELSE m.accuracy END AS accuracy FROM v_trained_models AS m LEFT JOIN {latest} AS e USING (model_id)) "
-            f"SELECT experiment_id, model_id, model_name, status, evaluation_status, rank, round(f1, 6) AS primary_metric_value, rank = 1 AS is_best FROM "
-            f"(SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY f1 DESC NULLS LAST, accuracy DESC NULLS LAST, {PRIORITY}, model_id) AS rank FROM merged)", "trained_models", "model_evaluations"),
+            f"SELECT experiment_id, model_id, model_name, status, evaluation_status, rank, round(f1, 6) AS primary_metric_value, coalesce(best_model_id = model_id, rank = 1) AS is_best FROM "
+            f"(SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY f1 DESC NULLS LAST, accuracy DESC NULLS LAST, {PRIORITY}, model_id) AS rank FROM merged) LEFT JOIN v_stored_best USING (experiment_id)", "trained_models", "model_evaluations", "stored_best"),
         "score_type_check": with_views(union(
             f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND try_cast({c} AS DOUBLE) IS NULL) AS bad_rows FROM v_raw_inputs" for c in ("amount", "customer", "plain")), "raw_inputs"),
         "score_history": with_views("SELECT dataset_id, run_id, CAST(created_at AS VARCHAR) AS created_at, count(*) OVER (PARTITION BY dataset_id) AS total FROM v_runs", "runs"),
@@ -469,6 +471,16 @@ def report_sql() -> dict[str, str]:
             f"c.rows_before IS NOT NULL AS has_cleaning, f.columns_after AS features_columns_after, f.features_added AS features_features_added, f.features_removed AS features_features_removed, f.columns_after IS NOT NULL AS has_features FROM {REPORT}", *REPORT_VIEWS),
         "report_findings": with_views(findings, *REPORT_VIEWS),
         "report_recommendations": with_views(recommendations, *REPORT_VIEWS),
+        "report_newest": with_views(
+            "SELECT s.dataset_id, total_rows, total_columns, p.run_id AS preparation_run_id, CAST(p.created_at AS VARCHAR) AS preparation_created_at, p.train_rows AS preparation_train_rows, p.test_rows AS preparation_test_rows, p.run_id IS NOT NULL AS has_preparation, "
+            "e.run_id AS experiment_run_id, CAST(e.created_at AS VARCHAR) AS experiment_created_at, round(e.best_score, 6) AS experiment_best_score, e.run_id IS NOT NULL AS has_experiment FROM v_dataset_sizes AS s "
+            + " ".join(f"LEFT JOIN (SELECT * FROM v_{v} QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, run_id DESC) = 1) AS {a} ON {a}.dataset_id = s.dataset_id" for v, a in (("dataset_preparation", "p"), ("dataset_experiments", "e"))),
+            "dataset_sizes", "dataset_preparation", "dataset_experiments"),
+        "report_experiment_models": with_views(f"WITH {ALL_RANKED} SELECT experiment_id, rank, model_id, model_name, status, 'f1' AS primary_metric, round(shown, 6) AS primary_metric_value, rank = 1 AND shown IS NOT NULL AS is_best FROM all_ranked", "trained_models"),
+        "report_experiment_importances": with_views(
+            f"WITH {ALL_RANKED}, i AS (SELECT experiment_id, model_name, feature_name, importance_value, row_number() OVER (PARTITION BY experiment_id ORDER BY importance_value DESC, feature_name) AS position "
+            "FROM all_ranked JOIN v_model_importances USING (model_id) WHERE rank = 1 AND shown IS NOT NULL) SELECT experiment_id, model_name, position, feature_name, round(importance_value, 6) AS importance_value FROM i WHERE position <= 2",
+            "trained_models", "model_importances"),
         "report_experiment": with_views(f"WITH {EXPERIMENTS} SELECT experiment_id, dataset_id, models_trained, best_model_name, best_feature_count, round(best_score, 6) AS best_score, total_rows FROM report", "trained_models", "dataset_sizes"),
         "report_experiment_findings": with_views(f"WITH {EXPERIMENTS} {exp_findings}", "trained_models", "dataset_sizes"),
         "report_experiment_recommendations": with_views(f"WITH {EXPERIMENTS} {exp_recs}", "trained_models", "dataset_sizes"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, fold_nan, safe_double
-from tabulon.operators import clean, counts, evaluate, explain, features, prepare, profile, quality, report, runlog, score, selection, split, train
+from tabulon.operators import clean, counts, evaluate, explain, features, prepare, profile, quality, replay, report, runlog, score, selection, split, train
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.plans.views import table, view
 from tabulon.session import stage_dir
@@ -715,11 +715,18 @@ def train_all(spark, sf):
 
 @register
 def eval_replay(spark, sf):
+    """Stored models measured again: reloaded, written back, and the same as after training."""
     ready = _stored(spark, _prepared_parts(spark, sf))
-    experiment = train.run_experiment(ready, "p_retailprice", "regression", "replayed", ["LinearRegression", "DecisionTreeRegressor"])
-    again = train.replay(ready, experiment)
+    experiment = train.run_experiment(ready, "p_retailprice", "regression", "replayed")
+    folder, paths = f"{stage_dir(spark, 'models')}/{uuid.uuid4().hex}", {}
+    for name, fitted in experiment.models.items():
+        paths[name] = f"{folder}/{name}"
+        sinks.save_model(spark, fitted, paths[name])
+    again = replay.replay_stored(ready, "p_retailprice", experiment.results, paths, "regression", f"{folder}/evaluations")
     before = experiment.results.select("model_name", F.col("r2").alias("trained_r2"))
-    return again.join(before, "model_name").select("model_name", "evaluation_status", "primary_metric", "primary_metric_value", "trained_r2")
+    return again.evaluations.join(before, "model_name").select(
+        "model_name", "evaluation_status", "primary_metric", "primary_metric_value", "trained_r2", (F.col("model_name") == again.best_model).alias("is_best")
+    )
 
 
 def _scored_orders(spark, sf, name="LogisticRegression"):
@@ -830,7 +837,8 @@ def eval_latest(spark, sf):
 @register
 def eval_compare(spark, sf):
     ranked = evaluate.compare_models(
-        view(spark, sf, "trained_models").drop("created_at"), view(spark, sf, "model_evaluations"), "classification", by=["experiment_id"]
+        view(spark, sf, "trained_models").drop("created_at"), view(spark, sf, "model_evaluations"), "classification", by=["experiment_id"],
+        stored_best=view(spark, sf, "stored_best"),
     )
     return rounded(ranked.select(
         "experiment_id", "model_id", "model_name", "status", "evaluation_status", F.col("rank").cast("bigint").alias("rank"), "primary_metric_value", "is_best"
@@ -860,12 +868,34 @@ def report_recommendations(spark, sf):
     return report.dataset_recommendations(_dataset_report(spark, sf))
 
 
-def _experiment_report(spark, sf) -> DataFrame:
+@register
+def report_newest(spark, sf):
+    """Preparation and last experiment of each dataset, the newest run of several."""
+    v = lambda name: view(spark, sf, name)
+    return rounded(report.dataset_report(v("dataset_sizes"), preparation=v("dataset_preparation"), experiments=v("dataset_experiments")))
+
+
+def _ranked_models(spark, sf) -> DataFrame:
     # failed models count, but have no metrics
     known = F.col("status") == "trained"
     models = view(spark, sf, "trained_models").withColumns({c: F.when(known, F.col(c)) for c in ("f1", "accuracy")})
     ranked = evaluate.rank_models(models, "classification", by=["experiment_id"], tie_break=["model_id"])
-    ranked = ranked.select("*", F.lit("f1").alias("primary_metric"), F.col("f1").alias("primary_metric_value"))
+    return ranked.select("*", F.lit("f1").alias("primary_metric"), F.col("f1").alias("primary_metric_value"))
+
+
+@register
+def report_experiment_models(spark, sf):
+    return rounded(report.experiment_models(_ranked_models(spark, sf)).withColumn("rank", F.col("rank").cast("bigint")))
+
+
+@register
+def report_experiment_importances(spark, sf):
+    models = report.experiment_models(_ranked_models(spark, sf))
+    return rounded(report.experiment_importances(models, view(spark, sf, "model_importances"), top=2).withColumn("position", F.col("position").cast("bigint")))
+
+
+def _experiment_report(spark, sf) -> DataFrame:
+    ranked = _ranked_models(spark, sf)
     experiments = table(spark, sf, "orders").select(F.col("o_orderkey").alias("experiment_id"), F.col("o_custkey").alias("dataset_id"))
     return report.experiment_report(experiments, ranked, view(spark, sf, "dataset_sizes"))
 

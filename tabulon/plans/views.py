@@ -106,6 +106,18 @@ VIEWS = {
                CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS rows_after,
                CAST(sum(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing_values_handled
         FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 300000""",
+    # several runs of a stage per dataset, some on one day
+    "dataset_preparation": """
+        SELECT o_custkey AS dataset_id, o_orderkey AS run_id, o_orderdate AS created_at, o_orderkey * 8 AS train_rows, o_orderkey * 2 AS test_rows
+        FROM orders WHERE o_orderkey % 2 = 0""",
+    "dataset_experiments": """
+        SELECT o_custkey AS dataset_id, o_orderkey AS run_id, o_orderdate AS created_at, o_totalprice / CAST(1000000 AS DOUBLE) AS best_score
+        FROM orders WHERE o_orderkey % 3 = 0""",
+    "stored_best": "SELECT o_orderkey AS experiment_id, o_orderkey * 10 + 1 AS best_model_id FROM orders WHERE o_orderkey % 4 = 0",
+    "model_importances": """
+        SELECT l_orderkey * 10 + l_linenumber AS model_id, 'amount' AS feature_name, max(l_quantity) AS importance_value FROM lineitem GROUP BY l_orderkey, l_linenumber
+        UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'rate', max(l_discount) * CAST(300 AS DOUBLE) FROM lineitem GROUP BY l_orderkey, l_linenumber
+        UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'duty', max(l_discount) * CAST(300 AS DOUBLE) FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "dataset_features": """
         SELECT o_custkey AS dataset_id, CAST(count(*) * 9 AS BIGINT) AS columns_after,
                CAST(count(*) * 4 AS BIGINT) AS features_added, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS features_removed
