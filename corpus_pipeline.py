@@ -21,9 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, unchanged; null and empty texts are scored like others."""
+    """Documents that the quality classifier accepts (a score of 0.5 or more), unchanged; null and empty texts are scored too."""
     weights = quality_ftrl.fit_on_labels(docs, read(spark, sf_dir, "labels"))
-    return quality_ftrl.classify(docs, weights, 0.7, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
+    return quality_ftrl.classify(docs, weights, 0.5, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

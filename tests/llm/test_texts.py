@@ -28,6 +28,15 @@ def test_article_text(spark):
     assert got == {(1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain < text & more", 19)}
 
 
+def test_containers_and_copies(spark):
+    inner = '<div id="page"><header>Site</header><div class="post-content main"><header>x</header><p>own text</p><ul class="share-links"><li>tw</li></ul></div><p>loose</p></div>'
+    main = "<header>Top</header><main><p>in main</p><section class='reader-comments'><p>c</p></section></main>"
+    both = "<main><p>around</p><article><header><h1>Title</h1></header><p>in article</p></article></main>"
+    same = "<p>line a</p><p>line b</p>"
+    got = extracted(spark, [(1, "http://h/1", inner), (2, "http://h/2", main), (3, "http://h/3", both), (4, "http://k/1", same), (5, "http://k/1", same)])
+    assert {(i, t) for i, t, _ in got} == {(1, "own text"), (2, "in main"), (3, "Title in article"), (4, "line a line b"), (5, "line a line b")}
+
+
 def test_lines_shared_with_the_nearest_page_go(spark):
     page = lambda *own: PAGE.format(body="<div>Every page says this</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>And that</div>")
     rows = [(1, "http://h/de/1", page("first", "both")), (2, "http://h/de/2", page("second")), (3, "http://g/de/1", page("alone")), (3, "http://g/de/1", page("alone"))]
