@@ -79,9 +79,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def stage_dir(spark: SparkSession, name: str) -> str:
     """A folder for written stage tables below the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    path = os.path.join(ensure_checkpoint_dir(spark), name)
+    _written.append(path)
+    return path
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Remove the tables that this session wrote below the checkpoint folder; results that were not written elsewhere are lost."""
+    for path in _written:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    _written.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -90,7 +103,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     For tables that several jobs read: the plan runs once, and later reads take only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_dir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tabulon.session import local_session  # noqa: E402
+from tabulon.session import clear_intermediates, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     session = local_session(4, "tests", memory="4g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    clear_intermediates(session)
     session.stop()
 
 
