@@ -404,6 +404,14 @@ def evaluation_sql() -> dict[str, str]:
         "train_problem_type": union(
             [f"SELECT '{c}' AS target, count(DISTINCT {c}) AS distinct_count, CASE WHEN count(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END AS problem_type FROM part" for c in ("p_partkey", "p_size", "p_retailprice")]
             + ["SELECT 'p_brand', count(DISTINCT p_brand), 'classification' FROM part"]),
+        "sink_roundtrip": with_views("SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(mostly_missing, 6) AS mostly_missing, CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM v_orders_dirty", "orders_dirty"),
+        "parameter_roundtrip": union(f"SELECT '{c}' AS column_name, round(median({c}), 4) AS median, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS scale FROM part" for c in ("p_size", "p_retailprice")),
+        "prep_refusals": with_views(
+            "SELECT 'valid' AS case_name, false AS refused, count(*) AS row_count, count(o_orderstatus) AS supervised_rows FROM v_orders_dirty "
+            "UNION ALL SELECT unnest(['unknown_target', 'empty_target', 'share_too_large', 'too_few_rows']), true, NULL, NULL", "orders_dirty"),
+        "train_refusals": with_views(
+            "WITH t AS (SELECT o_orderkey % 5 = 0 AS test FROM v_orders_dirty WHERE o_orderstatus IS NOT NULL) SELECT unnest(['no_split', 'no_target', 'one_class']) AS case_name, true AS refused, (SELECT count(*) FROM t) AS row_count "
+            "UNION ALL SELECT 'no_test_rows', true, count(*) FILTER (NOT test) FROM t UNION ALL SELECT 'no_train_rows', true, count(*) FILTER (test) FROM t", "orders_dirty"),
         "score_linear": "SELECT p_partkey, round(regr_slope(p_retailprice, p_size) OVER () * p_size + regr_intercept(p_retailprice, p_size) OVER (), 3) AS prediction FROM part",
         "replay_linear": "SELECT 'LinearRegression' AS model_name, 'completed' AS evaluation_status, round(regr_r2(p_retailprice, p_size), 6) AS r2, count(*) AS rows FROM part",
         "explain_slopes": "SELECT 'p_size' AS feature_name, round(abs(regr_slope(p_retailprice, p_size)), 6) AS importance_value, CAST(1 AS DOUBLE) AS normalized_importance, 'linear' AS importance_type FROM part",

@@ -589,6 +589,58 @@ def prep_stats(spark, sf):
     return prepare.prepare(df, TARGET, key=KEY).stats.select(*[F.col(c).cast("bigint").alias(c) for c in prepare.STATS_SCHEMA.fieldNames()])
 
 
+@register
+def sink_roundtrip(spark, sf):
+    """The dirty orders as a stage table, read back."""
+    path = sinks.write_stage(view(spark, sf, "orders_dirty"), stage_dir(spark, "sinks"), "orders")
+    return rounded(spark.read.parquet(path))
+
+
+@register
+def parameter_roundtrip(spark, sf):
+    """Numeric parameters of all parts, stored and loaded."""
+    fitted = prepare.fit(table(spark, sf, "part").select("p_size", "p_retailprice", "p_brand"), "p_brand")
+    path = f"{stage_dir(spark, 'parameters')}/{uuid.uuid4().hex}"
+    sinks.save_parameters(spark, fitted, path)
+    rows = [(p.column, float(p.median), float(p.mean), float(p.scale)) for p in sinks.load_parameters(spark, path).numeric]
+    return rounded(spark.createDataFrame(rows, "column_name string, median double, mean double, scale double"), 4)
+
+
+@register
+def prep_refusals(spark, sf):
+    """Which requests for a preparation are refused, and the sizes of the one that is not."""
+    orders = view(spark, sf, "orders_dirty")
+    cases = {
+        "valid": (orders, TARGET, 0.2), "unknown_target": (orders, "nowhere", 0.2), "empty_target": (orders, "all_null", 0.2),
+        "share_too_large": (orders, TARGET, 0.9), "too_few_rows": (orders.limit(3), "o_orderkey", 0.2),
+    }
+    out = []
+    for name, (df, target, share) in cases.items():
+        try:
+            out.append((name, False, *prepare.validate(df, target, share)))
+        except prepare.PreparationError:
+            out.append((name, True, None, None))
+    return spark.createDataFrame(out, "case_name string, refused boolean, row_count long, supervised_rows long")
+
+
+@register
+def train_refusals(spark, sf):
+    """Which prepared tables are refused for training."""
+    tagged = supervised(spark, sf).select(F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("train").alias(split.SPLIT), "o_custkey", TARGET)
+    cases = {
+        "no_split": tagged.drop(split.SPLIT), "no_test_rows": tagged.filter(F.col(split.SPLIT) == "train"), "no_target": tagged.drop(TARGET),
+        "no_train_rows": tagged.filter(F.col(split.SPLIT) == "test"), "one_class": tagged.withColumn(TARGET, F.lit("P")),
+    }
+    out = []
+    for name, df in cases.items():
+        try:
+            train.run_experiment(df, TARGET, model_names=["DecisionTreeClassifier"])
+            out.append((name, False, df.count()))
+        except train.ExperimentError:
+            out.append((name, True, df.count()))
+    return spark.createDataFrame(out, "case_name string, refused boolean, row_count long")
+
+
 # -- training, scoring, explanation -----------------------------------------
 
 
