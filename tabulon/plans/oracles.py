@@ -357,10 +357,15 @@ def preparation_sql() -> dict[str, str]:
         "prep_scale": v(f"SELECT o_orderkey, {scaled('o_totalprice', 'o_totalprice')}, {scaled('o_custkey', 'o_custkey')}, {scaled('CAST(is_big AS INTEGER)', 'is_big')} FROM tagged"),
         "prep_impute_categorical": v(f"SELECT o_orderkey, coalesce(o_orderpriority, {mode_of('o_orderpriority', 'train')}) AS o_orderpriority FROM tagged"),
         "prep_one_hot": v(f"SELECT o_orderkey, {one_hot} FROM tagged"),
-        "prep_ml_ready": v(f"SELECT side, {scaled('o_orderkey', 'o_orderkey')}, {scaled('o_totalprice', 'o_totalprice')}, "
-                           "CAST(CASE WHEN near_const = 'rare' THEN 1 ELSE 0 END AS DOUBLE) AS near_const_rare, CAST(CASE WHEN near_const = 'usual' THEN 1 ELSE 0 END AS DOUBLE) AS near_const_usual, o_orderstatus FROM tagged"),
+        "prep_ml_ready": v("SELECT side, o_orderstatus, " + ", ".join(
+            [scaled(e, c).replace(", 6) AS", ", 5) AS") for c, e in (
+                ("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_totalprice", "o_totalprice"), ("o_orderdate", "epoch(o_orderdate)"),
+                ("is_big", "CAST(is_big AS INTEGER)"), ("mostly_missing", "mostly_missing"))]
+            + [f"CAST(CASE WHEN coalesce({c}, {mode_of(c, 'train')}) = '{x}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{c}_{x}\"" for c, values in (
+                ("o_orderpriority", ["  ", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]), ("near_const", ["rare", "usual"]), ("const_col", ["x"]))
+               for x in values]) + " FROM tagged"),
         "prep_stats": v("SELECT (SELECT count(*) FROM v_orders_dirty) AS rows_before, count(*) AS rows_after, count(*) FILTER (WHERE side = 'train') AS train_rows, count(*) FILTER (WHERE side = 'test') AS test_rows, "
-                        "CAST(3 AS BIGINT) AS original_feature_count, CAST(4 AS BIGINT) AS processed_feature_count, CAST(2 AS BIGINT) AS numeric_column_count, CAST(1 AS BIGINT) AS categorical_column_count FROM tagged"),
+                        "CAST(10 AS BIGINT) AS original_feature_count, CAST(15 AS BIGINT) AS processed_feature_count, CAST(7 AS BIGINT) AS numeric_column_count, CAST(3 AS BIGINT) AS categorical_column_count FROM tagged"),
     }
 
 

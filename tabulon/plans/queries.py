@@ -577,16 +577,15 @@ def prep_one_hot(spark, sf):
 
 @register
 def prep_ml_ready(spark, sf):
-    """The prepared table of three inputs: side, scaled and one-hot features, target."""
-    df = view(spark, sf, "orders_dirty").select("o_orderkey", "o_totalprice", "near_const", TARGET)
-    ready = prepare.prepare(df, TARGET, key=KEY).data
-    return rounded(ready.withColumnRenamed(split.SPLIT, "side"))
+    """Every column of the dirty orders, prepared."""
+    ready = prepare.prepare(view(spark, sf, "orders_dirty"), TARGET, key=KEY).data
+    return rounded(ready.withColumnRenamed(split.SPLIT, "side"), 5)
 
 
 @register
 def prep_stats(spark, sf):
-    df = view(spark, sf, "orders_dirty").select("o_orderkey", "o_totalprice", "near_const", TARGET)
-    return prepare.prepare(df, TARGET, key=KEY).stats.select(*[F.col(c).cast("bigint").alias(c) for c in prepare.STATS_SCHEMA.fieldNames()])
+    stats = prepare.prepare(view(spark, sf, "orders_dirty"), TARGET, key=KEY).stats
+    return stats.select(*[F.col(c).cast("bigint").alias(c) for c in prepare.STATS_SCHEMA.fieldNames()])
 
 
 @register
