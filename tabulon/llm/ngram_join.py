@@ -13,9 +13,10 @@ from tabulon.llm.common import in_pieces, in_python, pack_strings, slices, sum_p
 from tabulon.llm.components import connected_components
 from tabulon.llm.texthash import distinct_per_text, lower_ascii, mix, prefix_hash, shingles, span_hash, words
 
-SLICE = 2_000_000
-SKETCH_BITS = 20  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
+SLICE = 1_000_000
+SKETCH_BITS = 21  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
 SUFFIX_PARTS = 64
+PARITY = ["p0", "p1", "p2", "p3"]  # 256 bits: whether a hash range holds an odd number of n-grams
 FILTER_BITS = 21  # size of the filter of documents whose sets are wanted; a fuller filter only sends more sets
 
 
@@ -38,9 +39,11 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: ``doc_id, n, hi, lo, parts`` per document, and the frequency class of each sketch counter.
+    """One pass over the texts: ``doc_id, n, hi, lo, parts, p0 .. p3`` per document, and the frequency class of each sketch counter.
 
-    ``hi, lo`` identify the set, ``parts`` counts its hashes in 64 ranges.
+    ``hi, lo`` identify the set, ``parts`` counts its hashes in 64 ranges, ``p0 .. p3`` are the parities of the counts
+    in 256 ranges.  Every n-gram that only one of two sets has changes one parity, so sets differ at least as much as
+    their parities.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,14 +57,19 @@ def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 hi, lo = (_sums(x, cuts).view(np.int64) for x in (mix(h + np.uint64(11)), mix(h ^ np.uint64(0x5BD1E995))))
             ranges = np.bincount(owner * SUFFIX_PARTS + (h & np.uint64(SUFFIX_PARTS - 1)).astype(np.int64), minlength=len(part) * SUFFIX_PARTS)
             ranges = np.minimum(ranges, 255).astype(np.uint8).reshape(len(part), SUFFIX_PARTS)
-            yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n": n, "hi": hi, "lo": lo, "parts": [r.tobytes() for r in ranges], "piece": -1, "counts": None})
+            odd = np.bincount(owner * 256 + (h >> np.uint64(6) & np.uint64(255)).astype(np.int64), minlength=len(part) * 256).reshape(len(part), 256) & 1
+            parity = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+            yield pd.DataFrame({
+                "doc_id": part.doc_id.to_numpy(), "n": n, "hi": hi, "lo": lo, "parts": [r.tobytes() for r in ranges],
+                **{c: parity[:, i] for i, c in enumerate(PARITY)}, "piece": -1, "counts": None,
+            })
         out = in_pieces(sketch)
-        yield out.assign(doc_id=None, n=0, hi=0, lo=0, parts=None)[["doc_id", "n", "hi", "lo", "parts", "piece", "counts"]]
+        yield out.assign(doc_id=None, n=0, hi=0, lo=0, parts=None, p0=0, p1=0, p2=0, p3=0)[["doc_id", "n", "hi", "lo", "parts", *PARITY, "piece", "counts"]]
 
-    made = written(in_python(docs, run, "doc_id long, n long, hi long, lo long, parts binary, piece int, counts binary"), "ngram_sets")
+    made = written(in_python(docs, run, "doc_id long, n long, hi long, lo long, parts binary, p0 long, p1 long, p2 long, p3 long, piece int, counts binary"), "ngram_sets")
     counts = sum_pieces(made.filter("piece >= 0").select("piece", "counts"), 1 << SKETCH_BITS)
     classes = np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint8)
-    return made.filter("piece < 0").select("doc_id", "n", "hi", "lo", "parts"), classes
+    return made.filter("piece < 0").select("doc_id", "n", "hi", "lo", "parts", *PARITY), classes
 
 
 def _in_order(h: np.ndarray, owner: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +203,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     stars = shared.select(F.col("doc_id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     star_pairs = written(between_classes(stars), "ngram_stars")
-    one = about.join(equal.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "parts").dropDuplicates(["doc_id"])
+    one = about.join(equal.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "parts", *PARITY).dropDuplicates(["doc_id"])
     one = written(one, "ngram_representatives")
     edges = _verify(rows, one, star_pairs, width, percent)
     same = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -204,13 +212,16 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         parts.select(F.col("node").alias("doc_id"), "component"), "doc_id").join(equal, "doc_id")
     located = written(located.groupBy("token", "rep", "n", "pos").agg(F.min("component").alias("component")), "ngram_located")
     mixed = located.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    open_groups = located.join(mixed, "token")
-    x = open_groups.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    y = open_groups.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - F.lit(1e-9))
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    open_groups = located.join(mixed, "token").join(one.select(F.col("doc_id").alias("rep"), *PARITY), "rep")
+    x, y = (open_groups.select("token", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"pos{c}"), F.col("component").alias(f"component{c}"),
+                               *[F.col(p).alias(f"{p}{c}") for p in PARITY]) for c in "ab")
+    both = F.col("na") + F.col("nb")
+    least = F.ceil(percent * both / (100 + percent) - F.lit(1e-9))  # smallest intersection of similar sets
+    room = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) + F.least("posa", "posb")
+    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0))
     across = (
-        x.join(y, "token").filter((F.col("ca") < F.col("cb")) & _length_fits("na", "nb", percent) & (room >= least))
+        x.join(y, "token")
+        .filter((F.col("componenta") < F.col("componentb")) & _length_fits("na", "nb", percent) & (room >= least) & (differ <= both - 2 * least))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     late = _verify(rows, one, across.join(star_pairs, ["a", "b"], "left_anti"), width, percent)
