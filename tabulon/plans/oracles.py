@@ -513,7 +513,9 @@ def source_sql() -> dict[str, str]:
         "parquet_scan_all": "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else f"CAST({c} AS VARCHAR) AS {c}" if c.endswith("date") else c for c in LINE_COLUMNS) + " FROM lineitem",
         "parquet_scan": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice, CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem WHERE l_quantity > 45",
         "shape": "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem",
-        "csv_scan": with_views("SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, near_const, all_null FROM v_orders_dirty", "orders_dirty"),
+        "csv_scan": with_views(
+            "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate, o_orderstatus, "
+            "CASE WHEN is_big THEN 'true' WHEN NOT is_big THEN 'false' END AS is_big, near_const, const_col, round(mostly_missing, 6) AS mostly_missing, all_null FROM v_orders_dirty", "orders_dirty"),
         "read_dispatch": with_views("SELECT count(*) AS row_count, count(o_totalprice) AS prices, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM v_orders_dirty", "orders_dirty"),
         "na_fold": with_views("SELECT CASE WHEN amount = 'unknown' THEN NULL ELSE amount END AS amount, customer, plain FROM v_raw_inputs", "raw_inputs"),
         "type_inference": with_views(

@@ -73,15 +73,12 @@ def split_scan(spark, sf):
 
 def _csv_orders(spark, sf) -> str:
     """The dirty orders written as delimited text."""
-    path = f"{stage_dir(spark, 'csv')}/orders_{uuid.uuid4().hex}.csv"
-    text = view(spark, sf, "orders_dirty").select("o_orderkey", "o_totalprice", "o_orderpriority", "near_const", "all_null")
-    text.write.option("header", True).csv(path)
-    return path
+    return sinks.write_stage(view(spark, sf, "orders_dirty"), stage_dir(spark, "csv"), "orders", "csv")
 
 
 @register
 def csv_scan(spark, sf):
-    return rounded(readers.read_csv(spark, _csv_orders(spark, sf)).select("o_orderkey", "o_totalprice", "near_const", "all_null"))
+    return rounded(readers.read_csv(spark, _csv_orders(spark, sf)))
 
 
 @register

@@ -37,6 +37,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     """
     reader = (
         spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("inferSchema", False)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _MALFORMED).option("columnPruning", False)
     )
     names = schema.fieldNames() if schema is not None else reader.csv(path).columns

@@ -31,7 +31,9 @@ def write_stage(df: DataFrame, folder: str, stage: str, fmt: str = "parquet", ru
         # the two sides are read separately ever after
         writer = writer.partitionBy(SPLIT)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        # blanks are values: the writer would trim them
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(header=True, escape='"', **keep).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
