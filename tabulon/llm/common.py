@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +25,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 1000  # texts are long: batches of Spark's default size would hold tens of megabytes twice over
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """This package on the workers, and Arrow batches of moderate size unless the session sets their size itself."""
+    ship_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and again, and share a limit with their executor."""
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_python(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInPandas`` on workers that have this package."""
-    ship_package(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    """``mapInPandas`` on prepared workers."""
+    prepare_workers(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInPandas(run, schema)
+
+
+def per_group(function):
+    """A function of one group that gives memory back after each."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return function(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def per_pair(function):
+    """A function of two cogroups that gives memory back after each."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+
+    return run
 
 
 PIECES = 16

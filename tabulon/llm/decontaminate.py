@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import in_pieces, in_python, pack_strings, slices, sum_pieces, texts
 from tabulon.llm.texthash import lower_ascii, prefix_hash, span_hash, words
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 SLOTS = 1 << 18  # term slots of the frequency table; words share a slot only by chance
 SEED = 11
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import in_python, shuffle_tasks, texts, written
 
-CACHED_WORDS = 250_000  # a worker remembers the ids of so many words, and of as many that it met before those
+CACHED_WORDS = 120_000  # a worker remembers the ids of so many words, and of as many that it met before those
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

@@ -10,13 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, pack_strings, slices, texts, written
+from tabulon.llm.common import in_python, pack_strings, per_group, prepare_workers, slices, texts, written
 from tabulon.llm.texthash import lower_ascii, mix, prefix_hash, span_hash, words
-from tabulon.session import ship_package
 
 BITS = 18
 BIAS = 0
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def _class_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, member: np.ndarray) -> np.ndarray:
@@ -144,7 +143,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     sample = written(
         rows.filter(spread < int(share * (1 << 20))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int")), "quality_sample"
     )
-    ship_package(spark)
+    prepare_workers(spark)
     size = 1 << s.bits
     state = State(np.zeros(size), np.zeros(size))
     for _ in range(s.rounds):
@@ -164,7 +163,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
             return pd.DataFrame({"slots": [used.astype("<i4").tobytes()], "z": [mine.z[used].tobytes()], "n": [mine.n[used].tobytes()]})
 
         z, n = np.zeros(size), np.zeros(size)
-        shards = sample.groupBy("shard").applyInPandas(train, "slots binary, z binary, n binary").collect()
+        shards = sample.groupBy("shard").applyInPandas(per_group(train), "slots binary, z binary, n binary").collect()
         for r in shards:
             used = np.frombuffer(r["slots"], "<i4")
             z[used] += np.frombuffer(r["z"])

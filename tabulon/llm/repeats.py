@@ -22,9 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import buckets_for, in_python, pack_strings, slices, texts, written
+from tabulon.llm.common import buckets_for, in_python, pack_strings, per_group, per_pair, prepare_workers, slices, texts, written
 from tabulon.llm.texthash import mix, prefix_hash, span_hash
-from tabulon.session import ship_package
 
 GRAM = 20  # longer ones mean more anchors, shorter ones more chance agreement that has to be looked into
 NO_ID = np.iinfo(np.int64).max  # a document without id comes after all others
@@ -35,7 +34,7 @@ class Sizes:
     """``chunk``: bytes of text that are looked at together.  The other two decide which way the windows of an anchor are
     compared, not what is found: an anchor with more distinct blocks in a chunk, or in all, is split by window."""
 
-    chunk: int = 2_000_000
+    chunk: int = 1_000_000
     blocks_here: int = 4
     blocks: int = 64
 
@@ -479,7 +478,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
     very many contexts is asked about window by window, which spreads it over all buckets.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     carry = carry or []
     rest = F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}) if carry else F.lit("{}")
     chunks = text_chunks(docs.withColumn("_rest", rest), sizes)
@@ -488,15 +487,15 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
 
     asked = in_python(chunks.select("chunk", "ids", "ends", "data"), lambda batches: _send_entries(batches, size, buckets, sizes),
                       "bucket int, chunk long, gram binary, block binary, doc binary, many binary")
-    first = written(asked.groupBy("bucket").applyInPandas(lambda g: _answer_entries(g, sizes), answer), "repeat_blocks")
+    first = written(asked.groupBy("bucket").applyInPandas(per_group(lambda g: _answer_entries(g, sizes)), answer), "repeat_blocks")
     text = chunks.groupBy("chunk")
     contexts = text.cogroup(first.groupBy("chunk")).applyInPandas(
-        lambda left, right: _send_contexts(left, right, size, buckets, sizes),
+        per_pair(lambda left, right: _send_contexts(left, right, size, buckets, sizes)),
         "bucket int, chunk long, key binary, check binary, length binary, doc binary, data binary")
-    second = written(contexts.groupBy("bucket").applyInPandas(lambda g: _answer_contexts(g, size), answer), "repeat_windows")
+    second = written(contexts.groupBy("bucket").applyInPandas(per_group(lambda g: _answer_contexts(g, size)), answer), "repeat_windows")
     both = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
     done = text.cogroup(both.groupBy("chunk")).applyInPandas(
-        lambda left, right: _finish(left, right, size, sizes),
+        per_pair(lambda left, right: _finish(left, right, size, sizes)),
         "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest string")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else "none string"
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID)))).withColumn("rest", F.from_json("rest", fields)).select(

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.session import ship_package
+from tabulon.llm.common import per_group, prepare_workers
 
 CANDIDATES_PER_BLOCK = 8192  # rows whose sorted lists one step of a task holds
 START_DEPTH = 16
@@ -130,8 +130,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: i
             out = [(int(query_ids[i]), vec, -low) for i, found in enumerate(best) for low, vec in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    ship_package(both.sparkSession)
-    found = both.groupBy("grp", "blk").applyInPandas(search, "query_id long, vec_id long, score long")
+    prepare_workers(both.sparkSession)
+    found = both.groupBy("grp", "blk").applyInPandas(per_group(search), "query_id long, vec_id long, score long")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
