@@ -289,21 +289,17 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(counts, capacity)
     table = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 6)
-    low = np.searchsorted(table[:, 0], np.arange(capacity + 2))
-    runs = spark.sparkContext.broadcast((table, low))
+    runs = spark.sparkContext.broadcast((table, table[:, 0] << 48 | table[:, 1]))
     shift = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.select("length", "_b", shift.alias("_shift"))
     local = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")) - 1
     numbered = fixed.withColumn("_i", local).join(shifts, ["length", "_b"]).withColumn("_i", F.col("_i") + F.col("_shift")).drop("_shift", "_b")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, low = runs.value
+        table, key = runs.value  # a run is found by length and number of its first item
         for batch in batches:
             length, item = batch["length"].to_numpy(np.int64), batch["_i"].to_numpy(np.int64)
-            at = np.zeros(len(batch), dtype=np.int64)
-            for n in np.unique(length):
-                mine = length == n
-                at[mine] = low[n] + np.searchsorted(table[low[n] : low[n + 1], 1], item[mine], side="right") - 1
+            at = np.searchsorted(key, length << 48 | item, side="right") - 1
             _, first_item, _, first, per, offset = table[at].T
             within = item - first_item
             yield batch.drop(columns="_i").assign(sequence_id=first + within // per, offset=offset + (within % per) * length)
