@@ -154,8 +154,11 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
             order = np.argsort(mix(group.doc_id.fillna(-1).to_numpy(np.int64).view(np.uint64)), kind="stable")
             group = group.iloc[order]
             labels = group.label.to_numpy(float)
-            row, slot, value = features(texts(group.text), s.bits)
-            cuts = np.searchsorted(row, np.arange(len(group) + 1))
+            parts = [features(texts(part.text), s.bits) for part in slices(iter([group]), "text", SLICE)]  # whole texts, some at a time
+            sizes = np.concatenate([np.bincount(row) for row, _, _ in parts])  # every text has the bias, so none is empty
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            slot, value = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            del parts
             for _ in range(s.passes):
                 for i in range(len(group)):
                     mine.learn(slot[cuts[i] : cuts[i + 1]], value[cuts[i] : cuts[i + 1]], labels[i], s)
