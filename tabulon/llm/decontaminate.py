@@ -24,7 +24,7 @@ class Settings:
     """Parameters of the search.
 
     ``passage``: words per passage for document frequencies; ``window, stride``: the windows of a document that are
-    searched; ``rank, extra, powers``: of the randomised SVD; ``cosine``: least similarity of a candidate; ``share``:
+    searched; ``rank, extra, powers``: of the randomised SVD (a block with more items has their number as rank); ``cosine``: least similarity of a candidate; ``share``:
     least part of an item's words that must follow in order; ``with_answer``: least part if the answer is there too;
     ``block``: items per block (each block has its own index, so the tasks' share of the benchmark is bounded).
     """
@@ -38,7 +38,7 @@ class Settings:
     cosine: float = 0.45
     share: float = 0.8
     with_answer: float = 0.65
-    block: int = 4096
+    block: int = 256
     min_words: int = 5
 
 
@@ -90,15 +90,15 @@ def _rows(column: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors of the TF-IDF matrix of ``items`` (``text``): used slots, and one row of weights per slot.
+def randomised_svd(items: DataFrame, idf: np.ndarray, s: Settings, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rank`` right singular vectors of the TF-IDF matrix of ``items`` (``text``): used slots, and one row of weights per slot.
 
     The range of the matrix is found with a random test matrix and ``powers`` power steps.  Tasks hold the rows;
     between steps only products of the size slots-in-use x rank are added up.
     """
     spark = items.sparkSession
     column = items.select("text")
-    width = s.rank + s.extra
+    width = rank + s.extra
     idf_shared = spark.sparkContext.broadcast(idf)
 
     def slots_used(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +141,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, s: Settings) -> tuple[np.n
         basis, _ = np.linalg.qr(times(basis))
     inner = basis.T @ times(basis)  # Q^T A^T A Q: its eigenvectors turn Q into singular vectors
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
-    keep = np.argsort(value)[::-1][: s.rank]
+    keep = np.argsort(value)[::-1][:rank]
     keep = keep[value[keep] > 1e-9 * max(value.max(), 1e-300)]
     return used, basis @ vector[:, keep]
 
@@ -174,6 +174,8 @@ def _answer_start(text: str, answer: str | None) -> int:
 def build_indexes(docs: DataFrame, benchmark: DataFrame, s: Settings) -> list[Index]:
     """Frequencies over all documents, then an index for each block of items (``item_id, text`` and optionally ``answer``).
 
+    A block's rank is never below its number of items: with fewer dimensions than items even an item's own copy has a
+    cosine of about sqrt(rank / items) in the latent space.
     Items with fewer than ``min_words`` words (null and empty ones too) identify nothing and are left out.
     """
     extra = [F.col("answer")] if "answer" in benchmark.columns else [F.lit(None).cast("string").alias("answer")]
@@ -183,8 +185,9 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, s: Settings) -> list[In
     out = []
     for number in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        used, vectors = randomised_svd(block, idf, s)
-        rows = [r for r in block.collect() if len(term_hashes([r["text"]])[0]) >= s.min_words]  # at most about `block` items
+        every = block.collect()  # about `block` items
+        used, vectors = randomised_svd(block, idf, s, max(s.rank, len(every)))
+        rows = [r for r in every if len(term_hashes([r["text"]])[0]) >= s.min_words]
         if not rows:
             continue
         row_of = np.full(SLOTS, -1, dtype=np.int64)

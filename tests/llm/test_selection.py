@@ -143,6 +143,19 @@ def test_latent_candidates_recall(spark, leaks):
     assert near > 5 and latent >= 0.9 * near
 
 
+def test_every_item_finds_itself_among_many(spark):
+    """More distinct items than the rank: the latent space still holds each of them, and whole copies are found."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    items = [(i, " ".join(rng.sample(words, rng.randint(15, 59)))) for i in range(1000)]
+    planted = {i: 25 * i for i in range(40)}
+    docs = [(i, " ".join(rng.choices(words, k=80)) + "\n" + (items[planted[i]][1] if i in planted else "") + " " + " ".join(rng.choices(words, k=80))) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.build_indexes(d, b, decontaminate.Settings())
+    assert min(np.linalg.norm(x.item_latent, axis=0).min() for x in index) > 0.98
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, index).collect()) == sorted(planted.items())
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
