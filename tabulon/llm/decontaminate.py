@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_pieces, in_python, pack_strings, slices, sum_pieces, texts
+from tabulon.llm.common import cut, in_pieces, in_python, pack_strings, slices, sum_pieces, texts
 from tabulon.llm.texthash import lower_ascii, prefix_hash, span_hash, words
 
 SLICE = 1_000_000
@@ -24,7 +24,8 @@ class Settings:
     """Parameters of the search.
 
     ``passage``: words per passage for document frequencies; ``window, stride``: the windows of a document that are
-    searched; ``rank, extra, powers``: of the randomised SVD (a block with more items has their number as rank); ``cosine``: least similarity of a candidate; ``share``:
+    searched (a half and a quarter of both for items that are no longer); ``min_words``: shorter items are searched as
+    exact sequences; ``rank, extra, powers``: of the randomised SVD (a block with more items has their number as rank); ``cosine``: least similarity of a candidate; ``share``:
     least part of an item's words that must follow in order; ``with_answer``: least part if the answer is there too;
     ``block``: items per block (each block has its own index, so the tasks' share of the benchmark is bounded).
     """
@@ -52,6 +53,27 @@ def term_hashes(column: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(data), start, end), text
 
 
+def window_words(count: int, s: Settings) -> int:
+    """Words of the windows in which a text of ``count`` words is searched: the least of a quarter, half and whole window that holds it."""
+    return next((w for w in (s.window // 4, s.window // 2) if w >= count), s.window)
+
+
+def parts_of(text: str, s: Settings) -> list[tuple[int, str]]:
+    """(window, text) of the parts by which an item is searched: itself up to one and a half windows, else passages of a window each.
+
+    In a window of w words, an item of n > w words has a cosine of about sqrt(w / n) at most, so long ones are divided.
+    The last passage ends with the item.  Items with fewer than ``min_words`` words have none.
+    """
+    raw, ends = pack_strings([text])
+    start, end, _ = words(lower_ascii(np.frombuffer(raw, dtype=np.uint8)), ends, marks_divide=True)
+    if len(start) < s.min_words:
+        return []
+    if len(start) <= s.window * 3 // 2:
+        return [(window_words(len(start), s), text)]
+    begins = [*range(0, len(start) - s.window, s.window), len(start) - s.window]
+    return [(s.window, raw[start[b] : end[b + s.window - 1]].decode("utf-8", "surrogatepass")) for b in begins]
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
@@ -147,18 +169,29 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, s: Settings, rank: int) ->
 
 
 @dataclass
-class Index:
-    """What tasks need of one block of items."""
+class Items:
+    """Whole items, in the order of their keys."""
 
+    keys: list[int]
     ids: list
-    items: list[list[int]]  # word hashes of each item
-    sorted_items: list[np.ndarray]  # the same without repeats, in order
+    copies: list[int]  # equal rows of the benchmark
+    words: list[list[int]]  # word hashes of each item
+    sorted_words: list[np.ndarray]  # the same without repeats, in order
     answers: list[int]  # where the answer's words begin
-    idf: np.ndarray
-    row_of: np.ndarray  # slot -> row of the arrays below, or -1
-    latent: np.ndarray  # singular vectors by row
-    item_latent: np.ndarray  # rank x items
-    most: np.ndarray  # per row, the most it can add to any item's similarity
+
+
+@dataclass
+class Index:
+    """What tasks need of one block of parts of items; without latent arrays it is searched for exact sequences."""
+
+    window: int
+    items: Items  # those that have parts in the block
+    part_of: np.ndarray  # item of each part
+    idf: np.ndarray | None = None
+    row_of: np.ndarray | None = None  # slot -> row of the arrays below, or -1
+    latent: np.ndarray | None = None  # singular vectors by row
+    item_latent: np.ndarray | None = None  # rank x parts
+    most: np.ndarray | None = None  # per row, the most it can add to any part's similarity
 
 
 def _answer_start(text: str, answer: str | None) -> int:
@@ -171,34 +204,64 @@ def _answer_start(text: str, answer: str | None) -> int:
     return len(term_hashes([head])[0])
 
 
+def _whole(rows: list, s: Settings) -> Items:
+    rows = sorted(rows, key=lambda r: r["key"])
+    hashes = [term_hashes([r["text"]])[0] for r in rows]
+    return Items([r["key"] for r in rows], [r["item_id"] for r in rows], [r["copies"] for r in rows], [h.tolist() for h in hashes],
+                 [np.unique(h) for h in hashes], [_answer_start(r["text"], r["answer"]) for r in rows])
+
+
 def build_indexes(docs: DataFrame, benchmark: DataFrame, s: Settings) -> list[Index]:
     """Frequencies over all documents, then an index for each block of items (``item_id, text`` and optionally ``answer``).
 
-    A block's rank is never below its number of items: with fewer dimensions than items even an item's own copy has a
-    cosine of about sqrt(rank / items) in the latent space.
-    Items with fewer than ``min_words`` words (null and empty ones too) identify nothing and are left out.
+    Long items are indexed as passages of a window, which are dealt to the blocks one by one; items that a quarter or half
+    of a window holds have blocks of their own, whose windows are that short.  Items of up to a quarter of a window are
+    also searched as exact sequences, and those with fewer than ``min_words`` words only so.  Items without words (null
+    and empty ones too) identify nothing and are left out.
+    A block's rank is never below its number of parts: with fewer dimensions than parts even an item's own copy has a
+    cosine of about sqrt(rank / parts) in the latent space.
     """
     extra = [F.col("answer")] if "answer" in benchmark.columns else [F.lit(None).cast("string").alias("answer")]
     items = benchmark.select("item_id", "text", *extra).filter("text is not null")
+    items = cut(items.groupBy("item_id", "text", "answer").agg(F.count(F.lit(1)).alias("copies"))
+                .select(F.xxhash64("item_id", "text", "answer").alias("key"), "item_id", "text", "answer", "copies"))
     idf = inverse_frequencies(docs, s)
-    blocks = max(1, -(-items.count() // s.block))
+    short = s.window // 4
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, item, text in zip(batch["key"], batch.item_id, batch.text):
+                rows += [(key, item, n, window, part) for n, (window, part) in enumerate(parts_of(text, s))]
+                if 0 < len(term_hashes([text])[0]) <= max(short, s.min_words - 1):
+                    rows.append((key, item, 0, 0, text))
+            yield pd.DataFrame(rows, columns=["key", "item_id", "number", "window", "text"]).astype({"key": "int64", "number": "int32", "window": "int32"})
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    parts = cut(in_python(items.select("key", "item_id", "text"), divide, f"key long, item_id {kind}, number int, window int, text string"))
+    sizes = {r["window"]: r["count"] for r in parts.groupBy("window").count().collect()}
     out = []
-    for number in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        every = block.collect()  # about `block` items
-        used, vectors = randomised_svd(block, idf, s, max(s.rank, len(every)))
-        rows = [r for r in every if len(term_hashes([r["text"]])[0]) >= s.min_words]
-        if not rows:
-            continue
-        row_of = np.full(SLOTS, -1, dtype=np.int64)
-        row_of[used] = np.arange(len(used))
-        latent = vectors.astype(np.float32)
-        tfidf = _rows([r["text"] for r in rows], idf)
-        item_latent = np.stack([weight.astype(np.float32) @ latent[row_of[slot]] for slot, weight in tfidf], axis=1)
-        most = np.concatenate([np.abs(latent[i : i + 256] @ item_latent).max(axis=1) for i in range(0, len(latent), 256)])
-        out.append(Index([r["item_id"] for r in rows], [term_hashes([r["text"]])[0].tolist() for r in rows],
-                         [np.unique(term_hashes([r["text"]])[0]) for r in rows],
-                         [_answer_start(r["text"], r["answer"]) for r in rows], idf.astype(np.float32), row_of, latent, item_latent, most))
+    for window in sorted(sizes, reverse=True):
+        blocks = -(-sizes[window] // s.block)
+        for number in range(blocks):
+            block = parts.filter((F.col("window") == window) & (F.pmod(F.xxhash64("key", "number"), F.lit(blocks)) == number))
+            rows = sorted(block.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["key"], r["number"]))  # about `block` parts
+            if not rows:
+                continue
+            whole = _whole(items.join(F.broadcast(block.select("key").distinct()), "key", "left_semi").collect(), s)
+            place = {key: i for i, key in enumerate(whole.keys)}
+            part_of = np.array([place[r["key"]] for r in rows], dtype=np.int64)
+            if not window:
+                out.append(Index(0, whole, part_of))
+                continue
+            used, vectors = randomised_svd(block, idf, s, max(s.rank, len(rows)))
+            row_of = np.full(SLOTS, -1, dtype=np.int32)
+            row_of[used] = np.arange(len(used))
+            latent = vectors.astype(np.float32)
+            tfidf = _rows([r["text"] for r in rows], idf)
+            item_latent = np.stack([weight.astype(np.float32) @ latent[row_of[slot]] for slot, weight in tfidf], axis=1)
+            most = np.concatenate([np.abs(latent[i : i + 256] @ item_latent).max(axis=1) for i in range(0, len(latent), 256)])
+            out.append(Index(window, whole, part_of, idf.astype(np.float32), row_of, latent, item_latent, most))
     return out
 
 
@@ -214,68 +277,106 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def find(column: list[str], index: Index, s: Settings) -> list[tuple[int, int, float, float, bool]]:
-    """(text number, item number, cosine, share of the item's words in order, answer found) of contaminated texts."""
-    h, text = term_hashes(column)
-    if not len(h):
-        return []
+def _latent_candidates(h: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, s: Settings) -> Iterator[tuple[int, int, int, float]]:
+    """(text number, item of the index, begin of the window, cosine) of windows that are near enough to a part."""
+    window, stride = index.window, max(1, s.stride * index.window // s.window)
     slot = _slot(h)
     idf = index.idf[slot].astype(np.float64)
     row = index.row_of[slot]
     gain = np.where(row >= 0, idf * index.most[row], 0.0)
-    low = np.searchsorted(text, np.arange(len(column)))
-    high = np.searchsorted(text, np.arange(len(column)), side="right")
-    count = np.maximum(1, -(-(high - low - s.window) // s.stride) + 1) * (high > low)
-    owner = np.repeat(np.arange(len(column)), count)
-    begin = low[owner] + s.stride * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
-    end = np.minimum(begin + s.window, high[owner])
+    count = np.maximum(1, -(-(high - low - window) // stride) + 1) * (high > low)
+    owner = np.repeat(np.arange(len(low)), count)
+    begin = low[owner] + stride * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+    end = np.minimum(begin + window, high[owner])
     energy, bound = (np.concatenate([[0.0], np.cumsum(x)]) for x in (idf * idf, gain))
     norm = np.sqrt(np.maximum(energy[end] - energy[begin], 1e-12))
-    # no item can be more similar than the sum of the most that each word adds
+    # no part can be more similar than the sum of the most that each word adds
     alive = np.flatnonzero((bound[end] - bound[begin]) >= s.cosine * norm * (1 - 1e-6))
-    candidates: dict[tuple[int, int], tuple[float, list[int]]] = {}
     for at in range(0, len(alive), 512):
         part = alive[at : at + 512]
-        place = begin[part][:, None] + np.arange(s.window)[None, :]
+        place = begin[part][:, None] + np.arange(window)[None, :]
         inside = place < end[part][:, None]
         place = np.minimum(place, len(h) - 1)
         weight = np.where(inside & (row[place] >= 0), idf[place], 0.0).astype(np.float32)
         mapped = np.einsum("nw,nwr->nr", weight, index.latent[np.maximum(row[place], 0)], optimize=True)
         cosine = (mapped @ index.item_latent) / norm[part][:, None]
         for i, j in zip(*np.nonzero(cosine >= s.cosine)):
-            key = (int(owner[part[i]]), int(j))
-            known = candidates.get(key, (0.0, []))
-            candidates[key] = (max(known[0], float(cosine[i, j])), known[1] + [int(begin[part[i]])])
+            yield int(owner[part[i]]), int(index.part_of[j]), int(begin[part[i]]), float(cosine[i, j])
+
+
+def _sequence_keys(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place on."""
+    n = max(0, len(h) - size + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return out
+
+
+def _exact_candidates(h: np.ndarray, text: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, float]]:
+    """The same for items that stand in a text word by word."""
+    by_size: dict[int, dict[int, list[int]]] = {}
+    for item in index.part_of.tolist():
+        wanted = np.array(index.items.words[item], dtype=np.uint64)
+        by_size.setdefault(len(wanted), {}).setdefault(int(_sequence_keys(wanted, len(wanted))[0]), []).append(item)
+    for size, known in by_size.items():
+        keys = _sequence_keys(h, size)
+        for at in np.flatnonzero(np.isin(keys, np.array(list(known), dtype=np.uint64))).tolist():
+            if text[at] == text[at + size - 1]:
+                for item in known[int(keys[at])]:
+                    if h[at : at + size].tolist() == index.items.words[item]:
+                        yield int(text[at]), item, at, 1.0
+
+
+def find(column: list[str], indexes: list[Index], s: Settings) -> list[tuple[int, int, float, float, bool]]:
+    """(text number, item id, cosine, share of the item's words in order, answer found) of contaminated texts.
+
+    Candidates of all indexes are put together first, because the passages of an item may lie in several.
+    """
+    h, text = term_hashes(column)
+    if not len(h):
+        return []
+    low = np.searchsorted(text, np.arange(len(column)))
+    high = np.searchsorted(text, np.arange(len(column)), side="right")
+    candidates: dict[tuple[int, int], list] = {}  # (text, key of the item) -> cosine, items, item, {begin: end}
+    for index in indexes:
+        near = _latent_candidates(h, low, high, index, s) if index.window else _exact_candidates(h, text, index)
+        for doc, item, begin, cosine in near:
+            known = candidates.setdefault((doc, index.items.keys[item]), [0.0, index.items, item, {}])
+            known[0] = max(known[0], cosine)
+            end = begin + (index.window or len(index.items.words[item]))
+            known[3][begin] = max(known[3].get(begin, 0), end)
     found = []
-    for (doc, item), (cosine, starts) in candidates.items():
-        wanted = index.items[item]
+    for (doc, _), (cosine, items, item, windows) in candidates.items():
+        wanted, known = items.words[item], items.sorted_words[item]
+        answer = wanted[items.answers[item] :]
         reach = len(wanted) + len(wanted) // 4 + s.stride
         best, answered, covered = 0.0, False, low[doc] - 1
-        for start in sorted(starts):
-            if start + s.window + reach <= covered:
+        for start, end in sorted(windows.items()):
+            if end + reach <= covered:
                 continue
-            covered = min(high[doc], start + s.window + 2 * reach)
+            covered = min(high[doc], end + 2 * reach)
             region = h[max(low[doc], start - reach) : covered]
-            known = index.sorted_items[item]
             place = np.minimum(np.searchsorted(known, region), len(known) - 1)
             region = region[known[place] == region].tolist()  # other words cannot follow in order
             if len(region) < min(s.share, s.with_answer) * len(wanted):
                 continue
             share = common_subsequence(wanted, region) / len(wanted)
-            answer = wanted[index.answers[item] :]
             has = bool(answer) and common_subsequence(answer, region) == len(answer)
             if share > best or (share == best and has):
                 best, answered = share, has
+        if len(wanted) < s.min_words and best < 1:
+            continue
         if best >= s.share or (best >= s.with_answer and answered):
-            found.append((doc, item, cosine, best, answered))
+            found += [(doc, items.ids[item], cosine, best, answered)] * items.copies[item]
     return found
 
 
 def contaminated(docs: DataFrame, indexes: list[Index], s: Settings = Settings()) -> DataFrame:
     """``doc_id, item_id, cosine, share, has_answer``: every document and the benchmark items it repeats or paraphrases.
 
-    Whole texts are searched in windows.  A window is a candidate for an item if their cosine in the latent space is
-    high enough; then the item's words must follow in order around the window up to ``share``, or up to
+    Whole texts are searched in windows.  A window is a candidate for an item if the cosine to one of its parts in the
+    latent space is high enough, or if a short item stands there word by word; then the item's words must follow in order around the window up to ``share``, or up to
     ``with_answer`` where the whole answer (by default the last sentence) is there in order as well.  Null and empty
     texts match nothing; repeated rows give repeated results; without items or documents there are no rows.
     """
@@ -284,7 +385,7 @@ def contaminated(docs: DataFrame, indexes: list[Index], s: Settings = Settings()
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text", SLICE):
             column, ids = texts(part.text), part.doc_id.tolist()
-            rows = [(ids[d], x.value.ids[i], c, share, has) for x in shared for d, i, c, share, has in find(column, x.value, s)]
+            rows = [(ids[d], i, c, share, has) for d, i, c, share, has in find(column, [x.value for x in shared], s)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "share", "has_answer"])
 
     return in_python(docs.select("doc_id", "text"), run, "doc_id long, item_id long, cosine double, share double, has_answer boolean")
@@ -298,8 +399,7 @@ def clean(docs: DataFrame, indexes: list[Index], s: Settings = Settings()) -> Da
         for part in slices(batches, "text", SLICE):
             column = texts(part.text)
             keep = np.ones(len(part), dtype=bool)
-            for x in shared:
-                keep[[d for d, *_ in find(column, x.value, s)]] = False
+            keep[[d for d, *_ in find(column, [x.value for x in shared], s)]] = False
             yield part[keep]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

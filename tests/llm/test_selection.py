@@ -156,6 +156,26 @@ def test_every_item_finds_itself_among_many(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, index).collect()) == sorted(planted.items())
 
 
+def test_long_and_short_items_are_found(spark):
+    """Copies of items of any length, whole and with a fifth of the words replaced, and of fewer than five words."""
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    sizes = [1, 2, 4, 5, 6, 8, 9, 12, 16, 17, 33, 49, 64, 120, 300, 1000, 3000]
+    items = [(i, " ".join(f"only{i}" if n == 1 else w for w in rng.sample(words, n))) for i, n in enumerate(sizes)]
+    fill = lambda: " ".join(rng.choices(words, k=90))
+    docs, planted = [(0, fill()), (1, fill())], []
+    for i, (item, text) in enumerate(items):
+        changed = [rng.choice(words) if n % 5 == 2 else w for n, w in enumerate(text.split())]
+        docs += [(10 + i, f"{fill()} {text} {fill()}"), (100 + i, f"{fill()} {' '.join(changed)} {fill()}"), (200 + i, f"{fill()} {' gap '.join(text.split())} {fill()}")]
+        kept = np.mean([x == y for x, y in zip(changed, text.split())])
+        planted += [(10 + i, item)] + ([(100 + i, item)] if kept >= (0.8 if sizes[i] >= 5 else 1) else []) + ([(200 + i, item)] if sizes[i] == 1 else [])
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items + [(500, "..."), (501, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, decontaminate.build_indexes(d, b, decontaminate.Settings())).collect())
+    spread = {(200 + i, i) for i in range(len(sizes)) if sizes[i] >= 5}  # every second word is another: may or may not be near enough
+    assert sorted(set(got) - spread) == sorted(planted)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
