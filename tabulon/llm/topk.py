@@ -51,7 +51,7 @@ class SortedLists:
         n = len(self.ids)
         used = np.flatnonzero(query)
         if not len(used):  # all scores are zero: the smallest ids
-            return sorted(best + [(0, int(i)) for i in self.ids[: k + 1] if i != query_id])[:k]
+            return sorted(best + [(0, int(i)) for i in self.ids[self.ids != query_id][:k]])[:k]
         up = query[used] > 0
         simple = self.most * float(np.abs(query).max()) * len(query) < 2**53
         weight = query.astype(np.float64) if simple else query
@@ -65,14 +65,15 @@ class SortedLists:
             fresh &= ~seen
             seen |= fresh
             at = np.flatnonzero(fresh)
+            at = at[self.ids[at] != query_id]  # before the cut: rows of the query's own id may repeat
             if len(at):
                 scores = (self.exact[at] @ weight).astype(np.int64) if simple else self.rows[at] @ query
                 keep = np.ones(len(at), dtype=bool)
                 if len(best) >= k:
                     keep = scores >= -best[-1][0]
-                elif len(at) > k + 1:
-                    keep = scores >= np.partition(scores, len(at) - k - 1)[len(at) - k - 1]
-                best = sorted(best + [(-int(s), int(i)) for s, i in zip(scores[keep], self.ids[at][keep]) if i != query_id])[:k]
+                elif len(at) > k:
+                    keep = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+                best = sorted(best + [(-int(s), int(i)) for s, i in zip(scores[keep], self.ids[at][keep])])[:k]
             if depth >= n:
                 return best
             if len(best) >= k:

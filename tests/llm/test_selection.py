@@ -65,6 +65,15 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df, "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("query", [[3, 1], [0, 0]])
+def test_top_k_with_repeated_rows_of_the_query(query):
+    """Several rows with the query's own id take no places of its neighbours."""
+    ids = np.array([0] * 5 + list(range(1, 13)))
+    rows = np.array([[9, 9]] * 5 + [[i % 7, 1] for i in range(1, 13)])
+    got = topk.SortedLists(ids, rows).top(0, np.array(query), 4, [])
+    assert got == sorted((-int(np.dot(query, r)), int(i)) for i, r in zip(ids, rows) if i != 0)[:4]
+
+
 def test_quality_learns_from_training_rows_only(spark):
     rng = random.Random(3)
     docs, labels = [], []
