@@ -44,18 +44,58 @@ def canonical_spelling(url: Column) -> Column:
     return F.concat(F.regexp_replace(host_of(url), r"^(www|m)\.", ""), path)
 
 
+def _decoded(text: Column) -> Column:
+    """Character references with a semicolon replaced: numbers, and the five names that every attribute may need."""
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);", 1)
+        digits = F.when(ref.rlike("^#[xX]"), F.substring(ref, 3, 6)).otherwise(F.conv(F.substring(ref, 2, 7), 10, 16))
+        code = F.conv(digits, 16, 10).cast("long")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(ref == "", None)
+        for name, value in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            char = char.when(ref == name, value)
+        char = char.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        return F.coalesce(F.concat(char, F.substring(p, F.length(ref) + 3, F.length(p))), p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments carried out."""
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s)))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an address: relative to the scheme, host, folder or path of the page's ``url``; empty stays empty."""
+    origin = F.regexp_extract(url, r"^((?s:.*?)://[^/?#]*)", 1)
+    own, path = path_of(url), F.regexp_extract(target, r"^[^?#]*", 0)
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
+    folder = F.when(own.contains("/"), F.regexp_replace(own, r"[^/]*$", "")).otherwise(F.lit("/"))
+    tail = F.regexp_extract(target, r"^[^?#]*((?s:.*))$", 1)
+    return (
+        F.when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^((?s:.*?))://", 1), F.lit(":"), target))
+        .when(target.startswith("#"), F.concat(origin, own, query, target))
+        .when(target.startswith("?"), F.concat(origin, own, target))
+        .otherwise(F.concat(origin, _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), tail))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Redirect and canonical-link edges ``source, target`` that the pages themselves declare.
 
     ``<link rel="canonical" href>``, ``<meta http-equiv="refresh" content="0; url=...">``, and the usual
     redirect to the canonical spelling of an address (given as ``canonical:`` plus the spelling).
-    Relative targets are resolved against the page's host.
+    Character references in targets are decoded and relative targets are resolved against the page's address.
     """
     tag = lambda pattern: F.regexp_extract("html", pattern, 1)
     link = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
     known = pages.filter(host_of(F.col("url")) != "")
-    absolute = lambda to: F.when(to.startswith("/") & ~to.startswith("//"), F.concat(F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1), to)).otherwise(to)
+    absolute = lambda to: resolved(_decoded(to), F.col("url"))
     targets = F.array(
         absolute(tag(link)), absolute(tag(refresh)), F.concat(F.lit("canonical:"), canonical_spelling(F.col("url")))
     )

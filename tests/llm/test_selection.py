@@ -42,6 +42,21 @@ def test_links_declared_by_pages(spark):
     assert got == {("http://s.net/p?q", t) for t in ("http://s.net/canon", "http://o.net/t", "canonical:s.net/p")}
 
 
+def test_relative_links_are_resolved_against_the_page(spark):
+    link = lambda href: f'<link rel="canonical" href="{href}">'
+    cases = [("http://a.net/x/p", "index.html", "http://a.net/x/index.html"), ("http://b.net/x/p", "index.html", "http://b.net/x/index.html"),
+             ("http://c.net/x/p?q", "?p=1&amp;r=2", "http://c.net/x/p?p=1&r=2"), ("https://d.net/1", "//e.net/2", "https://e.net/2"),
+             ("http://f.net", "a/./b?c=../d", "http://f.net/a/b?c=../d"), ("http://g.net/a/b/c", "../../../d/..", "http://g.net/"),
+             ("http://h.net/a", "http://i.net/&#233;&#x2F;&lt", "http://i.net/\u00e9/&lt"), ("http://j.net/a#x", "/k&#x110000;", "http://j.net/k&#x110000;")]
+    pages = spark.createDataFrame([(i, u, link(h)) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {(r["source"], r["target"]) for r in url_filter.page_links(pages).collect() if not r["target"].startswith("canonical:")}
+    assert got == {(u, t) for u, _, t in cases}
+    rows = [(0, "http://a.com/de/p", link("index.html")), (1, "http://b.net/p", link("index.html"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, RULES, url_filter.page_links(pages)).collect()}
+    assert verdicts == {0: "block", 1: "allow"}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=6)], "extra") for i in range(600)]
