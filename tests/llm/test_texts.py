@@ -37,6 +37,22 @@ def test_containers_and_copies(spark):
     assert {(i, t) for i, t, _ in got} == {(1, "own text"), (2, "in main"), (3, "Title in article"), (4, "line a line b"), (5, "line a line b")}
 
 
+@pytest.mark.parametrize("body, text", [
+    ('<article class="post no-sidebar"><p>kept</p></article>', "kept"),
+    ('<article class="post side-left">a<aside>x</aside></article>', "a"),
+    ('<div class="content has-comments"><p>kept</p><div class="comment-list">x</div><div class="reader-comments">x</div></div>', "kept"),
+    ('<main class="side-left"><p>kept</p><div id="comment-12">x</div></main>', "kept"),
+    ('<article><h1 class="entry-header">Head</h1><div class="article-header">Intro</div><p>kept</p><p class="entry-footer">x</p></article>', "Head Intro kept"),
+    ('<div class="post-content"><h1 class="entry-header">Head</h1><div class="site-header">x</div><p>kept</p></div>', "Head kept"),
+    ('<div class="sidebar-content">x</div><div id="main-header">x</div><div class="comment content">x</div><p class="no-ads">kept</p>', "kept"),
+    ('<article class="comment">x</article><p class="hidden">x</p><p class="alert-free">kept</p>', "kept"),
+])
+def test_names_drop_only_what_they_name(body, text):
+    blocks = html_text.page_blocks(body)
+    own = max(zone for zone, _ in blocks)
+    assert " ".join(line for zone, line in blocks if zone == own) == text
+
+
 def test_lines_shared_with_the_nearest_page_go(spark):
     page = lambda *own: PAGE.format(body="<div>Every page says this</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>And that</div>")
     rows = [(1, "http://h/de/1", page("first", "both")), (2, "http://h/de/2", page("second")), (3, "http://g/de/1", page("alone")), (3, "http://g/de/1", page("alone"))]
