@@ -114,4 +114,95 @@ SELECT f.doc_id, f.path, coalesce(own.license, dirs.license) AS license, coalesc
 FROM files f LEFT JOIN own ON f.path = own.path LEFT JOIN dirs ON regexp_replace(f.path, '/[^/]*$', '') = dirs.dir
 """.replace("{templates}", ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))).replace("{signal}", licenses.SIGNAL)
 
-SQL = {"op1_url_filter": OP1, "op4_exact_top_k": OP4, "op6_license_scan": OP6, "op7_ngram_jaccard": OP7, "op10_chat_format": OP10}
+def _clustering(rounds: int = 5, k: int = 40) -> str:
+    """Lloyd's algorithm with every round written out; a mean's floor is that of an exact integer quotient."""
+    steps = ["""
+e AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(CAST(c AS DOUBLE)))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j, v FROM e
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) <= {k})""".format(k=k)]
+    distance = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT vec_id, v, j, CAST(d AS BIGINT) AS d FROM (SELECT row, vec_id, e.v AS v, c.j, {distance} AS d
+                                   FROM (SELECT row_number() OVER () AS row, * FROM e) e, c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, j) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT j, i, sum(x) AS s, count(*) AS n
+        FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, i) GROUP BY j),
+c{r + 1} AS (SELECT c.j, list_transform(coalesce(m.v, c.v), lambda x: CAST(x AS BIGINT)) AS v FROM c{r} c LEFT JOIN m{r} m ON c.j = m.j)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j
+"""
+
+
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v
+        FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+         translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+kinds AS (SELECT doc, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY doc, run),
+bytes AS (
+  SELECT doc, run, times,
+         flatten(list_transform(string_split(doc || ':' || run, ''),
+                 lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS b
+  FROM kinds),
+hashed AS (
+  SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM bytes, crc_table),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT times, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word
+        FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, n, i, left(word, CAST(i - 1 AS INTEGER)) || substr(word, CAST(i + 1 AS INTEGER)) AS rest FROM places),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+judged AS (
+  SELECT w.word, CASE WHEN m >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+follow(word, last, step) AS (
+  SELECT word, word, 0 FROM judged
+  UNION ALL SELECT f.word, j.form, step + 1 FROM follow f JOIN judged j ON f.last = j.word WHERE j.form IS NOT NULL)
+SELECT j.word, form, root, n, n_near, form_n
+FROM judged j JOIN (SELECT word, arg_max(last, step) AS root FROM follow GROUP BY word) r ON j.word = r.word
+"""
+
+OP13 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+starts AS (SELECT row, doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS s FROM d),
+windows AS (SELECT row, coalesce(doc_id, 9223372036854775807) AS doc, s, array_to_string(ws[s:s + 19], ' ') AS w FROM starts),
+repeated AS (
+  SELECT row, s FROM (SELECT row, s, doc > min(doc) OVER (PARTITION BY w) OR s > min(s) OVER (PARTITION BY w, row) AS again FROM windows) WHERE again),
+gone AS (SELECT row, list_distinct(flatten(list(range(s, s + 20)))) AS places FROM repeated GROUP BY row),
+marked AS (SELECT d.row, doc_id, ws, places FROM d LEFT JOIN gone g ON d.row = g.row),
+kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS t FROM (SELECT row, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) x
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT row, unnest(places) AS i FROM gone) g WHERE g.row = x.row AND g.i = x.i) GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM marked m LEFT JOIN kept k ON m.row = k.row
+"""
+
+SQL = {
+    "op1_url_filter": OP1, "op4_exact_top_k": OP4, "op6_license_scan": OP6, "op7_ngram_jaccard": OP7, "op10_chat_format": OP10,
+    "op11_centroid_clustering": _clustering(), "op12_spelling_variants": OP12, "op13_substring_dedup": OP13,
+}

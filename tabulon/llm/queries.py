@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, decontaminate, html_text, licenses, ngram_join, packing, quality_ftrl, repeats, topk, url_filter
+from tabulon.llm import (
+    centroids, chat, decontaminate, html_text, licenses, ngram_join, packing, quality_ftrl, repeats, spelling, topk, url_filter, word_windows,
+)
 from tabulon.llm.common import read
 
 RULES = [
@@ -87,6 +89,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.union(probe)))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = centroids.cluster_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=40, rounds=5, width=64, scale=256, seed=2)
+    return centroids.with_inertia(done)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), min_length=7, min_count=2, ratio=10)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows.remove_repeated_windows(read(spark, sf_dir, "documents"), 20).drop("kept")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -98,4 +113,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
 }

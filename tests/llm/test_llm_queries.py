@@ -31,7 +31,7 @@ def test_removed_bytes_of_the_whole_table(spark, sf):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, sf):
