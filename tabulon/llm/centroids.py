@@ -17,15 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, shuffle_tasks, written
-from tabulon.session import stage_dir
+from tabulon.llm.common import BucketedTables, in_python, written
 
 BLOCK_ROWS = 1024  # vectors whose heaps are kept together
-BLOCKS_PER_BUCKET = 16
-MOST_BUCKETS = 50_000
 LARGEST = 1 << 27  # of a scaled component: squared distances of up to 256 such components stay within 64 bits
 SLACK = 1e-12  # relative error allowed for in square roots and their sums
 
@@ -64,23 +61,6 @@ def _blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame
             })
 
 
-class _Tables:
-    """Tables of one run, bucketed by block, so that vectors and heaps meet without a shuffle."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.names, self.buckets = spark, [], 1
-
-    def write(self, df: DataFrame, kind: str) -> DataFrame:
-        name = f"centroids_{kind}_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "block").sortBy("block").format("parquet").option("path", stage_dir(self.spark, name)).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
-
-    def forget(self) -> None:
-        for name in self.names:  # the files stay until the session's intermediates are cleared
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Exact squared distances: in doubles where every sum stays below 2**53, else in 64-bit integers, centroid by centroid."""
     most = max(int(np.abs(x).max(initial=0)), int(np.abs(centroids).max(initial=0)))
@@ -228,11 +208,9 @@ def cluster_vectors(df: DataFrame, key: str, vector: str, k: int = 40, rounds: i
     if not len(centroids):
         return Clustering(spark.createDataFrame([], "id long, cluster int, distance long"), centroids, [])
 
-    tables = _Tables(spark)
-    loose = written(in_python(kept, lambda b: _blocks(b, block_rows), "block long, n int, ids binary, no_id binary, vectors binary"), "centroid_blocks")
-    count = loose.count()
-    tables.buckets = min(MOST_BUCKETS, max(-(-count // BLOCKS_PER_BUCKET), min(count, shuffle_tasks(spark))))
-    blocks = tables.write(loose.repartition(tables.buckets, "block"), "blocks")
+    tables = BucketedTables(spark, "block")
+    packed = in_python(kept, lambda b: _blocks(b, block_rows), "block long, n int, ids binary, no_id binary, vectors binary")
+    blocks = tables.write(packed.repartition(tables.buckets, "block"), "centroid_blocks")
 
     drift = np.zeros(len(centroids))
     sums, sizes = np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64)
@@ -245,7 +223,7 @@ def cluster_vectors(df: DataFrame, key: str, vector: str, k: int = 40, rounds: i
 
     for _ in range(rounds):
         args = (centroids, drift, state is None)
-        state = tables.write(in_python(now(), lambda b, args=args: _round(b, *args), STATE), "heaps")
+        state = tables.write(in_python(now(), lambda b, args=args: _round(b, *args), STATE), "centroid_heaps")
         scanned.append(state.agg(F.sum("scanned")).first()[0])
         delta = state.select(F.explode("deltas").alias("d")).groupBy("d.cluster").agg(
             F.sum("d.n"), *[F.sum(F.col("d.total")[i]) for i in range(width)]).collect()

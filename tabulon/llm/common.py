@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.session import ensure_checkpoint_dir, materialise as written, ship_package
+from tabulon.session import ensure_checkpoint_dir, materialise as written, ship_package, stage_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,30 @@ def sum_pieces(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+class BucketedTables:
+    """Written tables of one run with the same buckets by the same column, so that joining or cogrouping them moves nothing.
+
+    There are as many buckets as the session has shuffle tasks; what a task holds at a time is a row or a group, not a bucket.
+    """
+
+    def __init__(self, spark: SparkSession, column: str):
+        self.spark, self.column, self.names = spark, column, []
+        self.buckets = min(50_000, shuffle_tasks(spark))
+
+    def write(self, df: DataFrame, kind: str) -> DataFrame:
+        name = f"{kind}_{uuid.uuid4().hex}"
+        rows = df.write.bucketBy(self.buckets, self.column).sortBy(self.column).format("parquet")
+        rows.option("path", stage_dir(self.spark, name)).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def forget(self) -> None:
+        """Take the names out of the catalog; the files stay until the session's intermediates are cleared."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,9 +20,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, pack_strings, per_group, per_pair, prepare_workers, slices, texts, written
+from tabulon.llm.common import BucketedTables, in_python, pack_strings, per_group, per_pair, prepare_workers, slices, texts, written
 from tabulon.llm.texthash import mix
 
+SPACES = [b" ", b"\t", b"\n", b"\v", b"\f", b"\r"]
 NO_ID = np.iinfo(np.int64).max  # a document without id comes after all others
 CHUNK = 4_000_000  # characters of text that are looked at together
 CELLS_PER_WINDOW = 4  # in each of the two rows: about 5 % of the single windows pass
@@ -50,22 +51,20 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def text_chunks(docs: DataFrame, chunk: int, size: int) -> DataFrame:
-    """Written table ``chunk, ids, ends, data, windows``: documents in rows of about ``chunk`` characters, and their number of windows."""
+def text_chunks(docs: DataFrame, chunk: int) -> DataFrame:
+    """``chunk, ids, ends, data, most``: documents in rows of about ``chunk`` characters, with a bound on the number of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text", chunk):
-            values = texts(part.text)
-            data, ends = pack_strings(values)
-            windows = sum(max(0, len(data[low:high].split()) - size + 1) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()))
+            data, ends = pack_strings(texts(part.text))
             yield pd.DataFrame({
                 "chunk": [uuid.uuid4().int >> 65], "ids": [part.doc_id.to_numpy(np.int64).tobytes()], "ends": [ends.tobytes()],
-                "data": [zstandard.compress(data, 3)], "windows": [windows],
+                "data": [zstandard.compress(data, 3)], "most": [sum(data.count(space) for space in SPACES) + len(part)],
             })
 
     # the id has to survive as a number, so null is replaced before Arrow makes it a double
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), "text")
-    return written(in_python(rows, run, "chunk long, ids binary, ends binary, data binary, windows long"), "window_chunks")
+    return in_python(rows, run, "chunk long, ids binary, ends binary, data binary, most long")
 
 
 class Chunk:
@@ -80,7 +79,7 @@ class Chunk:
         self.counts = np.array([len(w) for w in self.words], np.int64)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both halves of the fingerprint of every window, and its start, counted over all words of the chunk."""
+        """Two hashes of every window, and its start, counted over all words of the chunk."""
         starts = np.concatenate([[0], np.cumsum(self.counts)])
         flat = [w for words in self.words for w in words]
         place = np.concatenate([np.arange(s, s + max(0, n - size + 1)) for s, n in zip(starts, self.counts)]) if len(self.counts) else np.zeros(0, np.int64)
@@ -157,7 +156,7 @@ def _ask(left: pd.DataFrame, right: pd.DataFrame, size: int, width: int, parts:
         chunk = Chunk(row)
         high, low, place = chunk.windows(size)
         at = np.flatnonzero(_suspects(high, low, right, width, parts)) if len(place) else place
-        high, low, place = high[at], low[at], place[at]
+        high, low, place = high[at], low[at].astype(np.uint32), place[at]
         order = np.lexsort((place, low, high))  # places ascend with the document's id
         h, w, p = high[order], low[order], place[order]
         fresh = np.ones(len(order), bool)
@@ -181,7 +180,7 @@ def _range_starts(groups: int) -> np.ndarray:
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """For each window asked about: whether a smaller document has it."""
     high = np.concatenate([_unpacked(raw, np.uint64) for raw in group.high])
-    low = np.concatenate([np.frombuffer(raw, np.uint64) for raw in group.low])
+    low = np.concatenate([np.frombuffer(raw, np.uint32) for raw in group.low])
     doc = np.concatenate([np.frombuffer(zstandard.decompress(raw), np.int64) for raw in group.doc])
     order = np.lexsort((doc, low, high))
     h, w, d = high[order], low[order], doc[order]
@@ -233,14 +232,17 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, chunk: int = CHUNK)
     smaller doc_id, or further ahead in the same one.  Windows are judged on the given texts and overlap freely.  ``kept`` is
     the other words joined by one space.  A document without doc_id comes after all others; rows of one doc_id are documents
     each, neither smaller than the other.  Shorter texts lose nothing; an empty table gives no rows.  A very long text is a
-    chunk of its own.  Windows count as equal when 128 bits of hash agree.
+    chunk of its own.  Windows count as equal when 96 bits of hash agree.
 
+    Chunks are written once, bucketed, so that the texts themselves are never shuffled: only cells, suspects and answers are.
     A chunk sends each distinct cell and each distinct suspect once, so a passage that stands in a third of all documents
     costs its slice one entry per chunk.  Slices are ranges of hash values whose number follows the number of windows.
     """
-    prepare_workers(docs.sparkSession)
-    chunks = text_chunks(docs, chunk, size)
-    total = chunks.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    spark = docs.sparkSession
+    prepare_workers(spark)
+    tables = BucketedTables(spark, "chunk")
+    chunks = tables.write(text_chunks(docs, chunk), "window_chunks")
+    total = chunks.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
     parts = max(1, -(-CELLS_PER_WINDOW * total // SLICE_CELLS))
     width, groups = parts * SLICE_CELLS, max(1, total // SLICE_ENTRIES)
 
@@ -256,4 +258,5 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, chunk: int = CHUNK)
     both = answered.select("chunk", "grp", "n", "reply", nothing.alias("number"), nothing.alias("place")).union(own)
     done = text.cogroup(both.groupBy("chunk")).applyInPandas(
         per_pair(lambda left, right: _remove(left, right, size)), "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")
+    tables.forget()
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
