@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import written
+from tabulon.llm.common import shuffle_tasks, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "A-Za-zÀ-ÿ"
@@ -66,7 +66,8 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     vocabulary is the side that tasks hold, a partition each; the neighbourhoods, some 50 times as many, stream past it.
     """
     forms = words.withColumn("form", reduced(F.col("word"), symbols))
-    left = forms.select(F.col("word").alias("a"), F.col("n").alias("an"), "form", F.explode(neighbourhood("form", symbols)).alias("near"))
+    # a small file of words makes very many neighbours: spread it first
+    left = forms.repartition(shuffle_tasks(words.sparkSession), "word").select(F.col("word").alias("a"), F.col("n").alias("an"), "form", F.explode(neighbourhood("form", symbols)).alias("near"))
     left = left.select("a", "an", F.xxhash64("near").alias("key"), (F.col("near") == F.col("form")).alias("own"))
     right = forms.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.xxhash64("form").alias("key")).hint("shuffle_hash")
     # words with the same form meet in both orders
