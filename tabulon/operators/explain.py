@@ -3,20 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulon.operators.train import FittedModel
+from tabulon.operators.dictionary import Dictionary
+from tabulon.operators.train import FittedModel, Slots
 
 SCHEMA = "position int, feature_name string, importance_value double"
 
 
-def importance_table(spark: SparkSession, values: list[float], names: list[str] | None, kind: str) -> DataFrame:
-    """Values, their share of the total (0 if there is none) and rank from 1; ties keep feature order."""
-    names = names or []
-    rows = [(i, names[i] if i < len(names) else f"Feature_{i}", float(v)) for i, v in enumerate(values)]
+def importance_table(spark: SparkSession, values: list[float], names: list[str] | list[Slots] | None, kind: str) -> DataFrame:
+    """Values, their share of the total (0 if there is none) and rank from 1; ties keep feature order.
+
+    Entries that stand for the values of a dictionary get their names from its table, by a join.
+    """
+    slots = [(n, 1, "") if isinstance(n, str) else n for n in names or []]
+    given: list[str] = []
+    stored = []
+    for name, width, path in slots:
+        if path:
+            stored.append((len(given), name, Dictionary(name, path, width, 0)))
+        given += [name] * width
+    rows = pd.DataFrame({
+        "position": np.arange(len(values), dtype=np.int32),
+        "feature_name": [given[i] if i < len(given) else f"Feature_{i}" for i in range(len(values))],
+        "importance_value": np.asarray(values, dtype=np.float64),
+    })
     frame = spark.createDataFrame(rows, SCHEMA)
+    for start, column, known in stored:
+        # entries of a one-hot vector are called column_value
+        parts = known.table(spark).select((F.col("slot") + start).alias("position"), F.concat(F.lit(f"{column}_"), "value").alias("_name"))
+        frame = frame.join(parts, "position", "left").select("position", F.coalesce("_name", "feature_name").alias("feature_name"), "importance_value")
     total = float(sum(values))
     share = F.col("importance_value") / F.lit(total) if total > 0 else F.lit(0.0)
     # one row per feature of a model

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import CATEGORICAL, as_double, as_text, col, column_class, fold_nan
-from tabulon.operators.counts import cardinalities, modes, value_counts, value_text
-from tabulon.operators.features import category_tables
-from tabulon.operators.lookup import lookup
+from tabulon.operators import dictionary
+from tabulon.operators.dictionary import Dictionary
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.split import SPLIT, SplitResult, train_test_split
 from tabulon.operators.stats import aggregate_in_chunks
@@ -20,6 +19,7 @@ from tabulon.sources.infer import number_of_text
 
 COLUMNS, VECTOR = "columns", "vector"
 MIN_ROWS = 4
+MOST_COLUMNS = 10_000  # values of one column that "columns" spreads out, unless the caller says otherwise
 
 
 class PreparationError(ValueError):
@@ -39,14 +39,16 @@ class CategoricalParameter:
     column: str
     mode: str
     categories: list[str]
-    # set for columns that become one vector column: ``(value, n, label)``
-    table: DataFrame | None = None
-    width: int = 0
-    total: int = 0
+    # set for columns that become one vector column
+    dictionary: Dictionary | None = None
 
     @property
     def wide(self) -> bool:
-        return self.table is not None
+        return self.dictionary is not None
+
+    @property
+    def width(self) -> int:
+        return self.dictionary.width if self.wide else len(self.categories)
 
 
 @dataclass
@@ -124,40 +126,44 @@ def fit_numeric(train: DataFrame, cols: list[str]) -> list[NumericParameter]:
     return [NumericParameter(c, medians[c], row[f"mean:{i}"], row[f"scale:{i}"] or 1.0) for i, c in enumerate(known)]
 
 
-def fit_categorical(train: DataFrame, cols: list[str], one_hot: str | dict[str, str] = COLUMNS) -> list[CategoricalParameter]:
+def fit_categorical(train: DataFrame, cols: list[str], one_hot: str | dict[str, str] = COLUMNS, most_columns: int = MOST_COLUMNS) -> list[CategoricalParameter]:
     """Training mode and sorted categories.
 
-    ``one_hot`` says how a column is laid out, for all columns or by name: "columns" (a column per value, whose names
-    come to the driver) or "vector" (one sparse vector column, whose values stay in a table).
+    ``one_hot`` says how a column is laid out, for all columns or by name: "columns" (a column per value, whose names come
+    to the driver; more than ``most_columns`` values are refused before any is fetched) or "vector" (one sparse vector
+    column, whose values stay in a dictionary table).
     """
     if not cols:
         return []
     layout = {c: one_hot if isinstance(one_hot, str) else one_hot.get(c, COLUMNS) for c in cols}
     if unknown := set(layout.values()) - {COLUMNS, VECTOR}:
         raise PreparationError(f"one-hot layout {unknown.pop()}: known are {COLUMNS} and {VECTOR}")
-    narrow, wide = ([c for c in cols if layout[c] == kind] for kind in (COLUMNS, VECTOR))
+    counted = dictionary.count_values(train, cols)
+    narrow, wide = ([c for c in cols if layout[c] == kind and c in counted.sizes] for kind in (COLUMNS, VECTOR))
+    for c in narrow:
+        if counted.sizes[c][0] > most_columns:
+            raise PreparationError(f"'{c}' has {counted.sizes[c][0]} values, as columns at most {most_columns} are wanted: lay it out as a vector")
     values: dict[str, list[tuple[str, int]]] = {c: [] for c in narrow}
     if narrow:
-        for r in value_counts(train, narrow).select("column", value_text().alias("value"), "n").collect():
+        for r in counted.of(narrow).collect():
             values[r["column"]].append((r["value"], r["n"]))
-    wide_modes, wide_tables = modes(train, wide), category_tables(train, wide)
+    spark, dictionaries = train.sparkSession, dictionary.build(counted, wide)
     out = []
     for c in cols:
-        if values.get(c):
+        if c in values:
             mode = min(values[c], key=lambda v: (-v[1], v[0]))[0]
             out.append(CategoricalParameter(c, mode, sorted(v for v, _ in values[c])))
-        elif c in wide_modes:
-            t = wide_tables[c]
-            out.append(CategoricalParameter(c, wide_modes[c], [], t.values.select("value", "n", "label"), t.value_count, t.total))
+        elif c in dictionaries:
+            out.append(CategoricalParameter(c, dictionaries[c].most_frequent(spark), [], dictionaries[c]))
     return out
 
 
-def fit(train: DataFrame, target: str, one_hot: str | dict[str, str] = COLUMNS) -> Parameters:
+def fit(train: DataFrame, target: str, one_hot: str | dict[str, str] = COLUMNS, most_columns: int = MOST_COLUMNS) -> Parameters:
     """Learn all parameters from training rows; columns without a training value are dropped."""
     features = train.drop(SPLIT)
     numeric, categorical = feature_classes(features, target)
     num, cat = run_together(
-        lambda: fit_numeric(train, numeric), lambda: fit_categorical(train, categorical, one_hot)
+        lambda: fit_numeric(train, numeric), lambda: fit_categorical(train, categorical, one_hot, most_columns)
     )
     learned = {p.column for p in num} | {p.column for p in cat}
     return Parameters(target, num, cat, [c for c in numeric + categorical if c not in learned], numeric, categorical)
@@ -188,29 +194,12 @@ def transform(df: DataFrame, parameters: Parameters, keep: list[str] | None = No
     sources = [filled_category(df, p).alias(f"_wide_{p.column}") for p in wide]
     frame = df.select(*kept, *out, *sources)
     for p in wide:
-        frame = _sparse_one_hot(frame, p)
+        frame = dictionary.one_hot_vector(frame, F.col(f"`_wide_{p.column}`"), p.dictionary, f"{p.column}_onehot").drop(f"_wide_{p.column}")
     return frame.select(
         *[F.col(f"`_keep_{c}`").alias(c) for c in keep or []], *[col(f) for f in parameters.feature_names]
     )
 
 
-def _sparse_one_hot(frame: DataFrame, p: CategoricalParameter) -> DataFrame:
-    """One sparse vector column for a wide category; unseen values give the zero vector."""
-    from pyspark.ml.feature import OneHotEncoder
-
-    source, slot = f"_wide_{p.column}", f"_slot_{p.column}"
-    frame = lookup(frame, col(source), p.table, ["label"], p.width, p.total)
-    frame = frame.withColumn(slot, F.coalesce(F.col("label"), F.lit(p.width)).cast("double")).drop("label", source)
-    encoder = OneHotEncoder(inputCols=[slot], outputCols=[f"{p.column}_onehot"], handleInvalid="keep", dropLast=True)
-    sizing = frame.sparkSession.createDataFrame([(float(p.width - 1),)], [slot])
-    encoded = encoder.fit(sizing).transform(frame).drop(slot)
-    # a model on this column has a weight per value, so their names are no larger than the model
-    values = p.table.select("label", "value").orderBy("label").collect()
-    names = [{"idx": int(r["label"]), "name": f"{p.column}_{r['value']}"} for r in values]
-    about = {"ml_attr": {"num_attrs": p.width, "attrs": {"binary": names}}}
-    return encoded.withMetadata(f"{p.column}_onehot", about)
-
-
 OPERATION_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()),
     T.StructField("operation", T.StringType()),
@@ -239,6 +228,7 @@ def prepare(
     seed: int = 42,
     key: list[str] | None = None,
     one_hot: str | dict[str, str] = COLUMNS,
+    most_columns: int = MOST_COLUMNS,
 ) -> PreparedData:
     """Split, fit on train, transform train and test: ``__split__``, features, target last."""
     df = fold_nan(df)
@@ -247,7 +237,7 @@ def prepare(
     split = train_test_split(supervised, test_size, seed, key, target, rows)
     # fitting reads the training rows several times: split them once
     split.data = materialise(split.data, "split")
-    parameters = fit(split.data.filter(F.col(SPLIT) == "train"), target, one_hot)
+    parameters = fit(split.data.filter(F.col(SPLIT) == "train"), target, one_hot, most_columns)
     ready = transform(split.data, parameters, keep=[SPLIT, target])
     ready = ready.select(SPLIT, *[col(f) for f in parameters.feature_names], col(target))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import NUMERICAL, as_text, col, column_class
+from tabulon.operators import dictionary
 from tabulon.operators.evaluate import evaluate, rank_models
 from tabulon.operators.split import SPLIT
 from tabulon.session import ensure_checkpoint_dir, materialise
@@ -87,20 +88,30 @@ def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return vectors.select("_features", *[F.col(f"`_keep_{c}`").alias(c) for c in keep])
 
 
-def slot_names(df: DataFrame, features: list[str]) -> list[str]:
-    """One name per entry of the assembled vector; the entries of a vector column are named by its attributes or numbered."""
-    names = []
+Slots = tuple[str, int, str]  # a name, the entries of the assembled vector that it stands for, and the folder of their dictionary or ""
+
+
+def slot_names(df: DataFrame, features: list[str]) -> list[Slots]:
+    """What the entries of the assembled vector are: a name each, and for one-hot vectors their dictionary, whose values are not fetched.
+
+    The entries of any other vector column are named by its attributes or numbered.
+    """
+    names: list[Slots] = []
     for c in features:
-        if not isinstance(df.schema[c].dataType, VectorUDT):
-            names.append(c)
+        about = df.schema[c]
+        if not isinstance(about.dataType, VectorUDT):
+            names.append((c, 1, ""))
+            continue
+        if made := dictionary.of_column(about):
+            names.append((made.column, made.width, made.path))
             continue
-        about = df.schema[c].metadata.get("ml_attr", {})
-        known = {a["idx"]: a["name"] for kind in about.get("attrs", {}).values() for a in kind if "name" in a}
-        size = about.get("num_attrs")
+        attributes = about.metadata.get("ml_attr", {})
+        known = {a["idx"]: a["name"] for kind in attributes.get("attrs", {}).values() for a in kind if "name" in a}
+        size = attributes.get("num_attrs")
         if size is None:
             row = df.select(col(c).alias("v")).filter("v is not null").first()
             size = row["v"].size if row else 0
-        names += [known.get(i, f"{c}_{i}") for i in range(size)]
+        names += [(known.get(i, f"{c}_{i}"), 1, "") for i in range(size)]
     return names
 
 
@@ -122,7 +133,7 @@ class FittedModel:
     model: Model
     target_type: str
     labels: list[str] = field(default_factory=list)
-    slots: list[str] = field(default_factory=list)
+    slots: list[Slots] = field(default_factory=list)
 
     def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """``keep`` columns plus ``prediction`` in the type of the target."""
@@ -267,7 +278,7 @@ def replay(ready: DataFrame, experiment: Experiment) -> DataFrame:
         model = experiment.models.get(r["model_name"])
         if model is None:
             rows.append((r["experiment_id"], r["model_id"], r["model_name"], "skipped",
-                         "Model was not trained successfully or artifact is missing", metric, None, {}))
+                         "no fitted model", metric, None, {}))
             continue
         try:
             predicted = model.predict(test, keep=[experiment.target])

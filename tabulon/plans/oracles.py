@@ -356,6 +356,12 @@ def preparation_sql() -> dict[str, str]:
         "prep_impute_numeric": v("SELECT o_orderkey, " + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM train)), 6) AS {c}" for c in ("o_totalprice", "mostly_missing")) + " FROM tagged"),
         "prep_scale": v(f"SELECT o_orderkey, {scaled('o_totalprice', 'o_totalprice')}, {scaled('o_custkey', 'o_custkey')}, {scaled('CAST(is_big AS INTEGER)', 'is_big')} FROM tagged"),
         "prep_impute_categorical": v(f"SELECT o_orderkey, coalesce(o_orderpriority, {mode_of('o_orderpriority', 'train')}) AS o_orderpriority FROM tagged"),
+        "prep_one_hot_vector": """
+WITH tagged AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS side FROM customer),
+known AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS slot FROM (SELECT DISTINCT c_name FROM tagged WHERE side = 'train' AND c_name IS NOT NULL)),
+usual AS (SELECT c_name FROM tagged WHERE side = 'train' GROUP BY c_name ORDER BY count(*) DESC, c_name LIMIT 1)
+SELECT c_custkey, side, (SELECT count(*) FROM known) AS width, CAST(CASE WHEN slot IS NULL THEN 0 ELSE 1 END AS BIGINT) AS ones, slot
+FROM (SELECT c_custkey, side, coalesce(c_name, (SELECT c_name FROM usual)) AS c_name FROM tagged) t LEFT JOIN known USING (c_name)""",
         "prep_one_hot": v(f"SELECT o_orderkey, {one_hot} FROM tagged"),
         "prep_ml_ready": v("SELECT side, o_orderstatus, " + ", ".join(
             [scaled(e, c).replace(", 6) AS", ", 5) AS") for c, e in (

@@ -572,6 +572,19 @@ def prep_one_hot(spark, sf):
     return prepare.transform(tagged, p, keep=["o_orderkey"])
 
 
+@register
+def prep_one_hot_vector(spark, sf):
+    """Customer names as one sparse vector, by a dictionary that is learned from four fifths of them, stored and loaded."""
+    customers = table(spark, sf, "customer").withColumn("side", F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train"))
+    fitted = prepare.fit(customers.filter("side = 'train'").select("c_name", "c_acctbal"), "c_acctbal", one_hot="vector")
+    path = f"{stage_dir(spark, 'parameters')}/{uuid.uuid4().hex}"
+    sinks.save_parameters(spark, fitted, path)
+    made = prepare.transform(customers, sinks.load_parameters(spark, path), keep=["c_custkey", "side"])
+    parts = made.withColumn("v", F.unwrap_udt("c_name_onehot"))
+    return parts.select("c_custkey", "side", F.col("v.size").cast("bigint").alias("width"), F.size("v.indices").cast("bigint").alias("ones"),
+                        F.get("v.indices", F.lit(0)).cast("bigint").alias("slot"))
+
+
 @register
 def prep_ml_ready(spark, sf):
     """Every column of the dirty orders, prepared."""

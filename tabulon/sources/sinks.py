@@ -10,6 +10,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tabulon.operators.dictionary import Dictionary
 from tabulon.operators.prepare import CategoricalParameter, NumericParameter, Parameters
 from tabulon.operators.split import SPLIT
 from tabulon.operators.train import FittedModel
@@ -60,7 +61,7 @@ def parameter_frame(spark: SparkSession, p: Parameters) -> DataFrame:
     rows: list[tuple] = [("target", p.target, None, None, None, None, None, None, None)]
     rows += [("numeric", n.column, n.median, n.mean, n.scale, None, None, None, None) for n in p.numeric]
     rows += [
-        ("wide" if c.wide else "categorical", c.column, None, None, None, c.mode, c.categories, c.width, c.total) for c in p.categorical
+        ("wide" if c.wide else "categorical", c.column, None, None, None, c.mode, c.categories, c.dictionary.width if c.wide else None, c.dictionary.total if c.wide else None) for c in p.categorical
     ]
     rows += [("dropped", c, None, None, None, None, None, None, None) for c in p.dropped]
     rows += [("numeric_input", c, None, None, None, None, None, None, None) for c in p.numeric_inputs]
@@ -72,7 +73,7 @@ def save_parameters(spark: SparkSession, p: Parameters, path: str) -> None:
     parameter_frame(spark, p).coalesce(1).write.mode("errorifexists").parquet(f"{path}/parameters")
     for i, c in enumerate(p.categorical):
         if c.wide:
-            c.table.write.mode("errorifexists").parquet(f"{path}/wide_{i}")
+            c.dictionary.save(spark, f"{path}/wide_{i}")
 
 
 def load_parameters(spark: SparkSession, path: str) -> Parameters:
@@ -80,8 +81,8 @@ def load_parameters(spark: SparkSession, path: str) -> Parameters:
     of = lambda *roles: [r for r in rows if r["role"] in roles]
     categorical = []
     for i, r in enumerate(of("categorical", "wide")):
-        table = spark.read.parquet(f"{path}/wide_{i}") if r["role"] == "wide" else None
-        categorical.append(CategoricalParameter(r["column"], r["mode"], list(r["categories"]), table, r["width"] or 0, r["total"] or 0))
+        stored = Dictionary(r["column"], f"{path}/wide_{i}", r["width"], r["total"]) if r["role"] == "wide" else None
+        categorical.append(CategoricalParameter(r["column"], r["mode"], list(r["categories"]), stored))
     return Parameters(
         of("target")[0]["column"],
         [NumericParameter(r["column"], r["median"], r["mean"], r["scale"]) for r in of("numeric")],
@@ -106,6 +107,6 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
     try:
         facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
         model: Model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
-        return FittedModel(facts["name"], facts["problem_type"], facts["features"], model, facts["target_type"], facts["labels"], facts["slots"])
+        return FittedModel(facts["name"], facts["problem_type"], facts["features"], model, facts["target_type"], facts["labels"], [tuple(s) for s in facts["slots"]])
     except Exception as e:  # whatever is missing or broken, the model cannot be used
         raise ModelError(f"no usable model at {path}: {e}") from e

@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabulon.operators import prepare, split
+from tabulon.operators import dictionary, prepare, split
 from tabulon.operators.split import SPLIT, Cut, allocate, find_cuts, train_test_split
+from tabulon.sources import sinks
 
 
 def sides(df, key="id"):
@@ -150,6 +151,45 @@ def test_wide_category_becomes_a_sparse_vector(spark):
     assert got == want and sum(got[1]) == 0
 
 
+def test_dictionary_values_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 50 == 7 else f"name {i % 4000}", i % 2) for i in range(12000)]
+    df = spark.createDataFrame(rows, "cat string, target long")
+    taken = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    fitted = prepare.fit(df, "target", one_hot="vector")
+    sinks.save_parameters(spark, fitted, str(tmp_path / "p"))
+    loaded = sinks.load_parameters(spark, str(tmp_path / "p"))
+    made = prepare.transform(df.limit(5), loaded)
+    assert max(map(len, taken)) < 10
+    monkeypatch.undo()
+    p = loaded.categorical[0]
+    known = sorted({v for v, _ in rows if v})
+    assert [(r["value"], r["slot"]) for r in p.dictionary.table(spark).orderBy("slot").collect()] == [(v, i) for i, v in enumerate(known)]
+    assert p.width == len(known) and p.dictionary.total == sum(v is not None for v, _ in rows) and p.mode == known[0]
+    # the schema names the dictionary, not its values
+    assert len(made.schema["cat_onehot"].json()) < 1000
+    got = [(v.size, list(v.indices), list(v.values)) for v, in made.collect()]
+    assert got == [(len(known), [known.index(v or known[0])], [1.0]) for v, _ in rows[:5]]
+
+
+def test_dictionaries_of_many_values_are_numbered_by_ranges(spark):
+    values = [f"v{i:05d}" for i in range(3000)] * 2 + ["hot"] * 500
+    df = spark.createDataFrame([(v,) for v in values], "cat string").repartition(7)
+    counted = dictionary.count_values(df, ["cat"])
+    small, large = (dictionary.build(counted, ["cat", "none"], n)["cat"].table(spark).collect() for n in (10**6, 100))
+    assert sorted(map(tuple, small)) == sorted(map(tuple, large)) and len(large) == 3001
+    assert ("hot", 0, 500) in map(tuple, large)
+
+
+def test_too_many_columns_are_refused_before_values_are_fetched(spark):
+    df = spark.createDataFrame([(f"v{i}", i % 2) for i in range(300)], "cat string, target long")
+    with pytest.raises(prepare.PreparationError, match="300 values"):
+        prepare.fit(df, "target", most_columns=299)
+    assert len(prepare.fit(df, "target", most_columns=300).feature_names) == 300
+    assert prepare.fit(df, "target", one_hot="vector", most_columns=1).feature_names == ["cat_onehot"]
+
+
 def test_layout_follows_the_argument_alone(spark):
     df = spark.createDataFrame([(f"v{i}", i % 2) for i in range(1500)], "cat string, target long")
     p = prepare.fit(df, "target")
