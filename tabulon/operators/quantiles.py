@@ -6,7 +6,10 @@ logarithmic buckets (256 per power of two, so outliers cannot spoil them), later
 passes split only the buckets that hold a wanted rank.  Buckets carry their exact
 smallest and largest value; a bucket with one value, for instance a hot value that
 fills a third of the table, is an answer at once.  When the wanted buckets hold
-few rows, their distinct values are fetched.  Typical tables need two passes.
+few rows, every distinct value becomes a bucket.  Typical tables need two passes.
+
+Buckets stay on the executors: running sums over a column's buckets in order tell
+which of them holds a wanted rank, and only those reach the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double
@@ -46,12 +49,22 @@ def _log_bucket(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * F.when(infinite, limit).otherwise(number)).cast("bigint")
 
 
-def _count_buckets(long_form: DataFrame, *keys: str) -> list[dict]:
-    counted = (
-        long_form.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
-    )
-    return [r.asDict() for r in counted.collect()]
+def _count_buckets(long_form: DataFrame, *keys: str) -> DataFrame:
+    return long_form.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def _holding(buckets: DataFrame, group: str, wanted: DataFrame, ranks: Column) -> list[Row]:
+    """``grp, rank, n, below, rows, low, high`` of the bucket that holds each wanted rank.
+
+    ``ranks`` is an array over the columns of ``wanted`` (a row per group) and ``n``, the number of rows of the group.  A group has a bounded
+    number of buckets, whatever the number of rows; the driver receives one row per rank.
+    """
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    summed = buckets.withColumns({"below": F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")), "n": F.sum("rows").over(whole)})
+    ranked = summed.join(F.broadcast(wanted), group).withColumn("rank", F.explode(ranks))
+    hit = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("rows"))
+    return ranked.filter(hit).select(F.col(group).alias("grp"), "rank", "n", "below", "rows", "low", "high").distinct().collect()
 
 
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -72,21 +85,19 @@ def _inside(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
     return df.filter(any_hit).select(F.explode(hits).alias("e")).select("e.*")
 
 
-def _locate(column: str, buckets: list[dict], below: int, ranks: set[int], found: dict) -> list[Bracket]:
+def _settle(column: str, held: list[Row], offset: int, found: dict) -> list[Bracket]:
     """Answer the ranks that fall on a bucket edge and return brackets for the others."""
-    narrowed, start = [], below
-    for bucket in sorted(buckets, key=lambda r: r["low"]):
-        end = start + bucket["rows"]
-        for rank in [r for r in ranks if start <= r < end]:
-            if rank == start or bucket["low"] == bucket["high"]:
-                found[column, rank] = bucket["low"]
-            elif rank == end - 1:
-                found[column, rank] = bucket["high"]
-            else:
-                bracket = Bracket(column, bucket["low"], bucket["high"], start, bucket["rows"])
-                if bracket not in narrowed:
-                    narrowed.append(bracket)
-        start = end
+    narrowed = []
+    for r in held:
+        start, rank = offset + r["below"], offset + r["rank"]
+        if r["rank"] == r["below"] or r["low"] == r["high"]:
+            found[column, rank] = r["low"]
+        elif r["rank"] == r["below"] + r["rows"] - 1:
+            found[column, rank] = r["high"]
+        else:
+            bracket = Bracket(column, r["low"], r["high"], start, r["rows"])
+            if bracket not in narrowed:
+                narrowed.append(bracket)
     return narrowed
 
 
@@ -103,15 +114,21 @@ def exact_quantiles(
     cols = list(probs)
     if not cols:
         return {}
-    per_column: dict[str, list[dict]] = {c: [] for c in cols}
-    log_form = _long_form(df, cols).select("c", _log_bucket(F.col("x")).alias("bucket"), "x")
-    for row in _count_buckets(log_form, "c", "bucket"):
-        per_column[cols[int(row["c"])]].append(row)
-
-    sizes = {c: sum(b["rows"] for b in per_column[c]) for c in cols}
-    wanted = {c: {r for p in probs[c] for r in _rank_of(p, sizes[c])[:2]} if sizes[c] else set() for c in cols}
+    spark = df.sparkSession
+    log_form = _long_form(df, cols).select(F.col("c").cast("int").alias("c"), _log_bucket(F.col("x")).alias("bucket"), "x")
+    counted = _count_buckets(log_form, "c", "bucket")
+    # ranks follow from the number of values, which only the executors know as yet
+    shares = spark.createDataFrame([(i, [float(p) for p in probs[c]]) for i, c in enumerate(cols)], "c int, shares array<double>")
+    low = lambda p: F.floor(p * (F.col("n") - 1))
+    ranks = F.array_distinct(F.flatten(F.transform("shares", lambda p: F.array(low(p), F.least(low(p) + 1, F.col("n") - 1)))))
+    sizes: dict[str, int] = dict.fromkeys(cols, 0)
     found: dict[tuple[str, int], float] = {}
-    open_brackets = [b for c in cols for b in _locate(c, per_column[c], 0, wanted[c], found)]
+    per_column: dict[str, list[Row]] = {c: [] for c in cols}
+    for r in _holding(counted, "c", shares, ranks):
+        per_column[cols[r["grp"]]].append(r)
+        sizes[cols[r["grp"]]] = r["n"]
+    wanted = {c: {r["rank"] for r in per_column[c]} for c in cols}
+    open_brackets = [b for c in cols for b in _settle(c, per_column[c], 0, found)]
 
     while open_brackets:
         rows = _inside(df, open_brackets)
@@ -122,11 +139,11 @@ def exact_quantiles(
             # low and high share sign and octave, so the difference is finite and not zero
             place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * LINEAR_BUCKETS)
             counted = _count_buckets(rows.select("b", place.alias("place"), "x"), "b", "place")
+        inner = [(i, [r - b.below for r in sorted(wanted[b.column]) if b.below <= r < b.below + b.rows]) for i, b in enumerate(open_brackets)]
+        held = _holding(counted, "b", spark.createDataFrame(inner, "b int, inner array<bigint>"), F.col("inner"))
         narrowed = []
         for i, b in enumerate(open_brackets):
-            mine = [r for r in counted if r["b"] == i]
-            ranks = {r for r in wanted[b.column] if b.below <= r < b.below + b.rows}
-            narrowed += _locate(b.column, mine, b.below, ranks, found)
+            narrowed += _settle(b.column, [r for r in held if r["grp"] == i], b.below, found)
         open_brackets = narrowed
 
     out: dict[str, list[float | None]] = {}

@@ -49,6 +49,19 @@ def test_quantiles_do_not_depend_on_partitioning(spark, sf):
     assert exact_quantiles(df.repartition(1), probs) == exact_quantiles(df.repartition(7), probs)
 
 
+def test_quantiles_bring_only_wanted_buckets_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.lognormal(0, 8, 20000), rng.normal(size=20000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(6)
+    taken = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    for finish_rows in (100_000, 0):
+        got = exact_quantiles(df, {"x": [0.25, 0.5], "y": [0.5]}, finish_rows=finish_rows)
+        np.testing.assert_allclose([*got["x"], *got["y"]], [*np.quantile(x, [0.25, 0.5]), np.median(y)], rtol=1e-12)
+    assert len(taken) >= 4 and max(map(len, taken)) <= 2 * 3  # two ranks for each of three quantiles
+
+
 def test_quantiles_skip_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "x double")
     assert exact_quantiles(df, {"x": [0.5]}) == {"x": [2.0]}
