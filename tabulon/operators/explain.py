@@ -1,15 +1,19 @@
-"""Feature importance of fitted models as a ranked table."""
+"""What fitted models say: feature importance, tree nodes, and whether logistic weights are an optimum, as tables."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.dictionary import Dictionary
-from tabulon.operators.train import FittedModel, Slots
+from tabulon.operators.train import FittedModel, Slots, training_vectors
+from tabulon.session import stage_dir
 
 SCHEMA = "position int, feature_name string, importance_value double"
 
@@ -58,3 +62,75 @@ def feature_importance(spark: SparkSession, fitted: FittedModel) -> DataFrame |
     if hasattr(model, "coefficients"):
         return importance_table(spark, list(np.abs(model.coefficients.toArray())), fitted.slots or fitted.features, "linear")
     return None
+
+
+NODE_SCHEMA = (
+    "tree int, node long, depth int, feature_name string, threshold double, rows long, prediction string, predicted_value double, "
+    "impurity double, gain double"
+)
+
+
+def tree_nodes(spark: SparkSession, fitted: FittedModel) -> DataFrame:
+    """The nodes of a tree, or of all trees of a forest, as a table; no rows for other models.
+
+    ``node`` counts from 1 at the root, the children of n are 2n (at most the threshold) and 2n + 1.  Leaves have no feature
+    and no threshold.  ``prediction`` is the class or the mean.  The nodes are read from the stored form of the model, so
+    they are as many as the model that the driver holds already.
+    """
+    if not hasattr(fitted.model, "featureImportances"):
+        return spark.createDataFrame([], NODE_SCHEMA)
+    path = f"{stage_dir(spark, 'trees')}/{uuid.uuid4().hex}"
+    fitted.model.write().save(path)
+    stored = spark.read.parquet(f"{path}/data")
+    nodes = stored.select("treeID", "nodeData.*") if "treeID" in stored.columns else stored.withColumn("treeID", F.lit(0))
+    by_place = {(r["treeID"], r["id"]): r for r in nodes.collect()}
+    names = [n for name, width, kind in fitted.slots for n in ([name] if not kind else [f"{name}_{i}" for i in range(width)])] or fitted.features
+    out, ahead = [], [(tree, 0, 1) for tree in sorted({t for t, _ in by_place})]
+    while ahead:
+        tree, place, node = ahead.pop()
+        r = by_place[tree, place]
+        inner = r["leftChild"] >= 0
+        label = fitted.labels[int(r["prediction"])] if fitted.labels else str(r["prediction"])
+        feature, threshold = (names[r["split"]["featureIndex"]], r["split"]["leftCategoriesOrThreshold"][0]) if inner else (None, None)
+        out.append((tree, node, node.bit_length() - 1, feature, threshold, r["rawCount"], label, r["prediction"], r["impurity"], r["gain"] if inner else None))
+        if inner:
+            ahead += [(tree, r["leftChild"], 2 * node), (tree, r["rightChild"], 2 * node + 1)]
+    return spark.createDataFrame(out, NODE_SCHEMA)
+
+
+def logistic_gradient(fitted: FittedModel, train: DataFrame, target: str, penalty: float) -> DataFrame:
+    """``class, n, expected, largest_gradient`` of a fitted logistic model over its training rows.
+
+    ``expected`` is the sum of the predicted probabilities of the class, at the optimum equal to its ``n`` rows, as intercepts
+    carry no penalty.  ``largest_gradient`` is the largest slope, by any weight of the class, of the mean loss plus
+    ``penalty / 2`` times the squared weights; at the optimum it vanishes.  The sums are made in the tasks; the driver gets
+    none of them, only the model it has is joined to them.
+    """
+    spark = train.sparkSession
+    scored = fitted.model.transform(training_vectors(train, target, fitted.features, fitted.labels))
+    two = fitted.model.numClasses == 2
+    weights = fitted.model.coefficientMatrix.toArray()
+    vectors = scored.select(vector_to_array("_features").alias("x"), vector_to_array("probability").alias("p"), "_label")
+    k, width = len(fitted.labels), weights.shape[1]
+
+    def partial(batches):
+        total, expected, n = np.zeros((k, width)), np.zeros(k), np.zeros(k, np.int64)
+        for batch in batches:
+            x, p = np.stack(batch["x"]), np.stack(batch["p"])
+            own = np.eye(k)[batch["_label"].to_numpy().astype(int)]
+            total += (p - own).T @ x
+            expected += p.sum(axis=0)
+            n += own.sum(axis=0).astype(np.int64)
+        yield pd.DataFrame({"number": np.arange(k), "n": n, "expected": expected, "slopes": list(total)})
+
+    parts = vectors.mapInPandas(partial, "number int, n long, expected double, slopes array<double>")
+    # one short row per class and task
+    sums = parts.groupBy("number").agg(
+        F.sum("n").alias("n"), F.sum("expected").alias("expected"), *[F.sum(F.col("slopes")[i]).alias(f"s{i}") for i in range(width)])
+    # with two classes there is one row of weights, for the second class; the slope by the first is its negative
+    sign = [(-1.0, 0), (1.0, 0)] if two else [(1.0, i) for i in range(k)]
+    known = spark.createDataFrame(
+        [(i, fitted.labels[i], [float(sign[i][0] * w) for w in weights[sign[i][1]]]) for i in range(k)], "number int, class string, w array<double>")
+    rows = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    slopes = F.array(*[F.abs(F.col(f"s{i}") / F.col("all") + F.lit(float(penalty)) * F.col("w")[i]) for i in range(width)])
+    return sums.withColumn("all", rows).join(known, "number").select("class", "n", "expected", F.array_max(slopes).alias("largest_gradient"))

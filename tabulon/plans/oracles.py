@@ -405,6 +405,81 @@ best AS (SELECT *, row_number() OVER (ORDER BY ls * ls / ln + (s - ls) * (s - ls
 SELECT round((x + next) / 2, 6) AS threshold, round(ls / ln, 3) AS left_mean, round((s - ls) / (n - ln), 3) AS right_mean, CAST(n AS BIGINT) AS rows FROM best WHERE nth = 1"""
 
 
+def two_levels(rows: str, features: list[str], statistics: list[str], impurity, prediction: str) -> str:
+    """A tree of two levels by exhaustive search: all midpoints of all features, ties to the earlier feature and the smaller value.
+
+    ``rows`` selects ``y`` and the features, ``statistics`` are aggregates of y, ``impurity`` an expression over them (the first
+    is the number of rows), ``prediction`` an aggregate.  Leaves of equal prediction are one leaf.
+    """
+    names = [f"a{i}" for i in range(len(statistics))]
+    running = ", ".join(f"sum({a}) OVER w AS l_{a}, sum({a}) OVER (PARTITION BY node, f) AS t_{a}" for a in names)
+    of = lambda side: impurity([f"(l_{a})" if side == "l" else f"(t_{a})" if side == "t" else f"(t_{a} - l_{a})" for a in names])
+    gain = f"{of('t')} - l_a0 / CAST(t_a0 AS DOUBLE) * {of('l')} - (t_a0 - l_a0) / CAST(t_a0 AS DOUBLE) * {of('r')}"
+    steps = [f"""r AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ({rows})),
+cells AS MATERIALIZED (SELECT id, y, unnest([{', '.join(f"CAST({f} AS DOUBLE)" for f in features)}]) AS x, unnest(range({len(features)})) AS f FROM r),
+n0 AS (SELECT id, 1 AS node FROM r)"""]
+    for level in (0, 1):
+        steps.append(f"""hist{level} AS (SELECT node, f, x, {', '.join(f'{e} AS {a}' for e, a in zip(statistics, names))} FROM cells JOIN n{level} USING (id) GROUP BY node, f, x),
+cum{level} AS (SELECT node, f, x, lead(x) OVER (PARTITION BY node, f ORDER BY x) AS nx, {running} FROM hist{level} WINDOW w AS (PARTITION BY node, f ORDER BY x)),
+best{level} AS (SELECT node, f, (x + nx) / 2 AS t FROM (SELECT node, f, x, nx, {gain} AS gain FROM cum{level} WHERE nx IS NOT NULL)
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) = 1),
+n{level + 1} AS (SELECT id, 2 * b.node + CASE WHEN x > t THEN 1 ELSE 0 END AS node FROM n{level} n JOIN best{level} b ON n.node = b.node JOIN cells USING (id) WHERE cells.f = b.f)""")
+    steps.append(f"""facts AS (SELECT node, count(*) AS rows, {prediction} AS prediction FROM (FROM n0 UNION ALL FROM n1 UNION ALL FROM n2) JOIN r USING (id) GROUP BY node),
+splits AS (SELECT b.* FROM (FROM best0 UNION ALL FROM best1) b LEFT JOIN facts x ON x.node = 2 * b.node LEFT JOIN facts y ON y.node = 2 * b.node + 1
+  WHERE b.node = 1 OR x.prediction <> y.prediction)""")
+    listed = "[" + ", ".join(f"'{f}'" for f in features) + "]"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT n.node, {listed}[s.f + 1] AS feature_name, round(t, 6) AS threshold, rows, prediction
+FROM facts n LEFT JOIN splits s ON n.node = s.node WHERE n.node = 1 OR n.node // 2 IN (SELECT node FROM splits)"""
+
+
+def newton(rows: str, steps: int = 12) -> str:
+    """Intercept and slope of y in 0, 1 by x at the optimum of the summed loss plus half the squared slope, by Newton's method."""
+    out = [f"r AS (SELECT CAST(x AS DOUBLE) AS x, y, count(*) AS n FROM ({rows}) GROUP BY ALL)", "s0 AS (SELECT CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS w)"]
+    for i in range(steps):
+        out.append(f"""g{i} AS (SELECT any_value(b) AS b, any_value(w) AS w, sum(n * (p - y)) AS g0, sum(n * (p - y) * x) + any_value(w) AS g1,
+  sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) + 1 AS h11 FROM (SELECT r.*, b, w, 1 / (1 + exp(-b - w * x)) AS p FROM r, s{i})),
+s{i + 1} AS (SELECT b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b, w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS w FROM g{i})""")
+    return "WITH " + ",\n".join(out) + f" SELECT (SELECT CAST(sum(n) AS BIGINT) FROM r) AS training_rows, round(b, 2) AS intercept, round(w, 2) AS slope FROM s{steps}"
+
+
+# sizes of the prepared orders: four numbers, and a column per priority and per flag that the training rows have
+ORDER_SIZES = ("(SELECT count(*) FROM train) AS training_rows, (SELECT count(*) FROM tagged WHERE side = 'test') AS validation_rows, "
+               "CAST((SELECT 4 + count(DISTINCT o_orderpriority) + count(DISTINCT near_const) FROM train) AS INTEGER) AS feature_count")
+PARTS = """WITH ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', CAST(p_partkey AS VARCHAR), '42'))) > ceil(0.2 * (SELECT count(*) FROM part)) AS train FROM part),
+train AS (SELECT * FROM ranked WHERE train)"""
+PART_SIZES = ("(SELECT count(*) FROM train) AS training_rows, (SELECT count(*) FROM ranked WHERE NOT train) AS validation_rows, "
+              "CAST((SELECT 2 + count(DISTINCT p_brand) + count(DISTINCT p_type) FROM train) AS INTEGER) AS feature_count")
+FOREST = "CAST(100 AS BIGINT) AS trees, true AS within_depth, CAST(100 AS BIGINT) AS trees_that_split"
+
+
+def training_sql() -> dict[str, str]:
+    def v(sql):
+        return with_views(f"WITH {TAGGED} {sql}", "orders_dirty")
+
+    gini = lambda a: f"(1 - ({' + '.join(f'{c} * {c}' for c in a[1:])}) / (CAST({a[0]} AS DOUBLE) * {a[0]}))"
+    variance = lambda a: f"(({a[2]} - {a[1]} * {a[1]} / {a[0]}) / {a[0]})"
+    letters = ", ".join(f"CASE WHEN contains(coalesce(text, ''), '{c}') THEN 1 ELSE 0 END AS has_{i}" for i, c in enumerate("ñüèé"))
+    named = "'{}' AS model_name, '{}' AS problem_type, 'trained' AS status, "
+    root = "round(1 - sum((n / s) * (n / s)), 6) AS root_impurity FROM (SELECT count(*) AS n, CAST((SELECT count(*) FROM train) AS DOUBLE) AS s FROM train GROUP BY o_orderstatus)"
+    return {
+        "train_logistic": v(f"SELECT 'LogisticRegression' AS model_name, 'trained' AS status, {ORDER_SIZES}, o_orderstatus AS class, count(*) AS n, true AS balanced, true AS gradient_vanishes "
+                            "FROM train GROUP BY o_orderstatus"),
+        "train_logistic_weights": newton("SELECT ln(1 + length(coalesce(text, ''))) AS x, CASE WHEN contains(coalesce(text, ''), 'é') THEN 1 ELSE 0 END AS y FROM documents"),
+        "train_tree_cls": v(f"SELECT {named.format('DecisionTreeClassifier', 'classification')}{ORDER_SIZES}, (SELECT count(*) FROM train) AS root_rows, (SELECT count(*) FROM train) AS leaf_rows, {root}"),
+        "train_forest_cls": v(f"SELECT {named.format('RandomForestClassifier', 'classification')}{ORDER_SIZES}, {FOREST}"),
+        "train_tree_reg": f"{PARTS} SELECT {named.format('DecisionTreeRegressor', 'regression')}{PART_SIZES}, true AS better_than_mean, count(*) AS root_rows, count(*) AS leaf_rows, "
+                          "round(var_pop(p_retailprice), 3) AS root_impurity FROM train",
+        "train_forest_reg": f"{PARTS} SELECT {named.format('RandomForestRegressor', 'regression')}{PART_SIZES}, true AS better_than_mean, {FOREST}",
+        "train_tree_levels_cls": two_levels(
+            f"SELECT lang AS y, {letters} FROM documents", [f"has_{i}" for i in range(4)],
+            ["count(*)", *[f"count(*) FILTER (WHERE y = '{c}')" for c in ("de", "en", "es", "fr")]], gini, "mode(y ORDER BY y)"),
+        "train_tree_levels_reg": "SELECT * REPLACE (round(prediction, 3) AS prediction, round(threshold, 3) AS threshold) FROM (" + two_levels(
+            "SELECT l_extendedprice AS y, l_quantity, l_linenumber, l_discount, l_tax FROM lineitem", ["l_quantity", "l_linenumber", "l_discount", "l_tax"],
+            ["count(*)", "sum(y)", "sum(y * y)"], variance, "avg(y)") + ")",
+    }
+
+
 def evaluation_sql() -> dict[str, str]:
     def weighted(metric):
         return with_views(f"WITH {LABELS} SELECT CAST(sum(support) AS BIGINT) AS rows, round(sum(support * coalesce({metric[1]}, 0)) / sum(support), 6) AS \"{metric[0]}\" FROM per_label", "predictions")
@@ -533,6 +608,6 @@ def source_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (source_sql, profile_sql, quality_sql, cleaning_sql, features_sql, preparation_sql, evaluation_sql, report_sql):
+    for part in (source_sql, profile_sql, quality_sql, cleaning_sql, features_sql, preparation_sql, training_sql, evaluation_sql, report_sql):
         out.update(part())
     return out

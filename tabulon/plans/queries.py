@@ -20,6 +20,8 @@ REGISTRY: dict[str, Query] = {}
 
 TARGET = "o_orderstatus"
 KEY = ["o_orderkey"]
+LANGUAGE_LETTERS = "ñüèé"
+LINE_FEATURES = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 
 
 def register(f: Query) -> Query:
@@ -685,24 +687,78 @@ def train_problem_type(spark, sf):
     )
 
 
-def _one_model(spark, prepared, target, name) -> DataFrame:
+def _one_model(spark, prepared, target, name) -> tuple[DataFrame, train.FittedModel, DataFrame]:
+    """Sizes and outcome of a training, the model, and the stored table."""
     ready = _stored(spark, prepared)
-    return _results(train.run_experiment(ready, target, model_names=[name]))
+    experiment = train.run_experiment(ready, target, model_names=[name])
+    facts = experiment.results.select("model_name", "problem_type", "status", "training_rows", "validation_rows", "feature_count",
+                                      (F.col("r2") > 0).alias("better_than_mean"))
+    return facts, experiment.models[name], ready
+
+
+def _root_and_leaves(nodes: DataFrame) -> DataFrame:
+    """What holds for every tree whatever its splits: all rows at the root, its impurity, and as many in the leaves together."""
+    root, leaf = F.col("depth") == 0, F.col("threshold").isNull()
+    return nodes.agg(
+        F.max(F.when(root, F.col("rows"))).alias("root_rows"), F.max(F.when(root, F.col("impurity"))).alias("root_impurity"),
+        F.sum(F.when(leaf, F.col("rows"))).alias("leaf_rows"))
 
 
 @register
 def train_logistic(spark, sf):
-    return _one_model(spark, _prepared_orders(spark, sf), TARGET, "LogisticRegression")
+    """Three-class weights over the prepared orders: the equations that hold at the optimum, per class."""
+    prepared = _prepared_orders(spark, sf)
+    facts, fitted, ready = _one_model(spark, prepared, TARGET, "LogisticRegression")
+    rows, _, _ = train.split_scan(ready, TARGET)
+    checked = explain.logistic_gradient(fitted, rows, TARGET, 1.0 / prepared.split.train_rows)
+    balanced = F.abs(F.col("expected") - F.col("n")) <= 0.001 * F.col("n")
+    return checked.crossJoin(F.broadcast(facts)).select(
+        "model_name", "status", "training_rows", "validation_rows", "feature_count", "class", "n", balanced.alias("balanced"),
+        (F.col("largest_gradient") < 0.001).alias("gradient_vanishes"))
+
+
+@register
+def train_logistic_weights(spark, sf):
+    """Does a document hold an accent, by the logarithm of its length: intercept and slope at the penalised optimum."""
+    docs = table(spark, sf, "documents").select(F.log1p(F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("size"),
+                                                F.coalesce(F.col("text").contains("é"), F.lit(False)).cast("int").alias("accent"))
+    rows = docs.count()
+    model = train.fit_model(docs, "accent", ["size"], "LogisticRegression", "classification", rows).model
+    return rounded(spark.createDataFrame([(rows, float(model.intercept), float(model.coefficients[0]))], "training_rows long, intercept double, slope double"), 2)
 
 
 @register
 def train_tree_cls(spark, sf):
-    return _one_model(spark, _prepared_orders(spark, sf), TARGET, "DecisionTreeClassifier")
+    facts, fitted, _ = _one_model(spark, _prepared_orders(spark, sf), TARGET, "DecisionTreeClassifier")
+    return rounded(facts.drop("better_than_mean").crossJoin(F.broadcast(_root_and_leaves(explain.tree_nodes(spark, fitted)))))
 
 
 @register
 def train_forest_cls(spark, sf):
-    return _one_model(spark, _prepared_orders(spark, sf), TARGET, "RandomForestClassifier")
+    facts, fitted, _ = _one_model(spark, _prepared_orders(spark, sf), TARGET, "RandomForestClassifier")
+    return facts.drop("better_than_mean").crossJoin(F.broadcast(_forest_facts(explain.tree_nodes(spark, fitted))))
+
+
+def _forest_facts(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.countDistinct("tree").alias("trees"), (F.max("depth") <= train.FOREST_DEPTH).alias("within_depth"),
+                     F.countDistinct(F.when(F.col("threshold").isNotNull(), F.col("tree"))).alias("trees_that_split"))
+
+
+@register
+def train_tree_levels_cls(spark, sf):
+    """The language of all documents by some letters: two levels of a tree, node by node."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf, "documents").select("lang", *[text.contains(c).cast("double").alias(f"has_{i}") for i, c in enumerate(LANGUAGE_LETTERS)])
+    fitted = train.fit_model(docs, "lang", [c for c in docs.columns if c != "lang"], "DecisionTreeClassifier", "classification", docs.count(), max_depth=2)
+    return rounded(explain.tree_nodes(spark, fitted).select("node", "feature_name", "threshold", "rows", "prediction"))
+
+
+@register
+def train_tree_levels_reg(spark, sf):
+    """The price of all order lines by quantity, line number, discount and tax: two levels of a tree, node by node."""
+    df = table(spark, sf, "lineitem").select("l_extendedprice", *LINE_FEATURES)
+    fitted = train.fit_model(df, "l_extendedprice", LINE_FEATURES, "DecisionTreeRegressor", "regression", df.count(), max_depth=2)
+    return rounded(explain.tree_nodes(spark, fitted).select("node", "feature_name", "threshold", "rows", F.col("predicted_value").alias("prediction")), 3)
 
 
 @register
@@ -760,12 +816,14 @@ def train_stump(spark, sf):
 
 @register
 def train_tree_reg(spark, sf):
-    return _one_model(spark, _prepared_parts(spark, sf), "p_retailprice", "DecisionTreeRegressor")
+    facts, fitted, _ = _one_model(spark, _prepared_parts(spark, sf), "p_retailprice", "DecisionTreeRegressor")
+    return rounded(facts.crossJoin(F.broadcast(_root_and_leaves(explain.tree_nodes(spark, fitted)))), 3)
 
 
 @register
 def train_forest_reg(spark, sf):
-    return _one_model(spark, _prepared_parts(spark, sf), "p_retailprice", "RandomForestRegressor")
+    facts, fitted, _ = _one_model(spark, _prepared_parts(spark, sf), "p_retailprice", "RandomForestRegressor")
+    return facts.crossJoin(F.broadcast(_forest_facts(explain.tree_nodes(spark, fitted))))
 
 
 @register

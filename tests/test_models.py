@@ -275,3 +275,39 @@ def test_comparison_falls_back_to_training_metrics(spark):
     assert [(r["model_id"], r["evaluation_status"], r["primary_metric_value"], r["is_best"]) for r in rows] == [
         (2, "completed", 0.8, True), (1, "not_evaluated", 0.7, False)
     ]
+
+
+def test_tree_nodes_are_the_splits(spark):
+    rows = [(float(i % 4), float(i % 3), "abc"[(i % 4 > 1) + (i % 4 > 2)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "x double, y double, target string")
+    fitted = train.fit_model(df, "target", ["x", "y"], "DecisionTreeClassifier", "classification", 120, max_depth=3)
+    got = {r["node"]: r for r in explain.tree_nodes(spark, fitted).collect()}
+    assert sorted(got) == [1, 2, 3, 6, 7]
+    assert [(got[n]["feature_name"], got[n]["threshold"], got[n]["rows"]) for n in (1, 3)] == [("x", 1.5, 120), ("x", 2.5, 60)]
+    assert [(got[n]["prediction"], got[n]["rows"], got[n]["depth"]) for n in (2, 6, 7)] == [("a", 60, 1), ("b", 30, 2), ("c", 30, 2)]
+
+
+def test_tree_nodes_of_forests_and_other_models(spark, regressed):
+    models = regressed[1].models
+    nodes = explain.tree_nodes(spark, models["RandomForestRegressor"])
+    assert {r["tree"] for r in nodes.collect()} == set(range(10))
+    inner = nodes.filter("threshold is not null").count()
+    assert nodes.count() == 2 * inner + 10  # every split has two children
+    assert explain.tree_nodes(spark, models["LinearRegression"]).count() == 0
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_gradient_vanishes_at_the_optimum_only(spark, classes):
+    rng = np.random.default_rng(classes)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.0, -0.5] + rng.normal(0, 1, 300) > 0).astype(int) + (0 if classes == 2 else (x[:, 1] > 0.7))
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y long").repartition(3)
+    fitted = train.fit_model(df, "y", ["a", "b"], "LogisticRegression", "classification", 300)
+    rows = {r["class"]: r for r in explain.logistic_gradient(fitted, df, "y", 1 / 300).collect()}
+    assert {c: r["n"] for c, r in rows.items()} == {str(c): int((y == c).sum()) for c in range(classes)}
+    assert all(r["expected"] == pytest.approx(r["n"], abs=0.1) and r["largest_gradient"] < 1e-3 for r in rows.values())
+    # another penalty has another optimum, and the difference is that of the penalties times the largest weight
+    other = {r["class"]: r["largest_gradient"] for r in explain.logistic_gradient(fitted, df, "y", 1 / 30).collect()}
+    largest = np.abs(fitted.model.coefficientMatrix.toArray()).max(axis=1)
+    want = dict(zip("012", [largest[0]] * 2 if classes == 2 else largest))
+    assert other == pytest.approx({c: want[c] * (1 / 30 - 1 / 300) for c in other}, rel=0.02)
