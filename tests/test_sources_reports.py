@@ -1,5 +1,6 @@
 import io
 import os
+import uuid
 import zipfile
 
 import pytest
@@ -15,6 +16,31 @@ def write(path, text):
     return str(path)
 
 
+def jobs_of(spark, action):
+    """How many Spark jobs ``action`` runs."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_types_of_many_columns_take_one_parse(spark, tmp_path):
+    kinds = {"bigint": ["1", " -2 ", "+3"], "double": ["1", "2.5", "1e3"], "boolean": ["True", "false", "TRUE"], "string": ["1", "x", "true"],
+             "gaps": ["1", "", "2"], "flags": ["true", "NA", "false"], "none": ["", "NULL", "nan"], "large": ["1", "9" * 25, "2"], "mixed": ["true", "1", "0"]}
+    names = [(k, i) for i in range(8) for k in kinds]
+    rows = [",".join(f"{k}_{i}" for k, i in names)] + [",".join(kinds[k][r] for k, _ in names) for r in range(3)]
+    (tmp_path / "wide.csv").write_text("\n".join(rows) + "\n")
+    df = spark.read.option("header", True).csv(str(tmp_path / "wide.csv"))
+    want = {"bigint": "bigint", "double": "double", "boolean": "boolean", "string": "string", "gaps": "double", "flags": "string", "none": "double", "large": "double", "mixed": "string"}
+    assert infer.infer_types(df) == {f"{k}_{i}": want[k] for k, i in names}
+    one = jobs_of(spark, lambda: infer.infer_types(df.select("bigint_0")))
+    assert jobs_of(spark, lambda: infer.infer_types(df)) == one  # 72 columns as few as one
+    assert set(infer.infer_types(df.filter("bigint_0 = 'none'")).values()) == {"double"}
+
+
 def test_csv_types(spark, tmp_path):
     text = (
         'i,gap,f,b,bgap,d,s,none,mixed\n'

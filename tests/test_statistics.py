@@ -74,6 +74,40 @@ def test_approximate_quantiles_are_near(spark, sf):
     assert abs(near - exact) / exact < 0.02
 
 
+def ranked(rows, k):
+    """Top values by plain counting: count descending, then the value itself."""
+    counted = {}
+    for v in rows:
+        if v is not None:
+            counted[v] = counted.get(v, 0) + 1
+    best = sorted(counted.items(), key=lambda x: (-x[1], x[0].encode()))[:k]
+    return [(i + 1, v, n) for i, (v, n) in enumerate(best)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_top_long_texts_tie_by_their_whole_value(spark, k):
+    start = "é" * 64
+    rows = [start, start + "b", start + "a", start + "b" * 500, "short", "short", start + "a", start + "c" * 9, None, "", start[:63], start + "b"] * 4 + [start + "ab" * 40] * 8
+    df = spark.createDataFrame([(v, i % 5, f"{v}x" if v else None) for i, v in enumerate(rows)], "a string, i int, b string").repartition(4)
+    got = {}
+    for r in counts.top_values(df, ["a", "i", "b"], k).collect():
+        got.setdefault(r["column"], []).append((r["rank"], r["value"], r["n"]))
+    want = {"a": rows, "i": [str(i % 5) for i in range(len(rows))], "b": [f"{v}x" if v else None for v in rows]}
+    assert {c: sorted(v) for c, v in got.items()} == {c: ranked(v, k) for c, v in want.items()}
+    assert counts.modes(df, ["a", "b"]) == {c: ranked(want[c], 1)[0][1] for c in "ab"}
+
+
+def test_long_texts_are_ranked_by_keys_of_bounded_size(spark):
+    df = spark.createDataFrame([("x" * 5000 + str(i % 3),) for i in range(30)], "s string")
+    keys = counts.ranked_keys(df, ["s"], 2)
+    assert max(len(r["key"]) for r in keys.collect()) == 128
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    # the text itself is only read below the exchange, to make the key
+    above = plan[: plan.index("Exchange hashpartitioning(place")]
+    assert "sha2" not in above and "Scan" not in above
+
+
 def test_distinct_rows_tell_nulls_apart(spark):
     rows = [(None, "a"), ("a", None), ("a", None), (None, None), ("a", "a")]
     df = spark.createDataFrame(rows, "x string, y string")
