@@ -9,10 +9,11 @@ column mean first, so the sums stay accurate for large values.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import NUMERICAL, as_double, columns_of
@@ -56,14 +57,50 @@ def column_moments(df: DataFrame, cols: list[str]) -> dict[str, dict[str, float
     return {c: {k: row[f"{k}:{i}"] for k in ("mean", "variance", "min", "max")} for i, c in enumerate(cols)}
 
 
+@dataclass
+class StrongPairs:
+    """Pairs of columns by their places, first before second, in order: 16 bytes a pair."""
+
+    columns: list[str]
+    first: np.ndarray
+    second: np.ndarray
+    corr: np.ndarray
+
+    @staticmethod
+    def of(columns: list[str], first, second, corr) -> StrongPairs:
+        first, second = np.asarray(first, np.int32), np.asarray(second, np.int32)
+        order = np.lexsort((second, first))
+        return StrongPairs(columns, first[order], second[order], np.asarray(corr, np.float64)[order])
+
+    def __iter__(self) -> Iterator[tuple[str, str, float]]:
+        for i, j, r in zip(self.first, self.second, self.corr):
+            yield self.columns[i], self.columns[j], float(r)
+
+
+def strong_pairs(df: DataFrame, cols: list[str], wanted: Column, moments: dict | None = None) -> StrongPairs:
+    """The pairs whose ``corr`` is ``wanted``, filtered on the executors and fetched as columns of numbers."""
+    found = correlations(df, cols, moments).filter(wanted).toArrow()
+    return StrongPairs.of(cols, *(found.column(c).to_numpy() for c in ("i", "j", "corr")))
+
+
 def correlation_table(df: DataFrame, cols: list[str] | None = None, moments: dict | None = None) -> DataFrame:
     """``(column_a, column_b, corr)`` for every pair in column order; undefined pairs are left out."""
     cols = cols if cols is not None else columns_of(df, NUMERICAL)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+    names = F.array(*[F.lit(c) for c in cols])
+    return correlations(df, cols, moments).select(names[F.col("i")].alias("column_a"), names[F.col("j")].alias("column_b"), "corr")
+
+
+def correlations(df: DataFrame, cols: list[str], moments: dict | None = None) -> DataFrame:
+    """``(i, j, corr)`` for every defined pair, columns by their places in ``cols``."""
     spark = df.sparkSession
     moments = moments or column_moments(df, cols)
     varying = [c for c in cols if moments[c]["min"] is not None and moments[c]["min"] != moments[c]["max"]]
     if len(varying) < 2:
-        return spark.createDataFrame([], "column_a string, column_b string, corr double")
+        return spark.createDataFrame([], "i int, j int, corr double")
+    at = {c: i for i, c in enumerate(cols)}
+    place = [at[c] for c in varying]
     centred = df.select(
         *[(as_double(df, c) - F.lit(float(moments[c]["mean"]))).alias(str(i)) for i, c in enumerate(varying)]
     )
@@ -83,9 +120,9 @@ def correlation_table(df: DataFrame, cols: list[str] | None = None, moments: dic
     # rounding can leave a tiny non-zero variance where the shared rows are constant
     steady = (var_x > F.col("sxx") * 1e-14) & (var_y > F.col("syy") * 1e-14)
     r = F.when(steady & (n > 1), F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
-    names = F.array(*[F.lit(c) for c in varying])
+    places = F.array(*[F.lit(p) for p in place])
     return (
-        sums.select(names[F.col("i")].alias("column_a"), names[F.col("j")].alias("column_b"), r.alias("corr"))
+        sums.select(places[F.col("i")].alias("i"), places[F.col("j")].alias("j"), r.alias("corr"))
         .filter("corr is not null")
         .withColumn("corr", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "corr")))
     )

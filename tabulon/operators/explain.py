@@ -12,7 +12,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.dictionary import Dictionary
-from tabulon.operators.train import FittedModel, Slots, training_vectors
+from tabulon.operators.runlog import replace_partitions
+from tabulon.operators.train import Experiment, FittedModel, Slots, training_vectors
 from tabulon.session import stage_dir
 
 SCHEMA = "position int, feature_name string, importance_value double"
@@ -64,6 +65,29 @@ def feature_importance(spark: SparkSession, fitted: FittedModel) -> DataFrame |
     return None
 
 
+ARTIFACT_SCHEMA = (
+    "experiment_id string, model_id int, feature_name string, importance_value double, normalized_importance double, rank int, importance_type string"
+)
+ARTIFACT_COLUMNS = [f.split(" ")[0] for f in ARTIFACT_SCHEMA.split(", ")]
+
+
+def save_importances(spark: SparkSession, experiment: Experiment, path: str) -> None:
+    """Write the importances of all models of an experiment, a partition per model, which a later run replaces.
+
+    A model that has none leaves no rows.
+    """
+    ids = {r["model_name"]: r["model_id"] for r in experiment.results.select("model_name", "model_id").collect()}
+    for name, fitted in experiment.models.items():
+        made = feature_importance(spark, fitted)
+        if made is not None:
+            owned = made.withColumns({"experiment_id": F.lit(experiment.experiment_id), "model_id": F.lit(ids[name])})
+            replace_partitions(owned.select(*ARTIFACT_COLUMNS), path, ["experiment_id", "model_id"])
+
+
+def read_importances(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ARTIFACT_SCHEMA).parquet(path).select(*ARTIFACT_COLUMNS)
+
+
 NODE_SCHEMA = (
     "tree int, node long, depth int, feature_name string, threshold double, rows long, prediction string, predicted_value double, "
     "impurity double, gain double"

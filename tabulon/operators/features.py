@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import BOOLEAN, CATEGORICAL, DATETIME, NUMERICAL, as_double, as_text, col, column_class, columns_of, fold_nan
 from tabulon.functions.text import lowercase_count, non_space_count, punctuation_count, uppercase_count, word_count
-from tabulon.operators.correlation import correlation_table
+from tabulon.operators.correlation import correlation_table, strong_pairs
 from tabulon.operators.counts import cardinalities, value_counts, value_text
 from tabulon.operators.lookup import BROADCAST_VALUES, lookup
 from tabulon.operators.ranking import SINGLE_TASK_VALUES, number_in_order
@@ -183,10 +183,8 @@ def interaction_features(
     """Product and ratio of each correlated pair; a zero denominator gives 0."""
     if len(cols) < 2:
         return df, {}
-    # at most k(k-1)/2 rows for k columns
-    pairs = [(r["column_a"], r["column_b"], r["corr"]) for r in correlated_pairs(df, cols, threshold).collect()]
     new, made = {}, {}
-    for a, b, r in sorted(pairs):
+    for a, b, r in strong_pairs(df, sorted(cols), F.abs("corr") >= threshold):  # in name order
         features = interaction_columns(a, b)
         new.update(features)
         made[a, b, r] = list(features)

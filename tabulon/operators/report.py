@@ -179,12 +179,14 @@ def experiment_models(ranked: DataFrame, key: str = "experiment_id") -> DataFram
 def experiment_importances(models: DataFrame, importances: DataFrame, top: int = 10, key: str = "experiment_id") -> DataFrame:
     """The ``top`` most important features of each experiment's best model (ties by name).
 
-    ``importances``: model_id, feature_name, importance_value.
+    ``importances``: model_id, feature_name, importance_value, and ``key`` where model ids count within an experiment, as in
+    the artefact that ``explain.save_importances`` writes.
     """
     best = models.filter("is_best").select(key, "model_id", "model_name")
+    own = [key, "model_id"] if key in importances.columns else ["model_id"]
     order = Window.partitionBy(key).orderBy(F.col("importance_value").desc_nulls_last(), "feature_name")
     return (
-        best.join(importances, "model_id").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
+        best.join(importances, own).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
         .select(key, "model_name", "position", "feature_name", "importance_value")
     )
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import CATEGORICAL, as_text, col, column_class
 from tabulon.operators.lookup import join_null_safe
 from tabulon.operators.prepare import Parameters, transform
+from tabulon.operators.runlog import replace_partitions
 from tabulon.operators.stats import aggregate_in_chunks
 from tabulon.operators.train import FittedModel
 from tabulon.sources.infer import fold_na, number_of_text
+from tabulon.sources.sinks import load_model
 
 
 class PredictionError(ValueError):
@@ -95,8 +97,24 @@ def log_records(
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    """Append a batch; the log is partitioned by experiment so that a history reads one folder."""
-    records.write.mode("append").partitionBy("experiment_id").parquet(path)
+    """Add batches to the log; a batch that is there already is replaced as a whole, so a repeated job leaves one copy.
+
+    The log is partitioned by experiment and batch: a history reads one folder, and no other batch is touched.
+    """
+    replace_partitions(records, path, ["experiment_id", "batch_id"])
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; ids stay the texts they were written as, whatever they look like."""
+    return spark.read.schema(LOG_SCHEMA).parquet(path).select(*LOG_SCHEMA.fieldNames())
+
+
+def load_trained(spark: SparkSession, results: DataFrame, model_name: str, path: str) -> FittedModel:
+    """The stored model of an experiment, refused unless its training is recorded as successful."""
+    row = results.filter(F.col("model_name") == model_name).select("status").first()
+    if row is None or row["status"] != "trained":
+        raise PredictionError(f"{model_name} is {row['status'] if row else 'not part of the experiment'} and cannot predict")
+    return load_model(spark, path)
 
 
 def history(log: DataFrame, by: list[str], created: str = "created_at", tie_break: list[str] | None = None) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import NUMERICAL, col, columns_of
-from tabulon.operators.correlation import column_moments, correlation_table
+from tabulon.operators.correlation import StrongPairs, column_moments, strong_pairs
 from tabulon.operators.stats import aggregate_in_chunks
 from tabulon.session import run_together
 
@@ -33,23 +34,32 @@ def missing_shares(df: DataFrame) -> tuple[int, dict[str, float]]:
     return n, {c: row[str(i)] / n if n else 0.0 for i, c in enumerate(df.columns)}
 
 
-def correlated_to_remove(cols: list[str], pairs: dict[tuple[str, str], float], variances: dict[str, float | None], limit: float = MAX_CORR) -> list[str]:
-    """Walk the pairs in column order; of a too similar pair the one with less variance goes.
+def eliminate(pairs: StrongPairs, variances: dict[str, float | None]) -> list[str]:
+    """Walk the columns in order; of a too similar pair the one with less variance goes.
 
-    A column that loses to a later one keeps comparing for the rest of its turn.
+    A column that loses to a later one keeps comparing for the rest of its turn.  Only the partners of a column are looked
+    at, which lie together in the sorted pairs, so memory and time follow the number of strong pairs.
     """
-    gone: set[str] = set()
-    for i, a in enumerate(cols):
-        if a in gone:
+    cols = pairs.columns
+    variance = np.array([np.nan if variances[c] is None else variances[c] for c in cols], dtype=float)
+    gone = np.zeros(len(cols), dtype=bool)
+    edges = np.searchsorted(pairs.first, np.arange(len(cols) + 1))
+    for i in np.flatnonzero(np.diff(edges)):
+        if gone[i] or np.isnan(variance[i]):
             continue
-        for b in cols[i + 1 :]:
-            r = pairs.get((a, b))
-            if b in gone or r is None or abs(r) <= limit:
-                continue
-            if variances[a] is None or variances[b] is None:
-                continue
-            gone.add(b if variances[a] >= variances[b] else a)
-    return [c for c in cols if c in gone]
+        partners = pairs.second[edges[i] : edges[i + 1]]
+        partners = partners[~gone[partners] & ~np.isnan(variance[partners])]
+        weaker = variance[i] >= variance[partners]
+        gone[partners[weaker]] = True
+        gone[i] = not weaker.all()
+    return [c for c, g in zip(cols, gone) if g]
+
+
+def correlated_to_remove(cols: list[str], pairs: dict[tuple[str, str], float], variances: dict[str, float | None], limit: float = MAX_CORR) -> list[str]:
+    """``eliminate`` for pairs given by name."""
+    place = {c: i for i, c in enumerate(cols)}
+    strong = [(place[a], place[b], r) for (a, b), r in pairs.items() if abs(r) > limit]
+    return eliminate(StrongPairs.of(cols, *zip(*strong)), variances) if strong else []
 
 
 def select_features(df: DataFrame, protect: list[str] | None = None) -> Selection:
@@ -79,8 +89,6 @@ def select_features(df: DataFrame, protect: list[str] | None = None) -> Selectio
          "remove_low_variance", "Removed {} columns with variance < 0.01.")
     numeric = columns_of(result.data, NUMERICAL)
     if len(numeric) >= 2:
-        strong = correlation_table(result.data, numeric, moments).filter(F.abs("corr") > MAX_CORR)
-        pairs = {(r["column_a"], r["column_b"]): r["corr"] for r in strong.collect()}
-        drop(correlated_to_remove(numeric, pairs, variances), "correlation_filter", "remove_high_correlation",
+        drop(eliminate(strong_pairs(result.data, numeric, F.abs("corr") > MAX_CORR, moments), variances), "correlation_filter", "remove_high_correlation",
              "Removed {} highly correlated columns (>0.95).")
     return result

@@ -453,6 +453,32 @@ PART_SIZES = ("(SELECT count(*) FROM train) AS training_rows, (SELECT count(*) F
 FOREST = "CAST(100 AS BIGINT) AS trees, true AS within_depth, CAST(100 AS BIGINT) AS trees_that_split"
 
 
+def plane(source: str, y: str, a: str, b: str, train: str = "true") -> str:
+    """Least squares of y by two columns over the training rows: ``ca, cb, c0``."""
+    return f"""(SELECT (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ca, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS cb,
+  my - ma * (sbb * say - sab * sby) / (saa * sbb - sab * sab) - mb * (saa * sby - sab * say) / (saa * sbb - sab * sab) AS c0
+FROM (SELECT var_pop({a}) AS saa, var_pop({b}) AS sbb, covar_pop({a}, {b}) AS sab, covar_pop({a}, {y}) AS say, covar_pop({b}, {y}) AS sby,
+  avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my FROM {source} WHERE {train}))"""
+
+
+def linear_sql() -> dict[str, str]:
+    parts = plane("part", "p_retailprice", "p_partkey", "p_size", "p_partkey % 5 <> 0")
+    lines = plane("lineitem", "l_extendedprice", "l_quantity", "l_discount", "l_orderkey % 5 <> 0")
+    everything = plane("part", "p_retailprice", "p_partkey", "p_size")
+    predicted = "ca * p_partkey + cb * p_size + c0"
+    weights = union(f"SELECT '{e}' AS experiment_id, unnest(['{a}', '{b}']) AS feature_name, unnest([abs(ca), abs(cb)]) AS v FROM {p}" for e, a, b, p in (
+        ("parts", "p_partkey", "p_size", parts), ("lines", "l_quantity", "l_discount", lines)))
+    return {
+        "replay_stored_linear": "SELECT '007' AS experiment_id, 'LinearRegression' AS model_name, 'completed' AS evaluation_status, 'r2' AS primary_metric, "
+            f"round(1 - avg(e * e) / var_pop(y), 4) AS r2, round(sqrt(avg(e * e)), 4) AS rmse, true AS is_best FROM (SELECT p_retailprice AS y, p_retailprice - ({predicted}) AS e FROM part, {parts} WHERE p_partkey % 5 = 0)",
+        "report_trained_importances": "SELECT experiment_id, 'LinearRegression' AS model_name, row_number() OVER w AS position, feature_name, round(v, 4) AS importance_value, "
+            f"round(v / sum(v) OVER (PARTITION BY experiment_id), 4) AS normalized_importance, row_number() OVER w AS rank FROM ({weights}) WINDOW w AS (PARTITION BY experiment_id ORDER BY v DESC)",
+        "score_batch_linear": f"SELECT p_partkey AS part, round({predicted}, 3) AS prediction FROM part, {everything}",
+        "score_log_linear": "SELECT '007' AS experiment_id, unnest(['0001', '12e3']) AS batch_id, 'LinearRegression' AS model_name, 'regression' AS model_type, "
+            f"'{{\"p_partkey\":' || p_partkey || ',\"p_size\":' || p_size || '}}' AS input_data, round({predicted}, 3) AS prediction FROM part, {everything}",
+    }
+
+
 def training_sql() -> dict[str, str]:
     def v(sql):
         return with_views(f"WITH {TAGGED} {sql}", "orders_dirty")
@@ -608,6 +634,6 @@ def source_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (source_sql, profile_sql, quality_sql, cleaning_sql, features_sql, preparation_sql, training_sql, evaluation_sql, report_sql):
+    for part in (source_sql, profile_sql, quality_sql, cleaning_sql, features_sql, preparation_sql, training_sql, linear_sql, evaluation_sql, report_sql):
         out.update(part())
     return out

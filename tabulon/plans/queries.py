@@ -795,6 +795,73 @@ def replay_linear(spark, sf):
     return rounded(scores.select(F.lit(fitted.name).alias("model_name"), F.lit("completed").alias("evaluation_status"), "r2", "rows"))
 
 
+PART_INPUTS = ["p_partkey", "p_size"]
+
+
+def _linear_parts(spark, sf, experiment_id: str) -> tuple[DataFrame, train.Experiment]:
+    """Prices of all parts by key and size: the table with its sides, and an experiment with the least-squares plane."""
+    side = F.when(F.col("p_partkey") % 5 == 0, "test").otherwise("train")
+    ready = table(spark, sf, "part").select(side.alias(split.SPLIT), *[col(c).cast("double").alias(c) for c in PART_INPUTS], "p_retailprice")
+    return ready, train.run_experiment(ready, "p_retailprice", "regression", experiment_id, ["LinearRegression"])
+
+
+@register
+def replay_stored_linear(spark, sf):
+    """A stored plane measured again, twice: the log holds one copy of its evaluations and of the best model."""
+    ready, experiment = _linear_parts(spark, sf, "007")
+    folder = f"{stage_dir(spark, 'models')}/{uuid.uuid4().hex}"
+    sinks.save_model(spark, experiment.models["LinearRegression"], f"{folder}/linear")
+    for _ in range(2):
+        replay.replay_stored(ready, "p_retailprice", experiment.results, {"LinearRegression": f"{folder}/linear"}, "regression", f"{folder}/log")
+    best = replay.stored_best(spark, f"{folder}/log")
+    return rounded(replay.read_evaluations(spark, f"{folder}/log").join(best, "experiment_id").select(
+        "experiment_id", "model_name", "evaluation_status", "primary_metric", "r2", "rmse", (F.col("model_id") == F.col("best_model_id")).alias("is_best")), 4)
+
+
+@register
+def report_trained_importances(spark, sf):
+    """What the report says about models that are fitted here: importances written per model, of the best one per experiment."""
+    path = f"{stage_dir(spark, 'importances')}/{uuid.uuid4().hex}"
+    side = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
+    lines = table(spark, sf, "lineitem").select(side.alias(split.SPLIT), "l_quantity", "l_discount", "l_extendedprice")
+    experiments = [_linear_parts(spark, sf, "parts")[1], train.run_experiment(lines, "l_extendedprice", "regression", "lines", ["LinearRegression"])]
+    for experiment in [*experiments, experiments[0]]:  # writing one again changes nothing
+        explain.save_importances(spark, experiment, path)
+    results = report.union_all([e.results for e in experiments]).withColumns({"primary_metric": F.lit("r2"), "primary_metric_value": F.col("r2")})
+    models = report.experiment_models(evaluate.rank_models(results, "regression", by=["experiment_id"]))
+    shares = explain.read_importances(spark, path).select("experiment_id", "feature_name", "normalized_importance", "rank")
+    shown = report.experiment_importances(models, explain.read_importances(spark, path)).join(shares, ["experiment_id", "feature_name"])
+    return rounded(shown.select("experiment_id", "model_name", F.col("position").cast("bigint").alias("position"), "feature_name", "importance_value",
+                                "normalized_importance", F.col("rank").cast("bigint").alias("rank")), 4)
+
+
+def _plane(spark, sf) -> tuple[DataFrame, prepare.Parameters, train.FittedModel]:
+    """Parts as inputs, the parameters learned from them, and the least-squares plane over the scaled columns."""
+    parts = table(spark, sf, "part").select(*PART_INPUTS, "p_retailprice")
+    learned = prepare.fit(parts, "p_retailprice")
+    ready = prepare.transform(parts, learned, keep=["p_retailprice"])
+    fitted = train.fit_model(ready, "p_retailprice", learned.feature_names, "LinearRegression", "regression", parts.count())
+    return parts.drop("p_retailprice"), learned, fitted
+
+
+@register
+def score_batch_linear(spark, sf):
+    """All parts scored from raw inputs: checks, stored parameters, model."""
+    inputs, learned, fitted = _plane(spark, sf)
+    raw = inputs.withColumn("p_size", F.col("p_size").cast("string")).withColumn("part", F.col("p_partkey"))
+    return rounded(score.score_batch(raw, learned, fitted, keep=["part"]), 3)
+
+
+@register
+def score_log_linear(spark, sf):
+    """The same batch logged twice and another once: inputs and predictions as the log holds them."""
+    inputs, learned, fitted = _plane(spark, sf)
+    path = stage_dir(spark, f"prediction_log_{uuid.uuid4().hex}")
+    for batch in ("0001", "12e3", "0001"):
+        score.append_log(score.log_records(inputs, learned, fitted, "007", batch), path)
+    return rounded(score.read_log(spark, path).select("experiment_id", "batch_id", "model_name", "model_type", "input_data", F.col("prediction").cast("double").alias("prediction")), 3)
+
+
 @register
 def explain_slopes(spark, sf):
     _, fitted = _size_model(spark, sf)

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import clean, features, selection
+from tabulon.operators.correlation import StrongPairs, strong_pairs
 
 
 def log_of(result):
@@ -202,6 +204,43 @@ def test_greedy_walk_keeps_comparing_after_a_loss():
     assert selection.correlated_to_remove(["a", "b", "c"], pairs, {"a": 2.0, "b": 3.0, "c": 1.0}) == ["a", "c"]
 
 
+def walk(cols, pairs, variances):
+    """The elimination as two plain loops over a dictionary of pairs."""
+    gone = set()
+    for i, a in enumerate(cols):
+        if a in gone:
+            continue
+        for b in cols[i + 1 :]:
+            if (a, b) in pairs and b not in gone and None not in (variances[a], variances[b]):
+                gone.add(b if variances[a] >= variances[b] else a)
+    return [c for c in cols if c in gone]
+
+
+def test_elimination_equals_two_plain_loops():
+    rng = np.random.default_rng(3)
+    for n, share in [(2, 1.0), (9, 0.4), (40, 0.1), (40, 0.9)] * 5:
+        cols = [f"c{i}" for i in range(n)]
+        pairs = {(a, b): 0.99 for i, a in enumerate(cols) for b in cols[i + 1 :] if rng.random() < share}
+        variances = {c: None if rng.random() < 0.1 else float(rng.integers(0, 5)) for c in cols}
+        assert selection.correlated_to_remove(cols, pairs, variances) == walk(cols, pairs, variances)
+
+
+def test_elimination_of_five_thousand_columns():
+    cols = [f"c{i}" for i in range(5000)]
+    first, second = np.triu_indices(5000, k=1)
+    pairs = StrongPairs(cols, first.astype(np.int32), second.astype(np.int32), np.full(len(first), 0.99))
+    assert selection.eliminate(pairs, {c: float(i) for i, c in enumerate(cols)}) == cols[:-1]
+    assert selection.eliminate(pairs, dict.fromkeys(cols, 1.0)) == cols[1:]
+
+
+def test_strong_pairs_come_as_numbers_in_column_order(spark):
+    df = spark.range(60).select(F.col("id").cast("double").alias("z"), F.lit(1.0).alias("constant"), (F.col("id") * 2.0).alias("a"),
+                                F.sin(F.col("id") * 1.0).alias("m"), F.when(F.col("id") % 7 > 0, F.col("id") * -1.0).alias("n"))
+    found = strong_pairs(df, df.columns, F.abs("corr") > 0.95)
+    assert [(a, b, round(r, 9)) for a, b, r in found] == [("z", "a", 1.0), ("z", "n", -1.0), ("a", "n", -1.0)]
+    assert list(strong_pairs(df, ["constant", "m"], F.abs("corr") > 0.1)) == []
+
+
 def test_whole_stage(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     r = features.engineer(df, protect=["doc_id"])

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.operators import evaluate, explain, prepare, score, train
+from tabulon.operators import evaluate, explain, prepare, replay, score, train
 from tabulon.operators.split import SPLIT
 from tabulon.sources import sinks
 
@@ -208,6 +208,58 @@ def test_prediction_log_and_history(spark, classified, tmp_path):
     assert totals == {"LogisticRegression": 4, "DecisionTreeClassifier": 2}
 
 
+def test_repeated_batch_leaves_one_copy(spark, classified, tmp_path):
+    prepared, e = classified
+    rows = spark.createDataFrame([(10.0, "B"), (50.0, "A")], "num double, cat string")
+    path = f"{tmp_path}/log"
+    for name, experiment, batch in [("LogisticRegression", "01", "1e5"), ("LogisticRegression", "01", "2"), ("DecisionTreeClassifier", "01", "1e5"), ("LogisticRegression", "02", "2")]:
+        score.append_log(score.log_records(rows, prepared.parameters, e.models[name], experiment, batch), path)
+    log = [(r["experiment_id"], r["batch_id"], r["model_name"]) for r in score.read_log(spark, path).collect()]
+    want = [("01", "1e5", "DecisionTreeClassifier"), ("01", "2", "LogisticRegression"), ("02", "2", "LogisticRegression")]
+    assert sorted(log) == sorted(want * 2)  # ids stay texts, the repeated batch was replaced as a whole
+
+
+def test_only_trained_models_predict(spark, classified, tmp_path):
+    _, e = classified
+    sinks.save_model(spark, e.models["LogisticRegression"], f"{tmp_path}/m")
+    assert score.load_trained(spark, e.results, "LogisticRegression", f"{tmp_path}/m").features == e.models["LogisticRegression"].features
+    failed = e.results.withColumn("status", F.lit("failed"))
+    for results, name, message in [(failed, "LogisticRegression", "failed"), (e.results, "Other", "not part")]:
+        with pytest.raises(score.PredictionError, match=message):
+            score.load_trained(spark, results, name, f"{tmp_path}/m")
+
+
+def test_replay_stores_the_best_with_the_evaluations(spark, regressed, tmp_path):
+    prepared, e = regressed
+    paths = {}
+    for name in ("LinearRegression", "DecisionTreeRegressor"):
+        paths[name] = f"{tmp_path}/{name}"
+        sinks.save_model(spark, e.models[name], paths[name])
+    log = f"{tmp_path}/log"
+    runs = [replay.replay_stored(prepared.data, "value", e.results, paths, "regression", log) for _ in range(2)]
+    assert {r.best_model for r in runs} == {"LinearRegression"}
+    rows = [(r["model_name"], r["evaluation_status"], r["is_best"]) for r in replay.read_evaluations(spark, log).collect()]
+    assert sorted(rows) == [("DecisionTreeRegressor", "completed", False), ("LinearRegression", "completed", True), ("RandomForestRegressor", "skipped", False)]
+    best = replay.stored_best(spark, log).collect()
+    assert [(r["experiment_id"], r["best_model_id"]) for r in best] == [(e.experiment_id, 1)]
+    # without the winner another one is stored, and nothing of the earlier run is left
+    paths["LinearRegression"] = f"{tmp_path}/nowhere"
+    assert replay.replay_stored(prepared.data, "value", e.results, paths, "regression", log).best_model == "DecisionTreeRegressor"
+    assert [r["best_model_id"] for r in replay.stored_best(spark, log).collect()] == [2]
+    assert replay.read_evaluations(spark, log).count() == 3
+
+
+def test_importances_are_stored_per_model(spark, regressed, tmp_path):
+    _, e = regressed
+    for _ in range(2):
+        explain.save_importances(spark, e, f"{tmp_path}/i")
+    rows = explain.read_importances(spark, f"{tmp_path}/i").collect()
+    assert {(r["experiment_id"], r["model_id"]) for r in rows} == {(e.experiment_id, i) for i in range(3)} and len(rows) == 9
+    for i in range(3):
+        mine = sorted((r for r in rows if r["model_id"] == i), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == [1, 2, 3] and sum(r["normalized_importance"] for r in mine) == pytest.approx(1.0)
+
+
 # -- metrics ----------------------------------------------------------------
 
 
