@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tabulon.operators.quality import RECOMMENDATIONS
 from tabulon.plans.views import with_views
 
 BLANK = r"regexp_matches({c}, '^[\s\p{{Z}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}]*$')"
@@ -19,6 +18,18 @@ ORDERS_DIRTY = [
     ("o_orderdate", "datetime"), ("o_orderstatus", "categorical"), ("is_big", "boolean"), ("near_const", "categorical"),
     ("const_col", "categorical"), ("mostly_missing", "numerical"), ("all_null", "numerical"),
 ]
+# The recommendation per issue type.
+RECOMMENDATION_TEXTS = {
+    "missing_values": "Consider imputing or removing missing values depending on the column's role and missingness rate.",
+    "duplicate_rows": "Review duplicate records and remove them if they represent repeated observations.",
+    "constant_column": "Consider removing this column because it contains no useful variation.",
+    "near_constant_column": "Consider whether the slight variation in this column is meaningful or if it can be dropped.",
+    "numeric_outliers": "Review extreme values and determine whether they are legitimate observations or potential data-entry errors.",
+    "high_cardinality": "Consider grouping infrequent categories or applying target encoding for predictive modeling.",
+    "suspicious_values": "Investigate anomalous values (e.g. negative prices, empty strings) as they likely indicate data entry errors.",
+    "potential_identifier": "Review whether this column should be excluded from model training because it may uniquely identify records.",
+    "empty_dataset": "Upload a valid dataset with data.",
+}
 QUALITY_INPUTS = {
     "orders_dirty": ORDERS_DIRTY,
     "customer_balance": [("c_custkey", "numerical"), ("c_name", "categorical"), ("balance", "numerical"), ("c_mktsegment", "categorical")],
@@ -169,7 +180,7 @@ def quality_query(select: str) -> str:
 
 def quality_sql() -> dict[str, str]:
     plain = "SELECT table_name, issue_type, severity, column_name, round(metric_value, 6) AS metric_value FROM issues WHERE "
-    texts = union("SELECT '{}' AS issue_type, '{}' AS recommendation_text".format(k, v.replace("'", "''")) for k, v in RECOMMENDATIONS.items())
+    texts = union("SELECT '{}' AS issue_type, '{}' AS recommendation_text".format(k, v.replace("'", "''")) for k, v in RECOMMENDATION_TEXTS.items())
     score = "greatest(0, 100 - coalesce(sum(CASE severity WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END), 0))"
 
     def found(*kinds):
@@ -189,6 +200,8 @@ def quality_sql() -> dict[str, str]:
         "quality_score": quality_query(
             f"SELECT table_name, CAST(score AS INTEGER) AS quality_score, CASE WHEN score >= 80 THEN 'Good' WHEN score >= 50 THEN 'Needs attention' ELSE 'Poor' END AS quality_band "
             f"FROM (SELECT t.table_name, {score} AS score FROM (SELECT DISTINCT table_name FROM facts) AS t LEFT JOIN issues USING (table_name) GROUP BY t.table_name)"),
+        "quality_empty": "SELECT unnest(['orders', 'documents']) AS table_name, 'empty_dataset' AS issue_type, 'high' AS severity, CAST(NULL AS VARCHAR) AS column_name, 0 AS quality_score, "
+            f"'Poor' AS quality_band, 100.0::DOUBLE AS missing_percentage, '{RECOMMENDATION_TEXTS['empty_dataset']}' AS recommendation_text",
         "quality_recommendations": quality_query(f"SELECT DISTINCT table_name, issue_type, recommendation_text FROM issues JOIN ({texts}) AS r USING (issue_type)"),
         "quality_summary": quality_query(
             "SELECT t.table_name, round(sum(n_rows - filled) * 100.0 / sum(n_rows), 6) AS missing_percentage, round(max(dup_pct), 6) AS duplicate_percentage, "
@@ -245,24 +258,53 @@ def cleaning_sql() -> dict[str, str]:
 # -- features ---------------------------------------------------------------
 
 
-def greedy_walk(columns: list[str]) -> str:
-    """Selection by correlation as a recursion over the pairs in column order."""
+def greedy_walk(columns: list[str], source: str, others: list[str], before: str = "", least: str = "-1") -> str:
+    """Selection by correlation as a recursion over the pairs in column order; columns of less variance than ``least`` are gone before.
+
+    Ends in ``left_over``: what is kept, and ``gone``: what the walk removed.
+    """
     pairs, k = [], 0
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
             pairs.append(
                 f"SELECT {k} AS k, '{a}' AS a, '{b}' AS b, {'true' if b == columns[i + 1] else 'false'} AS opens, "
-                f"abs(corr({a}, {b})) > 0.95 AS near, CASE WHEN var_samp({a}) >= var_samp({b}) THEN '{b}' ELSE '{a}' END AS loser FROM v_part_squares"
+                f"coalesce(abs(corr({a}, {b})) > 0.95 AND var_samp({a}) >= {least} AND var_samp({b}) >= {least}, false) AS near, "
+                f"CASE WHEN var_samp({a}) >= var_samp({b}) THEN '{b}' ELSE '{a}' END AS loser FROM {source}"
             )
             k += 1
-    kept = union([f"SELECT '{c}' AS column_name, count({c}) AS value_count FROM v_part_squares" for c in [*columns, "p_brand"]])
-    return f"""WITH RECURSIVE pairs AS ({union(pairs)}),
+    kept = union([f"SELECT '{c}' AS column_name FROM {source} HAVING coalesce(var_samp({c}), 0) >= {least}" for c in columns] + [f"SELECT '{c}'" for c in others])
+    return f"""WITH RECURSIVE {before} pairs AS ({union(pairs)}),
         walk AS (SELECT -1 AS k, CAST([] AS VARCHAR[]) AS gone, true AS active
                  UNION ALL
                  SELECT k, CASE WHEN active AND near AND NOT list_contains(gone, b) THEN list_append(gone, loser) ELSE gone END, active
                  FROM (SELECT p.k, p.b, p.near, p.loser, w.gone, CASE WHEN p.opens THEN NOT list_contains(w.gone, p.a) ELSE w.active END AS active
-                       FROM walk AS w JOIN pairs AS p ON p.k = w.k + 1))
-        SELECT column_name, value_count FROM ({kept}), (SELECT gone FROM walk ORDER BY k DESC LIMIT 1) WHERE NOT list_contains(gone, column_name)"""
+                       FROM walk AS w JOIN pairs AS p ON p.k = w.k + 1)),
+        gone AS (SELECT list_distinct(gone) AS gone FROM walk ORDER BY k DESC LIMIT 1),
+        left_over AS (SELECT column_name FROM ({kept}), gone WHERE NOT list_contains(gone, column_name))
+    """
+
+
+# the documents with all their derived columns, and the numeric ones in column order
+ENGINEERED_NUMBERS = ["doc_id", "n_chars", *[f"text_{x}" for x in ("word_count", "char_count", "avg_word_length", "uppercase_count", "lowercase_count", "punctuation_count")],
+                      *[f"{c}_{x}" for c in ("doc_id", "n_chars") for x in ("squared", "cubed", "log", "sqrt")], "lang_freq", "lang_label", "source_freq", "source_label"]
+
+
+def engineered() -> str:
+    tokens = f"list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACE}]+'), lambda w: w <> '')"
+    strip = lambda kept: f"length(regexp_replace(coalesce(text, ''), '{kept}', '', 'g'))"
+    numbers = ", ".join(
+        f"CAST({c} AS DOUBLE) * {c} AS {c}_squared, CAST({c} AS DOUBLE) * {c} * {c} AS {c}_cubed, ln(1 + greatest(coalesce({c}, 0), 0)) AS {c}_log, "
+        f"sqrt(greatest(coalesce({c}, 0), 0)) AS {c}_sqrt" for c in ("doc_id", "n_chars"))
+    codes = ", ".join(f"coalesce({c}_codes.freq, 0) AS {c}_freq, coalesce({c}_codes.label, -1) AS {c}_label" for c in ("lang", "source"))
+    tables = ", ".join(f"{c}_codes AS (SELECT {c} AS value, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS freq, row_number() OVER (ORDER BY {c}) - 1 AS label "
+                       f"FROM documents WHERE {c} IS NOT NULL GROUP BY {c})" for c in ("lang", "source"))
+    marks = rf"[\p{{L}}\p{{N}}_{SPACE}]"
+    return f"""{tables}, derived AS MATERIALIZED (
+        SELECT doc_id, text, lang, source, n_chars, len({tokens}) AS text_word_count, length(coalesce(text, '')) AS text_char_count,
+               coalesce(list_avg(list_transform({tokens}, lambda w: length(w))), 0.0) AS text_avg_word_length,
+               {strip('[^A-Z]')} AS text_uppercase_count, {strip('[^a-z]')} AS text_lowercase_count, {strip(marks)} AS text_punctuation_count,
+               {numbers}, {codes}
+        FROM documents LEFT JOIN lang_codes ON lang = lang_codes.value LEFT JOIN source_codes ON source = source_codes.value),"""
 
 
 def features_sql() -> dict[str, str]:
@@ -317,7 +359,21 @@ def features_sql() -> dict[str, str]:
         "fe_select_missing": with_views("SELECT * FROM (" + per_column("SELECT '{c}' AS column_name, count({c}) AS value_count FROM {source} HAVING (count(*) - count({c})) * 1.0 / count(*) <= 0.5", ORDERS_DIRTY, "v_orders_dirty") + ")", "orders_dirty"),
         "fe_select_variance": with_views(
             "SELECT * FROM (" + union(f"SELECT '{c}' AS column_name, count({c}) AS value_count FROM v_part_squares" + (f" HAVING NOT coalesce(var_samp({c}) < 0.01, false)" if c != "p_brand" else "") for c in kept_squares) + ")", "part_squares"),
-        "fe_select_correlation": with_views(greedy_walk(["p_partkey", "p_size", "p_retailprice", "p_size_sq", "p_retail_twice"]), "part_squares"),
+        "fe_select_correlation": with_views(
+            greedy_walk(["p_partkey", "p_size", "p_retailprice", "p_size_sq", "p_retail_twice"], "v_part_squares", ["p_brand"])
+            + "SELECT column_name, value_count FROM left_over JOIN (" + union(f"SELECT '{c}' AS column_name, count({c}) AS value_count FROM v_part_squares" for c in
+              ("p_partkey", "p_size", "p_retailprice", "p_size_sq", "p_retail_twice", "p_brand")) + ") USING (column_name)", "part_squares"),
+        "fe_table_kept": greedy_walk(ENGINEERED_NUMBERS, "derived", ["text", "lang", "source"], engineered(), "0.01")
+            + "SELECT column_name, value_count, min_value, max_value FROM left_over JOIN (" + union(
+                [f"SELECT '{c}' AS column_name, count({c}) AS value_count, round(CAST(min({c}) AS DOUBLE), 4) AS min_value, round(CAST(max({c}) AS DOUBLE), 4) AS max_value FROM derived" for c in ENGINEERED_NUMBERS]
+                + [f"SELECT '{c}', count({c}), NULL, NULL FROM derived" for c in ("text", "lang", "source")]) + ") USING (column_name)",
+        "fe_log": greedy_walk(ENGINEERED_NUMBERS, "derived", ["text", "lang", "source"], engineered(), "0.01") + ", n AS (SELECT len(gone) AS alike, "
+            + f"{len(ENGINEERED_NUMBERS) + 3} - (SELECT count(*) FROM left_over) - len(gone) AS steady FROM gone) "
+            "SELECT 'text_features' AS operation, 'text' AS column_name, 'statistical_extraction' AS strategy, 'Extracted 6 text features from ''text''.' AS detail "
+            "UNION ALL SELECT 'numeric_transformation', c, 'polynomial_log_sqrt', 'Created 4 numeric features from ''' || c || '''.' FROM (SELECT unnest(['doc_id', 'n_chars']) AS c) "
+            "UNION ALL SELECT 'categorical_encoding', c, 'frequency_label_encoding', 'Created frequency and label encoding features for ''' || c || '''.' FROM (SELECT unnest(['lang', 'source']) AS c) "
+            "UNION ALL SELECT 'variance_threshold', NULL, 'remove_low_variance', 'Removed ' || steady || ' columns with variance < 0.01.' FROM n WHERE steady > 0 "
+            "UNION ALL SELECT 'correlation_filter', NULL, 'remove_high_correlation', 'Removed ' || alike || ' highly correlated columns (>0.95).' FROM n WHERE alike > 0",
     }
 
 
@@ -461,6 +517,20 @@ FROM (SELECT var_pop({a}) AS saa, var_pop({b}) AS sbb, covar_pop({a}, {b}) AS sa
   avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my FROM {source} WHERE {train}))"""
 
 
+def tree_importances(features: list[str]) -> str:
+    """Shares of the features in what two levels of splits take from the sum of squares."""
+    tree = two_levels("SELECT l_extendedprice AS y, " + ", ".join(features) + " FROM lineitem", features, ["count(*)", "sum(y)", "sum(y * y)"],
+                      lambda a: f"(({a[2]} - {a[1]} * {a[1]} / {a[0]}) / {a[0]})", "avg(y)")
+    gain = "(t_a2 - t_a1 * t_a1 / t_a0) / t_a0 - (l_a2 - l_a1 * l_a1 / l_a0) / t_a0 - ((t_a2 - l_a2) - (t_a1 - l_a1) * (t_a1 - l_a1) / (t_a0 - l_a0)) / t_a0"
+    removed = union(f"SELECT node, f, t_a0 * ({gain}) AS removed FROM cum{i} c JOIN best{i} b USING (node, f) WHERE (c.x + c.nx) / 2 = b.t" for i in (0, 1))
+    head = tree[: tree.rindex("\nSELECT n.node")]
+    listed = "[" + ", ".join(f"'{f}'" for f in features) + "]"
+    return head + f""", taken AS (SELECT f, sum(removed) AS removed FROM ({removed}) SEMI JOIN splits USING (node) GROUP BY f)
+SELECT {listed}[i + 1] AS feature_name, round(coalesce(removed / (SELECT sum(removed) FROM taken), 0), 4) AS importance_value,
+       round(coalesce(removed / (SELECT sum(removed) FROM taken), 0), 4) AS normalized_importance, 'tree' AS importance_type
+FROM (SELECT unnest(range({len(features)})) AS i) LEFT JOIN taken ON f = i"""
+
+
 def linear_sql() -> dict[str, str]:
     parts = plane("part", "p_retailprice", "p_partkey", "p_size", "p_partkey % 5 <> 0")
     lines = plane("lineitem", "l_extendedprice", "l_quantity", "l_discount", "l_orderkey % 5 <> 0")
@@ -496,6 +566,11 @@ def training_sql() -> dict[str, str]:
         "train_forest_cls": v(f"SELECT {named.format('RandomForestClassifier', 'classification')}{ORDER_SIZES}, {FOREST}"),
         "train_tree_reg": f"{PARTS} SELECT {named.format('DecisionTreeRegressor', 'regression')}{PART_SIZES}, true AS better_than_mean, count(*) AS root_rows, count(*) AS leaf_rows, "
                           "round(var_pop(p_retailprice), 3) AS root_impurity FROM train",
+        "train_all": f"{PARTS} SELECT unnest(['RandomForestRegressor', 'LinearRegression', 'DecisionTreeRegressor']) AS model_name, 'regression' AS problem_type, 'trained' AS status, "
+                     f"{PART_SIZES}, true AS better_than_mean, true AS best_leads, CAST(3 AS BIGINT) AS ranks",
+        "eval_replay": "SELECT unnest(['RandomForestRegressor', 'LinearRegression', 'DecisionTreeRegressor']) AS model_name, 'completed' AS evaluation_status, 'r2' AS primary_metric, "
+                       "count(*) > 0 AS as_trained, CAST(1 AS BIGINT) AS best_models FROM part",
+        "explain_tree_levels": tree_importances(["l_quantity", "l_linenumber", "l_discount", "l_tax"]),
         "train_forest_reg": f"{PARTS} SELECT {named.format('RandomForestRegressor', 'regression')}{PART_SIZES}, true AS better_than_mean, {FOREST}",
         "train_tree_levels_cls": two_levels(
             f"SELECT lang AS y, {letters} FROM documents", [f"has_{i}" for i in range(4)],
@@ -516,6 +591,7 @@ def evaluation_sql() -> dict[str, str]:
         "train_problem_type": union(
             [f"SELECT '{c}' AS target, count(DISTINCT {c}) AS distinct_count, CASE WHEN count(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END AS problem_type FROM part" for c in ("p_partkey", "p_size", "p_retailprice")]
             + ["SELECT 'p_brand', count(DISTINCT p_brand), 'classification' FROM part"]),
+        "json_scan": with_views("SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, o_orderstatus, is_big, round(mostly_missing, 6) AS mostly_missing FROM v_orders_dirty", "orders_dirty"),
         "sink_roundtrip": with_views("SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(mostly_missing, 6) AS mostly_missing, CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM v_orders_dirty", "orders_dirty"),
         "parameter_roundtrip": union(f"SELECT '{c}' AS column_name, round(median({c}), 4) AS median, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS scale FROM part" for c in ("p_size", "p_retailprice")),
         "prep_refusals": with_views(

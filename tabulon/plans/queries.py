@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col, fold_nan, safe_double
+from tabulon.functions.columns import NUMERICAL, col, columns_of, fold_nan, safe_double
 from tabulon.operators import clean, counts, evaluate, explain, features, prepare, profile, quality, replay, report, runlog, score, selection, split, train
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.plans.views import table, view
@@ -57,6 +57,14 @@ def parquet_scan_all(spark, sf):
     return rounded(readers.read_parquet(spark, f"{sf}/lineitem.parquet"))
 
 
+@register
+def json_scan(spark, sf):
+    """The dirty orders as JSON, read by the extension of the path: numbers, truth values and gaps."""
+    path = f"{stage_dir(spark, 'json')}/{uuid.uuid4().hex}.json"
+    view(spark, sf, "orders_dirty").write.option("ignoreNullFields", False).json(path)
+    return rounded(readers.read_file(spark, path).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "is_big", "mostly_missing"))
+
+
 @register
 def shape(spark, sf):
     rows = readers.require_data(table(spark, sf, "lineitem"))
@@ -289,6 +297,16 @@ def quality_score(spark, sf):
     return quality.quality_score(s, quality.issues_from_stats(s))
 
 
+@register
+def quality_empty(spark, sf):
+    """The whole report on tables without a row: one issue, the worst score, all cells missing."""
+    parts = []
+    for name in ("orders", "documents"):
+        r = quality.analyze_quality(table(spark, sf, name).filter("1 = 0"), name)
+        parts.append(r["issues"].join(r["score"], "table_name").join(r["summary"], "table_name").join(r["recommendations"].drop("first_order"), ["table_name", "issue_type"]))
+    return report.union_all(parts).select("table_name", "issue_type", "severity", "column_name", "quality_score", "quality_band", "missing_percentage", "recommendation_text")
+
+
 @register
 def quality_recommendations(spark, sf):
     s = _quality_stats(spark, sf)
@@ -387,12 +405,9 @@ def fe_detect_categorical(spark, sf):
     parts = []
     for name, cols in (("part", ["p_name", "p_brand", "p_type"]), ("documents", ["text", "lang", "source"])):
         parts.append(counts.cardinalities(table(spark, sf, name), cols))
-    both = parts[0].unionByName(parts[1])
-    ratio = F.col("distinct_count") / F.col("non_null_count")
-    return both.select(
-        F.col("column").alias("column_name"), "distinct_count", "non_null_count",
-        ((F.col("distinct_count") <= 1) | (ratio <= features.CATEGORY_RATIO)).alias("is_categorical"),
-    )
+    judged = [(r["column"], r["distinct_count"], r["non_null_count"], features.is_categorical(r["distinct_count"], r["non_null_count"]))
+              for r in parts[0].unionByName(parts[1]).collect()]  # a row per column
+    return spark.createDataFrame(judged, "column_name string, distinct_count long, non_null_count long, is_categorical boolean")
 
 
 @register
@@ -495,6 +510,17 @@ def fe_log(spark, sf):
     return features.engineer(table(spark, sf, "documents")).operations.select("operation", F.col("column").alias("column_name"), "strategy", "detail")
 
 
+@register
+def fe_table_kept(spark, sf):
+    """The whole feature stage over the documents: which columns are left, how many values each holds, and their range."""
+    made = features.engineer(table(spark, sf, "documents")).data
+    numeric = set(columns_of(made, NUMERICAL))
+    bounds = [f(col(c).cast("double")).alias(f"{n}:{c}") for c in made.columns if c in numeric for n, f in (("min", F.min), ("max", F.max))]
+    row = made.agg(*[F.count(col(c)).alias(c) for c in made.columns], *bounds).first().asDict()
+    kept = [(c, row[c], row.get(f"min:{c}"), row.get(f"max:{c}")) for c in made.columns]
+    return rounded(spark.createDataFrame(kept, "column_name string, value_count long, min_value double, max_value double"), 4)
+
+
 # -- preparation ------------------------------------------------------------
 
 
@@ -895,8 +921,12 @@ def train_forest_reg(spark, sf):
 
 @register
 def train_all(spark, sf):
+    """Three regressors on the prepared parts, ranked: every rank once, the best with the largest r2, all better than the mean."""
     experiment = train.run_experiment(_stored(spark, _prepared_parts(spark, sf)), "p_retailprice", "regression")
-    return evaluate.rank_models(_results(experiment), "regression")
+    ranked = evaluate.rank_models(experiment.results, "regression")
+    most, first = ranked.agg(F.max("r2"), F.max(F.when(F.col("rank") == 1, F.col("r2")))).first()
+    return ranked.select("model_name", "problem_type", "status", "training_rows", "validation_rows", "feature_count", (F.col("r2") > 0).alias("better_than_mean"),
+                         F.lit(most == first).alias("best_leads"), F.lit(ranked.select("rank").distinct().count()).cast("bigint").alias("ranks"))
 
 
 @register
@@ -910,8 +940,10 @@ def eval_replay(spark, sf):
         sinks.save_model(spark, fitted, paths[name])
     again = replay.replay_stored(ready, "p_retailprice", experiment.results, paths, "regression", f"{folder}/evaluations")
     before = experiment.results.select("model_name", F.col("r2").alias("trained_r2"))
+    same = F.abs(F.col("primary_metric_value") - F.col("trained_r2")) < 1e-9
+    best = again.evaluations.filter("is_best").count()
     return again.evaluations.join(before, "model_name").select(
-        "model_name", "evaluation_status", "primary_metric", "primary_metric_value", "trained_r2", (F.col("model_name") == again.best_model).alias("is_best")
+        "model_name", "evaluation_status", "primary_metric", same.alias("as_trained"), F.lit(best).cast("bigint").alias("best_models")
     )
 
 
@@ -950,6 +982,14 @@ def score_history(spark, sf):
     )
 
 
+@register
+def explain_tree_levels(spark, sf):
+    """Importances of a tree of two levels over all order lines: impurity that each feature removes, as shares."""
+    df = table(spark, sf, "lineitem").select("l_extendedprice", *LINE_FEATURES)
+    fitted = train.fit_model(df, "l_extendedprice", LINE_FEATURES, "DecisionTreeRegressor", "regression", df.count(), max_depth=2)
+    return rounded(explain.feature_importance(spark, fitted).drop("rank"), 4)
+
+
 @register
 def explain_tree(spark, sf):
     prepared = _prepared_parts(spark, sf)
