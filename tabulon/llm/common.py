@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.session import ensure_checkpoint_dir, materialise as written, ship_package, stage_dir
 
@@ -44,9 +46,26 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def in_python(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInPandas`` on prepared workers."""
+def whole_numbers(df: DataFrame, but: Iterable[str] = ()) -> list[str]:
+    """The integer columns of ``df``."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType) and f.name not in set(but)]
+
+
+def in_python(df: DataFrame, function, schema: str, exact: Iterable[str] = ()) -> DataFrame:
+    """``mapInPandas`` on prepared workers.
+
+    ``exact`` names integer columns that ``function`` only hands through.  They travel as text: beside a null, pandas would
+    make them doubles, which alters numbers above 2**53.
+    """
     prepare_workers(df.sparkSession)
+    exact = set(exact)
+    if exact:
+        named = lambda c: F.col(f"`{c}`")
+        wanted = T.StructType.fromDDL(schema)
+        as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in exact else f.dataType) for f in wanted])
+        texts = df.select(*[named(c).cast("string").alias(c) if c in exact else named(c) for c in df.columns])
+        made = in_python(texts, function, as_text)
+        return made.select(*[named(f.name).cast(f.dataType).alias(f.name) if f.name in exact else named(f.name) for f in wanted])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, in_pieces, in_python, pack_strings, slices, sum_pieces, texts
+from tabulon.llm.common import cut, in_pieces, in_python, pack_strings, slices, sum_pieces, texts, whole_numbers
 from tabulon.llm.texthash import lower_ascii, prefix_hash, span_hash, words
 
 SLICE = 1_000_000
@@ -386,9 +386,9 @@ def contaminated(docs: DataFrame, indexes: list[Index], s: Settings = Settings()
         for part in slices(batches, "text", SLICE):
             column, ids = texts(part.text), part.doc_id.tolist()
             rows = [(ids[d], i, c, share, has) for d, i, c, share, has in find(column, [x.value for x in shared], s)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "share", "has_answer"])
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "share", "has_answer"], dtype=object)
 
-    return in_python(docs.select("doc_id", "text"), run, "doc_id long, item_id long, cosine double, share double, has_answer boolean")
+    return in_python(docs.select("doc_id", "text"), run, "doc_id long, item_id long, cosine double, share double, has_answer boolean", exact=["doc_id"])
 
 
 def clean(docs: DataFrame, indexes: list[Index], s: Settings = Settings()) -> DataFrame:
@@ -403,4 +403,4 @@ def clean(docs: DataFrame, indexes: list[Index], s: Settings = Settings()) -> Da
             yield part[keep]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_python(docs, run, fields)
+    return in_python(docs, run, fields, exact=whole_numbers(docs))

@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, shuffle_tasks, texts, written
+from tabulon.llm.common import in_python, shuffle_tasks, texts, whole_numbers, written
 
-CACHED_WORDS = 120_000  # a worker remembers the ids of so many words, and of as many that it met before those
+CACHED_WORDS = 120_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -37,6 +37,7 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.letters = {b: (b if b in printable else next(rest)) for b in range(256)}
+        self.most = CACHED_WORDS
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         for text in ("a b", " a  B\tc\n", "don't <|x|> it's\n\n9 9", "Étre, ÄÖß!! of.&&& ªº"):
@@ -55,7 +56,7 @@ class WordEncoder:
         ids = self.old.get(word)
         if ids is None:
             ids = self._encode_word(word)
-        if len(self.young) >= CACHED_WORDS:
+        if len(self.young) >= self.most:
             self.young, self.old = {"": b""}, self.young
         self.young[word] = ids
         return ids
@@ -73,16 +74,18 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].most = words
     return _ENCODERS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, last_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, last_id: int = 1, words: int = CACHED_WORDS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids followed by ``last_id``.
 
-    Only documents longer than ``capacity`` are cut, into pieces of that many ids; null text counts as empty.
+    Only documents longer than ``capacity`` are cut, into pieces of that many ids; null text counts as empty.  A worker
+    remembers the ids of ``words`` words, and of as many that it met before those.
     """
     end = np.array([last_id], dtype="<u4").tobytes()
 
@@ -90,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, last_id:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, words).encode
         for batch in batches:
             out = []
             for doc, text in zip(batch.doc_id, texts(batch.text)):
@@ -100,7 +103,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, last_id:
                     out.append((doc, number, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return in_python(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_python(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long", exact=["doc_id"])
 
 
 @dataclass
@@ -305,4 +308,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             yield batch.drop(columns="_i").assign(sequence_id=first + within // per, offset=offset + (within % per) * length)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("_i").schema)
-    return in_python(numbered, place, fields + ", sequence_id long, offset long")
+    return in_python(numbered, place, fields + ", sequence_id long, offset long", exact=whole_numbers(numbered, ["length", "_i"]))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_python, pack_strings, per_group, prepare_workers, slices, texts, written
+from tabulon.llm.common import in_python, pack_strings, per_group, prepare_workers, slices, texts, whole_numbers, written
 from tabulon.llm.texthash import lower_ascii, mix, prefix_hash, span_hash, words
 
 BITS = 18
@@ -194,7 +194,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: list[str
 
     wanted = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return in_python(wanted, run, schema + ", score double")
+    return in_python(wanted, run, schema + ", score double", exact=whole_numbers(docs.select(*keep)))
 
 
 def held_out(doc_id) -> F.Column:

@@ -33,7 +33,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+    # by itself the operator has room for a larger memory of words than beside the stages of a pipeline
+    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), tokenizer_path(), 4096, words=300_000)
     return packing.pack(pieces, 4096)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, written
 from tabulon.llm.components import connected_components
 
 
@@ -90,16 +90,19 @@ def page_links(pages: DataFrame) -> DataFrame:
     ``<link rel="canonical" href>``, ``<meta http-equiv="refresh" content="0; url=...">``, and the usual
     redirect to the canonical spelling of an address (given as ``canonical:`` plus the spelling).
     Character references in targets are decoded and relative targets are resolved against the page's address.
+
+    Pages are searched once, and few declare anything: what they declare is written as it is found, decoded, and resolved,
+    step by step, since decoding and resolving name their argument many times over.
     """
     tag = lambda pattern: F.regexp_extract("html", pattern, 1)
     link = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
     known = pages.filter(host_of(F.col("url")) != "")
-    absolute = lambda to: resolved(_decoded(to), F.col("url"))
-    targets = F.array(
-        absolute(tag(link)), absolute(tag(refresh)), F.concat(F.lit("canonical:"), canonical_spelling(F.col("url")))
-    )
-    return known.select(F.col("url").alias("source"), F.explode(targets).alias("target")).filter("target <> '' and target <> source")
+    found = written(known.select("url", F.explode(F.array(tag(link), tag(refresh))).alias("target")).filter("target <> ''"), "declared_links")
+    decoded = written(found.select("url", _decoded(F.col("target")).alias("target")), "decoded_links")
+    declared = decoded.select(F.col("url").alias("source"), resolved(F.col("target"), F.col("url")).alias("target"))
+    spelled = known.select(F.col("url").alias("source"), F.concat(F.lit("canonical:"), canonical_spelling(F.col("url"))).alias("target"))
+    return written(declared.union(spelled).filter("target <> '' and target <> source"), "page_links")
 
 
 def judge_by_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:

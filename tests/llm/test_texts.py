@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabulon.llm import chat, html_text, packing
+from tabulon.llm import chat, decontaminate, html_text, packing, quality_ftrl
 from tabulon.llm.queries import tokenizer_path
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article>";</script></head><body><nav><a href="/x">Menu</a></nav>
@@ -181,3 +181,24 @@ def test_packed_pieces(spark):
     assert len(fill) <= best_fit_decreasing([r["length"] for r in rows], 256)
     empty = df.limit(0)
     assert packing.pack(packing.token_pieces(empty, tokenizer_path(), 256), 256).count() == 0
+
+
+LARGE = 2**53 + 1
+
+
+def test_large_ids_beside_a_null_stay_as_they_are(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(LARGE, " ".join(words), LARGE + 2), (None, " ".join(words), None), (LARGE + 2, "other words altogether", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1)
+    ids = {LARGE, None, LARGE + 2}
+    pieces = packing.token_pieces(docs, tokenizer_path())
+    assert {r["doc_id"] for r in pieces.collect()} == ids
+    assert {r["doc_id"] for r in packing.pack(pieces).collect()} == ids
+    scored = quality_ftrl.score(docs, np.zeros(1 << quality_ftrl.BITS), keep=["doc_id", "n_chars"]).collect()
+    assert {(r["doc_id"], r["n_chars"]) for r in scored} == {(d, n) for d, _, n in rows}
+    items = spark.createDataFrame([(LARGE, " ".join(words))], "item_id long, text string")
+    indexes = decontaminate.build_indexes(docs, items, decontaminate.Settings())
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, indexes).collect()} == {(LARGE, LARGE), (None, LARGE)}
+    assert [tuple(r) for r in decontaminate.clean(docs, indexes).collect()] == [rows[2]]
+    pages = spark.createDataFrame([(d, f"http://a.net/{i}", f"<article>{t}</article>") for i, (d, t, _) in enumerate(rows)], "page_id long, url string, html string").coalesce(1)
+    assert {(r["page_id"], r["text"]) for r in html_text.main_text(pages).collect()} == {(d, t) for d, t, _ in rows}
