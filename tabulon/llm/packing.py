@@ -74,7 +74,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def encoder(path: str, words: int) -> WordEncoder:
+def encoder(path: str, words: int = CACHED_WORDS) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     _ENCODERS[path].most = words
