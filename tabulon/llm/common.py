@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -160,9 +161,26 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Number of buckets for packed rows: a few per shuffle task, so that it follows the cluster's own setting."""
-    return 4 * shuffle_tasks(spark)
+BUCKET_BYTES = 4_000_000
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How packed rows about a given number of bytes of text are dealt out: buckets of a few megabytes of text, tasks of a few buckets.
+
+    Both follow the data; where there is little, there are as many as the session has shuffle tasks.
+    """
+
+    buckets: int
+    tasks: int
+
+    @staticmethod
+    def of(spark: SparkSession, n_bytes: int) -> Deal:
+        least = shuffle_tasks(spark)
+        return Deal(max(least, -(-n_bytes // BUCKET_BYTES)), max(least, -(-n_bytes // (4 * BUCKET_BYTES))))
+
+    def by(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.tasks, key)
 
 
 def texts(column: pd.Series) -> list[str]:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import buckets_for, in_python, pack_strings, per_group, per_pair, prepare_workers, slices, texts, written
+from tabulon.llm.common import Deal, in_python, pack_strings, per_group, per_pair, prepare_workers, slices, texts, written
 from tabulon.llm.texthash import mix, prefix_hash, span_hash
 
 GRAM = 20  # longer ones mean more anchors, shorter ones more chance agreement that has to be looked into
@@ -42,21 +42,23 @@ class Sizes:
 # --- chunks -----------------------------------------------------------------------------------------------------------
 
 
-def text_chunks(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """Written table ``chunk, ids, ends, data, rest``: the UTF-8 bytes of about ``sizes.chunk`` bytes of documents per row, compressed."""
+def text_chunks(docs: DataFrame, sizes: Sizes, size: int) -> DataFrame:
+    """Written table ``chunk, ids, ends, data, places, n_bytes, rest``: the UTF-8 bytes of about ``sizes.chunk`` bytes of documents
+    per row, compressed, and where their anchors are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text", sizes.chunk):
             data, ends = pack_strings(texts(part.text))
             ids = part.doc_id.fillna(NO_ID).to_numpy(np.int64)
+            places = anchor_places(np.frombuffer(data, np.uint8), ends, size)
             yield pd.DataFrame({
                 "chunk": [uuid.uuid4().int >> 65], "ids": [ids.tobytes()], "ends": [ends.tobytes()], "data": [zstandard.compress(data, 3)],
-                "rest": ["\n".join(part._rest)],
+                "places": [_pack_places(*places)], "n_bytes": [len(data)], "rest": ["\n".join(part._rest)],
             })
 
     # the id has to survive as a number, so null is replaced before Arrow makes it a double
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), "text", "_rest")
-    return written(in_python(rows, run, "chunk long, ids binary, ends binary, data binary, rest string"), "text_chunks")
+    return written(in_python(rows, run, "chunk long, ids binary, ends binary, data binary, places binary, n_bytes long, rest string"), "text_chunks")
 
 
 @dataclass
@@ -64,10 +66,12 @@ class Chunk:
     data: np.ndarray
     ids: np.ndarray
     ends: np.ndarray
+    places: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @staticmethod
     def of(row) -> Chunk:
-        return Chunk(np.frombuffer(zstandard.decompress(row.data), np.uint8), np.frombuffer(row.ids, np.int64), np.frombuffer(row.ends, np.int64))
+        data = np.frombuffer(zstandard.decompress(row.data), np.uint8)
+        return Chunk(data, np.frombuffer(row.ids, np.int64), np.frombuffer(row.ends, np.int64), _unpack_places(row.places))
 
 
 @dataclass
@@ -82,35 +86,55 @@ class Anchors:
     doc: np.ndarray
 
 
-def anchors(chunk: Chunk, size: int) -> Anchors:
+def anchor_places(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor occurrence the first and last window start and the anchor's place, in order."""
     none = np.zeros(0, dtype=np.int64)
-    data, ends = chunk.data, chunk.ends
     if len(data) < size:
-        return Anchors(none.astype(np.uint64), none.astype(np.uint32), none, none, none, none)
+        return none, none, none
     running = prefix_hash(data)
     place = np.arange(len(data) - GRAM + 1)
-    gram = span_hash(running, place, place + GRAM)
-    best = (gram >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
+    best = span_hash(running, place, place + GRAM)
+    best >>= np.uint64(32)
+    best <<= np.uint64(32)
+    best |= place.astype(np.uint64)
     width, step = size - GRAM + 1, 1
     while 2 * step <= width:
         best = np.minimum(best[: len(best) - step], best[step:])
         step *= 2
     if width > step:
         best = np.minimum(best[: len(best) - (width - step)], best[width - step :])
-    start = np.arange(len(best))
-    text = np.searchsorted(ends, start, side="right") - 1 if len(best) else none
-    valid = start + size <= ends[text + 1]
-    start, text = start[valid], text[valid]
-    at = (best[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    spans = np.maximum(np.diff(ends) - size + 1, 0)  # windows of each text
+    start = np.repeat(ends[:-1], spans) + _within(spans)
     if not len(start):
-        return Anchors(none.astype(np.uint64), none.astype(np.uint32), none, none, none, none)
+        return none, none, none
+    at = (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     fresh = np.ones(len(start), dtype=bool)
-    fresh[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    fresh[1:] = at[1:] != at[:-1]
+    fresh[np.cumsum(spans)[:-1][np.cumsum(spans)[:-1] < len(start)]] = True
     head = np.flatnonzero(fresh)
     tail = np.concatenate([head[1:], [len(start)]]) - 1
-    first, last, at = start[head], start[tail], at[head]
+    return start[head], start[tail], at[head]
+
+
+def _pack_places(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> bytes:
+    steps = [np.diff(first, prepend=0), last - first, at - first]
+    return _squeeze(np.concatenate(steps).astype(np.int32)) if len(first) else b""
+
+
+def _unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not raw:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    step, last, at = _expand(raw, np.int32).astype(np.int64).reshape(3, -1)
+    first = np.cumsum(step)
+    return first, first + last, first + at
+
+
+def anchors(chunk: Chunk, size: int) -> Anchors:
+    first, last, at = chunk.places
+    running = prefix_hash(chunk.data)
     block = mix(span_hash(running, first, last + size) + (at - first).astype(np.uint64)).astype(np.uint32)
-    return Anchors(gram[at], block, first, last, at, chunk.ids[text[head]])
+    text = np.searchsorted(chunk.ends, first, side="right") - 1
+    return Anchors(span_hash(running, at, at + GRAM), block, first, last, at, chunk.ids[text])
 
 
 @dataclass
@@ -314,8 +338,9 @@ def suffix_array(data: np.ndarray, group: np.ndarray, start: np.ndarray, stop: n
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     size = stop - start
     longest = int(size.max())
-    at = start[:, None] + np.arange(longest)[None, :]
-    rows = np.where(at < stop[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    padded = np.concatenate([data, np.zeros(longest, dtype=np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, longest)[start]
+    rows[np.arange(longest)[None, :] >= size[:, None]] = 0
     order = np.lexsort((size, rows.view(f"S{longest}").reshape(-1), group))
     rows, size, group = rows[order], size[order], group[order]
     differ = rows[1:] != rows[:-1]
@@ -352,7 +377,7 @@ def maximal_intervals(common: np.ndarray, left: np.ndarray, size: int) -> list[I
     return found
 
 
-SUFFIXES = 200_000  # suffixes that are sorted at once (whole groups)
+SUFFIXES = 40_000  # suffixes that are sorted at once (whole groups)
 
 
 def repeats(group: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray, size: int):
@@ -481,20 +506,21 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
     prepare_workers(spark)
     carry = carry or []
     rest = F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}) if carry else F.lit("{}")
-    chunks = text_chunks(docs.withColumn("_rest", rest), sizes)
-    buckets = buckets_for(spark)
+    chunks = text_chunks(docs.withColumn("_rest", rest), sizes, size)
+    deal = Deal.of(spark, chunks.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = deal.buckets
     answer = "chunk long, bucket int, reply binary"
 
-    asked = in_python(chunks.select("chunk", "ids", "ends", "data"), lambda batches: _send_entries(batches, size, buckets, sizes),
+    asked = in_python(chunks.select("chunk", "ids", "ends", "data", "places"), lambda batches: _send_entries(batches, size, buckets, sizes),
                       "bucket int, chunk long, gram binary, block binary, doc binary, many binary")
-    first = written(asked.groupBy("bucket").applyInPandas(per_group(lambda g: _answer_entries(g, sizes)), answer), "repeat_blocks")
-    text = chunks.groupBy("chunk")
-    contexts = text.cogroup(first.groupBy("chunk")).applyInPandas(
+    first = written(deal.by(asked, "bucket").groupBy("bucket").applyInPandas(per_group(lambda g: _answer_entries(g, sizes)), answer), "repeat_blocks")
+    by_chunk = lambda df: deal.by(df, "chunk").groupBy("chunk")
+    contexts = by_chunk(chunks.drop("rest", "n_bytes")).cogroup(by_chunk(first)).applyInPandas(
         per_pair(lambda left, right: _send_contexts(left, right, size, buckets, sizes)),
         "bucket int, chunk long, key binary, check binary, length binary, doc binary, data binary")
-    second = written(contexts.groupBy("bucket").applyInPandas(per_group(lambda g: _answer_contexts(g, size)), answer), "repeat_windows")
+    second = written(deal.by(contexts, "bucket").groupBy("bucket").applyInPandas(per_group(lambda g: _answer_contexts(g, size)), answer), "repeat_windows")
     both = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
-    done = text.cogroup(both.groupBy("chunk")).applyInPandas(
+    done = by_chunk(chunks.drop("n_bytes")).cogroup(by_chunk(both)).applyInPandas(
         per_pair(lambda left, right: _finish(left, right, size, sizes)),
         "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest string")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else "none string"
