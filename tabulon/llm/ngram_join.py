@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import in_pieces, in_python, pack_strings, slices, sum_pieces, texts, written
+from tabulon.llm.common import Deal, in_pieces, in_python, pack_strings, per_group, per_pair, slices, sum_pieces, texts, written
 from tabulon.llm.components import connected_components
+from tabulon.llm.repeats import expand, key_cuts, squeeze
 from tabulon.llm.texthash import distinct_per_text, lower_ascii, mix, prefix_hash, shingles, span_hash, words
 
 SLICE = 1_000_000
-SKETCH_BITS = 21  # counters of the frequency sketch; decides only how well rare n-grams are told from frequent ones
 SUFFIX_PARTS = 64
 PARITY = ["p0", "p1", "p2", "p3"]  # 256 bits: whether a hash range holds an odd number of n-grams
 FILTER_BITS = 21  # size of the filter of documents whose sets are wanted; a fuller filter only sends more sets
 
 
-def _sets(part: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of a batch and the text number of each, in order of text."""
-    raw, ends = pack_strings(texts(part.text))
+def _sets(raw: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of some texts and the text number of each, in order of text and hash."""
     data = lower_ascii(np.frombuffer(raw, dtype=np.uint8))
     start, end, text = words(data, ends)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes, owner, _ = shingles(span_hash(prefix_hash(data), start, end), text, len(part), width)
+    hashes, owner, _ = shingles(span_hash(prefix_hash(data), start, end), text, len(ends) - 1, width)
     return distinct_per_text(hashes, owner)
 
 
@@ -38,19 +39,20 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return total[cuts[1:]] - total[cuts[:-1]]
 
 
-def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: ``doc_id, n, hi, lo, parts, p0 .. p3`` per document, and the frequency class of each sketch counter.
+def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts, two written tables.
 
-    ``hi, lo`` identify the set, ``parts`` counts its hashes in 64 ranges, ``p0 .. p3`` are the parities of the counts
-    in 256 ranges.  Every n-gram that only one of two sets has changes one parity, so sets differ at least as much as
-    their parities.
+    First ``doc_id, n, hi, lo, parts, p0 .. p3`` per document: ``hi, lo`` identify the set, ``parts`` counts its hashes
+    in 64 ranges, ``p0 .. p3`` are the parities of the counts in 256 ranges.  Every n-gram that only one of two sets has
+    changes one parity, so sets differ at least as much as their parities.  Second ``chunk, ids, ends, data, n_bytes``:
+    the compressed texts, some per row; of equal sets only the first of a task is among them, and no empty ones.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        known: set[tuple[int, int, int]] = set()
         for part in slices(batches, "text", SLICE):
-            h, owner = _sets(part, width)
-            sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+            values = texts(part.text)
+            h, owner = _sets(*pack_strings(values), width)
             n = np.bincount(owner, minlength=len(part))
             cuts = np.concatenate([[0], np.cumsum(n)])
             with np.errstate(over="ignore"):
@@ -59,55 +61,92 @@ def describe_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             ranges = np.minimum(ranges, 255).astype(np.uint8).reshape(len(part), SUFFIX_PARTS)
             odd = np.bincount(owner * 256 + (h >> np.uint64(6) & np.uint64(255)).astype(np.int64), minlength=len(part) * 256).reshape(len(part), 256) & 1
             parity = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+            ids = part.doc_id.to_numpy(np.int64)
             yield pd.DataFrame({
-                "doc_id": part.doc_id.to_numpy(), "n": n, "hi": hi, "lo": lo, "parts": [r.tobytes() for r in ranges],
-                **{c: parity[:, i] for i, c in enumerate(PARITY)}, "piece": -1, "counts": None,
+                "doc_id": ids, "n": n, "hi": hi, "lo": lo, "parts": [r.tobytes() for r in ranges],
+                **{c: parity[:, i] for i, c in enumerate(PARITY)}, **dict.fromkeys(["chunk", "ids", "ends", "data", "n_bytes"]),
             })
-        out = in_pieces(sketch)
-        yield out.assign(doc_id=None, n=0, hi=0, lo=0, parts=None, p0=0, p1=0, p2=0, p3=0)[["doc_id", "n", "hi", "lo", "parts", *PARITY, "piece", "counts"]]
-
-    made = written(in_python(docs, run, "doc_id long, n long, hi long, lo long, parts binary, p0 long, p1 long, p2 long, p3 long, piece int, counts binary"), "ngram_sets")
-    counts = sum_pieces(made.filter("piece >= 0").select("piece", "counts"), 1 << SKETCH_BITS)
-    classes = np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint8)
-    return made.filter("piece < 0").select("doc_id", "n", "hi", "lo", "parts", *PARITY), classes
-
-
-def _in_order(h: np.ndarray, owner: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sets as keys in the global order: rare classes first, then by hash."""
-    key = classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | h >> np.uint64(6)
-    order = np.lexsort((key, owner))
-    return key[order], owner[order]
-
-
-def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, doc_id, n, pos``: each set's first n - ceil(percent * n / 100) + 1 keys in the global order.
-
-    Two sets that are similar enough share one of these.  Of equal sets only the first of a task sends its prefix.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: set[tuple[int, int, int]] = set()
-        for part in slices(batches, "text", SLICE):
-            key, owner = _in_order(*_sets(part, width), shared.value)
-            n = np.bincount(owner, minlength=len(part))
-            cuts = np.concatenate([[0], np.cumsum(n)])
-            both = _sums(mix(key), cuts)
-            fresh = np.zeros(len(part), dtype=bool)
-            for i, (size, low) in enumerate(zip(n.tolist(), both.tolist())):
-                same = (size, low, int(key[cuts[i]]) if size else 0)
-                if size and same not in known:
+            fresh = []
+            for i, same in enumerate(zip(n.tolist(), hi.tolist(), lo.tolist())):
+                if same[0] and same not in known:
                     known.add(same)
-                    fresh[i] = True
-            length = np.where(fresh, n - -(-percent * n // 100) + 1, 0)
-            pos = np.arange(len(key)) - cuts[owner]
-            taken = pos < length[owner]
-            yield pd.DataFrame({
-                "token": key[taken].view(np.int64), "doc_id": part.doc_id.to_numpy()[owner[taken]],
-                "n": n[owner[taken]].astype(np.int32), "pos": pos[taken].astype(np.int32),
-            })
-
-    return in_python(docs, run, "token long, doc_id long, n int, pos int")
+                    fresh.append(i)
+            if fresh:
+                data, ends = pack_strings(values[i] for i in fresh)
+                yield pd.DataFrame({
+                    **dict.fromkeys(["doc_id", "n", "hi", "lo", "parts", *PARITY]), "chunk": [uuid.uuid4().int >> 65],
+                    "ids": [ids[fresh].tobytes()], "ends": [ends.tobytes()], "data": [zstandard.compress(data, 3)], "n_bytes": [len(data)],
+                })
+
+    made = written(in_python(docs, run, "doc_id long, n long, hi long, lo long, parts binary, p0 long, p1 long, p2 long, p3 long, "
+                             "chunk long, ids binary, ends binary, data binary, n_bytes long"), "ngram_sets")
+    return (made.filter("chunk is null").select("doc_id", "n", "hi", "lo", "parts", *PARITY),
+            made.filter("chunk is not null").select("chunk", "ids", "ends", "data", "n_bytes"))
+
+
+def _chunk_keys(row, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (the first 48 bits of the hashes) of a chunk's sets and the text number of each."""
+    h, owner = _sets(zstandard.decompress(row.data), np.frombuffer(row.ends, np.int64), width)
+    return h >> np.uint64(16) << np.uint64(16), owner
+
+
+def _send_keys(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            key, times = np.unique(_chunk_keys(row, width)[0], return_counts=True)
+            cut, out = key_cuts(key, buckets), []
+            for b in np.flatnonzero(np.diff(cut)):
+                s = slice(cut[b], cut[b + 1])
+                out.append((int(b), row.chunk, squeeze(np.diff(key[s], prepend=np.uint64(0))), squeeze(times[s].astype(np.uint32))))
+            yield pd.DataFrame(out, columns=["bucket", "chunk", "key", "times"])
+
+
+def _answer_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """For each key sent, in how many of all sets it is."""
+    parts = [expand(k, np.uint64).cumsum(dtype=np.uint64) for k in group.key]
+    _, number = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(number, weights=np.concatenate([expand(t, np.uint32) for t in group.times]))
+    back = np.minimum(total[number], np.iinfo(np.uint32).max).astype(np.uint32)
+    ends = np.cumsum([len(p) for p in parts])
+    return pd.DataFrame({"chunk": group.chunk.to_numpy(), "bucket": group.bucket.to_numpy(),
+                         "reply": [squeeze(back[e - len(p) : e]) for e, p in zip(ends, parts)]})
+
+
+def _chunk_prefixes(left: pd.DataFrame, right: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+    out = [pd.DataFrame({"token": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "pos": np.zeros(0, np.int32)})]
+    counts = np.concatenate([np.zeros(0, np.uint32), *(expand(r, np.uint32) for r in right.sort_values("bucket").reply)])
+    for row in left.itertuples(index=False):
+        key, owner = _chunk_keys(row, width)
+        _, number = np.unique(key, return_inverse=True)
+        if len(key) and number.max() + 1 != len(counts):
+            raise RuntimeError("answers do not fit the chunk")
+        sets = counts[number]
+        order = np.lexsort((key, sets, owner))
+        key, owner, sets = key[order], owner[order], sets[order]
+        ids = np.frombuffer(row.ids, np.int64)
+        n = np.bincount(owner, minlength=len(ids))
+        pos = np.arange(len(key)) - (np.cumsum(n) - n)[owner]
+        taken = (pos < (n - -(-percent * n // 100) + 1)[owner]) & (sets > 1)
+        out.append(pd.DataFrame({"token": key[taken].view(np.int64), "doc_id": ids[owner[taken]],
+                                 "n": n[owner[taken]].astype(np.int32), "pos": pos[taken].astype(np.int32)}))
+    return pd.concat(out)
+
+
+def prefixes(chunks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Written table ``token, doc_id, n, pos``: each set's first n - ceil(percent * n / 100) + 1 keys in the global order.
+
+    The order is by the exact number of sets that hold a key, then by key.  Two sets that are similar enough share one
+    of the keys; keys of one set only are counted in ``pos``, but not sent.  Chunks ask buckets of keys for the numbers,
+    each key once, so a frequent n-gram costs its bucket one entry per chunk.
+    """
+    deal = Deal.of(chunks.sparkSession, chunks.agg(F.sum("n_bytes")).first()[0] or 0)
+    asked = in_python(chunks.select("chunk", "ends", "data"), lambda batches: _send_keys(batches, width, deal.buckets),
+                      "bucket int, chunk long, key binary, times binary")
+    counted = written(deal.by(asked, "bucket").groupBy("bucket").applyInPandas(per_group(_answer_keys), "chunk long, bucket int, reply binary"), "ngram_counts")
+    by_chunk = lambda df: deal.by(df, "chunk").groupBy("chunk")
+    made = by_chunk(chunks.drop("n_bytes")).cogroup(by_chunk(counted)).applyInPandas(
+        per_pair(lambda left, right: _chunk_prefixes(left, right, width, percent)), "token long, doc_id long, n int, pos int")
+    return written(made, "ngram_keys")
 
 
 def _length_fits(a: str, b: str, percent: int):
@@ -149,7 +188,7 @@ def _verify(docs: DataFrame, about: DataFrame, pairs: DataFrame, width: int, per
         marks = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in slices(iter([batch[marks[batch.slot.to_numpy()]]]), "text", SLICE):
-                h, owner = _sets(part, width)
+                h, owner = _sets(*pack_strings(texts(part.text)), width)
                 cuts = np.searchsorted(owner, np.arange(len(part) + 1))
                 yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "set": [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(part))]})
 
@@ -187,13 +226,13 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs across components.  No candidate is left out: a pair within a component needs no comparison.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    about, classes = describe_sets(rows, width)
+    about, chunks = describe_sets(rows, width)
     described = about.filter("n > 0")
     first = described.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"))
     equal = written(described.select("doc_id", "n", "hi", "lo").join(first, ["n", "hi", "lo"]).select("doc_id", "rep"), "ngram_classes")
-    entry = prefixes(rows, classes, width, percent)
-    groups = entry.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = written(entry.join(groups.filter("c > 1 and low < high").drop("c"), "token"), "ngram_prefixes")
+    entry = prefixes(chunks, width, percent)
+    groups = entry.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = written(entry.join(groups.filter("low < high"), "token"), "ngram_prefixes")
     rep = lambda c: equal.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep{c}"))
 
     def between_classes(pairs: DataFrame) -> DataFrame:

@@ -118,13 +118,13 @@ def anchor_places(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.nda
 
 def _pack_places(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> bytes:
     steps = [np.diff(first, prepend=0), last - first, at - first]
-    return _squeeze(np.concatenate(steps).astype(np.int32)) if len(first) else b""
+    return squeeze(np.concatenate(steps).astype(np.int32)) if len(first) else b""
 
 
 def _unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not raw:
         return (np.zeros(0, dtype=np.int64),) * 3
-    step, last, at = _expand(raw, np.int32).astype(np.int64).reshape(3, -1)
+    step, last, at = expand(raw, np.int32).astype(np.int64).reshape(3, -1)
     first = np.cumsum(step)
     return first, first + last, first + at
 
@@ -178,18 +178,18 @@ def entries(a: Anchors, sizes: Sizes) -> Entries:
 # --- sending arrays ------------------------------------------------------------------------------------------------------
 
 
-def _squeeze(values: np.ndarray) -> bytes:
+def squeeze(values: np.ndarray) -> bytes:
     """Compressed bytes of numbers, equal bytes of all numbers together."""
     flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
     return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), 1)
 
 
-def _expand(raw: bytes, kind) -> np.ndarray:
+def expand(raw: bytes, kind) -> np.ndarray:
     flat = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(flat.T).view(kind).reshape(-1)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+def key_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where sorted 64-bit keys change from one bucket (an equal range of keys) to the next."""
     edges = (np.arange(buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
     return np.concatenate([np.searchsorted(keys, edges), [len(keys)]])
@@ -202,21 +202,21 @@ def _send_entries(batches: Iterator[pd.DataFrame], size: int, buckets: int, size
     for batch in batches:
         for row in batch.itertuples(index=False):
             e = entries(anchors(Chunk.of(row), size), sizes)
-            cut, out = _cuts(e.gram, buckets), []
+            cut, out = key_cuts(e.gram, buckets), []
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
                 step = np.diff(e.gram[s], prepend=np.uint64(0))
-                out.append((int(b), row.chunk, _squeeze(step), _squeeze(e.block[s]), _squeeze(e.doc[s]), np.packbits(e.many[s]).tobytes()))
+                out.append((int(b), row.chunk, squeeze(step), squeeze(e.block[s]), squeeze(e.doc[s]), np.packbits(e.many[s]).tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "chunk", "gram", "block", "doc", "many"])
 
 
 def _answer_entries(group: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
     """For each entry sent: whether a smaller document holds the same block, whether the anchor has other blocks, whether it has very many."""
-    parts = [_expand(g, np.uint64).cumsum(dtype=np.uint64) for g in group.gram]
+    parts = [expand(g, np.uint64).cumsum(dtype=np.uint64) for g in group.gram]
     counts = [len(p) for p in parts]
     gram = np.concatenate(parts)
-    block = np.concatenate([_expand(b, np.uint32) for b in group.block])
-    doc = np.concatenate([_expand(d, np.int64) for d in group.doc])
+    block = np.concatenate([expand(b, np.uint32) for b in group.block])
+    doc = np.concatenate([expand(d, np.int64) for d in group.doc])
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(group.many, counts)]).astype(bool)
     order = np.lexsort((doc, block, gram))
     g, b, d = gram[order], block[order], doc[order]
@@ -411,24 +411,24 @@ def _send_contexts(left: pd.DataFrame, right: pd.DataFrame, size: int, buckets:
         a = anchors(chunk, size)
         e = entries(a, sizes)
         c, _, _ = open_contexts(chunk, a, e, _flags(right, len(e.gram)), size)
-        cut = _cuts(c.key, buckets)
+        cut = key_cuts(c.key, buckets)
         for b in np.flatnonzero(np.diff(cut)):
             s = slice(cut[b], cut[b + 1])
             data = chunk.data[np.repeat(c.start[s], c.length[s]) + _within(c.length[s])]
-            out.append((int(b), row.chunk, _squeeze(c.key[s]), _squeeze(c.check[s]), _squeeze(c.length[s].astype(np.uint32)), _squeeze(c.doc[s]),
+            out.append((int(b), row.chunk, squeeze(c.key[s]), squeeze(c.check[s]), squeeze(c.length[s].astype(np.uint32)), squeeze(c.doc[s]),
                         zstandard.compress(data.tobytes(), 1)))
     return pd.DataFrame(out, columns=["bucket", "chunk", "key", "check", "length", "doc", "data"])
 
 
 def _answer_contexts(group: pd.DataFrame, size: int) -> pd.DataFrame:
     """For each window sent: whether it lies within a repeat that a smaller document holds too."""
-    keys = [_expand(k, np.uint64) for k in group.key]
+    keys = [expand(k, np.uint64) for k in group.key]
     key = np.concatenate(keys)
-    length = np.concatenate([_expand(n, np.uint32) for n in group.length]).astype(np.int64)
-    doc = np.concatenate([_expand(d, np.int64) for d in group.doc])
+    length = np.concatenate([expand(n, np.uint32) for n in group.length]).astype(np.int64)
+    doc = np.concatenate([expand(d, np.int64) for d in group.doc])
     data = np.frombuffer(b"".join(zstandard.decompress(d) for d in group.data), np.uint8)
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
-    check = np.concatenate([_expand(c, np.uint32) for c in group.check])
+    check = np.concatenate([expand(c, np.uint32) for c in group.check])
     base = np.concatenate([[0], np.cumsum(_windows(length, size))])
     steps = np.zeros(base[-1] + 1, dtype=np.int64)  # +1 where a covered run of windows begins, -1 after it
     single = np.flatnonzero(length == 0)
