@@ -53,7 +53,7 @@ def word_forms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def features(column: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (text number, slot, value) in order of text: hashed word n-grams of whole texts.
 
-    N-grams are single lower-case words, and runs of one to three word forms, where a form is how a word is
+    N-grams are single lower-case words, pairs of them, and runs of one to three word forms, where a form is how a word is
     written (case, marks, length, and whether it repeats the word before or the one two before).  The value
     of an n-gram is the square root of its share among its kind, so long and short texts weigh alike; every
     text has the bias slot.
@@ -70,6 +70,9 @@ def features(column: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarra
         form = form + np.uint64(512) * same(1).astype(np.uint64) + np.uint64(1024) * same(2).astype(np.uint64)
         with np.errstate(over="ignore"):
             keys.append((text, mix(name + np.uint64(1))))
+            whole = text[:-1] == text[1:]
+            pair = name[:-1] * np.uint64(0x9E3779B97F4A7C15) + name[1:]
+            keys.append((text[:-1][whole], mix(pair[whole] + np.uint64(2))))
             run = form
             keys.append((text, mix(run + np.uint64(1 << 40))))
             for width in (2, 3):
