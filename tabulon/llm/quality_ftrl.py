@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,12 +131,22 @@ class State:
         self.n[slots] = n + g * g
 
 
+PIECES = 16  # parts of the state that are averaged side by side
+
+
+def _mean_states(group: pd.DataFrame) -> pd.DataFrame:
+    """The mean of one piece of all shards' states, added up in order of shard."""
+    group = group.sort_values("shard")
+    z, n = (sum(np.frombuffer(zstandard.decompress(x)) for x in group[c]) / len(group) for c in ("z", "n"))
+    return pd.DataFrame({"piece": group.piece.iloc[:1].to_numpy(), "z": [z.tobytes()], "n": [n.tobytes()]})
+
+
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """Weights from ``doc_id, text, label`` (0 or 1; other labels take no part).
 
     At most about ``max_rows`` rows are fitted, chosen by a hash of doc_id.  Every shard runs the updates over its
     rows in an order by hash, then the shards' states are averaged and the next round starts from the average.
-    What reaches the driver is bounded by shards and slots.  Without rows all weights are zero.
+    What reaches the driver is one state a round, bounded by the number of slots.  Without rows all weights are zero.
     """
     s = settings
     spark = labelled.sparkSession
@@ -165,17 +176,15 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
             for _ in range(s.passes):
                 for i in range(len(group)):
                     mine.learn(slot[cuts[i] : cuts[i + 1]], value[cuts[i] : cuts[i + 1]], labels[i], s)
-            used = np.flatnonzero(mine.n)
-            return pd.DataFrame({"slots": [used.astype("<i4").tobytes()], "z": [mine.z[used].tobytes()], "n": [mine.n[used].tobytes()]})
-
-        z, n = np.zeros(size), np.zeros(size)
-        shards = sample.groupBy("shard").applyInPandas(per_group(train), "slots binary, z binary, n binary").collect()
-        for r in shards:
-            used = np.frombuffer(r["slots"], "<i4")
-            z[used] += np.frombuffer(r["z"])
-            n[used] += np.frombuffer(r["n"])
-        state = State(z / max(1, len(shards)), n / max(1, len(shards)))
-        begin.unpersist()
+            packed = [[zstandard.compress(part.tobytes(), 1) for part in x.reshape(PIECES, -1)] for x in (mine.z, mine.n)]
+            return pd.DataFrame({"piece": np.arange(PIECES, dtype=np.int32), "shard": group.shard.iloc[0], "z": packed[0], "n": packed[1]})
+
+        trained = sample.groupBy("shard").applyInPandas(per_group(train), "piece int, shard int, z binary, n binary")
+        z, n = np.zeros((PIECES, size // PIECES)), np.zeros((PIECES, size // PIECES))
+        for r in trained.groupBy("piece").applyInPandas(per_group(_mean_states), "piece int, z binary, n binary").collect():
+            z[r["piece"]], n[r["piece"]] = np.frombuffer(r["z"]), np.frombuffer(r["n"])
+        state = State(z.reshape(-1), n.reshape(-1))
+        begin.destroy()
     return state.weights(s)
 
 
