@@ -8,6 +8,7 @@ import pytest
 
 from tabulon.llm import decontaminate, licenses, quality_ftrl, topk, url_filter
 from tabulon.llm.queries import RULES
+from tabulon.llm.texthash import mix
 from tests.llm import helpers
 
 
@@ -227,3 +228,30 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan_licenses(df).count() == len(files)
     assert set(got) - {(None, None, None, None), (None, "MIT", "notice", None)} == want - {(None, None, None, None), (None, "MIT", "notice", None)}
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_weights_equal_plain_updates_on_one_shard(spark):
+    s = quality_ftrl.Settings(shards=1, rounds=1, passes=2, bits=10)
+    rows = [(i, f"word{i % 7} plain text{i % 5} {'Good' if i % 3 else 'BAD!!'} end", int(i % 3 > 0)) for i in range(40)]
+    got = quality_ftrl.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), s)
+    z, n = [0.0] * 1024, [0.0] * 1024
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    order = np.argsort(mix(np.arange(40, dtype=np.uint64)), kind="stable")
+    for _ in range(s.passes):
+        for i in order:
+            x = {}
+            for slot, value in zip(*(v.tolist() for v in quality_ftrl.features([rows[i][1]], s.bits)[1:])):
+                x[slot] = x.get(slot, 0.0) + value
+            w = {slot: weight(slot) for slot in x}
+            p = 1 / (1 + math.exp(-sum(w[slot] * v for slot, v in x.items())))
+            for slot, v in x.items():
+                g = (p - rows[i][2]) * v
+                z[slot] += g - (math.sqrt(n[slot] + g * g) - math.sqrt(n[slot])) / s.alpha * w[slot]
+                n[slot] += g * g
+    assert np.count_nonzero(got) > 10
+    assert np.allclose(got, [weight(i) for i in range(1024)], atol=1e-9)
