@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import in_python, written
@@ -52,6 +52,8 @@ _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 # names of containers that hold a page's own text where there is no article or main element
 OWN_NAMES = frozenset("article articlebody content maincontent post entry story main".split())
 ARTICLE, MAIN, CONTENT, OUTSIDE, DROPPED = 4, 3, 2, 1, 0
+# elements of running text: inside an article, lines in them are its text whoever else says the same
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre caption figcaption summary td th".split())
 
 
 def _names(attrs: str) -> list[str]:
@@ -107,12 +109,17 @@ def _level(name: str, attrs: str) -> int:
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of each block in page order: inside an article, main or content element, outside of one, or dropped.
+    """(zone, text) of each block in page order: inside an article, main or content element, outside of one, or dropped."""
+    return [(zone, line) for zone, _, line in page_lines(page)]
+
+
+def page_lines(page: str) -> list[tuple[int, bool, str]]:
+    """(zone, whether it stands in an element of running text, text) of each block in page order.
 
     An end tag closes everything opened since its start tag, and is ignored without one; what is left open at
     the end is closed there, and an element that is left out ends at the next article or main element.
     """
-    blocks: list[tuple[int, str]] = []
+    blocks: list[tuple[int, bool, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # element, zone inside it
     zone = OUTSIDE
@@ -122,7 +129,8 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                blocks.append((zone, line))
+                around = next((name for name, _ in reversed(stack) if name in BLOCK), "")
+                blocks.append((zone, around in PROSE, line))
 
     at, n = 0, len(page)
     while at < n:
@@ -206,40 +214,67 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
+HASH = 6  # bytes of a line's hash: two pages are compared at a time, so that few are enough
+IN_PROSE = 8
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All blocks of each page: a byte for zone and element, hashes for the alignment, and the lines that are not dropped."""
     for batch in batches:
         out = []
         for page in batch.html:
-            blocks = page_blocks(page) if isinstance(page, str) else []
-            own = max((zone for zone, _ in blocks), default=OUTSIDE)
-            inside = [line for zone, line in blocks if zone == own and own > OUTSIDE]
-            outside = [(zone, line) for zone, line in blocks if zone != own or own <= OUTSIDE]
-            hashes = [xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) for _, line in outside]
-            needed = [(line if zone > DROPPED else None) for zone, line in outside] if not inside else []
-            out.append((" ".join(inside), hashes, needed))
-        made = pd.DataFrame(out, columns=["inside", "lines", "outside"], index=batch.index)
+            blocks = page_lines(page) if isinstance(page, str) else []
+            zones = bytes(zone + IN_PROSE * prose for zone, prose, _ in blocks)
+            hashes = b"".join(xxhash.xxh3_64_digest(line.encode("utf-8", "surrogatepass"))[:HASH] for _, _, line in blocks)
+            out.append((zones, hashes, "\n".join(line for zone, _, line in blocks if zone > DROPPED)))
+        made = pd.DataFrame(out, columns=["zones", "lines", "body"], index=batch.index)
         yield pd.concat([batch[["page_id", "content", "url"]], made], axis=1)
 
 
-def _leading(a: str, b: str) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
+def _numbers(lines: bytes) -> list[int]:
+    return [int.from_bytes(lines[i : i + HASH]) for i in range(0, len(lines), HASH)]
+
+
+def main_lines(zones: list[int], prose: list[bool], shared: set[int]) -> list[int]:
+    """Positions of the lines that are a page's text, given the positions of those it shares with the nearest page.
+
+    Where there is a container (article, main or content element), its lines are the text, but for shared ones at its beginning and
+    end that stand in no element of running text; and if the pages share a line outside of their containers, which tells that
+    they have one template, so are the lines outside that only this page has.  Without a container, the lines that are not
+    shared are the text.  A page or container whose lines are all shared is a copy of the other, and they are its own.
+    """
+    seen = [i for i, zone in enumerate(zones) if zone > DROPPED]
+    own = max((zones[i] for i in seen), default=OUTSIDE)
+    if own == OUTSIDE:
+        return [i for i in seen if i not in shared] or seen
+    inside = [i for i in seen if zones[i] == own]
+    edges: set[int] = set()
+    for way in (inside, inside[::-1]) if not shared.issuperset(inside) else ():
+        for i in way:
+            if i not in shared or prose[i]:
+                break
+            edges.add(i)
+    one_template = any(zones[i] != own for i in shared)
+    kept = [i for i in seen if i not in edges and (zones[i] == own or (one_template and i not in shared))]
+    return kept
+
+
+def _leading(a: str, b: str) -> Column:
+    """One more than the number of characters with which both columns begin."""
+    shorter = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), shorter + 1), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), shorter + 1)
 
 
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            own = list(r.lines)
-            near = [(_leading(r.path, p), list(lines)) for p, lines in ((r.path_before, r.lines_before), (r.path_after, r.lines_after)) if p is not None]
-            shared = shared_lines(own, max(near, key=lambda x: x[0])[1]) if near else set()
-            text = r.inside
-            if not text:
-                lines = [(i, line) for i, line in enumerate(r.outside) if line is not None]
-                # a page all of whose lines are shared is a copy of its neighbour: its text is its own nevertheless
-                text = " ".join(line for i, line in lines if i not in shared) or " ".join(line for _, line in lines)
+            shared = shared_lines(_numbers(r.lines), _numbers(r.lines_near)) if r.lines_near is not None else set()
+            zones, prose = [z % IN_PROSE for z in r.zones], [z >= IN_PROSE for z in r.zones]
+            seen = [i for i, zone in enumerate(zones) if zone > DROPPED]
+            line = dict(zip(seen, r.body.split("\n")))
+            text = " ".join(line[i] for i in main_lines(zones, prose, shared))
             out.append((r.page_id, r.url, text, len(text), len(shared)))
         yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared_lines"])
 
@@ -248,19 +283,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_shared_lines`` for every row of ``pages`` (``page_id, url, html``).
 
     Within each host, pages are ordered by path; a page is paired with the neighbour whose path has the
-    longer common beginning (the earlier one at a tie).  The lines (blocks) outside of articles are aligned
-    with the partner's by a longest common subsequence and shared ones are deleted, unless all are shared, which
-    means that one page is a copy of the other.  The text is that of the page's article elements, or of its main
-    elements, or of containers named as content, where it has any; otherwise that of the lines left.  Menus,
-    headers, footers, sidebars, notices, adverts, forms and comments, as told by element, class, id or role, are
-    no part of either.  Lines inside an article are never deleted for being shared: pages quote and repeat each other.
+    longer common beginning (the earlier one at a tie).  All lines (blocks) of both are aligned by a longest common
+    subsequence, and ``main_lines`` tells from what they share and from the structure which lines are the text.
+    Menus, headers, footers, sidebars, notices, adverts, forms and comments, as told by element, class, id or role, are
+    no part of it.  Paragraphs and headings inside an article are never deleted for being shared: pages quote and
+    repeat each other.
 
     Null or empty html gives an empty text; a null url belongs to the empty host; repeated rows are pages
     each; whole pages are parsed, whatever their length; an empty table gives no rows.
     """
     rows = pages.select("page_id", F.xxhash64("page_id", "url", "html").alias("content"), "url", "html")
     parsed = in_python(
-        rows, _parse, "page_id long, content long, url string, inside string, lines array<long>, outside array<string>",
+        rows, _parse, "page_id long, content long, url string, zones binary, lines binary, body string",
         exact=["page_id"],
     )
     # parsing again is cheaper than keeping the texts, so only the lines' hashes are written; equal rows count once
@@ -273,6 +307,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     for shift, name in ((1, "before"), (-1, "after")):
         other = lined.select((F.col("at") + shift).alias("at"), F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("lines").alias(f"lines_{name}"))
         joined = joined.join(other, "at", "left").withColumn(f"path_{name}", F.when(F.col("host") == F.col("_host"), F.col("_path"))).drop("_host", "_path")
-    near = joined.select(F.col("page_id").alias("_page_id"), F.col("content").alias("_content"), "path", "path_before", "lines_before", "path_after", "lines_after")
+    after = F.col("path_after").isNotNull() & (F.col("path_before").isNull() | (_leading("path", "path_after") > _leading("path", "path_before")))
+    # the line hashes of one neighbour only travel to the texts
+    lines = F.when(after, F.col("lines_after")).when(F.col("path_before").isNotNull(), F.col("lines_before"))
+    near = joined.select(F.col("page_id").alias("_page_id"), F.col("content").alias("_content"), lines.alias("lines_near"))
     both = parsed.join(near, F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("content") == F.col("_content"))).drop("_page_id", "_content", "content")
     return in_python(both, _difference, "page_id long, url string, text string, n_chars long, n_shared_lines long", exact=["page_id"])

@@ -61,6 +61,17 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert extracted(spark, []) == set()
 
 
+def test_alignment_decides_inside_and_around_articles(spark):
+    page = lambda head, body: (
+        f"<div>Our shop</div><main><h1>{head}</h1><article><div>Subscribe</div><p>Same words</p><div>{body}</div><div>Same block</div><p>{body} ends</p><div>Tell a friend</div></article></main>")
+    rows = [(1, "http://h/a/1", page("One", "first")), (2, "http://h/a/2", page("Two", "second")), (3, "http://g/a/1", page("Alone", "third"))]
+    got = {(i, t) for i, t, _ in extracted(spark, rows)}
+    assert got == {(1, "One Same words first Same block first ends"), (2, "Two Same words second Same block second ends"),
+                   (3, "Subscribe Same words third Same block third ends Tell a friend")}
+    copies = [(1, "http://h/1", page("One", "first")), (2, "http://h/2", page("One", "first"))]
+    assert {t for _, t, _ in extracted(spark, copies)} == {"Subscribe Same words first Same block first ends Tell a friend"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(60):
