@@ -76,7 +76,10 @@ class Chunk:
 
 @dataclass
 class Anchors:
-    """Per anchor occurrence: its hash, the hash of its block, the first and last window start, and the document's id."""
+    """Per anchor occurrence: its key, the hash of its block, the first and last window start, and the document's id.
+
+    Anchors are the smallest hashes of their windows, so the key is another mix: buckets are equal ranges of keys.
+    """
 
     gram: np.ndarray
     block: np.ndarray
@@ -134,7 +137,7 @@ def anchors(chunk: Chunk, size: int) -> Anchors:
     running = prefix_hash(chunk.data)
     block = mix(span_hash(running, first, last + size) + (at - first).astype(np.uint64)).astype(np.uint32)
     text = np.searchsorted(chunk.ends, first, side="right") - 1
-    return Anchors(span_hash(running, at, at + GRAM), block, first, last, at, chunk.ids[text])
+    return Anchors(mix(span_hash(running, at, at + GRAM)), block, first, last, at, chunk.ids[text])
 
 
 @dataclass

@@ -1,8 +1,13 @@
 """Repeated passages and similar documents against brute force."""
 
+import random
+
+import pandas as pd
 import pytest
+import zstandard
 
 from tabulon.llm import ngram_join, repeats
+from tabulon.llm.common import pack_strings
 from tabulon.llm.components import connected_components
 from tests.llm import helpers
 
@@ -39,6 +44,18 @@ def test_no_documents(spark):
     assert ngram_join.similar_components(empty).count() == 0
 
 
+def test_anchor_entries_are_dealt_evenly():
+    rng = random.Random(7)
+    docs = pd.DataFrame({"doc_id": range(40), "text": ["".join(rng.choices("abcdefghij ", k=2000)) for _ in range(40)]})
+    data, ends = pack_strings(docs.text)
+    places = repeats.anchor_places(np.frombuffer(data, np.uint8), ends, 50)
+    row = (1, docs.doc_id.to_numpy(np.int64).tobytes(), ends.tobytes(), zstandard.compress(data), repeats._pack_places(*places))
+    chunk = pd.DataFrame([row], columns=["chunk", "ids", "ends", "data", "places"])
+    sent = next(repeats._send_entries(iter([chunk]), 50, 16, repeats.Sizes()))
+    counts = [len(repeats.expand(g, np.uint64)) for g in sent.gram]
+    assert len(counts) == 16 and max(counts) < 1.5 * sum(counts) / 16
+
+
 def test_suffix_array_and_maximal_repeats():
     data = np.frombuffer(b"xabcabcyabcd", np.uint8)
     group, start, stop = np.zeros(12, int), np.arange(12), np.full(12, 12)
