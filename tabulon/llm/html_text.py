@@ -275,7 +275,9 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = [i for i, zone in enumerate(zones) if zone > DROPPED]
             line = dict(zip(seen, r.body.split("\n")))
             text = " ".join(line[i] for i in main_lines(zones, prose, shared))
-            out.append((r.page_id, r.url, text, len(text), len(shared)))
+            own = max(zones, default=OUTSIDE)
+            outside = sum(zones[i] != own or own <= OUTSIDE for i in shared)
+            out.append((r.page_id, r.url, text, len(text), outside))
         yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared_lines"])
 
 
@@ -287,7 +289,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     subsequence, and ``main_lines`` tells from what they share and from the structure which lines are the text.
     Menus, headers, footers, sidebars, notices, adverts, forms and comments, as told by element, class, id or role, are
     no part of it.  Paragraphs and headings inside an article are never deleted for being shared: pages quote and
-    repeat each other.
+    repeat each other.  ``n_shared_lines`` counts the shared lines outside of the page's container.
 
     Null or empty html gives an empty text; a null url belongs to the empty host; repeated rows are pages
     each; whole pages are parsed, whatever their length; an empty table gives no rows.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.evaluate import best_models, evaluate, resolve_primary_metric
 from tabulon.operators.runlog import replace_partitions
-from tabulon.operators.train import split_scan
+from tabulon.operators.train import split_scan, spread
 from tabulon.sources.sinks import load_model
 
 METRICS = ["accuracy", "precision", "recall", "f1", "mae", "mse", "rmse", "r2"]
@@ -36,6 +36,7 @@ def replay_stored(ready: DataFrame, target: str, results: DataFrame, models: dic
     """
     spark = ready.sparkSession
     _, test, _ = split_scan(ready, target)
+    test = spread(test)
     metric = resolve_primary_metric(problem_type, stored_metric)
     rows = []
     for r in results.select("experiment_id", "model_id", "model_name").orderBy("model_id").collect():

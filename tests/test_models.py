@@ -363,3 +363,26 @@ def test_logistic_gradient_vanishes_at_the_optimum_only(spark, classes):
     largest = np.abs(fitted.model.coefficientMatrix.toArray()).max(axis=1)
     want = dict(zip("012", [largest[0]] * 2 if classes == 2 else largest))
     assert other == pytest.approx({c: want[c] * (1 / 30 - 1 / 300) for c in other}, rel=0.02)
+
+
+def test_tasks_of_a_fit_stay_bounded(spark, monkeypatch):
+    assert train.fit_partitions(150, 4) == 1
+    for rows in (10_000_000, 60_000_000):
+        assert rows * 1450 / train.fit_partitions(rows, 10, trees=100) < 600_000_000
+    seen = []
+    monkeypatch.setattr(train, "TASK_BYTES", 4000)
+    real = train.DecisionTreeRegressor.fit
+    monkeypatch.setattr(train.DecisionTreeRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or real(self, df))
+    df = spark.range(400).selectExpr("id * 1.0D as x", "id % 7 * 1.0D as y")
+    train.fit_model(df, "y", ["x"], "DecisionTreeRegressor", "regression", 400, max_depth=2)
+    assert seen == [train.fit_partitions(400, 1)] and seen[0] > 8
+
+
+def test_predictions_of_an_experiment_use_all_cores(spark, monkeypatch):
+    seen = []
+    real = train.FittedModel.predict
+    monkeypatch.setattr(train.FittedModel, "predict", lambda self, df, keep=None: seen.append(df.rdd.getNumPartitions()) or real(self, df, keep))
+    ready = spark.range(100).selectExpr("id * 1.0D as x", "id * 2.0D as y", "if(id % 5 = 0, 'test', 'train') as __split__").coalesce(1)
+    experiment = train.run_experiment(ready, "y", "regression", model_names=["LinearRegression"])
+    train.replay(ready, experiment)
+    assert seen == [spark.sparkContext.defaultParallelism] * 2
