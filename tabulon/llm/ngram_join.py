@@ -211,6 +211,41 @@ def _verify(docs: DataFrame, about: DataFrame, pairs: DataFrame, width: int, per
     return written(in_python(left.join(of("b"), "b").join(of("a"), "a"), count, "a long, b long"), "ngram_edges")
 
 
+def _across(located: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``a, b`` of different components that share a token (``located``: token, rep, n, pos, component) and pass all filters.
+
+    Similar sets are found at the first token of the global order that both have: nothing before it is common, so from there
+    on each must hold as many n-grams as similar sets share.  A pair that passes at no token is not similar.  One of the
+    two is outside of the component that most of the token's group belongs to, so a group in which nearly all are
+    linked costs comparisons in proportion to its members.
+    """
+    sizes = located.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    open_groups = located.join(mixed.select("token", F.col("most.component").alias("main")), "token").join(
+        one.select(F.col("doc_id").alias("rep"), *PARITY), "rep")
+    x, y = (open_groups.select("token", "main", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"pos{c}"),
+                               F.col("component").alias(f"component{c}"), *[F.col(p).alias(f"{p}{c}") for p in PARITY]) for c in "ab")
+    both = F.col("na") + F.col("nb")
+    least = F.ceil(percent * both / (100 + percent) - F.lit(1e-9))  # smallest intersection of similar sets
+    room = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0))
+    once = (F.col("componentb") == F.col("main")) | (F.col("componenta") < F.col("componentb"))
+    return (
+        x.filter("componenta <> main").join(y.drop("main"), "token")
+        .filter((F.col("componenta") != F.col("componentb")) & once & _length_fits("na", "nb", percent) & (room >= least) & (differ <= both - 2 * least))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+
+
+def _merged(parts: DataFrame, late: DataFrame) -> DataFrame:
+    """``node, component`` after edges ``a, b`` between nodes were added to the components ``parts``."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"component{c}"))
+    joined = late.join(of("a"), "a").join(of("b"), "b").filter("componenta <> componentb")
+    moved = connected_components(joined.select(F.col("componenta").alias("a"), F.col("componentb").alias("b")))
+    return parts.join(moved.select(F.col("node").alias("component"), F.col("component").alias("smallest")), "component", "left").select(
+        "node", F.coalesce("smallest", "component").alias("component"))
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
@@ -221,9 +256,9 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     share a component).  An empty table gives no rows.
 
     Equal sets are found by a 128-bit hash of the set.  For the others, documents whose prefixes share a token are
-    candidates.  First each is compared with the smallest and the largest document of the token's group, so a large
-    group costs as many pairs as it has members; then, in the groups that still hold more than one component, the
-    pairs across components.  No candidate is left out: a pair within a component needs no comparison.
+    candidates.  First each is compared with three documents of the token's group, the smallest, the largest and the one
+    with the fewest rarer n-grams, so a large group costs as many pairs as it has members; then, in the groups that still
+    hold more than one component, the pairs across components.  No candidate is left out: a pair within a component needs no comparison.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     about, chunks = describe_sets(rows, width)
@@ -231,7 +266,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     first = described.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"))
     equal = written(described.select("doc_id", "n", "hi", "lo").join(first, ["n", "hi", "lo"]).select("doc_id", "rep"), "ngram_classes")
     entry = prefixes(chunks, width, percent)
-    groups = entry.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    groups = entry.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("doc_id", F.struct("pos", "doc_id")).alias("core"))
     shared = written(entry.join(groups.filter("low < high"), "token"), "ngram_prefixes")
     rep = lambda c: equal.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep{c}"))
 
@@ -240,31 +275,19 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         found = pairs.distinct().join(rep("a"), "a").join(rep("b"), "b")
         return found.filter("repa <> repb").select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
 
-    stars = shared.select(F.col("doc_id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
+    stars = shared.select(F.col("doc_id").alias("a"), F.explode(F.array("low", "high", "core")).alias("b")).filter("a <> b")
     star_pairs = written(between_classes(stars), "ngram_stars")
     one = about.join(equal.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "parts", *PARITY).dropDuplicates(["doc_id"])
     one = written(one, "ngram_representatives")
     edges = _verify(rows, one, star_pairs, width, percent)
     same = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    parts = connected_components(edges.union(same))
+    parts = written(connected_components(edges.union(same)), "ngram_parts")
     located = shared.select("token", "doc_id", "n", "pos").join(
         parts.select(F.col("node").alias("doc_id"), "component"), "doc_id").join(equal, "doc_id")
     located = written(located.groupBy("token", "rep", "n", "pos").agg(F.min("component").alias("component")), "ngram_located")
-    mixed = located.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    open_groups = located.join(mixed, "token").join(one.select(F.col("doc_id").alias("rep"), *PARITY), "rep")
-    x, y = (open_groups.select("token", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"pos{c}"), F.col("component").alias(f"component{c}"),
-                               *[F.col(p).alias(f"{p}{c}") for p in PARITY]) for c in "ab")
-    both = F.col("na") + F.col("nb")
-    least = F.ceil(percent * both / (100 + percent) - F.lit(1e-9))  # smallest intersection of similar sets
-    room = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) + F.least("posa", "posb")
-    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0))
-    across = (
-        x.join(y, "token")
-        .filter((F.col("componenta") < F.col("componentb")) & _length_fits("na", "nb", percent) & (room >= least) & (differ <= both - 2 * least))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    across = _across(located, one, percent)
     late = _verify(rows, one, across.join(star_pairs, ["a", "b"], "left_anti"), width, percent)
-    final = connected_components(edges.union(late).union(same))
+    final = _merged(parts, late)
     lonely = docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     per_doc = about.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return per_doc.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).union(lonely)

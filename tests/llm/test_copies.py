@@ -77,6 +77,42 @@ def test_components_equal_brute_force(spark, width, percent):
     assert len({c for _, c in got.values()}) < len(got)
 
 
+def test_near_copies_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for d in range(80):  # the common origin is neither the smallest nor the largest, and no two copies are similar
+        changed = {} if d == 40 else {(i * 75 + d * 7) % 295: f"d{d}x{i}" for i in range(4)}
+        docs.append((d, " ".join(changed.get(i, w) for i, w in enumerate(base))))
+    pairs, verify = [], ngram_join._verify
+
+    def counting(rows, about, found, width, percent):
+        pairs.append(found.count())
+        return verify(rows, about, found, width, percent)
+
+    monkeypatch.setattr(ngram_join, "_verify", counting)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(df, 5, 80).collect()}
+    assert got == helpers.components(docs, 5, 80)
+    assert pairs[1] <= len(docs)
+
+
+def test_candidates_across_components_pass_at_their_first_common_token(spark):
+    located = [(1, r, 20, 0, r) for r in (1, 2, 3)] + [(2, r, 20, 3, r) for r in (1, 2, 4)] + [(3, 5, 20, 2, 5), (3, 6, 24, 0, 5), (3, 7, 23, 3, 7)]
+    one = spark.createDataFrame([(r, 20, 0, 0, 0, 0) for r in range(1, 8)], "doc_id long, n long, p0 long, p1 long, p2 long, p3 long")
+    df = spark.createDataFrame(located, "token long, rep long, n int, pos int, component long")
+    got = sorted(tuple(r) for r in ngram_join._across(df, one, 80).collect())
+    # similar sets of 20 and 20 share 18, so not from place 3 on; of 23 and 20 they share 20, which neither holds; of 24 and 23, 21
+    assert got == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_late_links_merge_components(spark):
+    parts = spark.createDataFrame([(i, i // 2 * 2) for i in range(10)], "node long, component long")
+    late = spark.createDataFrame([(9, 5), (5, 2), (6, 7)], "a long, b long")
+    expected = {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2, 6: 6, 7: 6, 8: 2, 9: 2}
+    assert {r["node"]: r["component"] for r in ngram_join._merged(parts, late).collect()} == expected
+    assert {r["node"]: r["component"] for r in ngram_join._merged(parts, late.limit(0)).collect()} == {i: i // 2 * 2 for i in range(10)}
+
+
 def test_components_edge_cases(spark):
     words = "one two three four five six seven eight nine ten"
     docs = [(7, words), (7, words), (3, words.upper()), (None, words), (5, ""), (6, None), (8, " \t\n"), (1, "two"), (2, "two"), (4, "Two  ")]
