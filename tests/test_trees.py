@@ -110,3 +110,17 @@ def test_labels_and_features_must_be_numbers(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "x double, y double")
     with pytest.raises(Exception, match="labels must not be null"):
         train.fit_model(df, "y", ["x"], "DecisionTreeRegressor", "regression", 2)
+
+
+def test_rows_of_a_class_are_not_sent_to_one_task(spark, numbers, monkeypatch):
+    """Labels and predicted classes are looked up where the rows are, also with automatic broadcasts off."""
+    monkeypatch.setattr(train, "spread", lambda df, least=1: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fitted = train.fit_model(numbers, "y", FEATURES, "DecisionTreeClassifier", "classification", 3000)
+        for made in (train.training_vectors(numbers, "y", FEATURES, fitted.labels), fitted.predict(numbers, keep=["key"])):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
